@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding, topk
+from . import packing, sharding, topk
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_histogram_topk": topk.op5_histogram_topk,
     "op8_feistel_shards": sharding.op8_feistel_shards,
 }
