@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, topk
+from . import language, packing, quality, sharding, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
     "op5_histogram_topk": topk.op5_histogram_topk,
+    "op6_weak_label_quality": quality.op6_weak_label_quality,
     "op8_feistel_shards": sharding.op8_feistel_shards,
 }
 
 ORACLES = {
+    "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
     "op5_histogram_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
