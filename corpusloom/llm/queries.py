@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality, sharding, topk
+from . import decontaminate, language, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_simhash_decontamination": decontaminate.op2_simhash_decontamination,
     "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
     "op5_histogram_topk": topk.op5_histogram_topk,
     "op6_weak_label_quality": quality.op6_weak_label_quality,
     "op8_feistel_shards": sharding.op8_feistel_shards,
+    "op9_line_dedup": substrings.op9_line_dedup,
+    "op10_template_tree_urls": urls.op10_template_tree_urls,
 }
 
 ORACLES = {
+    "op2_simhash_decontamination": decontaminate.op2_simhash_decontamination,
     "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
     "op5_histogram_topk": """
 WITH v AS (

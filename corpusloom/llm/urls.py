@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_or_plain, table
+from .common import scratch, small_or_plain, table
 
 DEPTH, LONG_SEGMENT, Z, SMOOTHING, REJECT = 4, 24, 1.96, 4.0, 0.5
 #: Rules of the query: verdict, host, path.
@@ -57,7 +57,8 @@ def template_tree(labelled: DataFrame, z: float = Z) -> DataFrame:
 
     labelled is aggregated to distinct (host, raw_segments) first, with partial sums before the shuffle."""
     tree = labelled.groupBy("host", "raw_segments").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("good"))
-    tree = tree.withColumn("prefix", F.lit(""))
+    # Each level reads the tree twice, so it is written down once a level.
+    tree = scratch(tree.withColumn("prefix", F.lit("")), "url-tree")
     for level in range(1, DEPTH + 2):
         segment = F.coalesce(F.get("raw_segments", F.lit(level - 1)), F.lit(""))
         nodes = tree.withColumn("segment", segment)
@@ -69,7 +70,7 @@ def template_tree(labelled: DataFrame, z: float = Z) -> DataFrame:
         # Where nothing is labelled nothing shows that branches are alike: literals stay.
         merged = F.when(F.col("segment").isin("", "*", "**") | (F.col("p_n") == 0), F.col("segment")).when((F.col("c_n") > 0) & ~apart, "*").otherwise(F.col("segment"))
         decided = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", merged.alias("as_segment"))
-        tree = nodes.join(decided, ["host", "prefix", "segment"]).withColumn("prefix", F.when(F.col("as_segment") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "as_segment"))).drop("segment", "as_segment")
+        tree = scratch(nodes.join(decided, ["host", "prefix", "segment"]).withColumn("prefix", F.when(F.col("as_segment") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "as_segment"))).drop("segment", "as_segment"), "url-tree")
     return tree.select("host", "raw_segments", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("template"), "n", "good", "bad")
 
 
