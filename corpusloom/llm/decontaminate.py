@@ -63,12 +63,13 @@ def shared_weight(a: Column, b: Column) -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, hamming, first word and number of words of the best window, for every pair found; and text_hash."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    bags = scratch(with_shingles(items.select("item_id", "text"), "text").filter(F.size("shingles") > 0).drop("text").distinct(), "items")
-    bags = bags.withColumn("size", F.size("shingles")).withColumn("print", fingerprint(F.col("shingles")))
+    bags = scratch(with_shingles(items.select("item_id", "text"), "text").drop("text").distinct(), "items")
+    bags = bags.filter(F.size("shingles") > 0).withColumn("size", F.size("shingles")).withColumn("print", fingerprint(F.col("shingles")))
     # Which shingles of a text occur in an item of a size: the benchmark's side is broadcast if it is small.
     wanted = bags.select(F.explode(F.array_distinct("shingles")).alias("shingle"), "size").distinct()
     read = with_shingles(docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), "text"), "text").drop("text")
-    hits = read.select("id", "h", F.posexplode("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select("id", "h", "size", "at").distinct()
+    # The outer form: the plain one adds a filter below, into which the planner copies the whole expression of the shingles.
+    hits = read.select("id", "h", F.posexplode_outer("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select("id", "h", "size", "at").distinct()
     # A text's hits for one size: as many as its words.
     hits = scratch(hits.groupBy("id", "h", "size").agg(F.sort_array(F.collect_list("at")).alias("hits")), "leak-hits")
     need = F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
