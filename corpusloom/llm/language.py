@@ -30,7 +30,7 @@ FAMILIES = {
     "slavic": ("ru", "pl", "cs", "sk", "uk", "bg", "sr", "hr"),
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-DIMS, MAX_PER_LANG, SPANS, GRAMS = 8192, 400, 3, 4
+DIMS, MAX_PER_LANG, SPANS, GRAMS = 4096, 200, 2, 4
 
 
 def lower_letters(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
