@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, sharding, substrings, topk, urls
+from . import decontaminate, language, neardup, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_simhash_decontamination": decontaminate.op2_simhash_decontamination,
     "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
+    "op4_probminhash_neardup": neardup.op4_probminhash_neardup,
     "op5_histogram_topk": topk.op5_histogram_topk,
     "op6_weak_label_quality": quality.op6_weak_label_quality,
     "op8_feistel_shards": sharding.op8_feistel_shards,
