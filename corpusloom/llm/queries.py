@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, neardup, packing, quality, sharding, substrings, topk, urls
+from . import decontaminate, html, language, neardup, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_probminhash_neardup": neardup.op4_probminhash_neardup,
     "op5_histogram_topk": topk.op5_histogram_topk,
     "op6_weak_label_quality": quality.op6_weak_label_quality,
+    "op7_template_removal_html": html.op7_template_removal_html,
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_line_dedup": substrings.op9_line_dedup,
     "op10_template_tree_urls": urls.op10_template_tree_urls,
