@@ -1,4 +1,6 @@
 """Every registered query of the library outside llm, with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
