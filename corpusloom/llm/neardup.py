@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-SHINGLE, SIMILARITY, ESTIMATE = 5, 0.8, 0.6
+SHINGLE, SIMILARITY, ESTIMATE = 5, 0.8, 0.66
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SMALL, PIVOTS = 32, 8
+SMALL, PIVOTS = 32, 16
 WORD = re.compile(r"\w+")
 CACHE_WORDS, GROUP_SHINGLES = 500_000, 200_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -123,7 +123,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             def flush():
                 made = sketch([bag for _, bag in waiting])
                 for (row, _), s, keys in zip(waiting, made, band_keys(made)):
-                    sketches[row], bands[row] = s.tobytes(), keys
+                    # A byte of each register is enough to estimate: unlike ones agree in 1 of 256.
+                    sketches[row], bands[row] = s.astype("u1").tobytes(), keys
 
             for row, text in enumerate(p["text"]):
                 words = WORD.findall((text or "").lower())
@@ -186,19 +187,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component: labels go over links and then to the label's own label, until nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """node and label, the smallest node of its component, of every node with a link (a, b): labels go over links and then twice to the label's own label, until nothing changes."""
     both = scratch(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
     labels = scratch(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = scratch(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        for _ in range(2):
+            step = step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
+        step = scratch(step, "labels")
         changed = step.filter("label <> old").limit(1).count()
         labels = step.select("node", "label")
         if not changed:
-            return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+            return labels
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links (a, b): only the links between components are looked at."""
+    of = lambda side: labels.withColumnsRenamed({"node": side, "label": f"l{side}"})
+    between = links.join(of("a"), "a").join(of("b"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    between = scratch(between, "between")
+    if between.isEmpty():
+        return labels
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return scratch(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "components")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -217,7 +231,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(x, "u4") == np.frombuffer(y, "u4")).mean()) for x, y in zip(a, b)])
+        return pd.Series([float((np.frombuffer(x, "u1") == np.frombuffer(y, "u1")).mean()) for x, y in zip(a, b)])
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The verified ones of pairs (a, b)."""
@@ -234,7 +248,7 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = small.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*").distinct()
     links = linked(pairs)
     nodes = one.select(F.col("text_no").alias("node"))
-    labels = scratch(components(nodes, links), "components")
+    labels = joined_labels(nodes.withColumn("label", F.col("node")), links)
     large = buckets.filter(F.col("size") > SMALL).select("key", "text_no")
     pivoted, wave = None, PIVOTS
     while not large.isEmpty():
@@ -252,11 +266,10 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         meet = pivots.select("key", F.col("text_no").alias("p"), F.col("label").alias("p_label")).join(state.select("key", "text_no", "label"), "key").filter("label <> p_label")
         fresh = meet.select(F.least("p", "text_no").alias("a"), F.greatest("p", "text_no").alias("b")).distinct()
-        links = scratch(links.unionByName(linked(fresh)), "links")
-        labels = scratch(components(nodes, links), "components")
+        labels = joined_labels(labels, linked(fresh))
         done = pivots.select("key", "text_no")
         pivoted = done if pivoted is None else scratch(pivoted.unionByName(done), "pivoted")
-        wave *= 2
+        wave *= 4
     ids = one.select("c1", "c2", F.col("text_no").alias("node"), "first").join(labels, "node")
     least = ids.groupBy("label").agg(F.min("first").alias("least"))
     named = ids.join(least, "label").select("c1", "c2", F.col("least").alias("keeper"))
@@ -264,8 +277,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _smallest(rows: DataFrame, k: int) -> DataFrame:
-    """k rows of each key, spread by a hash; a key's rows are dealt over 64 parts first."""
-    few = rows.withColumn("_o", F.xxhash64("key", "text_no"))
+    """k rows of each key, by a hash of the text, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
+    few = rows.withColumn("_o", F.xxhash64("text_no"))
     salted = Window.partitionBy("key", F.pmod("_o", F.lit(64))).orderBy("_o")
     first = few.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k).drop("_r")
     last = Window.partitionBy("key").orderBy("_o")
