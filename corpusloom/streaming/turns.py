@@ -70,7 +70,7 @@ TURN = "session_id long, turn_no long, text string, thinking string, last_seq lo
 class TurnAssembler(StatefulProcessor):
     """One open turn a session. A micro-batch's events are taken in order of seq; an idle session's turn is closed by a timer."""
 
-    def __init__(self, idle_ms: int = 60_000):
+    def __init__(self, idle_ms: int | None = 60_000):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -92,9 +92,10 @@ class TurnAssembler(StatefulProcessor):
             else:
                 state = (turn_no, text + (row.data if row.event == "delta" else ""), thinking + (row.data if row.event == "thinking" else ""), row.seq)
         self.open.update(tuple(state))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TURN.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -106,9 +107,9 @@ class TurnAssembler(StatefulProcessor):
         pass
 
 
-def assemble_turns_stream(events: DataFrame, idle_ms: int = 60_000) -> DataFrame:
-    """As assemble_turns, for a stream; needs the RocksDB state store."""
-    return events.groupBy("session_id").transformWithStateInPandas(TurnAssembler(idle_ms), TURN, "append", "processingTime")
+def assemble_turns_stream(events: DataFrame, idle_ms: int | None = 60_000) -> DataFrame:
+    """As assemble_turns, for a stream; needs the RocksDB state store. Without idle_ms, as in a backfill, only boundaries close a turn."""
+    return events.groupBy("session_id").transformWithStateInPandas(TurnAssembler(idle_ms), TURN, "append", "none" if idle_ms is None else "processingTime")
 
 
 def replay_tasks(log: DataFrame) -> DataFrame:
