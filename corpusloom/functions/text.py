@@ -8,7 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "[^　-鿿豈-﫿＀-￯]"
-TITLE_EDGE = " \t\r\n\"'“”‘’《》「」。.！!？?：:，,"
+#: Characters stripped from a title's edges, from a sub-query's start and edges, and the mark of trimmed output.
+TITLE_EDGE = "\"'`.,;:!?.,、；；：：!？?「」『』《》【】（）()“”‘’"
+NUMBERING = "0123456789.-、)）. "
+QUOTES = "\"'“”‘’"
+TRIM_HEAD, TRIM_MARK = 1500, "\n...[已省略部分工具输出]..."
 
 
 def est_tokens(text: Column) -> Column:
@@ -45,7 +49,7 @@ def stable_display_id(message_id: Column, call_id: Column) -> Column:
 
 def sanitize_title(text: Column, limit: int = 20) -> Column:
     """The first line without surrounding quotes and marks, white space collapsed, cut to limit."""
-    line = F.get(F.split(F.btrim(text), "\n"), F.lit(0))
+    line = F.get(F.split(F.btrim(text, F.lit(" \t\r\n")), "[\n\r]"), F.lit(0))
     return F.left(F.btrim(F.regexp_replace(F.btrim(line, F.lit(TITLE_EDGE)), r"\s+", " ")), F.lit(limit))
 
 
@@ -53,9 +57,6 @@ def truncate(text: Column, limit: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(mark))).otherwise(text)
 
 
-TRIM_HEAD, TRIM_MARK = 1500, "\n… [older tool output trimmed]"
-
-
 def trim_tool_output(text: Column, head: int = TRIM_HEAD, mark: str = TRIM_MARK) -> Column:
     return truncate(text, head, mark)
 
@@ -68,7 +69,7 @@ def parse_qa_lines(answer: Column) -> Column:
 
 def parse_subqueries(answer: Column, query: Column, most: int = 2) -> Column:
     """The first lines of a model's answer that are new queries: numbering and quotes stripped, short and repeated ones dropped."""
-    bare = F.transform(F.split(answer, "\n"), lambda line: F.btrim(F.btrim(F.regexp_replace(F.btrim(line), r"^[0-9]+[.)、]\s*|^[-*•]\s*", "")), F.lit("\"'“”「」")))
+    bare = F.transform(F.split(answer, "\n"), lambda line: F.btrim(F.btrim(F.ltrim(F.btrim(line, F.lit(" \t\r")), F.lit(NUMBERING)), F.lit(QUOTES))))
     new = F.filter(bare, lambda s: (F.length(s) >= 2) & (s != query))
     return F.slice(F.array_distinct(new), 1, most)
 
@@ -111,10 +112,10 @@ def path_escapes(relative: Column) -> Column:
 
 
 def read_lines(text: Column, offset: int, limit: int) -> Column:
-    """Lines from offset, numbered from 1; an offset beyond the text is ignored."""
+    """Lines from the offset-th on, numbered from 1; an offset of 0 or beyond the text is ignored, as is a limit of 0."""
     lines = F.split(text, "\n")
-    start = F.when(F.lit(offset) < F.size(lines), F.lit(offset)).otherwise(0)
-    return F.transform(F.slice(lines, start + 1, limit), lambda line, i: F.concat(F.lpad((i + 1).cast("string"), 6, " "), F.lit("\t"), line))
+    start = F.when((F.lit(offset) > 0) & (F.lit(offset) <= F.size(lines)), F.lit(offset)).otherwise(1)
+    return F.transform(F.slice(lines, start, F.lit(limit) if limit > 0 else F.size(lines)), lambda line, i: F.concat(F.lpad((i + 1).cast("string"), 6, " "), F.lit("\t"), line))
 
 
 def clean_options(options: Column) -> Column:

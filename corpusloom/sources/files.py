@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders that no listing enters, and languages by file ending.
-EXCLUDED = ("node_modules", ".git", "dist", "build", "vendor", "__pycache__", ".venv", "target")
-LANGUAGES = {"go": "go", "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql", "sh": "bash", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "html": "html", "css": "css", "toml": "toml", "xml": "xml"}
+EXCLUDED = (".git", "node_modules", "dist", "build", "target", "vendor", ".next", ".idea", ".vscode")
+LANGUAGES = {
+    "go": "go", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "vue": "vue",
+    "py": "python", "java": "java", "kt": "kotlin", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp",
+    "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "sh": "bash", "bash": "bash", "zsh": "bash", "sql": "sql",
+    "html": "html", "css": "css", "scss": "scss", "less": "less", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
+    "xml": "xml", "md": "markdown", "svelte": "svelte", "lua": "lua", "proto": "proto", "gradle": "groovy", "dockerfile": "dockerfile",
+}
 MAX_FILES, MAX_BYTES, PROBE = 2000, 262_144, 1024
 
 
@@ -156,7 +162,7 @@ def scan_tree(files: DataFrame, limit: int = MAX_FILES) -> DataFrame:
 
 
 def readable_size(size: Column) -> Column:
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(size / (1 << 20), 1), F.lit(" MB")))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit("B"))).when(size < 1 << 20, F.concat(F.format_number(size / 1024, 1), F.lit("KB"))).otherwise(F.concat(F.format_number(size / (1 << 20), 1), F.lit("MB")))
 
 
 def file_snippets(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:

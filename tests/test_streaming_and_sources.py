@@ -64,7 +64,7 @@ def test_tree_and_notes(spark, tmp_path):
     files = src.read_files(spark, str(tmp_path))
     assert [os.path.basename(r.path) for r in src.scan_tree(files).collect()] == ["bad.md", "n.md", "a.py"]
     snippet = {os.path.basename(r.path): r for r in src.file_snippets(files).collect()}
-    assert snippet["a.py"].language == "python" and snippet["a.py"].size == "9 B" and snippet["b.bin"].binary
+    assert snippet["a.py"].language == "python" and snippet["a.py"].size == "9B" and snippet["b.bin"].binary
     note = src.frontmatter_catalog(files).collect()
     assert [(r.name, r.description, r.type, r.body) for r in note] == [("my-note", 'a "b"', "user", "body here\n")]
     block = src.attachment_block(spark.createDataFrame([(1, "sub/a.py"), (2, "../x"), (3, "none")], "no int, path string"), src.file_snippets(files)).first().block
