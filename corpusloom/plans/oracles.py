@@ -176,4 +176,23 @@ ORACLES = {
     "group_by_source": "SELECT source, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_md5, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY source",
     "ordered_listing": "SELECT lang, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rank FROM documents) WHERE rank <= 100",
     "vector_pairs": f"SELECT a.vec_id, round({dist('a.v', 'b.v')}, 6) AS distance FROM ({V}) a JOIN ({V}) b ON b.vec_id = a.vec_id + 1",
+    "single_topk": f"SELECT b.vec_id, round({dist('a.v', 'b.v')}, 6) AS distance FROM ({V}) a JOIN ({V}) b ON a.vec_id = 0 AND b.vec_id <> 0 ORDER BY {dist('a.v', 'b.v')}, b.vec_id LIMIT 20",
+    "outside_whitelist": "SELECT event_id, 'r' || (user_id % 3) AS role, event_type AS tool FROM events WHERE NOT ((user_id % 3 = 0 AND event_type IN ('click', 'view')) OR (user_id % 3 = 1 AND event_type = 'view') OR (user_id % 3 = 2 AND event_type = 'purchase'))",
+    "exclude_deleted": "SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 0",
+    "hydrate": f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, lang, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id || '.txt' END AS filename FROM ({near(5)}) JOIN documents ON doc_id = chunk_id",
+    "union_lists": f"SELECT query_id, CAST(query_no AS INTEGER) AS query_no, count(*) AS n, CAST(sum(chunk_id) AS BIGINT) AS ids FROM ({ROUTES}) GROUP BY ALL",
+    "role_projection": f"SELECT session_id, seq, role FROM ({M})",
+    "exclusive_default": "SELECT s_suppkey AS provider_id, CASE s_suppkey % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'embed' WHEN 2 THEN 'rerank' ELSE '' END AS kind, CASE WHEN s_suppkey % 4 = 2 THEN s_suppkey = 6 ELSE s_suppkey % 3 = 0 END AS is_default FROM supplier",
+    "list_level": """WITH p AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages)
+ SELECT DISTINCT string_split(p, '/')[1] AS name, contains(p, '/') AS is_dir FROM p WHERE string_split(p, '/')[1] NOT IN ('spam-farm.example.org', '')""",
+    "catalog_index": "SELECT 'Nations:' || chr(10) || string_agg('- ' || n_name || ': region ' || n_regionkey, chr(10) ORDER BY n_name) || chr(10) || 'end' AS index FROM nation",
+    "layered_rules": "SELECT string_agg(n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS rules FROM nation WHERE n_regionkey <> 1",
+    "validate_entries": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'name' WHEN doc_id % 5 = 0 THEN 'type' WHEN length(text) > 200 THEN 'description' WHEN octet_length(encode(text)) > 8192 THEN 'body' END AS reason FROM documents",
+    "live_text": f"SELECT session_id, md5(ltrim(string_agg(data, '' ORDER BY seq))) AS text_md5 FROM ({E}) WHERE event = 'delta' GROUP BY session_id",
+    "first_by_id": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
+    "clean_options": f"""SELECT session_id, seq, CAST(len(list_distinct(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''))) AS INTEGER) AS n,
+ len(o) BETWEEN 2 AND 4 AND len(list_distinct(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''))) >= 2 AS valid FROM (SELECT *, string_split(text, '.')[1:5] AS o FROM ({M}))""",
+    "message_tokens": f"""SELECT session_id, seq, {est("text")} + CASE WHEN role = 'assistant' THEN 2 * ((6 + length(CAST(seq AS VARCHAR))) // 4) ELSE 0 END + CASE WHEN seq % 3 = 0 THEN CAST(floor(2 * octet_length(encode(text)) / 750) AS BIGINT) ELSE 0 END AS tokens FROM ({M})""",
+    "nonblank_turns": f"""WITH g AS (SELECT session_id, turn_no, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'delta'), '') AS text, max(event) FILTER (event IN ('tool_result', 'done', 'error')) AS closed_by FROM ({TURNS}) GROUP BY ALL)
+ SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, coalesce(closed_by, 'error') = 'error' AS incomplete FROM g WHERE text <> ''""",
 }

@@ -476,5 +476,97 @@ def vector_pairs(spark, d):
     return v.join(w, "vec_id").select("vec_id", F.round(l2_distance(F.col("embedding"), F.col("next")), 6).alias("distance"))
 
 
+def single_topk(spark, d):
+    """The 20 vectors nearest to the first one: one query needs no window."""
+    vectors = table(spark, d, "embeddings")
+    first = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    ranked = vectors.filter("vec_id <> 0").join(F.broadcast(first), F.lit(True)).select("vec_id", l2_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    return ranked.orderBy("distance", "vec_id").limit(20).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+def outside_whitelist(spark, d):
+    calls = table(spark, d, "events").select("event_id", F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("role"), F.col("event_type").alias("tool"))
+    allowed = spark.createDataFrame([("r0", "click"), ("r0", "view"), ("r1", "view"), ("r2", "purchase")], "role string, tool string")
+    return tables.outside_whitelist(calls, allowed).select("event_id", "role", "tool")
+
+
+def exclude_deleted(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source")
+    return tables.exclude(rows, rows.filter("doc_id % 7 = 0"), ["doc_id"])
+
+
+def hydrate(spark, d):
+    """Hits of vectors with the document of the same number, and its file name."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "lang")
+    named = docs.select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename")).filter("doc_id % 2 = 0")
+    return retrieval.attach_filename(retrieval.hydrate(near(spark, d, 5).select("query_id", "chunk_id", "rank"), docs), named).select("query_id", "chunk_id", "rank", "lang", "filename")
+
+
+def union_lists(spark, d):
+    return two_routes(spark, d).groupBy("query_id", "query_no").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
+
+
+def role_projection(spark, d):
+    rows = messages(spark, d).withColumn("role", F.when(F.col("role") == "system", "summary").otherwise(F.col("role")))
+    return history.role_projection(rows).select("session_id", "seq", "role")
+
+
+def exclusive_default(spark, d):
+    return tables.set_exclusive_default(suppliers_as_providers(spark, d), 6, "rerank").select("provider_id", "kind", "is_default")
+
+
+def list_level(spark, d):
+    paths = table(spark, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    return tables.list_level(paths, "", ("spam-farm.example.org",)).select("name", "is_dir")
+
+
+def catalog_index(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description"))
+    return tables.catalog_index(rows, "Nations:", "end")
+
+
+def layered_rules(spark, d):
+    return tables.layered_rules(table(spark, d, "nation").select(F.col("n_nationkey").alias("priority"), F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")).alias("body"), (F.col("n_regionkey") != 1).alias("enabled")))
+
+
+def validate_entries(spark, d):
+    name = F.concat(F.when(F.col("doc_id") % 4 == 0, "Bad ").otherwise("doc-"), F.col("doc_id").cast("string"))
+    kind = F.when(F.col("doc_id") % 5 == 0, "other").otherwise("user")
+    return tables.validate_entries(table(spark, d, "documents").select("doc_id", name.alias("name"), kind.alias("type"), F.left("text", F.lit(250)).alias("description"), F.col("text").alias("body"))).select("doc_id", "reason")
+
+
+def live_text(spark, d):
+    from ..streaming.turns import live_text as shown
+
+    return shown(stream_events(spark, d)).select("session_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def first_by_id(spark, d):
+    return retrieval.first_by(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id")])
+
+
+def clean_options(spark, d):
+    """The first five lines of a turn as options."""
+    options = F.slice(F.split("text", "[.]"), 1, 5)
+    return messages(spark, d).select("session_id", "seq", F.size(tx.clean_options(options)).alias("n"), tx.options_valid(options).alias("valid"))
+
+
+def message_tokens(spark, d):
+    rows = called(spark, d).withColumn("images", F.when(F.col("seq") % 3 == 0, F.array(F.col("text"), F.col("text"))).otherwise(F.array().cast("array<string>")))
+    return rows.select("session_id", "seq", tx.est_message_tokens(F.col("text"), F.col("tool_calls"), F.col("images")).alias("tokens"))
+
+
+def nonblank_turns(spark, d):
+    """Assembled turns that an error or nothing closed are incomplete."""
+    from ..streaming.turns import assemble_turns
+
+    turns = assemble_turns(stream_events(spark, d)).filter("text <> ''")
+    return turns.select("session_id", "turn_no", (F.coalesce("closed_by", F.lit("error")) == "error").alias("incomplete"))
+
+
+def chunk_preview(spark, d):
+    return corpus(spark, d).select("doc_id", F.posexplode(chunking.chunk(F.col("text"))).alias("ordinal", "piece")).select("doc_id", "ordinal", F.length("piece").alias("n"))
+
+
 NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "bucket_of", "l2_distance", "trigrams"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in NOT_QUERIES}
