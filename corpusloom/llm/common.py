@@ -51,6 +51,10 @@ def small_or_plain(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """One key for rows that agree in id and text, whatever other columns there are."""
-    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+def whole_id(id_col: str) -> list:
+    """An id as two columns without nulls, id and none: pandas would turn longs beside nulls into doubles."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("none")]
+
+
+def restored_id():
+    return F.when(~F.col("none"), F.col("id"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import restored_id, scratch, table, whole_id
 
 CAPACITY, GROUP_ROWS, FAN_IN, CARRIED = 2048, 5000, 8, 64
 #: Characters for which the vocabulary's normaliser is lower-casing only.
@@ -126,15 +126,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         count = counter(tokenizer_path)
         for p in parts:
             out = []
-            for doc, text in zip(p["id"], p["text"]):
+            for doc, none, text in zip(p["id"], p["none"], p["text"]):
                 ids = count(text or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                    out.append((doc, none, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            yield pd.DataFrame(out, columns=["id", "none", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    cut_up = docs.select(*whole_id(id_col), F.col(text_col).alias("text")).mapInPandas(cut, "id long, none boolean, piece int, start long, length long, ids_crc32 long")
+    return cut_up.select(restored_id().alias("doc_id"), "piece", "start", "length", "ids_crc32")
 
 
 def best_fit(sizes: np.ndarray, capacity: int, spread: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import restored_id, scratch, table, whole_id
 
 MIN_WORDS, LONG_LINE, SENTENCE_WORDS = 5, 50, 10
 WORD = re.compile(r"\w+")
@@ -47,7 +47,7 @@ def units(text: str) -> Iterator[tuple[int, int, bytes]]:
 
 def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, h, first digest half, second half, the unit's span, and whether the text has had it before."""
-    schema = "id long, h long, d1 long, d2 long, start int, stop int, again boolean"
+    schema = "id long, none boolean, h long, d1 long, d2 long, start int, stop int, again boolean"
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -62,10 +62,11 @@ def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             k = np.array(ids, "i8")
             frame = pd.DataFrame(rows, columns=["start", "stop", "again"])
-            yield pd.DataFrame({"id": p["id"].astype("Int64").take(k).array, "h": p["h"].to_numpy()[k], "d1": halves[:, 0], "d2": halves[:, 1], "start": frame["start"], "stop": frame["stop"], "again": frame["again"].astype(bool)})
+            yield pd.DataFrame({"id": p["id"].to_numpy()[k], "none": p["none"].to_numpy()[k], "h": p["h"].to_numpy()[k], "d1": halves[:, 0], "d2": halves[:, 1], "start": frame["start"], "stop": frame["stop"], "again": frame["again"].astype(bool)})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInPandas(read, schema)
+    found = docs.select(*whole_id(id_col), text.alias("text"), F.xxhash64(text).alias("h")).mapInPandas(read, schema)
+    return found.select(restored_id().alias("id"), "h", "d1", "d2", "start", "stop", "again")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
