@@ -34,7 +34,7 @@ from .common import scratch, table
 SHINGLE, SIMILARITY, ESTIMATE = 5, 0.8, 0.66
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SMALL, PIVOTS = 32, 16
+SMALL, PIVOTS = 32, 8
 WORD = re.compile(r"\w+")
 CACHE_WORDS, GROUP_SHINGLES = 500_000, 200_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -170,21 +170,34 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float((1 / (lower[upto] / a[both] + upper[upto] / b[both])).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts have a similarity of SIMILARITY or more."""
+def bag_similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """The same of two sorted bags of shingle hashes."""
+    if len(x) and len(y) and not (x[1:] == x[:-1]).any() and not (y[1:] == y[:-1]).any():
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared / (len(x) + len(y) - shared)
+    return similarity(weigh(x), weigh(y))
 
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def bags(texts: DataFrame) -> DataFrame:
+    """text_no and its sorted shingle hashes, of rows (text_no, text)."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for p in parts:
-            keep, last, bag = [], None, None
-            for left, right in zip(p["text_a"], p["text_b"]):
-                if right != last:  # the join leaves equal ones together
-                    last, bag = right, weigh(shingles(hashes(WORD.findall(right.lower()))))
-                keep.append(similarity(weigh(shingles(hashes(WORD.findall(left.lower())))), bag) >= SIMILARITY)
-            yield p[["a", "b"]][np.array(keep, bool)]
+            yield pd.DataFrame({"text_no": p["text_no"], "bag": [np.sort(shingles(hashes(WORD.findall(t.lower())))).tobytes() for t in p["text"]]})
+
+    return texts.mapInPandas(read, "text_no long, bag binary")
+
+
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bags have a similarity of SIMILARITY or more."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bag_similarity(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
-    left, right = texts.select(F.col("text_no").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("text_no").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(compare, "a long, b long")
+    left, right = known.select(F.col("text_no").alias("a"), F.col("bag").alias("bag_a")), known.select(F.col("text_no").alias("b"), F.col("bag").alias("bag_b"))
+    return pairs.join(left, "a").join(right, "b").filter(alike("bag_a", "bag_b")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,25 +246,35 @@ def classes(docs: DataFrame) -> DataFrame:
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float((np.frombuffer(x, "u1") == np.frombuffer(y, "u1")).mean()) for x, y in zip(a, b)])
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The verified ones of pairs (a, b)."""
-        sides = pairs.join(sketches.withColumnsRenamed({"text_no": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"text_no": "b", "sketch": "sb"}), "b")
-        likely = scratch(sides.filter(agreement("sa", "sb") >= ESTIMATE).select("a", "b"), "likely")
-        used = likely.select(F.col("a").alias("text_no")).unionByName(likely.select(F.col("b").alias("text_no"))).distinct()
-        wanted = firsts.join(used, "text_no")
+    def bags_of(used: DataFrame) -> DataFrame:
+        """The bags of the texts used (text_no), from one document of each."""
         text = F.coalesce(F.col("text"), F.lit(""))
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-        texts = scratch(texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text_no", "text").dropDuplicates(["text_no"]), "pair-texts")
-        return scratch(verified(likely, texts), "verified")
+        wanted = firsts.join(used, "text_no")
+        found = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text_no", "text")
+        return scratch(bags(found).dropDuplicates(["text_no"]), "bags")
+
+    def linked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The verified ones of pairs (a, b). known: the bags of all of their texts, if they are there."""
+        sides = pairs.join(sketches.withColumnsRenamed({"text_no": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"text_no": "b", "sketch": "sb"}), "b")
+        likely = scratch(sides.filter(agreement("sa", "sb") >= ESTIMATE).select("a", "b"), "likely")
+        if known is None:
+            known = bags_of(likely.select(F.col("a").alias("text_no")).unionByName(likely.select(F.col("b").alias("text_no"))).distinct())
+        return scratch(verified(likely, known), "verified")
 
     small = buckets.filter(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("text_no")).alias("all"))
     pairs = small.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*").distinct()
     links = linked(pairs)
     nodes = one.select(F.col("text_no").alias("node"))
     labels = joined_labels(nodes.withColumn("label", F.col("node")), links)
-    large = buckets.filter(F.col("size") > SMALL).select("key", "text_no")
-    pivoted, wave = None, PIVOTS
-    while not large.isEmpty():
+    large = buckets.filter(F.col("size") > SMALL)
+    pivoted, wave, some = None, PIVOTS, not large.isEmpty()
+    if some:
+        # A group's centre stands in the largest bucket of every band, so texts in many large buckets are the first pivots.
+        weights = large.groupBy("text_no").agg(F.sum("size").alias("weight"))
+        large = scratch(large.select("key", "text_no").join(weights, "text_no"), "large")
+        known = bags_of(weights.select("text_no"))
+    while some:
         state = large.join(labels.withColumnsRenamed({"node": "text_no"}), "text_no")
         state = scratch(state if pivoted is None else state.join(pivoted.withColumn("done", F.lit(True)), ["key", "text_no"], "left"), "pivot-state")
         if pivoted is None:
@@ -260,13 +283,13 @@ def classes(docs: DataFrame) -> DataFrame:
         shape = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
         open_ = shape.filter("parts > 1").select("key", F.col("top.label").alias("top"))
         waiting = state.join(open_, "key").filter("label <> top AND done IS NULL")
-        chosen = _smallest(waiting, wave)
+        chosen = _foremost(waiting, wave)
         pivots = scratch(chosen, "pivots")
         if pivots.isEmpty():
             break
         meet = pivots.select("key", F.col("text_no").alias("p"), F.col("label").alias("p_label")).join(state.select("key", "text_no", "label"), "key").filter("label <> p_label")
         fresh = meet.select(F.least("p", "text_no").alias("a"), F.greatest("p", "text_no").alias("b")).distinct()
-        labels = joined_labels(labels, linked(fresh))
+        labels = joined_labels(labels, linked(fresh, known))
         done = pivots.select("key", "text_no")
         pivoted = done if pivoted is None else scratch(pivoted.unionByName(done), "pivoted")
         wave *= 4
@@ -276,13 +299,12 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.groupBy("id", "h", "c1", "c2").agg(F.count("*").alias("rows")).join(named, ["c1", "c2"]).select("id", "h", "keeper", "rows")
 
 
-def _smallest(rows: DataFrame, k: int) -> DataFrame:
-    """k rows of each key, by a hash of the text, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
+def _foremost(rows: DataFrame, k: int) -> DataFrame:
+    """k rows of each key by weight, then by a hash of the text, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
     few = rows.withColumn("_o", F.xxhash64("text_no"))
-    salted = Window.partitionBy("key", F.pmod("_o", F.lit(64))).orderBy("_o")
-    first = few.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= k).drop("_r")
-    last = Window.partitionBy("key").orderBy("_o")
-    return first.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= k).select("key", "text_no", "label")
+    order = [F.col("weight").desc(), F.col("_o")]
+    first = few.withColumn("_r", F.row_number().over(Window.partitionBy("key", F.pmod("_o", F.lit(64))).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("_r") <= k).select("key", "text_no", "label")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
