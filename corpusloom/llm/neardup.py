@@ -7,10 +7,9 @@ probability Jaccard similarity of their weights (plain Jaccard where nothing rep
 share a band are candidates; candidates whose registers agree in ESTIMATE or more are compared exactly on their texts.
 
 Exact copies (equal words) are one text from the start, so copies of any number never meet in a band. A bucket of up to
-SMALL texts compares all of its pairs. A larger one compares rounds of pivots with its texts: a pivot is a text outside the
-bucket's largest component that has not been one, and meets every text of another component; rounds go on until
-each text outside the largest component has been a pivot. Then every link between two components has been tried, so
-components are those of comparing all pairs, while a bucket of near copies costs a few rounds.
+SMALL texts compares all of its pairs. A larger one first compares its PIVOTS foremost texts with all others, then every text
+outside the bucket's largest component with those of other components, but for pairs that an exact bound rules out
+(_open_pairs). So every link between two components is tried, and components are those of comparing all pairs.
 
 Result: one row a document with its class, the smallest doc_id in it. Defined cases: null and empty texts, and texts without
 words, are copies of each other; texts under five words have one class for each sequence of words; null ids come last;
@@ -268,31 +267,16 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = one.select(F.col("text_no").alias("node"))
     labels = joined_labels(nodes.withColumn("label", F.col("node")), links)
     large = buckets.filter(F.col("size") > SMALL)
-    pivoted, wave, some = None, PIVOTS, not large.isEmpty()
-    if some:
-        # A group's centre stands in the largest bucket of every band, so texts in many large buckets are the first pivots.
+    if not large.isEmpty():
+        # A group's centre stands in the largest bucket of every band, so texts in many large buckets are the pivots.
         weights = large.groupBy("text_no").agg(F.sum("size").alias("weight"))
-        large = scratch(large.select("key", "text_no").join(weights, "text_no"), "large")
+        large = scratch(large.select("key", "text_no").join(weights, "text_no").withColumn("place", F.struct(-F.col("weight"), F.xxhash64("text_no"))), "large")
         known = bags_of(weights.select("text_no"))
-    while some:
-        state = large.join(labels.withColumnsRenamed({"node": "text_no"}), "text_no")
-        state = scratch(state if pivoted is None else state.join(pivoted.withColumn("done", F.lit(True)), ["key", "text_no"], "left"), "pivot-state")
-        if pivoted is None:
-            state = state.withColumn("done", F.lit(None).cast("boolean"))
-        parts = state.groupBy("key", "label").agg(F.count("*").alias("n"))
-        shape = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
-        open_ = shape.filter("parts > 1").select("key", F.col("top.label").alias("top"))
-        waiting = state.join(open_, "key").filter("label <> top AND done IS NULL")
-        chosen = _foremost(waiting, wave)
-        pivots = scratch(chosen, "pivots")
-        if pivots.isEmpty():
-            break
-        meet = pivots.select("key", F.col("text_no").alias("p"), F.col("label").alias("p_label")).join(state.select("key", "text_no", "label"), "key").filter("label <> p_label")
-        fresh = meet.select(F.least("p", "text_no").alias("a"), F.greatest("p", "text_no").alias("b")).distinct()
-        labels = joined_labels(labels, linked(fresh, known))
-        done = pivots.select("key", "text_no")
-        pivoted = done if pivoted is None else scratch(pivoted.unionByName(done), "pivoted")
-        wave *= 4
+        pivots = scratch(_foremost(large, PIVOTS), "pivots")
+        first = pivots.select("key", F.col("text_no").alias("p")).join(large.select("key", "text_no"), "key").filter("p <> text_no")
+        labels = joined_labels(labels, linked(first.select(F.least("p", "text_no").alias("a"), F.greatest("p", "text_no").alias("b")).distinct(), known))
+        state = scratch(large.join(labels.withColumnRenamed("node", "text_no"), "text_no"), "pivot-state")
+        labels = joined_labels(labels, linked(_open_pairs(state, known), known))
     ids = one.select("c1", "c2", F.col("text_no").alias("node"), "first").join(labels, "node")
     least = ids.groupBy("label").agg(F.min("first").alias("least"))
     named = ids.join(least, "label").select("c1", "c2", F.col("least").alias("keeper"))
@@ -300,11 +284,53 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _foremost(rows: DataFrame, k: int) -> DataFrame:
-    """k rows of each key by weight, then by a hash of the text, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
-    few = rows.withColumn("_o", F.xxhash64("text_no"))
-    order = [F.col("weight").desc(), F.col("_o")]
-    first = few.withColumn("_r", F.row_number().over(Window.partitionBy("key", F.pmod("_o", F.lit(64))).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("_r") <= k).select("key", "text_no", "label")
+    """The first k rows of each key by place, which is a text's own, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
+    part = F.pmod(F.xxhash64("text_no"), F.lit(64))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("key", part).orderBy("place"))).filter(F.col("_r") <= k)
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("place"))).filter(F.col("_r") <= k).select("key", "text_no")
+
+
+def _open_pairs(state: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can still link components of a large bucket: of a text outside its largest component and a text of another one.
+
+    With R the bucket's first pivot, x and y share at most min(|x & R|, |y & R|) shingles of R, and what they share besides. They
+    need 4/9 (|x| + |y|) shared shingles for a Jaccard index of 0.8. So a pair is left out only if min(|x & R|, |y & R|) and
+    the number of shingles outside R that both have are together under that. Texts in which a shingle repeats are never left out."""
+    shape = state.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
+    centre = state.groupBy("key").agg(F.min_by("text_no", "place").alias("ref"))
+    rows = state.join(shape.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key").join(centre, "key").select("key", "text_no", "label", "top", "ref")
+    rows = scratch(rows, "open-buckets")
+    share = SIMILARITY / (1 + SIMILARITY)
+
+    def profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for ref, text, mine, its in zip(p["ref"], p["text_no"], p["bag"], p["ref_bag"]):
+                x, r = np.frombuffer(mine, "u8"), np.frombuffer(its, "u8")
+                plain = not (x[1:] == x[:-1]).any()
+                other = np.setdiff1d(x, r)
+                out.append((ref, text, plain, len(x), len(x) - len(other) if plain else 0, other.view("i8") if plain else other[:0].view("i8")))
+            yield pd.DataFrame(out, columns=["ref", "text_no", "plain", "size", "in_ref", "unusual"])
+
+    bag, its = known.select("text_no", "bag"), known.select(F.col("text_no").alias("ref"), F.col("bag").alias("ref_bag"))
+    met = rows.select("ref", "text_no").distinct().join(bag, "text_no").join(its, "ref")
+    seen = scratch(met.mapInPandas(profile, "ref long, text_no long, plain boolean, size int, in_ref int, unusual array<long>"), "profiles")
+    sized = scratch(rows.join(seen.drop("unusual"), ["ref", "text_no"]), "open-texts")
+    out_of_top = sized.filter("label <> top").alias("x")
+    possible = ~F.col("x.plain") | ~F.col("y.plain") | (F.least("x.in_ref", "y.in_ref") >= share * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    pair = [F.least("x.text_no", "y.text_no").alias("a"), F.greatest("x.text_no", "y.text_no").alias("b")]
+    by_size = out_of_top.join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & possible).select(*pair)
+    # Shingles outside R that two texts with the same R share; a text's label is the same in all of its buckets.
+    labelled = sized.groupBy("ref", "text_no").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("out"))
+    unusual = seen.join(labelled, ["ref", "text_no"]).select("ref", "text_no", "label", "out", "size", "in_ref", F.explode_outer("unusual").alias("s")).filter("s IS NOT NULL")
+    shared = unusual.groupBy("ref", "s").agg(F.count("*").alias("n"), F.max("out").alias("some")).filter("n > 1 AND some").select("ref", "s")
+    unusual = scratch(unusual.join(shared, ["ref", "s"]), "unusual")
+    met = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
+    both = unusual.filter("out").alias("x").join(unusual.alias("y"), met).select("x.ref", "x.s", *pair, F.least("x.in_ref", "y.in_ref").alias("within"), (F.col("x.size") + F.col("y.size")).alias("sizes"))
+    # Where both are outside the top, the pair meets twice for each shingle.
+    enough = F.col("within") + F.col("k") >= share * F.col("sizes") - 1e-9
+    by_shingle = both.groupBy("ref", "a", "b", "within", "sizes").agg(F.countDistinct("s").alias("k")).filter(enough).select("a", "b")
+    return scratch(by_size.unionByName(by_shingle).distinct(), "open-pairs")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
