@@ -294,8 +294,10 @@ def _open_pairs(state: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) that can still link components of a large bucket: of a text outside its largest component and a text of another one.
 
     With R the bucket's first pivot, x and y share at most min(|x & R|, |y & R|) shingles of R, and what they share besides. They
-    need 4/9 (|x| + |y|) shared shingles for a Jaccard index of 0.8. So a pair is left out only if min(|x & R|, |y & R|) and
-    the number of shingles outside R that both have are together under that. Texts in which a shingle repeats are never left out."""
+    need 4/9 (|x| + |y|) shared shingles for a Jaccard index of 0.8, where no shingle repeats. In general probability
+    Jaccard is at most the sum of min(x_i / X, y_i / Y), X and Y being the whole weights, so either side's shared weight
+    must be 0.8 of its whole. A pair is left out only if what both have of R and the shingles outside R that they share
+    are together under one of these."""
     shape = state.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
     centre = state.groupBy("key").agg(F.min_by("text_no", "place").alias("ref"))
     rows = state.join(shape.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key").join(centre, "key").select("key", "text_no", "label", "top", "ref")
@@ -306,30 +308,37 @@ def _open_pairs(state: DataFrame, known: DataFrame) -> DataFrame:
         for p in parts:
             out = []
             for ref, text, mine, its in zip(p["ref"], p["text_no"], p["bag"], p["ref_bag"]):
-                x, r = np.frombuffer(mine, "u8"), np.frombuffer(its, "u8")
-                plain = not (x[1:] == x[:-1]).any()
-                other = np.setdiff1d(x, r)
-                out.append((ref, text, plain, len(x), len(x) - len(other) if plain else 0, other.view("i8") if plain else other[:0].view("i8")))
-            yield pd.DataFrame(out, columns=["ref", "text_no", "plain", "size", "in_ref", "unusual"])
+                kinds, weight = weigh(np.frombuffer(mine, "u8"))
+                inside = np.isin(kinds, np.frombuffer(its, "u8"))
+                out.append((ref, text, 8 * len(kinds) == len(mine), len(kinds), int(inside.sum()), float(weight.sum()), float(weight[inside].sum()), kinds[~inside].view("i8"), weight[~inside]))
+            yield pd.DataFrame(out, columns=["ref", "text_no", "plain", "size", "in_ref", "weight", "weight_in", "unusual", "unusual_weight"])
 
     bag, its = known.select("text_no", "bag"), known.select(F.col("text_no").alias("ref"), F.col("bag").alias("ref_bag"))
     met = rows.select("ref", "text_no").distinct().join(bag, "text_no").join(its, "ref")
-    seen = scratch(met.mapInPandas(profile, "ref long, text_no long, plain boolean, size int, in_ref int, unusual array<long>"), "profiles")
-    sized = scratch(rows.join(seen.drop("unusual"), ["ref", "text_no"]), "open-texts")
+    seen = scratch(met.mapInPandas(profile, "ref long, text_no long, plain boolean, size int, in_ref int, weight double, weight_in double, unusual array<long>, unusual_weight array<double>"), "profiles")
+    sized = scratch(rows.join(seen.drop("unusual", "unusual_weight"), ["ref", "text_no"]), "open-texts")
     out_of_top = sized.filter("label <> top").alias("x")
-    possible = ~F.col("x.plain") | ~F.col("y.plain") | (F.least("x.in_ref", "y.in_ref") >= share * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    heavy = lambda side: F.col(f"{side}.weight_in") >= SIMILARITY * F.col(f"{side}.weight") - 1e-9
+    possible = heavy("x") & heavy("y") & (~F.col("x.plain") | ~F.col("y.plain") | (F.least("x.in_ref", "y.in_ref") >= share * (F.col("x.size") + F.col("y.size")) - 1e-9))
     pair = [F.least("x.text_no", "y.text_no").alias("a"), F.greatest("x.text_no", "y.text_no").alias("b")]
     by_size = out_of_top.join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & possible).select(*pair)
     # Shingles outside R that two texts with the same R share; a text's label is the same in all of its buckets.
     labelled = sized.groupBy("ref", "text_no").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("out"))
-    unusual = seen.join(labelled, ["ref", "text_no"]).select("ref", "text_no", "label", "out", "size", "in_ref", F.explode_outer("unusual").alias("s")).filter("s IS NOT NULL")
+    each = F.explode_outer(F.arrays_zip("unusual", "unusual_weight")).alias("u")
+    unusual = seen.join(labelled, ["ref", "text_no"]).select("ref", "text_no", "label", "out", "plain", "size", "in_ref", "weight", "weight_in", each)
+    unusual = unusual.filter("u IS NOT NULL").select("*", F.col("u.unusual").alias("s"), F.col("u.unusual_weight").alias("w")).drop("u")
     shared = unusual.groupBy("ref", "s").agg(F.count("*").alias("n"), F.max("out").alias("some")).filter("n > 1 AND some").select("ref", "s")
     unusual = scratch(unusual.join(shared, ["ref", "s"]), "unusual")
-    met = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
-    both = unusual.filter("out").alias("x").join(unusual.alias("y"), met).select("x.ref", "x.s", *pair, F.least("x.in_ref", "y.in_ref").alias("within"), (F.col("x.size") + F.col("y.size")).alias("sizes"))
-    # Where both are outside the top, the pair meets twice for each shingle.
-    enough = F.col("within") + F.col("k") >= share * F.col("sizes") - 1e-9
-    by_shingle = both.groupBy("ref", "a", "b", "within", "sizes").agg(F.countDistinct("s").alias("k")).filter(enough).select("a", "b")
+    # Each pair once: x is outside the top, and the smaller number where both are.
+    met = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.text_no") < F.col("y.text_no")))
+    both = unusual.filter("out").alias("x").join(unusual.alias("y"), met)
+    one = lambda c, name: F.first(c).alias(name)
+    sums = both.groupBy("x.ref", F.col("x.text_no").alias("tx"), F.col("y.text_no").alias("ty")).agg(
+        F.count("*").alias("k"), F.sum("x.w").alias("kx"), F.sum("y.w").alias("ky"), one(F.col("x.plain") & F.col("y.plain"), "plain"), one(F.least("x.in_ref", "y.in_ref"), "within"), one(F.col("x.size") + F.col("y.size"), "sizes"),
+        one(SIMILARITY * F.col("x.weight") - F.col("x.weight_in"), "need_x"), one(SIMILARITY * F.col("y.weight") - F.col("y.weight_in"), "need_y"),
+    )
+    enough = (F.col("kx") >= F.col("need_x") - 1e-9) & (F.col("ky") >= F.col("need_y") - 1e-9) & (~F.col("plain") | (F.col("within") + F.col("k") >= share * F.col("sizes") - 1e-9))
+    by_shingle = sums.filter(enough).select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"))
     return scratch(by_size.unionByName(by_shingle).distinct(), "open-pairs")
 
 

@@ -28,6 +28,9 @@ def corpus(seed=1):
     for _ in range(15):
         t = words(rng, 80)
         texts += [" ".join(t), " ".join([*t[:-1], "last"])]
+    # Texts in which shingles repeat, near to each other.
+    refrain = words(rng, 12)
+    texts += [" ".join(refrain * 4 + base[:60] + words(rng, n)) for n in range(1, 9)]
     return texts + texts[:10]
 
 
