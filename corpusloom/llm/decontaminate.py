@@ -1,11 +1,13 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, a multi-index of Hamming blocks, exact verification.
 DataFrame operations only.
 
-A window is as many words as an item of the benchmark has; both are bags of five-word shingles, each weighing as often as it
-occurs. Their similarity is the weighted Jaccard index; at SIMILARITY or more the document holds the item.
+A window is as many words as an item of the benchmark has, or the whole text if that is shorter; both are bags of five-word
+shingles, each weighing as often as it occurs. Their similarity is the weighted Jaccard index; at SIMILARITY or more the
+document holds the item.
 
-1. A window that similar shares at least s / (1 + s) * 2 of its shingles with the item, so only windows with as many
-   shingles of items of that size can qualify; other windows are never built. This bound loses nothing.
+1. A window that similar shares at least s / (1 + s) of both bags' shingles with the item, so only windows with as many
+   shingles of items of that size can qualify; other windows are never built. This bound loses nothing. A text of less
+   than s times an item's shingles can't reach the similarity either.
 2. Fingerprints have 64 bits, cut into BLOCKS blocks. Two fingerprints within RADIUS differ in RADIUS // BLOCKS bits at
    most in one of the blocks; items are indexed by each block's value and all values that near to it, so every pair
    within RADIUS meets in the index.
@@ -69,21 +71,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     wanted = bags.select(F.explode(F.array_distinct("shingles")).alias("shingle"), "size").distinct()
     read = with_shingles(docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), "text"), "text").drop("text")
     # The outer form: the plain one adds a filter below, into which the planner copies the whole expression of the shingles.
-    hits = read.select("id", "h", F.posexplode_outer("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select("id", "h", "size", "at").distinct()
+    hits = read.select("id", "h", "n_words", F.posexplode_outer("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select("id", "h", "n_words", "size", "at").distinct()
     # A text's hits for one size: as many as its words.
-    hits = scratch(hits.groupBy("id", "h", "size").agg(F.sort_array(F.collect_list("at")).alias("hits")), "leak-hits")
-    need = F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int")
+    hits = scratch(hits.groupBy("id", "h", "n_words", "size").agg(F.sort_array(F.collect_list("at")).alias("hits")), "leak-hits")
+    # The window's shingles: a text with fewer than the item is one window.
+    hits = hits.withColumn("length", F.least(F.col("size"), F.col("n_words") - (SHINGLE - 1))).filter(F.col("length") >= F.col("size") * similarity - 1e-9)
+    need = F.ceil((F.col("size") + F.col("length")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
     spans = F.transform(F.sequence(F.lit(1), F.size("hits") - F.col("need") + 1), lambda i: F.struct(F.element_at("hits", i).alias("a"), F.element_at("hits", i + F.col("need") - 1).alias("b")))
     close = F.filter(spans, lambda s: s["b"] - s["a"] < F.col("size"))
     starts = F.array_distinct(F.flatten(F.transform(close, lambda s: F.sequence(F.greatest(F.lit(0), s["a"] - (F.col("size") - F.col("need")), s["b"] - F.col("size") + 1), s["a"]))))
-    places = hits.withColumn("need", need).filter(F.size("hits") >= F.col("need")).select("id", "h", "size", starts.alias("starts")).filter(F.size("starts") > 0)
+    starts = F.when(F.col("length") < F.col("size"), F.array(F.lit(0))).otherwise(starts)
+    places = hits.withColumn("need", need).filter(F.size("hits") >= F.col("need")).select("id", "h", "size", "length", starts.alias("starts")).filter(F.size("starts") > 0)
     places = scratch(places, "leak-places")
     # Texts with such places are read again for the rest of their shingles.
     some = small_or_plain(places.select("id", "h").distinct(), 48)
     again = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), "text").join(some.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
     again = scratch(with_shingles(again, "text").drop("text", "n_words").dropDuplicates(["id", "h"]), "leak-texts")
-    at = again.join(places.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "size", "shingles", F.explode("starts").alias("start"))
-    windows = at.filter(F.col("start") + F.col("size") <= F.size("shingles")).select("id", "h", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("size")).alias("bag"))
+    at = again.join(places.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "size", "length", "shingles", F.explode("starts").alias("start"))
+    windows = at.filter(F.col("start") + F.col("length") <= F.size("shingles")).select("id", "h", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("bag"))
     windows = scratch(windows.withColumn("print", fingerprint(F.col("bag"))), "leak-windows")
     errors = RADIUS // BLOCKS
     index = bags.select("item_id", "size", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_of(F.col("print"), b).bitwiseXOR(F.lit(m)).alias("value")) for b in range(BLOCKS) for m in nearby(errors)])).alias("entry"), F.col("print").alias("item_print"))
@@ -95,9 +100,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     bag = small_or_plain(bags.select("item_id", "size", F.col("shingles").alias("item_bag")), 2048)
     pairs = near.join(windows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("start").alias("_start"), "bag"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")) & (F.col("start") == F.col("_start"))).join(bag, ["item_id", "size"])
     weight = shared_weight(F.col("bag"), F.col("item_bag"))
-    alike = pairs.select("id", "h", "item_id", "size", "start", "hamming", (weight / (F.lit(2) * F.col("size") - weight)).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = alike.groupBy("id", "h", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("_from"), "size", "hamming")).alias("best"))
-    return best.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "item_id", F.round("best.similarity", 6).alias("similarity"), "best.hamming", (-F.col("best._from")).alias("first_word"), (F.col("best.size") + SHINGLE - 1).alias("n_words"))
+    length = F.size("bag")
+    alike = pairs.select("id", "h", "item_id", length.alias("length"), "start", "hamming", (weight / (F.col("size") + length - weight)).alias("similarity")).filter(F.col("similarity") >= similarity)
+    best = alike.groupBy("id", "h", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("_from"), "length", "hamming")).alias("best"))
+    return best.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "item_id", F.round("best.similarity", 6).alias("similarity"), "best.hamming", (-F.col("best._from")).alias("first_word"), (F.col("best.length") + SHINGLE - 1).alias("n_words"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

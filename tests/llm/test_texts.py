@@ -38,6 +38,18 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(docs.limit(0), items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_texts_shorter_than_the_item(spark):
+    words = [f"word{k}" for k in range(54)]
+    texts = {1: words[:50], 2: words[4:], 3: words[:44], 4: words[:43], 5: words[1:20] + words[21:], 6: words[:-1], 7: words, 8: ["else"] + words[:49]}
+    bag = lambda tokens: {tuple(tokens[k : k + 5]) for k in range(len(tokens) - 4)}
+    truth = {i: round(len(bag(t) & bag(words)) / len(bag(t) | bag(words)), 6) for i, t in texts.items()}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.similarity, r.first_word, r.n_words) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {i: (s, 0, len(texts[i])) for i, s in truth.items() if s >= 0.8} and set(got) == {1, 2, 3, 5, 6, 7, 8}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {4}
+
+
 def test_index_finds_everything_within_the_radius():
     rng = random.Random(3)
     near = decontaminate.nearby(decontaminate.RADIUS // decontaminate.BLOCKS)
