@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, small_or_plain, table
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 8
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 BLOCK_BITS = 64 // BLOCKS
 
 

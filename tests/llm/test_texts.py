@@ -50,6 +50,15 @@ def test_texts_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {4}
 
 
+def test_leaks_near_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    texts = {i: [f"w{rng.randrange(10**9)}" for _ in range(50)] for i in range(400)}
+    edited = {i: t[:20] + ["else"] + t[21:] for i, t in texts.items()}  # 41 of 46 shingles, 41 / 51 in all
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], f"{key} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(edited, "doc_id"), frame(texts, "item_id")).collect()}
+    assert got == {(i, i) for i in texts}
+
+
 def test_index_finds_everything_within_the_radius():
     rng = random.Random(3)
     near = decontaminate.nearby(decontaminate.RADIUS // decontaminate.BLOCKS)
