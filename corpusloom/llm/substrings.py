@@ -1,9 +1,11 @@
 """Substring dedup by line hashing: units are normalised, digests are grouped globally, the earliest ranked occurrence
 stays, and the others are removed with their offsets in the original text kept.
 
-Units: lines of MIN_WORDS words or more; in a line of more than LONG_LINE words also each sentence of
-SENTENCE_WORDS words or more, so a passage is found that was spliced into a line. Normalised: lower case, words
-only. A unit repeated within its own text is a repetition too. Rank: doc_id (nulls last), a hash of the text, offset.
+Units: lines of MIN_WORDS words or more; in a line of several sentences also each sentence of MIN_WORDS words or more,
+neighbouring shorter ones counting as one; in a sentence of more than LONG_RUN words also its pieces, which end at words
+that are chosen by their hash, so the same passage has the same pieces in every line that it was spliced into.
+Normalised: lower case, words only. A unit repeated within its own text is a repetition too. Rank: doc_id (nulls last),
+a hash of the text, offset.
 
 A document's own repetitions are dropped before anything is shuffled; digests are summed before they meet, and only
 digests seen more than once go on, so a unit of any number of copies is a counter. Texts are rebuilt from spans.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +28,58 @@ from pyspark.sql import functions as F
 
 from .common import restored_id, scratch, table, whole_id
 
-MIN_WORDS, LONG_LINE, SENTENCE_WORDS = 5, 50, 10
+#: A sentence of more than LONG_RUN words is cut after one word in CUT_ONE_IN, at MIN_WORDS words or more.
+MIN_WORDS, LONG_RUN, CUT_ONE_IN = 5, 50, 4
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 
 
+def digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def sentences(line: str) -> Iterator[tuple[int, int, list[str]]]:
+    """start, end and words of each sentence; neighbouring ones of under MIN_WORDS words are one."""
+    run = None
+    for m in SENTENCE.finditer(line):
+        words = WORD.findall(m.group().lower())
+        if len(words) < MIN_WORDS:
+            run = (run[0], m.end(), run[2] + words) if run else (m.start(), m.end(), words)
+            continue
+        if run:
+            yield run
+            run = None
+        yield m.start(), m.end(), words
+    if run:
+        yield run
+
+
+def pieces(line: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """start and end of the pieces of a long sentence."""
+    at, count = start, 0
+    for m in WORD.finditer(line, start, stop):
+        count += 1
+        if count >= MIN_WORDS and zlib.crc32(m.group().lower().encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0:
+            yield at, m.end()
+            at, count = m.end(), 0
+    yield at, stop
+
+
 def units(text: str) -> Iterator[tuple[int, int, bytes]]:
     """start, end and 128-bit digest of each unit, outer ones first."""
     at = 0
     for line in text.split("\n"):
         words = WORD.findall(line.lower())
         if len(words) >= MIN_WORDS:
-            yield at, at + len(line), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if len(words) > LONG_LINE:
-                for m in SENTENCE.finditer(line):
-                    part = WORD.findall(m.group().lower())
-                    if len(part) >= SENTENCE_WORDS and len(part) < len(words):
-                        yield at + m.start(), at + m.end(), hashlib.blake2b(" ".join(part).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield at, at + len(line), digest(words)
+            for a, b, part in sentences(line):
+                if MIN_WORDS <= len(part) < len(words):
+                    yield at + a, at + b, digest(part)
+                if len(part) > LONG_RUN:
+                    for c, d in pieces(line, a, b):
+                        piece = WORD.findall(line[c:d].lower())
+                        if MIN_WORDS <= len(piece) < len(part):
+                            yield at + c, at + d, digest(piece)
         at += len(line) + 1
 
 

@@ -110,6 +110,21 @@ def test_spliced_passages_and_awkward_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_spliced_passages_of_short_sentences_or_none(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    short, tiny, plain, inner = " ".join(words(7) + "." for _ in range(10)), " ".join(words(3) + "!" for _ in range(20)), words(120), words(8) + "."
+    rows = []
+    for i, passage in enumerate([short, tiny, plain, inner]):
+        rows += [(2 * i + k, f"{words(9)}. {words(6)}, {words(30)}{'.' * (i != 2)} {passage} {words(25)}. {words(9)}." if i != 3 else f"{words(6)}. {passage} {words(6)}.") for k in range(2)]
+    out = {r.doc_id: r.text for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate([short, tiny, plain, inner]):
+        assert out[2 * i] == rows[2 * i][1]
+        before, left = rows[2 * i + 1][1].split(), set(out[2 * i + 1].split())
+        kept = [w for w in passage.split() if w in left]
+        assert len(kept) <= 0.3 * len(passage.split()) and all(w in left for w in before if w not in passage.split()), i
+
+
 def test_rules(spark):
     rows = [(1, "http://Shop.EXAMPLE.org/es/1?x"), (2, "https://example.org/en/17"), (3, "ftp://a.org"), (4, "https://notexample.com/fr/x"), (5, "https://x.com/de/"), (6, None), (7, "no scheme"), (8, "https://b.net/en/1#frag"), (8, "https://b.net/en/1#frag"), (9, "http://example.org/e"), (10, "x://h.com/" + "a/" * 5000)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, host string")).collect()}
