@@ -18,8 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op2_simhash_decontamination": decontaminate.op2_simhash_decontamination,
-    "op3_hierarchical_language_id": language.op3_hierarchical_language_id,
     "op5_histogram_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
