@@ -2,18 +2,19 @@
 recur across many pages of a host are deleted.
 
 Two passes over the pages. The first emits the distinct subtree hashes of each page with its host; Spark counts pages by
-(host, hash). A subtree is template if at least MIN_PAGES pages of its host hold it and these are OUTSIDE_SHARE of the
+(host, hash). Pages of a host with the same main content, or without any the same html, count as one, as a page may be held under
+several addresses. A subtree is template if at least MIN_PAGES pages of its host hold it and these are OUTSIDE_SHARE of the
 host's pages or more (inside an article or main element, where recurring text is mostly content: INSIDE_PAGES and
 INSIDE_SHARE). The second pass takes the page's tree again, drops its host's templates and what the markup itself names
 as no content (navigation, header and footer of the page, sidebars, forms, scripts, adverts, notices, comments), and
-joins the blocks of what is left: those of the article or main elements where a page has any, else of its body.
+joins the blocks of what is left: those of the outermost article or main elements where a page has any, else of its body.
 
 Recurring subtrees of a host are at most 1 / share times the subtrees of its mean page. They are joined to pages by host with
 a size-checked broadcast, or else over salted hosts, so a host with a third of all pages is spread.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (an unclosed element ends with
 its parent, an unclosed comment or script at the end); null urls form a host ""; repeated rows get one result each, and count
-as one page each; very long pages are read whole; an empty table gives an empty result; extra columns are ignored.
+as one page together; very long pages are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,6 +149,22 @@ def digests(node: Node, out: dict[int, int]) -> bytes:
     return digest
 
 
+def mains(node: Node) -> list[Node]:
+    """The outermost article and main elements."""
+    found = []
+    for child in node.children:
+        if isinstance(child, Node) and not is_aside(child, False):
+            found += [child] if is_main(child) else mains(child)
+    return found
+
+
+def content(root: Node, whole: bytes) -> int:
+    """A number for what the page is about: its main elements if they hold text, else the digest of the whole tree."""
+    held: dict[int, bool] = {}
+    parts = [hashes(node, held) for node in mains(root)]
+    return int.from_bytes(hashlib.blake2b(b"m" + b"".join(parts) if held else b"w" + whole, digest_size=8).digest(), "little", signed=True)
+
+
 def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The main text: blocks in page order, one a line."""
     if not source:
@@ -157,14 +174,6 @@ def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> st
     if templates:
         digests(root, numbers)
 
-    def mains(node: Node) -> list[Node]:
-        """The outermost article and main elements that hold no other."""
-        found = []
-        for child in node.children:
-            if isinstance(child, Node) and not is_aside(child, False):
-                found += [child] if is_main(child) and not (child.tag != "article" and mains(child)) else mains(child)
-        return found
-
     blocks: list[str] = []
     line: list[str] = []
 
@@ -203,11 +212,13 @@ def host_templates(pages: DataFrame) -> DataFrame:
             out = []
             for host, source in zip(p["host"], p["html"]):
                 found: dict[int, bool] = {}
-                hashes(parse(source or ""), found)
-                out += [(host, 0, False), *((host, n, inside) for n, inside in found.items())]
-            yield pd.DataFrame(out, columns=["host", "subtree", "inside"])
+                root = parse(source or "")
+                page = content(root, hashes(root, found))
+                out += [(host, page, 0, False), *((host, page, n, inside) for n, inside in found.items())]
+            yield pd.DataFrame(out, columns=["host", "page", "subtree", "inside"])
 
-    seen = pages.mapInPandas(read, "host string, subtree long, inside boolean")
+    seen = pages.mapInPandas(read, "host string, page long, subtree long, inside boolean")
+    seen = seen.groupBy("host", "subtree", "page").agg(F.min("inside").alias("inside"))
     counts = scratch(seen.groupBy("host", "subtree").agg(F.count("*").alias("pages"), F.min("inside").alias("inside")).filter(f"pages >= {MIN_PAGES} OR subtree = 0"), "subtrees")
     totals = counts.filter("subtree = 0").select("host", F.col("pages").alias("all"))
     often = F.when(F.col("inside"), (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SHARE * F.col("all"))).otherwise(F.col("pages") >= OUTSIDE_SHARE * F.col("all"))

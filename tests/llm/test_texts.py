@@ -160,6 +160,20 @@ def test_host_templates(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    article = lambda i: f"<article><h1>Head {i}</h1><p>story {i}</p></article>"
+    plain = lambda i: f"<div><div>menu</div><p>words of {i}</p></div>"
+    rows = [(i, f"http://a.x/1?utm_source={i}", f"<a href='?utm_source={i}'>{i}</a>" + article(1)) for i in range(12)] + [(12 + i, f"http://a.x/{i}", article(i)) for i in (2, 3)]
+    rows += [(100 + i, "http://b.x/1", plain(1)) for i in range(20)] + [(120 + i, f"http://b.x/{i}", plain(i)) for i in range(2, 8)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {out[i] for i in range(12)} == {"Head 1\nstory 1"} and out[14] == "Head 2\nstory 2"
+    assert {out[i] for i in range(100, 120)} == {"words of 1"} and out[122] == "words of 2"
+
+
+def test_main_keeps_its_own_text():
+    assert html.main_text("<p>out</p><main><h1>Head</h1><p>lead</p><article>one</article><article>two</article></main>") == "Head\nlead\none\ntwo"
+
+
 def test_pipeline(spark):
     data = "/root/testdata/sf0.001"
     docs, sizes = spark.read.parquet(f"{data}/documents.parquet"), []
