@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 GROUP_CHARS, GAP = 500_000, 4
+BLANK, NO_WORD = re.compile(r"\s"), re.compile(r"\W")
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * M1
+    x = (x ^ (x >> np.uint64(27))) * M2
+    return x ^ (x >> np.uint64(31))
 
 
 def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """rows, starts and codes: the texts' row numbers, where each starts in codes, and the code points, GAP spaces after each text.
+    """rows, starts and codes: the texts' row numbers, where each starts in codes, and the code points.
+
+    A text has a space before it, which counts as its own, and GAP spaces after it, so no text sees its neighbours.
 
-    A text longer than a group is cut at white space into several entries of the same row, so memory stays bounded."""
+    A text longer than a group is cut into several entries of the same row, so memory stays bounded: at white space, or where none is
+    near at another character that is in no word. No word is cut."""
     rows, parts, size = [], [], 0
 
     def flush():
-        starts = np.cumsum([0, *(len(p) + GAP for p in parts[:-1])])
-        joined = (" " * GAP).join(parts) + " " * GAP
+        starts = np.cumsum([0, *(len(p) + GAP + 1 for p in parts[:-1])])
+        joined = " " + (" " * (GAP + 1)).join(parts) + " " * GAP
         return np.array(rows), starts, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
 
     for row, text in enumerate(texts):
@@ -25,8 +38,8 @@ def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS) -> Itera
         while True:
             end = len(text)
             if end - at > group_chars:
-                end = max(text.rfind(" ", at, at + group_chars), text.rfind("\n", at, at + group_chars))
-                end = at + group_chars if end <= at else end + 1
+                cut = BLANK.search(text, at + group_chars, at + 2 * group_chars) or NO_WORD.search(text, at + group_chars)
+                end = cut.end() if cut else end
             rows.append(row)
             parts.append(text[at:end])
             size += end - at + GAP
@@ -43,8 +56,8 @@ def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS) -> Itera
 _tables: dict[str, np.ndarray] = {}
 
 
-def table_of(kind: str, test) -> np.ndarray:
+def table_of(kind: str, test, dtype: str = "u1") -> np.ndarray:
     """test(character) for every code point, made once in a process."""
     if kind not in _tables:
-        _tables[kind] = np.array([test(chr(c)) for c in range(0x110000)], dtype="u1")
+        _tables[kind] = np.array([test(chr(c)) for c in range(0x110000)], dtype=dtype)
     return _tables[kind]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,15 +40,19 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(drop_scratch, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this driver; only after the results that read them are written."""
+    """Deletes the scratch tables of this driver, which are of no use after the results that read them are written; at the driver's end at the latest."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        name = _written.pop()
+        with contextlib.suppress(Exception):  # the session may be gone by now
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_plain(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -51,6 +60,16 @@ def small_or_plain(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def key_of(id_col: str, text_col: str) -> list:
+    """A document's key: its id as whole_id() gives it, and h, a hash of its text."""
+    return [*whole_id(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
+
+
+def whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A document's key, and row: all of its columns, so that no name can clash with those of an operator."""
+    return docs.select(*key_of(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def whole_id(id_col: str) -> list:
     """An id as two columns without nulls, id and none: pandas would turn longs beside nulls into doubles."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("none")]
