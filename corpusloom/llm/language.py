@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codes
@@ -81,13 +81,10 @@ def margins(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, n
 def sample(labelled: DataFrame, max_per_lang: int = MAX_PER_LANG) -> pd.DataFrame:
     """lang and features of the sample, at most max_per_lang rows a language; only features leave the executors."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    ranked = scratch(usable.select("lang", "h"), "language-keys")
-    picked = None
-    for (lang,) in ranked.select("lang").distinct().orderBy("lang").collect():
-        keys = ranked.filter(F.col("lang") == lang).distinct().orderBy("h").limit(max_per_lang)
-        picked = keys if picked is None else picked.unionByName(keys)
-    if picked is None:
-        return pd.DataFrame({"lang": [], "x": []})
+    # Spark cuts to max_per_lang keys a language in each task, so a language of any size is spread; repeated rows have one key.
+    order = Window.partitionBy("lang").orderBy("h")
+    picked = usable.select("lang", "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_per_lang)
+    picked = scratch(picked.select("lang", "h"), "language-keys")
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -101,8 +98,8 @@ def sample(labelled: DataFrame, max_per_lang: int = MAX_PER_LANG) -> pd.DataFram
             some = x.any(1)
             yield pd.DataFrame({"lang": np.array(langs)[some], "x": [v.tobytes() for v in x[some].astype("f2")]})
 
-    # max_per_lang rows a language: bounded, whatever the input.
-    chosen = usable.join(F.broadcast(picked), ["lang", "h"], "left_semi")
+    # max_per_lang keys a language, and one row each: bounded, whatever the input.
+    chosen = usable.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     return chosen.mapInPandas(vectors, "lang string, x binary").toPandas().sort_values(["lang", "x"], kind="stable")
 
 
