@@ -1,9 +1,11 @@
 """Best-fit packing: token pieces into as few sequences as possible, by hierarchical residual packing.
 
 Pieces are dealt to groups of bounded size. Each group is packed best-fit decreasing. In such a packing no two bins fit
-together, so at most one bin of a group is half empty: only that one can still move, and only the emptiest others can
-take one from another group. Each group emits its other bins and passes those on as items of their own; FAN_IN groups
-merge at a time, are packed best-fit again, and so on until one group is left.
+together, so at most one bin of a group is half empty: only that one can still move. Each group emits its nearly full bins and
+passes the CARRIED emptiest on as items of their own; FAN_IN groups merge at a time, are packed best-fit again, and so on
+until one group is left. Nothing is lost by CARRIED: a merge has at most FAN_IN half-empty bins, each of which needs one
+other bin to go into, and what fits a fuller bin fits an emptier one; so the FAN_IN emptiest of each group and one more a
+level would do. At the end no two sequences fit together (tests check that), as in a single best-fit packing of all pieces.
 
 Token counts: the tokenizer's own ids. A text in which every character belongs to a set where normalisation is plain
 lower-casing is split by the vocabulary's published pattern and its words are merged by the same vocabulary's ranks,
@@ -137,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     return cut_up.select(restored_id().alias("doc_id"), "piece", "start", "length", "ids_crc32")
 
 
-def best_fit(sizes: np.ndarray, capacity: int, spread: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: bin and offset of each item, and the bins' fills. Free space is looked up in a bit mask of the sizes that are open."""
     order = np.argsort(-sizes, kind="stable")
     bins, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, table
 
-ROUNDS = 6
+ROUNDS, BLOCK = 6, 4096
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -75,15 +75,13 @@ def number_rows(df: DataFrame, keys: list[str], bucket_rows: int = 20_000, chunk
     n = int(groups.agg(F.sum("_copies")).first()[0] or 0)
     buckets = max(1, math.ceil(n / bucket_rows))
     dealt = groups.withColumn("_hash", F.xxhash64(*keys)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
-    # One row for each bucket: n / bucket_rows rows of two longs.
-    totals = dealt.groupBy("_bucket").agg(F.sum("_copies").alias("_rows"))
-    firsts, at = [], 0
-    for bucket, rows in sorted(totals.collect()):
-        firsts.append((bucket, at))
-        at += rows
-    first = df.sparkSession.createDataFrame(firsts, "_bucket long, _first long")
+    # First numbers by two prefix sums: over the buckets of each block of BLOCK buckets, and over the blocks, of which there are n / (bucket_rows * BLOCK).
+    totals = scratch(dealt.groupBy("_bucket").agg(F.sum("_copies").alias("_rows")).withColumn("_block", F.expr(f"_bucket div {BLOCK}")), "shard-buckets")
+    before = lambda window: F.coalesce(F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = totals.groupBy("_block").agg(F.sum("_rows").alias("_rows")).select("_block", before(Window.orderBy("_block")).alias("_base"))
+    first = totals.withColumn("_inner", before(Window.partitionBy("_block").orderBy("_bucket"))).join(blocks, "_block").select("_bucket", (F.col("_base") + F.col("_inner")).alias("_first"))
     inside = Window.partitionBy("_bucket").orderBy("_hash", *keys).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0))).join(F.broadcast(first), "_bucket")
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0))).join(first, "_bucket")
     start = F.col("_first") + F.col("_before")
     chunks = placed.select(*keys, start.alias("_start"), "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1, F.lit(chunk))).alias("_at"))
     upto = F.least(F.col("_at") + chunk, F.col("_copies")) - 1

@@ -34,10 +34,26 @@ def test_shards(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
     r = out[17]
     assert sharding.row_at(r.shard, r.slot, 301, 8, 20_240_601) == r.row_no
+    # Row numbers rank the rows by a hash of their keys, then the keys; shard and slot follow from the permutation.
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    buckets = -(-301 // 20_000)
+    ranked = sorted(hashed, key=lambda r: (r.h % buckets, r.h, r.doc_id, r.text))
+    place = sharding.permute(np.arange(301), 301, 20_240_601)
+    assert sorted((r.doc_id, r.text, r.row_no, r.shard, r.slot) for r in out) == sorted((r.doc_id, r.text, n, place[n] % 8, place[n] // 8) for n, r in enumerate(ranked))
     assert sharding.feistel_shards(docs.limit(0), ["doc_id", "text"]).count() == 0
     assert len(sharding.feistel_shards(documents(spark), ["doc_id", "text"]).collect()) == len(ODD)
 
 
+def test_row_numbers_over_many_buckets(spark, monkeypatch):
+    """Small buckets and blocks of them: the prefix sums still number the rows 0..n-1 in order of bucket, hash and key."""
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    rows = [(i % 400, f"t{i % 7}") for i in range(1000)]
+    numbered, n = sharding.number_rows(documents(spark, rows), ["doc_id", "text"], bucket_rows=50, chunk=2)
+    hashed = documents(spark, rows).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    ranked = sorted(hashed, key=lambda r: (r.h % 20, r.h, r.doc_id, r.text))
+    assert n == 1000 and [(r.doc_id, r.text) for r in numbered.orderBy("row_no").collect()] == [(r.doc_id, r.text) for r in ranked]
+
+
 def test_token_ids_equal_the_tokenizer():
     rng = random.Random(3)
     alphabet = "abc XYZ\xa0\x1d 019 '\t\n\r.,!?_-#$%&*\"'sd'll 'Ve ÀÉßÿñçª²½º×÷µ–’“…€­_<|"
@@ -62,6 +78,39 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(docs.limit(0), PATH)).count() == 0
 
 
+def best_fit_count(sizes, capacity):
+    """Bins of best-fit decreasing, by looking at every open bin."""
+    free = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [i for i, f in enumerate(free) if f >= size]
+        if fitting:
+            free[min(fitting, key=lambda i: free[i])] -= size
+        else:
+            free.append(capacity - size)
+    return len(free)
+
+
+@pytest.mark.parametrize("shape", [(1, 100), (40, 70), (1, 30), (50, 50)])
+def test_merged_packing_is_as_tight_as_one_best_fit(spark, shape):
+    rng = random.Random(4)
+    sizes = [rng.randint(*shape) for _ in range(700)]
+    frame = spark.createDataFrame(list(enumerate(sizes)), "n long, length long")
+    out = packing.pack(frame, capacity=100, group_rows=70).toPandas()
+    fills = out.groupby("sequence_id").length.sum().sort_values()
+    assert len(out) == 700 and fills.max() <= 100 and (len(fills) < 2 or fills.iloc[0] + fills.iloc[1] > 100)
+    # Ten small groups come near to one best-fit packing of all pieces.
+    assert len(fills) <= 1.06 * best_fit_count(sizes, 100) + 1
+    alone = packing.best_fit(np.array(sizes), 100)
+    assert len(alone[2]) == best_fit_count(sizes, 100)
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.top_k(frame.filter("vec_id = 0"), frame, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(2, 128 * 512), (1, 128 * 256), (1, 128 * 256)]
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 7]) for i in range(150)] + [(1000 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)]
