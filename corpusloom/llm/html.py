@@ -1,20 +1,27 @@
 """HTML extraction with site template removal: element subtrees are hashed and counted per host in Spark, and those that
 recur across many pages of a host are deleted.
 
-Two passes over the pages. The first emits the distinct subtree hashes of each page with its host; Spark counts pages by
-(host, hash). Pages of a host with the same main content, or without any the same html, count as one, as a page may be held under
-several addresses. A subtree is template if at least MIN_PAGES pages of its host hold it and these are OUTSIDE_SHARE of the
-host's pages or more (inside an article or main element, where recurring text is mostly content: INSIDE_PAGES and
-INSIDE_SHARE). The second pass takes the page's tree again, drops its host's templates and what the markup itself names
-as no content (navigation, header and footer of the page, sidebars, forms, scripts, adverts, notices, comments), and
-joins the blocks of what is left: those of the outermost article or main elements where a page has any, else of its body.
-
-Recurring subtrees of a host are at most 1 / share times the subtrees of its mean page. They are joined to pages by host with
+Two passes over the pages. The first emits each page's elements with text: a number of the subtree (its place in the
+page, its tags and its text, in which numbers and the host's name are masked) and one of its slot (the place alone: the tags, classes and ids above it). Spark
+counts both by host. Pages of a host with the same main content, or without any the same html, count as one, as a page may be
+held under several addresses.
+
+* A subtree is template if the share of its host's pages that hold it is surely (lower bound of a confidence interval, so a few pages
+  suffice where all agree) over OUTSIDE; inside an article or main element, where recurring text is mostly content, INSIDE.
+* A site also fills a slot with one of many texts: menus by section, adverts, quotes of the day. A slot that stands once on a
+  page is template if most of its host's pages fill it with a subtree that other pages of the host have too. A host's share is
+  smoothed by that of the same slot over all hosts together, so it holds for hosts of few pages. Content differs from page to page.
+
+The second pass drops a page's templates, and what the markup itself names as no content (scripts, navigation, forms, adverts,
+notices, comments), and joins the blocks of what is left: those of the outermost article or main elements where a page
+has any, else of its body.
+
+A host's templates are at most 1 / share times the subtrees of its mean page. They are joined to pages by host with
 a size-checked broadcast, or else over salted hosts, so a host with a third of all pages is spread.
 
 Defined cases: null and empty html give an empty text; broken markup is read as far as it goes (an unclosed element ends with
-its parent, an unclosed comment or script at the end); null urls form a host ""; repeated rows get one result each, and count
-as one page together; very long pages are read whole; an empty table gives an empty result; extra columns are ignored.
+its parent, an unclosed comment, script or tag at the end); null urls form a host ""; repeated rows get one result each, and count
+as one page together; very long pages are read whole, in linear time; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,160 +29,209 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, scratch, table
 
-MIN_PAGES, OUTSIDE_SHARE, INSIDE_PAGES, INSIDE_SHARE, SALTS = 5, 0.5, 10, 0.8, 32
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>", re.S)
+#: Shares of a host's pages from which a subtree or a slot is template, the interval's width, and the pages that the share over all hosts counts for.
+OUTSIDE, INSIDE, SLOT_OUTSIDE, SLOT_INSIDE, Z, SMOOTHING, SALTS = 0.3, 0.6, 0.5, 0.8, 1.645, 20.0, 32
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s=>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: Elements without content of their own, elements whose content is no text, and elements that a block ends at.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an open one of the same kind ends at.
-CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Elements and names that are no main content.
 ASIDE = frozenset("nav aside form footer menu dialog button select head".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommended|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-SPACE = re.compile(r"\s+")
+SPACE, DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+KNOWN = frozenset("class id role style hidden aria-hidden".split())
 
 
-class Node:
-    __slots__ = ("tag", "attributes", "children")
+class Page:
+    """A page's elements in order of their start (0 is the page itself), and events: an element's number as it starts, -number as it ends, and texts."""
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self):
+        self.tags: list[str] = ["#root"]
+        self.parents: list[int] = [0]
+        self.attributes: list[dict[str, str]] = [{}]
+        self.events: list[int | str] = []
 
 
-def parse(source: str) -> Node:
-    """The tree of a page: children are nodes and strings."""
-    sys.setrecursionlimit(1_000_000)  # nesting is the page's
-    root = Node("#root")
-    stack, at, size = [root], 0, len(source)
+def parse(source: str) -> Page:
+    """The page of a source, in time linear in its length."""
+    page = Page()
+    tags, events = page.tags, page.events
+    stack, blocks, open_tags = [0], [], Counter()  # blocks: places in the stack
+    at, size = 0, len(source)
+
+    def close() -> str:
+        node = stack.pop()
+        events.append(-node)
+        tag = tags[node]
+        open_tags[tag] -= 1
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
+        return tag
+
     while at < size:
-        m = TOKEN.search(source, at)
+        start = source.find("<", at)
+        if start != at:
+            events.append(source[at : start if start >= 0 else size])
+            if start < 0:
+                break
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        m = NAME.match(source, start + 1)
         if not m:
-            stack[-1].children.append(source[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            if source[start + 1 : start + 2] in ("!", "?", "/"):
+                end = source.find(">", start)
+                at = end + 1 if end >= 0 else size
+            else:
+                events.append("<")
+                at = start + 1
             continue
-        tag = m[2].lower()
+        tag, known, at = m[2].lower(), {}, m.end()
+        if not m[1]:
+            while (a := ATTRIBUTE.match(source, at)) is not None:
+                at = a.end()
+                if (name := a[1].lower()) in KNOWN:
+                    known.setdefault(name, (a[2] or "").strip("\"'"))
+        end = source.find(">", at)
+        at = end + 1 if end >= 0 else size
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if open_tags[tag]:
+                while close() != tag:
+                    pass
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[depth].tag, ()):
-                del stack[depth:]
-                break
-            if stack[depth].tag in BLOCK and stack[depth].tag != "p":
-                break
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        while blocks and tag in CLOSED_BY.get(tags[stack[blocks[-1]]], ()):
+            depth = blocks[-1]
+            while len(stack) > depth:
+                close()
+        number = len(tags)
+        tags.append(tag)
+        page.parents.append(stack[-1])
+        page.attributes.append(known)
+        events.append(number)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            node.children.append(source[at : end.start() if end else size])
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    return root
-
-
-def named(node: Node) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes.strip() else {}
+            m = RAW_END[tag].search(source, at)
+            end = source.find(">", m.end()) if m else -1
+            at = end + 1 if end >= 0 else size
+        if tag in RAW or tag in VOID or source[end - 1] == "/":
+            events.append(-number)
+            continue
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append(number)
+        open_tags[tag] += 1
+    while len(stack) > 1:
+        close()
+    return page
 
 
-def is_aside(node: Node, inside: bool) -> bool:
+def is_aside(tag: str, a: dict[str, str], inside: bool) -> bool:
     """Whether the markup itself names the element as no main content."""
-    if node.tag in ASIDE or node.tag in RAW:
+    if tag in ASIDE or tag in RAW:
         return True
-    if node.tag == "header":  # an article's own header holds its title
+    if tag == "header":  # an article's own header holds its title
         return not inside
-    a = named(node)
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")) or a.get("role", "").lower() in ASIDE_ROLES:
         return True
     names = f'{a.get("class", "")} {a.get("id", "")}'
-    return node.tag not in ("body", "html", "main") and bool(ASIDE_NAMES.search(names) or not inside and HEADER_NAME.search(names))
-
-
-def is_main(node: Node) -> bool:
-    return node.tag in ("article", "main") or named(node).get("role", "").lower() in ("main", "article")
-
-
-def hashes(node: Node, found: dict[int, bool], inside: bool = False) -> bytes:
-    """The subtree's digest, from its tag and its children's; found gets those with text, and whether they are in an article."""
-    inside = inside or is_main(node)
-    parts = [node.tag.encode()]
-    for child in node.children:
-        text = SPACE.sub(" ", child).strip() if isinstance(child, str) else None
-        if text:
-            parts.append(b"t" + text.encode("utf-8", "surrogatepass"))
-        elif text is None:
-            parts.append(b"n" + hashes(child, found, inside))
-    digest = hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
-    if len(parts) > 1 and node.tag not in ("#root", "html", "body", "head"):
-        number = int.from_bytes(digest, "little", signed=True)
-        found[number] = found.get(number, True) and inside
-    return digest
-
-
-def digests(node: Node, out: dict[int, int]) -> bytes:
-    """As hashes(), but out gets each node's own number, by its identity."""
-    parts = [node.tag.encode()]
-    for child in node.children:
-        text = SPACE.sub(" ", child).strip() if isinstance(child, str) else None
-        if text:
-            parts.append(b"t" + text.encode("utf-8", "surrogatepass"))
-        elif text is None:
-            parts.append(b"n" + digests(child, out))
-    digest = hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
-    out[id(node)] = int.from_bytes(digest, "little", signed=True)
-    return digest
-
-
-def mains(node: Node) -> list[Node]:
-    """The outermost article and main elements."""
-    found = []
-    for child in node.children:
-        if isinstance(child, Node) and not is_aside(child, False):
-            found += [child] if is_main(child) else mains(child)
-    return found
-
-
-def content(root: Node, whole: bytes) -> int:
-    """A number for what the page is about: its main elements if they hold text, else the digest of the whole tree."""
-    held: dict[int, bool] = {}
-    parts = [hashes(node, held) for node in mains(root)]
-    return int.from_bytes(hashlib.blake2b(b"m" + b"".join(parts) if held else b"w" + whole, digest_size=8).digest(), "little", signed=True)
-
-
-def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks in page order, one a line."""
+    return tag not in ("body", "html", "main") and bool(ASIDE_NAMES.search(names) or not inside and HEADER_NAME.search(names))
+
+
+def is_main(tag: str, a: dict[str, str]) -> bool:
+    return tag in ("article", "main") or a.get("role", "").lower() in ("main", "article")
+
+
+def hashed(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
+
+
+def number_of(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+class Marks:
+    """What is known of each element: dropped (it, or one above it, is named as no content), inside (of an article or main element), slot and digest."""
+
+    def __init__(self, page: Page, roles: bool = True):
+        n = len(page.tags)
+        self.page, self.dropped, self.inside, self.slots, self.mains = page, [False] * n, [False] * n, [b""] * n, []
+        for i in range(1, n):
+            up, tag, a = page.parents[i], page.tags[i], page.attributes[i]
+            names = [DIGITS.sub("0", a[k]) for k in ("class", "id", "role") if k in a]
+            self.slots[i] = hashed(self.slots[up], tag.encode(), *(x.encode("utf-8", "surrogatepass") for x in names))
+            self.dropped[i] = self.dropped[up] or (is_aside(tag, a, self.inside[up]) if roles else tag in RAW or tag == "head")
+            main = roles and not self.inside[up] and not self.dropped[i] and is_main(tag, a)
+            self.inside[i] = self.inside[up] or main
+            if main:
+                self.mains.append(i)
+
+    def digests(self, host: str) -> tuple[list[bytes], list[bool]]:
+        """Of each element the digest of its tags and text, numbers and the host's name masked, and whether it has any text."""
+        page, n = self.page, len(self.page.tags)
+        out, texts = [b""] * n, [False] * n
+        parts: list[list[bytes]] = [[]]
+        for e in page.events:
+            if isinstance(e, str):
+                if text := DIGITS.sub("0", SPACE.sub(" ", e.replace(host, "host") if host else e).strip()):
+                    parts[-1].append(b"t" + text.encode("utf-8", "surrogatepass"))
+            elif e > 0:
+                parts.append([page.tags[e].encode()])
+            else:
+                own = parts.pop()
+                out[-e] = hashed(*own)
+                texts[-e] = len(own) > 1 and any(x[:1] == b"t" or x[:1] == b"T" for x in own[1:])
+                parts[-1].append((b"T" if texts[-e] else b"n") + out[-e])
+        out[0] = hashed(*parts[0])
+        return out, texts
+
+
+def elements(source: str, host: str = "") -> tuple[int, list[tuple[int, int, bool, bool]]]:
+    """A number for what the page is about, and slot, subtree, alone (in its slot) and inside of its elements with text."""
+    page = parse(source)
+    marks = Marks(page)
+    digests, texts = marks.digests(host)
+    about = [digests[i] for i in marks.mains if texts[i]]
+    content = number_of(hashed(b"m", *about) if about else hashed(b"w", digests[0]))
+    times = Counter(marks.slots)
+    found = [i for i in range(1, len(page.tags)) if texts[i] and page.tags[i] not in ("html", "body", "head")]
+    return content, [(number_of(marks.slots[i]), number_of(hashed(marks.slots[i], digests[i])), times[marks.slots[i]] == 1, marks.inside[i]) for i in found]
+
+
+def main_text(source: str | None, templates: frozenset[int] = frozenset(), host: str = "", roles: bool = True) -> str:
+    """The main text: blocks in page order, one a line. Without roles only templates, scripts and the like are dropped."""
     if not source:
         return ""
-    root = parse(source)
-    numbers: dict[int, int] = {}
+    page = parse(source)
+    marks = Marks(page, roles)
+    dropped = marks.dropped
     if templates:
-        digests(root, numbers)
-
+        digests, _ = marks.digests(host)
+        times = Counter(marks.slots)
+        for i in range(1, len(page.tags)):
+            slot = marks.slots[i]
+            dropped[i] = dropped[i] or dropped[page.parents[i]] or (times[slot] == 1 and number_of(slot) in templates) or number_of(hashed(slot, digests[i])) in templates
     blocks: list[str] = []
     line: list[str] = []
+    inside, hidden = [not marks.mains], [False]
 
     def end_block() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(line))).strip()
@@ -183,46 +239,58 @@ def main_text(source: str | None, templates: frozenset[int] = frozenset()) -> st
         if text:
             blocks.append(text)
 
-    def walk(node: Node, inside: bool) -> None:
-        block = node.tag in BLOCK
-        if block:
-            end_block()
-        for child in node.children:
-            if isinstance(child, str):
-                line.append(child)
-            elif child.tag == "br":
-                line.append(" ")
-            elif numbers.get(id(child)) not in templates and not is_aside(child, inside):
-                walk(child, inside)
-        if block:
+    for e in page.events:
+        if isinstance(e, str):
+            if inside[-1] and not hidden[-1]:
+                line.append(e)
+            continue
+        node = abs(e)
+        if page.tags[node] in BLOCK:
             end_block()
-
-    found = mains(root)
-    for node in found or [root]:
-        walk(node, bool(found))
-        end_block()
+        elif page.tags[node] == "br":
+            line.append(" ")
+        if e > 0:
+            inside.append(inside[-1] or marks.inside[node])
+            hidden.append(dropped[node])
+        else:
+            inside.pop()
+            hidden.pop()
+    end_block()
     return "\n".join(blocks)
 
 
+def surely(k: Column, n: Column, z: float = Z) -> Column:
+    """The lower bound of the share k / n (Wilson's interval)."""
+    return (k + z * z / 2 - z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
 def host_templates(pages: DataFrame) -> DataFrame:
-    """host and templates, the numbers of its recurring subtrees."""
+    """host and templates, the numbers of its recurring subtrees and slots."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
             for host, source in zip(p["host"], p["html"]):
-                found: dict[int, bool] = {}
-                root = parse(source or "")
-                page = content(root, hashes(root, found))
-                out += [(host, page, 0, False), *((host, page, n, inside) for n, inside in found.items())]
-            yield pd.DataFrame(out, columns=["host", "page", "subtree", "inside"])
-
-    seen = pages.mapInPandas(read, "host string, page long, subtree long, inside boolean")
-    seen = seen.groupBy("host", "subtree", "page").agg(F.min("inside").alias("inside"))
-    counts = scratch(seen.groupBy("host", "subtree").agg(F.count("*").alias("pages"), F.min("inside").alias("inside")).filter(f"pages >= {MIN_PAGES} OR subtree = 0"), "subtrees")
+                page, found = elements(source or "", host)
+                out += [(host, page, 0, 0, False, False), *((host, page, *x) for x in found)]
+            yield pd.DataFrame(out, columns=["host", "page", "slot", "subtree", "alone", "inside"])
+
+    seen = pages.mapInPandas(read, "host string, page long, slot long, subtree long, alone boolean, inside boolean")
+    once = seen.groupBy("host", "slot", "subtree", "page").agg(F.min("alone").alias("alone"), F.min("inside").alias("inside"))
+    counts = once.groupBy("host", "slot", "subtree").agg(F.count("*").alias("pages"), F.count_if("alone").alias("alone"), F.min("inside").alias("inside"))
+    counts = scratch(counts, "subtrees")
     totals = counts.filter("subtree = 0").select("host", F.col("pages").alias("all"))
-    often = F.when(F.col("inside"), (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_SHARE * F.col("all"))).otherwise(F.col("pages") >= OUTSIDE_SHARE * F.col("all"))
-    return counts.filter("subtree <> 0").join(totals, "host").filter(often).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
+    counts = counts.filter("subtree <> 0")
+    least = F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE)
+    subtrees = counts.filter("pages > 1").join(totals, "host").filter(surely(F.col("pages"), F.col("all")) >= least).select("host", F.col("subtree").alias("number"))
+    again = F.sum(F.when(F.col("pages") > 1, F.col("alone")).otherwise(0))
+    alone = F.sum("alone").alias("n"), again.alias("again")
+    slots = scratch(counts.groupBy("host", "slot").agg(F.sum("pages").alias("all"), *alone, F.min("inside").alias("inside")).filter("n > 0 AND 2 * n >= all"), "slots")
+    anywhere = counts.groupBy("slot", "subtree").agg(F.sum("pages").alias("pages"), F.sum("alone").alias("alone"))
+    everywhere = anywhere.groupBy("slot").agg(again.alias("again"), F.sum("alone").alias("n")).filter("n > 0").select("slot", (F.col("again") / F.col("n")).alias("prior"))
+    least = F.when(F.col("inside"), SLOT_INSIDE).otherwise(SLOT_OUTSIDE)
+    filled = slots.join(everywhere, "slot").filter((F.col("again") + SMOOTHING * F.col("prior")) / (F.col("n") + SMOOTHING) >= least).select("host", F.col("slot").alias("number"))
+    return subtrees.unionByName(filled).groupBy("host").agg(F.collect_set("number").alias("templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -238,10 +306,10 @@ def extract(pages: DataFrame) -> DataFrame:
         joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     @F.pandas_udf("string")
-    def text(sources: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([main_text(s, frozenset(k.tolist()) if k is not None else frozenset()) for s, k in zip(sources, known)], dtype=object)
+    def text(sources: pd.Series, known: pd.Series, hosts: pd.Series) -> pd.Series:
+        return pd.Series([main_text(s, frozenset(k.tolist()) if k is not None else frozenset(), host) for s, k, host in zip(sources, known, hosts)], dtype=object)
 
-    return joined.select("page_id", "url", text("html", "templates").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", text("html", "templates", "host").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_template_removal_html(spark: SparkSession, sf_dir: str) -> DataFrame:
