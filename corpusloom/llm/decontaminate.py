@@ -8,10 +8,11 @@ document holds the item.
 1. A window that similar shares at least s / (1 + s) of both bags' shingles with the item, so only windows with as many
    shingles of items of that size can qualify; other windows are never built. This bound loses nothing. A text of less
    than s times an item's shingles can't reach the similarity either.
-2. Fingerprints have 64 bits, cut into BLOCKS blocks. Two fingerprints within RADIUS differ in RADIUS // BLOCKS bits at
+2. Fingerprints have 64 bits, cut into BLOCKS blocks. Two fingerprints within the radius differ in radius // BLOCKS bits at
    most in one of the blocks; items are indexed by each block's value and all values that near to it, so every pair
-   within RADIUS meets in the index.
-3. Pairs within RADIUS are compared exactly.
+   within the radius meets in the index. Pairs of a similarity of 0.8 differ in about 10 bits, so RADIUS loses hardly any (the
+   README has figures); radius=None is an exact way without fingerprints.
+3. Pairs within the radius are compared exactly.
 
 Defined cases: null and empty texts, and texts shorter than five words, hold nothing; an item of fewer than five words has no
 shingle and is never found; repeated rows of a document or an item give one row a pair of ids; an item that stands in a
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_or_plain, table
+from .common import BROADCAST_BYTES, key_of, restored_id, scratch, small_or_plain, table, whole_rows
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 BLOCK_BITS = 64 // BLOCKS
@@ -62,18 +63,21 @@ def shared_weight(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda total, x: total + F.least(times(a, x), times(b, x))))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity, hamming, first word and number of words of the best window, for every pair found; and text_hash."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    bags = scratch(with_shingles(items.select("item_id", "text"), "text").drop("text").distinct(), "items")
-    bags = bags.filter(F.size("shingles") > 0).withColumn("size", F.size("shingles")).withColumn("print", fingerprint(F.col("shingles")))
-    # Which shingles of a text occur in an item of a size: the benchmark's side is broadcast if it is small.
-    wanted = bags.select(F.explode(F.array_distinct("shingles")).alias("shingle"), "size").distinct()
-    read = with_shingles(docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), "text"), "text").drop("text")
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
+    """id, none, h (a document's key), item_id, similarity, hamming, first word and number of words of the best window, for every pair found.
+
+    radius: of the fingerprints, 8 * BLOCKS - 1 at most; None compares every window that can reach the similarity with every item that it shares enough
+    shingles with, without fingerprints."""
+    key, of = ["id", "none", "h"], ["size"] if radius is not None else ["size", "item_id"]
+    bags = with_shingles(items.select("item_id", "text"), "text").drop("text").distinct().filter(F.size("shingles") > 0)
+    bags = scratch(bags.withColumn("size", F.size("shingles")).withColumn("print", fingerprint(F.col("shingles"))), "items")
+    # Which shingles of a text occur in an item (of a size): the benchmark's side is broadcast if it is small.
+    wanted = bags.select(F.explode(F.array_distinct("shingles")).alias("shingle"), *of).distinct()
+    read = with_shingles(docs.select(*key_of("doc_id", "text"), "text"), "text").drop("text")
     # The outer form: the plain one adds a filter below, into which the planner copies the whole expression of the shingles.
-    hits = read.select("id", "h", "n_words", F.posexplode_outer("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select("id", "h", "n_words", "size", "at").distinct()
-    # A text's hits for one size: as many as its words.
-    hits = scratch(hits.groupBy("id", "h", "n_words", "size").agg(F.sort_array(F.collect_list("at")).alias("hits")), "leak-hits")
+    hits = read.select(*key, "n_words", F.posexplode_outer("shingles").alias("at", "shingle")).join(small_or_plain(wanted, 64), "shingle").select(*key, "n_words", *of, "at").distinct()
+    # A text's hits for one size (or item): as many as its words.
+    hits = scratch(hits.groupBy(*key, "n_words", *of).agg(F.sort_array(F.collect_list("at")).alias("hits")), "leak-hits")
     # The window's shingles: a text with fewer than the item is one window.
     hits = hits.withColumn("length", F.least(F.col("size"), F.col("n_words") - (SHINGLE - 1))).filter(F.col("length") >= F.col("size") * similarity - 1e-9)
     need = F.ceil((F.col("size") + F.col("length")) * (similarity / (1 + similarity)) - 1e-9).cast("int")
@@ -81,38 +85,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     close = F.filter(spans, lambda s: s["b"] - s["a"] < F.col("size"))
     starts = F.array_distinct(F.flatten(F.transform(close, lambda s: F.sequence(F.greatest(F.lit(0), s["a"] - (F.col("size") - F.col("need")), s["b"] - F.col("size") + 1), s["a"]))))
     starts = F.when(F.col("length") < F.col("size"), F.array(F.lit(0))).otherwise(starts)
-    places = hits.withColumn("need", need).filter(F.size("hits") >= F.col("need")).select("id", "h", "size", "length", starts.alias("starts")).filter(F.size("starts") > 0)
+    places = hits.withColumn("need", need).filter(F.size("hits") >= F.col("need")).select(*key, *of, "length", starts.alias("starts")).filter(F.size("starts") > 0)
     places = scratch(places, "leak-places")
     # Texts with such places are read again for the rest of their shingles.
-    some = small_or_plain(places.select("id", "h").distinct(), 48)
-    again = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("h"), "text").join(some.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    again = scratch(with_shingles(again, "text").drop("text", "n_words").dropDuplicates(["id", "h"]), "leak-texts")
-    at = again.join(places.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "size", "length", "shingles", F.explode("starts").alias("start"))
-    windows = at.filter(F.col("start") + F.col("length") <= F.size("shingles")).select("id", "h", "size", "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("bag"))
+    again = docs.select(*key_of("doc_id", "text"), "text").join(small_or_plain(places.select(*key).distinct(), 48), key, "left_semi")
+    again = scratch(with_shingles(again, "text").drop("text", "n_words").dropDuplicates(key), "leak-texts")
+    at = again.join(places, key).select(*key, *of, "length", "shingles", F.explode("starts").alias("start"))
+    windows = at.filter(F.col("start") + F.col("length") <= F.size("shingles")).select(*key, *of, "start", F.slice("shingles", F.col("start") + 1, F.col("length")).alias("bag"))
     windows = scratch(windows.withColumn("print", fingerprint(F.col("bag"))), "leak-windows")
-    errors = RADIUS // BLOCKS
-    index = bags.select("item_id", "size", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_of(F.col("print"), b).bitwiseXOR(F.lit(m)).alias("value")) for b in range(BLOCKS) for m in nearby(errors)])).alias("entry"), F.col("print").alias("item_print"))
-    index = index.select("item_id", "size", "item_print", "entry.block", "entry.value")
-    probes = windows.select("id", "h", "size", "start", "print", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_of(F.col("print"), b).alias("value")) for b in range(BLOCKS)])).alias("entry"))
-    probes = probes.select("id", "h", "size", "start", "print", "entry.block", "entry.value")
-    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = probes.join(small_or_plain(index, 64), ["size", "block", "value"]).filter(apart <= RADIUS).select("id", "h", "size", "start", "item_id", apart.alias("hamming")).distinct()
-    bag = small_or_plain(bags.select("item_id", "size", F.col("shingles").alias("item_bag")), 2048)
-    pairs = near.join(windows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("size").alias("_size"), F.col("start").alias("_start"), "bag"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("size") == F.col("_size")) & (F.col("start") == F.col("_start"))).join(bag, ["item_id", "size"])
+    apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming")
+    bag_bytes = bags.agg(F.sum(8 * F.size("shingles") + 64)).first()[0] or 0
+    bag = bags.select("item_id", "size", F.col("shingles").alias("item_bag"), F.col("print").alias("item_print"))
+    bag = F.broadcast(bag) if bag_bytes <= BROADCAST_BYTES else bag
+    if radius is None:
+        pairs = windows.join(bag, of).select("*", apart)
+    else:
+        index = bags.select("item_id", "size", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_of(F.col("print"), b).bitwiseXOR(F.lit(m)).alias("value")) for b in range(BLOCKS) for m in nearby(radius // BLOCKS)])).alias("entry"), F.col("print").alias("item_print"))
+        index = index.select("item_id", "size", "item_print", "entry.block", "entry.value")
+        probes = windows.select(*key, "size", "start", "print", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_of(F.col("print"), b).alias("value")) for b in range(BLOCKS)])).alias("entry"))
+        probes = probes.select(*key, "size", "start", "print", "entry.block", "entry.value")
+        near = probes.join(small_or_plain(index, 64), ["size", "block", "value"]).select(*key, "size", "start", "item_id", apart).filter(F.col("hamming") <= radius).distinct()
+        pairs = near.join(windows.select(*key, "size", "start", "bag"), [*key, "size", "start"]).join(bag.drop("item_print"), ["item_id", "size"])
     weight = shared_weight(F.col("bag"), F.col("item_bag"))
     length = F.size("bag")
-    alike = pairs.select("id", "h", "item_id", length.alias("length"), "start", "hamming", (weight / (F.col("size") + length - weight)).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = alike.groupBy("id", "h", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("_from"), "length", "hamming")).alias("best"))
-    return best.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "item_id", F.round("best.similarity", 6).alias("similarity"), "best.hamming", (-F.col("best._from")).alias("first_word"), (F.col("best.length") + SHINGLE - 1).alias("n_words"))
+    alike = pairs.select(*key, "item_id", length.alias("length"), "start", "hamming", (weight / (F.col("size") + length - weight)).alias("similarity")).filter(F.col("similarity") >= similarity)
+    best = alike.groupBy(*key, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("from"), "length", "hamming")).alias("best"))
+    return best.select(*key, "item_id", F.round("best.similarity", 6).alias("similarity"), "best.hamming", (-F.col("best.from")).alias("first_word"), (F.col("best.length") + SHINGLE - 1).alias("n_words"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    found = find_leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_h"))
-    return docs.join(small_or_plain(scratch(found, "leaks"), 48), same, "left_anti")
+    found = scratch(find_leaks(docs, items).select("id", "none", "h").distinct(), "leaks")
+    return whole_rows(docs, "doc_id", "text").join(small_or_plain(found, 48), ["id", "none", "h"], "left_anti").select("row.*")
 
 
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.drop("text_hash")
+    return found.select(restored_id().alias("doc_id"), "item_id", "similarity", "first_word", "n_words")

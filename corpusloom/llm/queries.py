@@ -17,7 +17,24 @@ QUERIES = {
     "op10_template_tree_urls": urls.op10_template_tree_urls,
 }
 
+WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
+BAG = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))"
+
 ORACLES = {
+    # Every window of a text beside every item with which it shares enough shingles, exactly.
+    "op2_simhash_decontamination": f"""
+WITH i AS (SELECT item_id, {BAG} AS b, len(w) - 4 AS size FROM (SELECT DISTINCT item_id, {WORDS.format("text")} AS w FROM benchmark) WHERE len(w) >= 5),
+d AS (SELECT row_number() OVER () AS k, doc_id, {BAG} AS b, len(w) - 4 AS n FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)) WHERE len(w) >= 5),
+ip AS (SELECT item_id, size, s, count(*) AS times FROM (SELECT item_id, size, unnest(b) AS s FROM i) GROUP BY ALL),
+dp AS (SELECT k, n, unnest(b) AS s, unnest(range(0, n)) AS pos FROM d),
+hit AS (SELECT k, item_id, size, least(size, n) AS length, n, s, pos, times FROM dp JOIN ip USING (s) WHERE n >= 0.8 * size - 1e-9),
+near AS (SELECT k, item_id FROM hit GROUP BY k, item_id, size, length HAVING count(*) >= ceil((size + length) * 4 / 9.0 - 1e-9)),
+win AS (SELECT h.k, h.item_id, h.size, h.length, st.start, h.s, any_value(h.times) AS times, count(*) AS found FROM hit h JOIN near USING (k, item_id),
+  LATERAL (SELECT unnest(range(greatest(0, h.pos - h.length + 1), least(h.pos, h.n - h.length) + 1)) AS start) st GROUP BY ALL),
+sim AS (SELECT k, item_id, start, length, sum(least(found, times)) / (size + length - sum(least(found, times)))::DOUBLE AS similarity FROM win GROUP BY k, item_id, size, length, start),
+best AS (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY similarity DESC, start) AS place FROM sim WHERE similarity >= 0.8)
+SELECT doc_id, item_id, round(similarity, 6) AS similarity, CAST(start AS INTEGER) AS first_word, CAST(length + 4 AS INTEGER) AS n_words FROM best JOIN d USING (k) WHERE place = 1
+""",
     "op5_histogram_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
