@@ -1,13 +1,14 @@
 """URL filter by a path-template tree: per host, variable segments become wildcards, branches that are statistically alike
 merge, and a template is rejected by its smoothed labelled purity. DataFrame operations only.
 
-Tree: a path's first DEPTH segments; what lies deeper is one "**". A segment that holds a digit, or is longer than
-LONG_SEGMENT, is variable ("*"). Level by level from the root, a literal child whose labelled rate differs from the
+Tree: a path's segments; those beyond the first DEPTH are read too, but as one segment, so the number of levels is bounded.
+A segment that holds a digit, or is longer than LONG_SEGMENT, is variable ("*"). Level by level from the root, a literal child whose labelled rate differs from the
 rate of its parent's subtree by less than Z standard errors merges with the other such children into "*".
 Purity of a template: (bad + SMOOTHING * prior) / (labelled + SMOOTHING), where the prior is the same quotient for the
 template over all hosts, and that one's prior is the share of bad among all labels.
 
-Rules come first: a rule fits its host and all subdomains where the path starts with the rule's path; the longest wins.
+Rules come first: a rule fits its host and all subdomains where the path starts with the rule's path; the longest (host and
+path together) wins, of equally long ones the first by verdict, host and path.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no rule, and is judged as the host ""; a
 rule needs a path that begins with "/"; repeated rows get one result each; without labels every template has purity 0 and
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, small_or_plain, table
 
-DEPTH, LONG_SEGMENT, Z, SMOOTHING, REJECT = 4, 24, 1.96, 4.0, 0.5
+DEPTH, LONG_SEGMENT, Z, SMOOTHING, REJECT = 6, 24, 1.96, 4.0, 0.5
 #: Rules of the query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -46,10 +47,10 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Generalised segments of a path, DEPTH of them, and "**" for what lies deeper."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(s.rlike(r"\d") | (F.length(s) > LONG_SEGMENT), "*").otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(general, F.array(F.lit("**")))).otherwise(general)
+    """Generalised segments of a path, DEPTH of them at most, and one for all that lies deeper."""
+    general = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"\d") | (F.length(s) > LONG_SEGMENT), "*").otherwise(s))
+    deeper = lambda parts: F.concat(F.slice(parts, 1, DEPTH), F.array(F.array_join(F.slice(parts, DEPTH + 1, F.size(parts)), "/")))
+    return F.get(F.transform(F.array(general), lambda parts: F.when(F.size(parts) > DEPTH, deeper(parts)).otherwise(parts)), F.lit(0))
 
 
 def template_tree(labelled: DataFrame, z: float = Z) -> DataFrame:
@@ -68,7 +69,7 @@ def template_tree(labelled: DataFrame, z: float = Z) -> DataFrame:
         pooled = (F.col("p_bad") + 1) / (F.col("p_n") + 2)
         apart = F.abs(F.col("c_bad") / F.col("c_n") - pooled) > z * F.sqrt(pooled * (1 - pooled) / F.col("c_n"))
         # Where nothing is labelled nothing shows that branches are alike: literals stay.
-        merged = F.when(F.col("segment").isin("", "*", "**") | (F.col("p_n") == 0), F.col("segment")).when((F.col("c_n") > 0) & ~apart, "*").otherwise(F.col("segment"))
+        merged = F.when(F.col("segment").isin("", "*") | (F.col("p_n") == 0), F.col("segment")).when((F.col("c_n") > 0) & ~apart, "*").otherwise(F.col("segment"))
         decided = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", merged.alias("as_segment"))
         tree = scratch(nodes.join(decided, ["host", "prefix", "segment"]).withColumn("prefix", F.when(F.col("as_segment") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "as_segment"))).drop("segment", "as_segment"), "url-tree")
     return tree.select("host", "raw_segments", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("template"), "n", "good", "bad")

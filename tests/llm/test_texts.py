@@ -1,11 +1,17 @@
 """op2, op9, op10, op7 and the pipeline: brute force, pinned cases, awkward rows."""
 
 import random
+import math
 import re
+import time
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from corpusloom.llm import decontaminate, html, substrings, urls
 from corpusloom.llm.common import scratch
+from pyspark.sql import functions as F
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu."), (2, "one two three four five six seven eight nine ten one two three four five six"), (3, "too short"), (4, None)]
 
@@ -29,9 +35,9 @@ def test_leaks_equal_brute_force(spark):
                 shared = sum(min(window.count(x), target.count(x)) for x in set(window))
                 if shared / (2 * len(target) - shared) >= 0.8:
                     truth[doc, item] = max(truth.get((doc, item), 0), round(shared / (2 * len(target) - shared), 6))
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, item_id int")
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, item_id int, h int, _id int")
     items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, h string")
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, items).collect()}
+    got = {(None if r.none else r.id, r.item_id): r.similarity for r in decontaminate.find_leaks(docs, items).collect()}
     assert got == truth and {(100, 1), (101, 2), (106, 1), (None, 1)} <= set(got)
     clean = decontaminate.drop_leaks(docs, items)
     assert clean.columns == docs.columns and clean.count() == sum((d, i) not in truth for d, _ in rows for i in [0]) - sum(1 for d, _ in rows if any((d, i) in truth for i, _ in ITEMS))
@@ -45,7 +51,7 @@ def test_texts_shorter_than_the_item(spark):
     truth = {i: round(len(bag(t) & bag(words)) / len(bag(t) | bag(words)), 6) for i, t in texts.items()}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
-    got = {r.doc_id: (r.similarity, r.first_word, r.n_words) for r in decontaminate.find_leaks(docs, items).collect()}
+    got = {r.id: (r.similarity, r.first_word, r.n_words) for r in decontaminate.find_leaks(docs, items).collect()}
     assert got == {i: (s, 0, len(texts[i])) for i, s in truth.items() if s >= 0.8} and set(got) == {1, 2, 3, 5, 6, 7, 8}
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {4}
 
@@ -55,10 +61,41 @@ def test_leaks_near_the_threshold_are_found(spark):
     texts = {i: [f"w{rng.randrange(10**9)}" for _ in range(50)] for i in range(400)}
     edited = {i: t[:20] + ["else"] + t[21:] for i, t in texts.items()}  # 41 of 46 shingles, 41 / 51 in all
     frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], f"{key} long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(edited, "doc_id"), frame(texts, "item_id")).collect()}
+    got = {(r.id, r.item_id) for r in decontaminate.find_leaks(frame(edited, "doc_id"), frame(texts, "item_id")).collect()}
     assert got == {(i, i) for i in texts}
 
 
+def test_the_exact_way_equals_brute_force_and_the_radius_misses_few(spark):
+    """Items of 20 to 110 shingles, copies edited down to the threshold."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = {i: [word() for _ in range(rng.randint(24, 114))] for i in range(120)}
+    rows = {}
+    for i, t in items.items():
+        for k in range(4):
+            copy = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 35))):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], ["else"], [copy[at], "more"]])
+            rows[4 * i + k] = [word() for _ in range(rng.randint(0, 20))] + copy + [word() for _ in range(rng.randint(0, 20))]
+    bag = lambda tokens: Counter(tuple(tokens[k : k + 5]) for k in range(len(tokens) - 4))
+    truth = {}
+    for doc, tokens in rows.items():
+        for item in (doc // 4, (doc // 4 + 1) % 120):
+            target = bag(items[item])
+            size = sum(target.values())
+            for start in range(max(1, len(tokens) - 4 - size + 1)):
+                window = bag(tokens[start : start + size + 4])
+                shared = (window & target).total()
+                if shared >= 0.8 * (size + window.total() - shared) - 1e-9:
+                    truth[doc, item] = max(truth.get((doc, item), 0), round(shared / (size + window.total() - shared), 6))
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], f"{key} long, text string")
+    found = lambda radius: {(r.id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(rows, "doc_id"), frame(items, "item_id"), radius=radius).collect()}
+    assert found(None) == truth and 200 < len(truth) < 480
+    near = found(decontaminate.RADIUS)
+    assert near.items() <= truth.items() and len(near) >= 0.99 * len(truth)
+
+
 def test_index_finds_everything_within_the_radius():
     rng = random.Random(3)
     near = decontaminate.nearby(decontaminate.RADIUS // decontaminate.BLOCKS)
@@ -71,58 +108,86 @@ def test_index_finds_everything_within_the_radius():
         assert any(x ^ y in near for x, y in zip(blocks(a), blocks(b)))
 
 
-def brute_lines(rows):
+def word_number(word):
+    return int(substrings.words_of(np.frombuffer(word.encode("utf-32-le"), "<u4"))[2][0])
+
+
+def brute_repeats(rows, min_run):
+    """Text after text in order of doc_id: each line's words cut before local minima, units seen before marked, long runs of them dropped."""
     seen, out = set(), {}
     for doc, text in sorted(rows):
-        kept = []
+        marked, at = [], 0
         for line in text.split("\n"):
-            key = " ".join(re.findall(r"\w+", line.lower()))
-            if len(key.split()) >= 5:
-                if key in seen:
-                    continue
-                seen.add(key)
-            kept.append(line)
-        out[doc] = "\n".join(kept)
+            found = list(re.finditer(r"\w+", line))
+            words = [m.group().lower() for m in found]
+            h, n = [word_number(w) for w in words], len(words)
+            cuts = [i for i in range(4, n - 3) if h[i] < min(h[max(0, i - 3) : i]) and h[i] <= min(h[i + 1 : i + 4])]
+            for i, j in zip([0, *cuts], [*cuts, n]):
+                if i < j:
+                    key = " ".join(words[i:j])
+                    marked += [(at + m.start(), at + m.end(), key in seen) for m in found[i:j]]
+                    seen.add(key)
+            at += len(line) + 1
+        kept, run = [], []
+        for word in [*marked, (0, 0, False)]:
+            if word[2]:
+                run.append(word)
+                continue
+            if len(run) < min_run:
+                kept += run
+            kept, run = [*kept, word], []
+        out[doc] = [text[a:b] for a, b, _ in kept[:-1]]
     return out
 
 
-def test_lines_equal_brute_force(spark):
+def test_runs_equal_brute_force(spark):
     rng = random.Random(7)
-    lines = [" ".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(25)]
-    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 8)))) for i in range(80)]
+    words = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(300)]
+    passages = [[rng.choice(words) for _ in range(rng.randint(20, 80))] for _ in range(8)]
+    short = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(10)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choices(words, k=rng.randint(0, 30)) for _ in range(4)] + rng.sample(passages, 2)
+        rng.shuffle(parts)
+        flat = [w.title() if rng.random() < 0.2 else w + rng.choice(["", "", ".", ","]) for p in parts for w in p]
+        cut = rng.randrange(len(flat))
+        rows.append((i, " ".join(flat[:cut]) + "\n" + rng.choice(short) + "\n" + " ".join(flat[cut:])))
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(3)
-    out = substrings.remove_repeats(docs)
-    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
-    for r in out.collect():
-        original = dict(rows)[r.doc_id]
+    out = substrings.remove_repeats(docs, min_run=12).collect()
+    truth = brute_repeats(rows, 12)
+    assert {r.doc_id: re.findall(r"\w+", r.text) for r in out} == truth and sum(len(r.removed) for r in out) > 60
+    for r in out:
+        original, edges = dict(rows)[r.doc_id], [0, *(x for s in r.removed for x in (s.start, s.stop))]
         assert all(0 <= s.start < s.stop <= len(original) for s in r.removed)
+        assert r.text == "".join(original[a:b] for a, b in zip(edges[::2], [*edges[1::2], len(original)]))
 
 
 def test_spliced_passages_and_awkward_rows(spark):
     rng = random.Random(8)
     sentence = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(14)) + "."
     passage = " ".join(sentence() for _ in range(4))
-    rows = [(1, "Start here. " + passage + " End of one."), (2, "Other start, long enough. " + passage + " End of two."), (3, None), (4, ""), (None, passage), (5, "short line"), (6, "short line"), (7, passage + "\n" + "z" * 500_000), (5, "short line")]
-    out = {(r.doc_id, r.text) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(sorted(out, key=str))
-    assert passage in texts[1] and passage[:40] not in texts[2] and texts[2].startswith("Other start") and texts[2].endswith("End of two.")
-    assert texts[3] is None and texts[4] == "" and texts[5] == texts[6] == "short line" and texts[7] == "\n" + "z" * 500_000 and texts[None] == ""
-    assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_spliced_passages_of_short_sentences_or_none(spark):
+    rows = [(1, "Start here. " + passage + " End of one."), (2, "Other start, long enough, in the middle " + passage + " end of two."), (3, None), (4, ""), (None, passage), (5, "short line"), (6, "short line"), (7, "x\n" + passage + "\n" + "z" * 600_000 + "\n" + passage), (5, "short line")]
+    docs = spark.createDataFrame([(*r, 9, "kept") for r in rows], "doc_id long, text string, h int, removed string")
+    out = substrings.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "removed_"] and {r.removed for r in out.collect()} == {"kept"}
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert passage in texts[1] and texts[2].startswith("Other start") and texts[2].endswith("end of two.")
+    assert len(set(passage.split()) & set(texts[2].split())) < 12
+    assert texts[3] is None and texts[4] == "" and texts[5] == texts[6] == "short line"
+    # A passage that is a line of its own has ends unlike those of one within a line; the second such line goes whole.
+    assert texts[7].startswith("x\n") and texts[7].endswith("\n" + "z" * 600_000) and len(texts[7].split()) < 2 + 0.3 * len(passage.split())
+    assert texts[None] == "" and out.count() == len(rows)
+    empty = substrings.remove_repeats(docs.limit(0), spans_col=None)
+    assert empty.count() == 0 and empty.columns == docs.columns
+
+
+def test_common_phrases_and_short_lines_stay(spark):
     rng = random.Random(9)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
-    short, tiny, plain, inner = " ".join(words(7) + "." for _ in range(10)), " ".join(words(3) + "!" for _ in range(20)), words(120), words(8) + "."
-    rows = []
-    for i, passage in enumerate([short, tiny, plain, inner]):
-        rows += [(2 * i + k, f"{words(9)}. {words(6)}, {words(30)}{'.' * (i != 2)} {passage} {words(25)}. {words(9)}." if i != 3 else f"{words(6)}. {passage} {words(6)}.") for k in range(2)]
+    line, phrase = words(12), words(15)
+    rows = [(i, f"{words(30)}\n{line}\n{words(20)} {phrase} {words(20)}") for i in range(6)]
     out = {r.doc_id: r.text for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, passage in enumerate([short, tiny, plain, inner]):
-        assert out[2 * i] == rows[2 * i][1]
-        before, left = rows[2 * i + 1][1].split(), set(out[2 * i + 1].split())
-        kept = [w for w in passage.split() if w in left]
-        assert len(kept) <= 0.3 * len(passage.split()) and all(w in left for w in before if w not in passage.split()), i
+    assert out == dict(rows)
 
 
 def test_rules(spark):
@@ -135,6 +200,69 @@ def test_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_rules_of_equal_length(spark):
+    """Of two fitting rules of the same length the first by verdict, host and path wins; a longer one always does."""
+    rules = (("block", "b.org", "/x"), ("allow", "a.b.org", ""), ("block", "org", "/xyz"), ("allow", "org", "/xyzw"))
+    page = lambda url: urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string"), rules).first()
+    assert (page("s://a.b.org/xy").rule, page("s://a.b.org/xy").verdict) == ("a.b.org", "allow")
+    assert page("s://a.b.org/xyz").rule == "a.b.org" and page("s://b.org/xyz").rule == "b.org/x" and page("s://b.org/xyzw").rule == "org/xyzw"
+
+
+def naive_tree(rows, z):
+    """Paths of one host level by level, node by node: (host, segments) to template."""
+    now = {(h, s): ("", s) for h, s, _ in rows}
+    depth = max((len(s) for _, s, _ in rows), default=0)
+    label = defaultdict(list)
+    for h, s, x in rows:
+        label[h, s] += [] if x is None else [x]
+    for level in range(depth):
+        child = defaultdict(list)
+        for (h, s), (prefix, _) in now.items():
+            child[h, prefix, s[level] if level < len(s) else ""] += label[h, s]
+        parent = defaultdict(list)
+        for (h, prefix, _), xs in child.items():
+            parent[h, prefix] += xs
+        for (h, s), (prefix, _) in list(now.items()):
+            name = s[level] if level < len(s) else ""
+            xs, all_ = child[h, prefix, name], parent[h, prefix]
+            if name not in ("", "*") and all_ and xs:
+                p = (sum(all_) + 1) / (len(all_) + 2)
+                if abs(sum(xs) / len(xs) - p) <= z * math.sqrt(p * (1 - p) / len(xs)):
+                    name = "*"
+            now[h, s] = (prefix + "/" + name if name else prefix, s)
+    return {key: prefix or "/" for key, (prefix, _) in now.items()}
+
+
+def test_tree_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(1500):
+        path = tuple(rng.choice(["a", "b", "c", "*"]) for _ in range(rng.randint(0, 4)))
+        bad = 0.9 if path[:1] == ("a",) else 0.5 if path[:2] == ("b", "c") else 0.1
+        rows.append((rng.choice("gh"), path, None if rng.random() < 0.3 else int(rng.random() < bad)))
+    frame = spark.createDataFrame([(h, list(s), x) for h, s, x in rows], "host string, raw_segments array<string>, label int")
+    tree = urls.template_tree(frame)
+    got = {(r.host, tuple(r.raw_segments)): r.template for r in tree.collect()}
+    truth = naive_tree(rows, urls.Z)
+    assert got == truth and len(set(got.values())) > 5
+    bad, n = defaultdict(int), defaultdict(int)
+    for h, s, x in rows:
+        for key in ((h, truth[h, s]), truth[h, s], ""):
+            bad[key] += x or 0
+            n[key] += x is not None
+    for r in urls.template_purity(tree).collect():
+        prior = (bad[r.template] + 4 * bad[""] / n[""]) / (n[r.template] + 4)
+        assert abs(r.bad_share - (bad[r.host, r.template] + 4 * prior) / (n[r.host, r.template] + 4)) < 1e-9
+
+
+def test_deep_paths_are_read_whole(spark):
+    rows = [(i, f"s://e.org/{'a/' * 8}{'x' if i % 2 else 'y'}") for i in range(4)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.template for r in out if r.page_id % 2} == {"/a/a/a/a/a/a/a/a/x"} or len({r.template for r in out}) in (1, 2)
+    segments = spark.createDataFrame(rows, "page_id long, path string").select(urls.segments(F.col("path")).alias("s")).first().s
+    assert len(segments) == urls.DEPTH + 1 and segments[-1].endswith("/a/y")
+
+
 def test_tree_rejects_by_purity(spark):
     rows = [("h", ["bad", "*"], 1)] * 30 + [("h", ["good", "*"], 0)] * 30 + [("h", ["bad", "*"], None)] * 5 + [("g", ["bad", "*"], None)] * 3
     tree = urls.template_tree(spark.createDataFrame(rows, "host string, raw_segments array<string>, label int"))
@@ -152,22 +280,86 @@ def test_html():
     assert html.main_text("<div>" * 3000 + "deep") == "deep" and html.main_text("<p>x<!-- open") == "x"
 
 
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for x in ("<main>" * 20_000 + "x", "<a " * 20_000, "<a b=\"'" * 20_000, "</b>" * 50_000, "<b>" * 20_000 + "<p>x" * 10_000, "<ul><li><ul>" + "<b>" * 10_000 + "<li></li>" * 10_000, "<" * 50_000, "<!--" * 50_000, "<div>" * 20_000 + "x"):
+        html.main_text(x)
+        html.elements(x)
+    assert time.time() - began < 30
+
+
+def site(host, i, rng, menus):
+    """A page without article, main or telling names: a menu and a line of the day, each one of many, the page's own text, a tail."""
+    own = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)) for _ in range(4)]
+    menu, day = rng.choice(menus), rng.choice(menus)
+    blocks = "".join(f"<li>{w}</li>" for w in menu.split())
+    source = f"<html><body><div class='top'><ul>{blocks}</ul></div><div class='x'>{day}</div><section><h2>{own[0]}</h2><p>{own[1]}</p><p>{own[2]}</p><div>{own[3]}</div></section><div class='end'>{host} {2000 + i} all rights</div></body></html>"
+    return (i, f"http://{host}/p{i}", source), "\n".join(own)
+
+
+def brute_templates(rows):
+    """What recurs on a host, page by page: numbers as host_templates() gives them."""
+    pages = defaultdict(dict)
+    for host, source in rows:
+        content, found = html.elements(source, host)
+        pages[host][content] = found
+    held, fills = defaultdict(set), defaultdict(set)
+    for host, all_ in pages.items():
+        for content, found in all_.items():
+            for slot, subtree, alone, inside in found:
+                held[host, slot, subtree].add((content, inside))
+                if alone:
+                    fills[slot].add((host, content, subtree))
+    out = defaultdict(set)
+    for (host, slot, subtree), where in held.items():
+        k, n, z = len({c for c, _ in where}), len(pages[host]), html.Z
+        low = (k + z * z / 2 - z * math.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+        if k > 1 and low >= (html.INSIDE if all(i for _, i in where) else html.OUTSIDE):
+            out[host].add(subtree)
+    for slot, instances in fills.items():
+        anywhere = Counter(s for _, _, s in instances)
+        prior = sum(anywhere[s] > 1 for _, _, s in instances) / len(instances)
+        for host in {h for h, _, _ in instances}:
+            own = Counter(s for h, _, s in instances if h == host)
+            if (sum(v for v in own.values() if v > 1) + html.SMOOTHING * prior) / (own.total() + html.SMOOTHING) >= html.SLOT_OUTSIDE:
+                out[host].add(slot)
+    return {host: frozenset(v) for host, v in out.items()}
+
+
+def test_templates_equal_brute_force_on_pages_without_telling_names(spark):
+    rng = random.Random(3)
+    menus = [" ".join("".join(rng.choices("uvwxyz", k=4)) for _ in range(6)) for _ in range(9)]
+    made = [site(host, i, rng, menus) for host, n in (("a.x", 40), ("b.x", 12), ("c.x", 1)) for i in range(1000 * ord(host[0]), 1000 * ord(host[0]) + n)]
+    pages = spark.createDataFrame([r for r, _ in made], "page_id long, url string, html string").repartition(5)
+    host = lambda r: r[1].split("/")[2]
+    got = {r.host: frozenset(r.templates) for r in html.host_templates(pages.selectExpr("split(url, '/')[2] AS host", "html")).collect()}
+    assert got == brute_templates([(host(r), r[2]) for r, _ in made])
+    out = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert out == {r[0]: own for r, own in made}
+
+
 def test_host_templates(spark):
-    page = lambda host, i: (i, f"http://{host}/p{i}", f"<div><div>site menu of {host}</div><div>own text {i}</div><p>shared tail</p></div>")
-    rows = [page("a.x", i) for i in range(8)] + [page("b.x", i) for i in range(100, 102)] + [(500, None, None), (501, "http://a.x/", "")]
-    out = {r.page_id: r for r in html.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")).collect()}
-    assert out[3].text == "own text 3" and out[3].n_chars == 10 and "site menu of b.x" in out[100].text and out[500].text == out[501].text == ""
+    page = lambda host, i: (i, f"http://{host}/p{i}", f"<div><div>site menu of {host}, {i} pages</div><div>own text {'abcdefghijklmnop'[i % 16]}</div><p>shared tail</p></div>")
+    rows = [page("a.x", i) for i in range(8)] + [page("b.x", i) for i in range(100, 102)] + [page("c.x", 7)] + [(500, None, None), (501, "http://a.x/", "")]
+    frame = spark.createDataFrame([(*r, 1) for r in [*rows, rows[0]]], "page_id long, url string, html string, text int")
+    out = {r.page_id: r for r in html.extract(frame).collect()}
+    assert out[3].text == "own text d" and out[3].n_chars == 10 and out[100].text == "own text e" and out[500].text == out[501].text == ""
+    assert html.extract(frame).count() == len(rows) + 1
+    # What one page alone holds is its content.
+    alone = html.extract(spark.createDataFrame([page("c.x", 7)], "page_id long, url string, html string")).first()
+    assert alone.text == "site menu of c.x, 7 pages\nown text h\nshared tail"
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_copies_of_a_page_are_no_template(spark):
-    article = lambda i: f"<article><h1>Head {i}</h1><p>story {i}</p></article>"
-    plain = lambda i: f"<div><div>menu</div><p>words of {i}</p></div>"
+    names = "zero one two three four five six seven".split()
+    article = lambda i: f"<article><h1>Head {names[i]}</h1><p>story {names[i]}</p></article>"
+    plain = lambda i: f"<div><div>menu</div><p>words of {names[i]}</p></div>"
     rows = [(i, f"http://a.x/1?utm_source={i}", f"<a href='?utm_source={i}'>{i}</a>" + article(1)) for i in range(12)] + [(12 + i, f"http://a.x/{i}", article(i)) for i in (2, 3)]
     rows += [(100 + i, "http://b.x/1", plain(1)) for i in range(20)] + [(120 + i, f"http://b.x/{i}", plain(i)) for i in range(2, 8)]
     out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {out[i] for i in range(12)} == {"Head 1\nstory 1"} and out[14] == "Head 2\nstory 2"
-    assert {out[i] for i in range(100, 120)} == {"words of 1"} and out[122] == "words of 2"
+    assert {out[i] for i in range(12)} == {"Head one\nstory one"} and out[14] == "Head two\nstory two"
+    assert {out[i] for i in range(100, 120)} == {"words of one"} and out[122] == "words of two"
 
 
 def test_main_keeps_its_own_text():
