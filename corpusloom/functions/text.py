@@ -48,9 +48,14 @@ def stable_display_id(message_id: Column, call_id: Column) -> Column:
 
 
 def sanitize_title(text: Column, limit: int = 20) -> Column:
-    """The first line without surrounding quotes and marks, white space collapsed, cut to limit."""
-    line = F.get(F.split(F.btrim(text, F.lit(" \t\r\n")), "[\n\r]"), F.lit(0))
-    return F.left(F.btrim(F.regexp_replace(F.btrim(line, F.lit(TITLE_EDGE)), r"\s+", " ")), F.lit(limit))
+    """Without surrounding quotes and marks, white space and line breaks collapsed, cut to limit."""
+    bare = F.btrim(F.btrim(text, F.lit(" \t\r\n")), F.lit(TITLE_EDGE))
+    return F.left(F.btrim(F.regexp_replace(bare, r"\s+", " ")), F.lit(limit))
+
+
+def fallback_title(text: Column, limit: int = 20) -> Column:
+    """The first line of a message as its title."""
+    return sanitize_title(F.get(F.split(F.btrim(text, F.lit(" \t\r\n")), "[\n\r]"), F.lit(0)), limit)
 
 
 def truncate(text: Column, limit: int, mark: str = "…") -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,12 +48,30 @@ def trigrams(text: Column) -> Column:
     return let(chars, runs)
 
 
-def bucket_of(trigram: Column, dims: int = 64) -> Column:
-    return F.pmod(F.conv(F.left(F.md5(trigram.cast("binary")), F.lit(8)), 16, 10).cast("long"), F.lit(dims)).cast("int")
+def bucket(trigram: str, dims: int) -> int:
+    return int(hashlib.md5(trigram.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dims
+
+
+def hash_counts(text: Column, dims: int = 64) -> Column:
+    """How many lower-case trigrams of a text fall into each of dims slots. Each trigram is hashed once in a batch, and counted in the text's own pass."""
+
+    @F.pandas_udf("array<int>")
+    def counts(texts: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}
+        out = []
+        for t in texts:
+            low, found = (t or "").lower(), [0] * dims
+            for gram, n in Counter(map("".join, zip(low, low[1:], low[2:]))).items():
+                slot = slots.get(gram)
+                if slot is None:
+                    slot = slots[gram] = bucket(gram, dims)
+                found[slot] += n
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return counts(text)
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Deterministic vectors without a model: hashed trigram counts, normalised."""
-    slots = F.transform(trigrams(text), lambda t: bucket_of(t, dims))
-    counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(found, lambda s: s == d)).cast("double"))
-    return let(let(slots, counts), normalize_l2)
+    return let(hash_counts(text, dims).cast("array<double>"), normalize_l2)

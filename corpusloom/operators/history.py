@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TRIM_HEAD, TRIM_MARK, est_tokens, trim_tool_output
+from ..functions.text import TOOL_CALLS, TRIM_HEAD, TRIM_MARK, est_message_tokens, est_tokens, trim_tool_output
 
 WINDOW = 200_000
 RESERVE, BUFFER, PROTECTED, MIN_GAIN, KEPT_RESULTS = 8000, 2000, 40_000, 8000, 6
@@ -18,8 +18,14 @@ def session_window(*keys: str):
     return Window.partitionBy(*(keys or ("session_id",))).orderBy("seq")
 
 
+def message_tokens(messages: DataFrame) -> Column:
+    """A message's tokens: its text, and the arguments of its calls and its pictures where messages has these columns."""
+    has = lambda name, kind: F.col(name) if name in messages.columns else F.array().cast(kind)
+    return est_message_tokens(F.col("text"), has("tool_calls", TOOL_CALLS), has("images", "array<string>"))
+
+
 def history_tokens(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("session_id").agg(F.sum(est_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("n_messages"))
+    return messages.groupBy("session_id").agg(F.sum(message_tokens(messages)).cast("long").alias("tokens"), F.count("*").alias("n_messages"))
 
 
 def window_usage(totals: DataFrame, window: Column | int = WINDOW, percent: int = 60) -> DataFrame:
@@ -37,14 +43,14 @@ def prune_history(messages: DataFrame, window: int, reserve: int = RESERVE, buff
     usable = window - reserve - buffer
     of = Window.partitionBy("session_id")
     tool = F.col("role") == "tool"
-    rows = messages.withColumn("_t", est_tokens(F.col("text"))).withColumn("_total", F.sum("_t").over(of)).withColumn("_tool", tool)
+    rows = messages.withColumn("_t", message_tokens(messages)).withColumn("_total", F.sum("_t").over(of)).withColumn("_tool", tool)
     newest = Window.partitionBy("session_id", "_tool").orderBy(F.col("seq").desc())
     rows = rows.withColumn("_candidate", tool & (F.row_number().over(newest) > kept))
     after = Window.partitionBy("session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     later = F.coalesce(F.sum(F.when(F.col("_candidate"), F.col("_t"))).over(after), F.lit(0))
-    trimmed = trim_tool_output(F.col("text"), head, mark)
+    trimmed = trim_tool_output(F.col("text"), head, mark)  # a result has no calls and no pictures
     rows = rows.withColumn("_cuttable", F.col("_candidate") & (later >= protected)).withColumn("_gain", F.when(F.col("_cuttable"), F.col("_t") - est_tokens(trimmed)))
     rows = rows.withColumn("_prefix", F.sum("_gain").over(upto))
     reached = F.max(F.when(F.col("_cuttable"), F.col("_prefix"))).over(before)
@@ -60,7 +66,7 @@ def split_head_tail(messages: DataFrame, keep: int) -> DataFrame:
     """session_id, n and head_end: rows before head_end may be summarised. No call is cut from its result; head_end = n is no cut."""
     of = Window.partitionBy("session_id").orderBy("seq")
     down = Window.partitionBy("session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("_i", F.row_number().over(of) - 1).withColumn("_suffix", F.sum(est_tokens(F.col("text"))).over(down))
+    rows = messages.withColumn("_i", F.row_number().over(of) - 1).withColumn("_suffix", F.sum(message_tokens(messages)).over(down))
     rows = rows.withColumn("_safe", ~((F.col("role") == "tool") | ((F.col("role") == "assistant") & F.col("has_calls"))))
     # The crossing row is the last whose suffix is over the budget; suffix sums fall, so rows up to it are those over it.
     over = F.col("_suffix") > keep
@@ -79,6 +85,15 @@ def compact_prefix(messages: DataFrame, cuts: DataFrame, summaries: DataFrame) -
     return out.select("session_id", (F.row_number().over(of) - 1).cast("long").alias("seq"), "role", "text")
 
 
+def compact_stats(messages: DataFrame, cuts: DataFrame, summaries: DataFrame, window: int = WINDOW) -> DataFrame:
+    """session_id, removed (rows), tokens_before, tokens_after (the summary's own are not counted) and usage_after of the sessions that compact_prefix shortens."""
+    known = cuts.filter((F.col("head_end") < F.col("n")) & (F.col("head_end") > 0)).join(summaries.filter(F.col("summary").isNotNull()).select("session_id"), "session_id").select("session_id", "head_end")
+    rows = messages.withColumn("_t", message_tokens(messages)).withColumn("_i", F.row_number().over(session_window()) - 1).join(known, "session_id")
+    head = F.col("_i") < F.col("head_end")
+    sums = rows.groupBy("session_id").agg(F.count_if(head).alias("removed"), F.sum("_t").cast("long").alias("tokens_before"), F.sum(F.when(~head, F.col("_t")).otherwise(0)).cast("long").alias("tokens_after"))
+    return sums.withColumn("usage_after", F.round(F.col("tokens_after") / window, 6))
+
+
 def truncate_after(messages: DataFrame, cuts: DataFrame) -> DataFrame:
     """Without the rows of a session later than its cut (session_id, cut_seq)."""
     return messages.join(cuts, "session_id", "left").filter(F.col("cut_seq").isNull() | (F.col("seq") <= F.col("cut_seq"))).drop("cut_seq")
@@ -91,8 +106,10 @@ def edit_and_truncate(messages: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("seq") == F.col("edit_seq"), F.col("new_text")).otherwise(F.col("text"))).drop("edit_seq", "new_text")
 
 
-def role_projection(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("role", F.when(F.col("role") == "summary", "system").otherwise(F.col("role")))
+def role_projection(messages: DataFrame, vision: bool = False) -> DataFrame:
+    """messages as a model gets them: summaries as system rows, pictures only for a model that sees them."""
+    shown = messages.withColumn("role", F.when(F.col("role") == "summary", "system").otherwise(F.col("role")))
+    return shown if vision or "images" not in shown.columns else shown.withColumn("images", F.array().cast("array<string>"))
 
 
 def merge_system(messages: DataFrame, block: str) -> DataFrame:
@@ -145,10 +162,26 @@ def orphan_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(results, ["session_id", "call_id"], "left_anti")
 
 
-def export_transcript(messages: DataFrame, title: str = "Conversation") -> DataFrame:
-    """One Markdown text a session: system and summary rows left out, blank assistant turns too."""
+#: Fixed value: what stands between a call and its result in a tool row's text.
+RESULT_MARK = "\n─────────\n"
+
+
+def export_transcript(messages: DataFrame, title: str = "Conversation", thinking: bool = False, tools: bool = False, mark: str = RESULT_MARK) -> DataFrame:
+    """One Markdown text a session: system, summary and warning rows left out, blank assistant turns too; thinking and tool rows only where asked for, as details."""
+    detail = lambda summary, body: F.concat(F.lit("<details>\n<summary>"), summary, F.lit("</summary>\n\n"), body, F.lit("\n\n</details>"))
     shown = messages.filter(~F.col("role").isin("system", "summary", "warning")).filter((F.col("role") != "assistant") | (F.btrim("text") != ""))
-    label = F.when(F.col("role") == "user", "## User").when(F.col("role") == "assistant", "## Assistant").otherwise("## Tool")
-    piece = F.concat(label, F.lit("\n\n"), F.col("text"))
+    if not tools:
+        shown = shown.filter("role <> 'tool'")
+    thought = F.lit("")
+    if thinking and "thinking" in messages.columns:
+        blank = F.coalesce(F.btrim("thinking"), F.lit("")) == ""
+        thought = F.when(blank, "").otherwise(F.concat(detail(F.lit("Thinking"), F.btrim("thinking")), F.lit("\n\n")))
+    at = F.locate(mark, F.col("text"))
+    call = F.when(at > 0, F.expr("text").substr(F.lit(1), at - 1)).otherwise(F.col("text"))
+    result = F.when(at > 0, F.concat(F.lit("\n\n--- result ---\n"), F.btrim(F.col("text").substr(at + len(mark), F.length("text"))))).otherwise("")
+    summary = F.concat(F.lit("Tool call: "), F.left(F.btrim(F.regexp_replace(call, r"\s+", " ")), F.lit(80)))
+    body = F.concat(F.lit("```\n"), F.btrim(call), result, F.lit("\n```"))
+    user = F.concat(F.lit("## User\n\n"), F.coalesce("text", F.lit("")))
+    piece = F.when(F.col("role") == "user", user).when(F.col("role") == "tool", detail(summary, body)).otherwise(F.concat(F.lit("## Assistant\n\n"), thought, F.btrim("text")))
     joined = F.concat_ws("\n\n", F.transform(F.sort_array(F.collect_list(F.struct("seq", piece.alias("piece")))), lambda x: x["piece"]))
     return shown.groupBy("session_id").agg(F.concat(F.lit(f"# {title}\n\n"), joined).alias("transcript"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_qa_lines, parse_subqueries, sanitize_title
+from ..functions.text import fallback_title, parse_qa_lines, parse_subqueries, sanitize_title
 from ..functions.vectors import hash_embedding
 from . import retrieval, tables
 
@@ -139,4 +139,4 @@ def summarise(heads: DataFrame, call: Callable[[str], str]) -> DataFrame:
 
 def title(first: DataFrame, call: Callable[[str], str]) -> DataFrame:
     asked = answer_column(first, "text", call)
-    return asked.select("session_id", F.coalesce(F.nullif(sanitize_title(F.col("response")), F.lit("")), sanitize_title(F.col("text"))).alias("title"))
+    return asked.select("session_id", F.coalesce(F.nullif(sanitize_title(F.col("response")), F.lit("")), fallback_title(F.col("text"))).alias("title"))

@@ -23,9 +23,14 @@ def ingest_progress(docs: DataFrame) -> DataFrame:
     return docs.groupBy("kb_id").agg(done.alias("done"), total.alias("total"), F.round(F.when(total > 0, done * 100.0 / total).otherwise(0.0), 6).alias("percent"))
 
 
-def find_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (kb_id, doc_id, content_hash, status, created) with duplicate_of: the first ready document of the same base and hash, if that is another one."""
-    ready = docs.filter("status = 'ready'").groupBy("kb_id", "content_hash").agg(F.min(F.struct("created", "doc_id")).alias("first"))
+def find_duplicates(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """docs (kb_id, doc_id, content_hash, status, created) with duplicate_of: the first ready document of the same base and hash, if that is another one.
+
+    existing: the stored documents with the same columns; theirs come before any of docs."""
+    columns = ["kb_id", "doc_id", "content_hash", "status", "created"]
+    pool = docs.select(*columns, F.lit(1).alias("age"))
+    pool = pool if existing is None else pool.unionByName(existing.select(*columns, F.lit(0).alias("age")))
+    ready = pool.filter("status = 'ready'").groupBy("kb_id", "content_hash").agg(F.min(F.struct("age", "created", "doc_id")).alias("first"))
     joined = docs.join(ready, ["kb_id", "content_hash"], "left")
     return joined.withColumn("duplicate_of", F.when(F.col("first.doc_id") != F.col("doc_id"), F.col("first.doc_id"))).drop("first")
 
@@ -36,6 +41,12 @@ def processing_docs(docs: DataFrame) -> DataFrame:
     return docs.filter("status = 'processing'").withColumn("status", F.when(missing, "failed").otherwise(F.col("status"))).withColumn("error", F.when(missing, "raw file is missing"))
 
 
+def ordered_listing(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
+    """rows with their place (from 1) in the listing of their key; chunks are listed with a limit, other things whole."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
+
+
 def text_filter(rows: DataFrame, term: str, columns: list[str]) -> DataFrame:
     """Rows with the term in one of the columns, in any case; a blank term keeps all."""
     if not term.strip():
@@ -83,6 +94,12 @@ def cascade_delete(parents: DataFrame, children: dict[str, tuple[DataFrame, str]
     return out
 
 
+def delete_provider(tables: dict[str, tuple[DataFrame, list[str]]], providers: DataFrame, value, key: str = "provider_id") -> dict[str, DataFrame]:
+    """providers without the one, and each table (name: rows, its columns that refer to providers) with those references cleared."""
+    out = {name: null_out(rows, columns, value) for name, (rows, columns) in tables.items()}
+    return out | {"providers": providers.filter(F.col(key) != value)}
+
+
 def null_out(rows: DataFrame, columns: list[str], value) -> DataFrame:
     """References to value cleared."""
     return rows.withColumns({c: F.when(F.col(c) == value, None).otherwise(F.col(c)) for c in columns})
@@ -103,10 +120,22 @@ def resolve_provider(bases: DataFrame, providers: DataFrame, kind: str = "embed"
     """kb_id and provider_id: the base's own provider where it has a model, else the default of that kind."""
     own = providers.filter(F.coalesce(F.col("model"), F.lit("")) != "").select(F.col("provider_id").alias("_own"))
     fallback = default_by_kind(providers).filter(F.col("kind") == kind).select(F.col("provider_id").alias("_default"), F.lit(1).alias("_one"))
-    joined = bases.join(F.broadcast(own), F.col("provider_id") == F.col("_own"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(fallback), "_one", "left")
+    # One row at most.
+    joined = bases.join(own, F.col("provider_id") == F.col("_own"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(fallback), "_one", "left")
     return joined.select("kb_id", F.coalesce("_own", "_default").alias("provider_id"))
 
 
+def resolve_chat_provider(requests: DataFrame, sessions: DataFrame, providers: DataFrame) -> DataFrame:
+    """requests (request_id, session_id, override) with provider_id: the request's own provider, else its session's, else the default for chats; one that isn't there counts as none."""
+    known = providers.select("provider_id")
+    fallback = default_by_kind(providers).filter("kind = 'chat'").select(F.col("provider_id").alias("_default"), F.lit(1).alias("_one"))
+    asked = requests.join(sessions.select("session_id", F.col("provider_id").alias("_session")), "session_id", "left")
+    for column in ("override", "_session"):
+        asked = asked.join(known.withColumnRenamed("provider_id", f"_known_{column}"), F.col(column) == F.col(f"_known_{column}"), "left")
+    asked = asked.withColumn("_one", F.lit(1)).join(F.broadcast(fallback), "_one", "left")
+    return asked.select("request_id", "session_id", F.coalesce("_known_override", "_known__session", "_default").alias("provider_id"))
+
+
 def add_missing_columns(rows: DataFrame, spec: dict[str, tuple[str, object]]) -> DataFrame:
     """Columns of spec (name: type, default) that rows hasn't got."""
     return rows.withColumns({c: F.lit(v).cast(t) for c, (t, v) in spec.items() if c not in rows.columns})
@@ -134,12 +163,25 @@ def grep(texts: DataFrame, pattern: str, key: str = "path") -> DataFrame:
 def match_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """calls (call_id, tool, key, args) with the first rule that fits: same tool, and equal key or, for rules without one, a pattern that args holds."""
     fits = (F.col("match_key") == F.col("key")) | ((F.coalesce(F.col("match_key"), F.lit("")) == "") & ((F.coalesce(F.col("pattern"), F.lit("")) == "") | F.contains("args", "pattern")))
-    joined = calls.join(F.broadcast(rules), "tool").filter(fits)
+    joined = calls.join(rules, "tool").filter(fits)
     return joined.groupBy("call_id").agg(F.min("rule_seq").alias("rule_seq"))
 
 
 def outside_whitelist(calls: DataFrame, allowed: DataFrame) -> DataFrame:
-    return calls.join(F.broadcast(allowed), ["role", "tool"], "left_anti")
+    return calls.join(allowed, ["role", "tool"], "left_anti")
+
+
+#: Tools that change files, and parts of the names of tools that read pictures.
+WRITING_TOOLS = ("file_write", "file_edit")
+PICTURE_TOOLS = ("screenshot", "ocr", "extract_text", "image_to_text", "describe_image")
+
+
+def hidden_tools(tools: DataFrame) -> DataFrame:
+    """tools (tool, plan_mode, vision, has_images) with hidden: plan mode shows none that writes, a model that sees the turn's pictures none that reads them."""
+    reads = F.lit(False)
+    for part in PICTURE_TOOLS:
+        reads = reads | F.contains(F.lower("tool"), F.lit(part))
+    return tools.withColumn("hidden", (F.col("plan_mode") & F.col("tool").isin(*WRITING_TOOLS)) | (F.col("vision") & F.col("has_images") & reads))
 
 
 def unblocked_tasks(tasks: DataFrame) -> DataFrame:
@@ -161,7 +203,7 @@ def task_board(tasks: DataFrame) -> DataFrame:
 def list_level(paths: DataFrame, folder: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """name and is_dir of what lies directly in a folder; folders come first."""
     prefix = folder.strip("/") + "/" if folder.strip("/") else ""
-    rest = paths.filter(F.startswith("path", F.lit(prefix))).select(F.substring("path", len(prefix) + 1, 10_000).alias("rest"))
+    rest = paths.filter(F.startswith("path", F.lit(prefix))).select(F.expr(f"substring(path, {len(prefix) + 1})").alias("rest"))
     level = rest.select(F.substring_index("rest", "/", 1).alias("name"), F.contains("rest", F.lit("/")).alias("is_dir")).distinct()
     return level.filter(~(F.col("is_dir") & F.col("name").isin(*excluded)) & (F.col("name") != "")).orderBy(F.col("is_dir").desc(), "name")
 
@@ -179,6 +221,34 @@ def layered_rules(sections: DataFrame) -> DataFrame:
     return kept.agg(F.concat_ws("\n\n", F.transform(F.sort_array(F.collect_list(F.struct("priority", F.btrim("body").alias("body")))), lambda s: s["body"])).alias("rules"))
 
 
+def validate_rules(rules: DataFrame, most: int = 65_536) -> DataFrame:
+    """rules (content: bytes) with reason: null for texts of at most so many bytes that are UTF-8."""
+    return rules.withColumn("reason", F.when(F.octet_length("content") > most, "size").when(~F.is_valid_utf8(F.col("content").cast("string")), "encoding"))
+
+
+def merge_unique(a: Column, b: Column) -> Column:
+    """The ids of a, then those of b that a hasn't got, each once."""
+    return F.array_union(a, b)
+
+
+def grouped(rows: DataFrame, key: str, item: str, first: str | None = None, known: tuple[str, ...] = ()) -> DataFrame:
+    """rows with group_no and place: groups in order (first comes first, blank keys last, others by name), items by id within a group.
+
+    known: the keys that count; rows of others drop out. Rows stay rows, so a group may be of any size."""
+    kept = rows.filter(F.col(key).isin(*known)) if known else rows
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    rank = F.when(F.col(key).eqNullSafe(F.lit(first)) & ~blank, 0).when(~blank, 1).otherwise(2)
+    keys = kept.select(F.col(key).alias("_key"), rank.alias("_rank")).distinct().withColumn("group_no", F.row_number().over(Window.orderBy("_rank", "_key")))
+    numbered = kept.join(keys, F.col(key).eqNullSafe(F.col("_key"))).drop("_key", "_rank")
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy("group_no").orderBy(item)))
+
+
+def menu_filter(entries: DataFrame, term: str, skills: bool = False) -> DataFrame:
+    """Entries whose name holds the term in any case; the menu of skills leaves global ones out."""
+    found = text_filter(entries, term, ["name"])
+    return found.filter("source <> 'global'") if skills else found
+
+
 def validate_entries(entries: DataFrame) -> DataFrame:
     """entries (name, type, description, body) with reason: null for valid ones."""
     reason = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import TITLE_EDGE
+
 M = "SELECT conv_id AS session_id, turn AS seq, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'tool' ELSE role END AS role, text FROM conversations"
 S = """SELECT source AS kb_id, doc_id, CASE doc_id % 10 WHEN 0 THEN 'processing' WHEN 1 THEN 'failed' WHEN 2 THEN 'paused' WHEN 3 THEN 'duplicate' ELSE 'ready' END AS status,
  sha256(text) AS content_hash, n_chars % 7 AS chunk_done, n_chars % 7 + doc_id % 3 AS chunk_total FROM documents"""
@@ -13,6 +15,9 @@ P = """SELECT o_orderkey % 50 AS session_id, o_orderkey AS id, CASE o_orderstatu
 SUP = """SELECT s_suppkey AS provider_id, CASE s_suppkey % 4 WHEN 1 THEN 'embed' WHEN 2 THEN 'rerank' ELSE 'chat' END AS kind, s_suppkey % 3 = 0 AS is_default, s_suppkey % 5 <> 0 AS has_model FROM supplier"""
 
 
+EDGE = "'" + TITLE_EDGE.replace("'", "''") + "'"
+
+
 def wide(x: str) -> str:
     return rf"length(regexp_replace({x}, '[^\x{{3000}}-\x{{9fff}}\x{{f900}}-\x{{faff}}\x{{ff00}}-\x{{ffef}}]', '', 'g'))"
 
@@ -26,7 +31,7 @@ def dist(a: str, b: str) -> str:
 
 
 def near(k: int) -> str:
-    return f"""SELECT * FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM
+    return f"""SELECT * FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM
  (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, {dist("a.v", "b.v")} AS distance FROM ({V}) a JOIN ({V}) b ON a.label = b.label WHERE a.vec_id % 100 = 0)) WHERE rank <= {k}"""
 
 
@@ -35,7 +40,10 @@ ROUTES = f"""SELECT query_id, 0 AS query_no, chunk_id, rank, distance FROM ({nea
  FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0) WHERE rank <= 20"""
 FUSED = f"""SELECT * FROM (SELECT query_id, chunk_id, rrf, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, chunk_id) AS rank FROM
  (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(distance) AS distance FROM ({ROUTES}) GROUP BY ALL)) WHERE rank <= 20"""
-PQ = "SELECT item_id || '/' || s.source AS query_id, s.source AS kb_id, lower(left(b.text, 12)) AS phrase FROM benchmark b, (SELECT DISTINCT source FROM documents) s WHERE length(left(b.text, 12)) >= 3"
+SLOT = "CAST(('0x' || left(md5({}), 8))::BIGINT % 64 AS INTEGER)"
+SENTENCES = r"list_transform(string_split_regex({}, '[.!?\n]+'), lambda x: trim(x))"
+PQ = f"""SELECT item_id || '/' || (i - 1) || '/' || s.source AS query_id, s.source AS kb_id, lower(p[i]) AS phrase FROM (SELECT item_id, {SENTENCES.format("text")} AS p FROM benchmark),
+ LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i), (SELECT DISTINCT source FROM documents) s WHERE length(p[i]) >= 3"""
 HIT = f"""SELECT q.query_id, q.kb_id, d.doc_id AS chunk_id, len(list_filter(range(1, length(d.text) - length(q.phrase) + 2), lambda i: substring(lower(d.text), i, length(q.phrase)) = q.phrase)) AS tf, greatest(length(d.text) - 2, 0) AS len
  FROM ({PQ}) q JOIN documents d ON d.source = q.kb_id AND contains(lower(d.text), q.phrase)"""
 CALLED = f"""SELECT *, CASE WHEN role = 'assistant' THEN [session_id || '-' || seq || '-0', session_id || '-' || seq || '-1'] ELSE [] END AS calls,
@@ -65,6 +73,14 @@ def windows(size: int) -> str:
     return WINDOWS.format(size)
 
 
+CHUNKS = f"""WITH p AS (SELECT doc_id, source, no AS ordinal, piece FROM ({windows(2000)})),
+ k AS (SELECT doc_id, source, ordinal AS parent_no, i AS child_no, substring(piece, CAST(i * 500 + 1 AS BIGINT), 500) AS piece FROM p, LATERAL (SELECT unnest(range(0, CAST(ceil(length(piece) / 500.0) AS BIGINT))) AS i)),
+ n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+ c AS (SELECT k.doc_id, source, parent_no, n.n + row_number() OVER (PARTITION BY k.doc_id ORDER BY parent_no, child_no) - 1 AS ordinal, piece FROM k JOIN n USING (doc_id)),
+ u AS (SELECT doc_id, source, '' AS kind, 'parent' AS hashed, NULL AS parent_no, ordinal, piece FROM p UNION ALL SELECT doc_id, source, 'content', 'content', parent_no, ordinal, piece FROM c)
+ SELECT doc_id, source, kind, parent_no, ordinal, piece, 'chunk_' || left(sha256(source || '|' || doc_id || '|' || hashed || '|' || ordinal), 26) AS chunk_id FROM u"""
+
+
 ORACLES = {
     "vector_topk": f"SELECT query_id, chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ({near(20)})",
     "vector_threshold": f"SELECT query_id, chunk_id, round(1 - distance * distance / 2, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({near(20)}) WHERE 1 - distance * distance / 2 >= 0.3",
@@ -95,12 +111,29 @@ ORACLES = {
     "ingest_progress": f"SELECT kb_id, CAST(sum(chunk_done) AS BIGINT) AS done, CAST(sum(chunk_total) AS BIGINT) AS total, round(CASE WHEN sum(chunk_total) > 0 THEN sum(chunk_done) * 100.0::DOUBLE / sum(chunk_total) ELSE 0 END, 6) AS percent FROM ({S}) GROUP BY kb_id",
     "processing_docs": f"SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN doc_id % 20 = 0 THEN 'raw file is missing' END AS error FROM ({S}) WHERE status = 'processing'",
     "fixed_windows": f"SELECT doc_id, CAST(no AS INTEGER) AS no, md5(piece) AS piece_md5, CAST(length(piece) AS INTEGER) AS n FROM ({windows(500)})",
-    "parent_child_windows": f"""WITH p AS (SELECT doc_id, source, no AS ordinal, piece FROM ({windows(2000)})),
- k AS (SELECT doc_id, source, ordinal AS parent_no, i AS child_no, substring(piece, CAST(i * 500 + 1 AS BIGINT), 500) AS piece, count(*) OVER () AS x FROM p, LATERAL (SELECT unnest(range(0, CAST(ceil(length(piece) / 500.0) AS BIGINT))) AS i)),
- n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
- c AS (SELECT k.doc_id, source, n.n + row_number() OVER (PARTITION BY k.doc_id ORDER BY parent_no, child_no) - 1 AS ordinal, piece FROM k JOIN n USING (doc_id)),
- u AS (SELECT doc_id, source, '' AS kind, 'parent' AS hashed, ordinal, piece FROM p UNION ALL SELECT doc_id, source, 'content', 'content', ordinal, piece FROM c)
- SELECT doc_id, kind, CAST(ordinal AS INTEGER) AS ordinal, 'chunk_' || left(sha256(source || '|' || doc_id || '|' || hashed || '|' || ordinal), 26) AS chunk_id, CAST(length(piece) AS INTEGER) AS n FROM u""",
+    "parent_child_windows": f"SELECT doc_id, kind, CAST(ordinal AS INTEGER) AS ordinal, chunk_id, CAST(length(piece) AS INTEGER) AS n FROM ({CHUNKS})",
+    "search_documents": f"""WITH u AS ({CHUNKS}), l AS (SELECT * FROM u WHERE parent_no IS NOT NULL),
+ q AS (SELECT doc_id AS query_id, source AS kb_id, s AS query FROM (SELECT doc_id, source, x[i] AS s, row_number() OVER (PARTITION BY doc_id ORDER BY length(x[i]) DESC, i) AS r
+  FROM (SELECT doc_id, source, {SENTENCES.format("text")} AS x FROM documents WHERE doc_id % 100 = 0), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)) WHERE r = 1),
+ t AS (SELECT 'q' AS side, CAST(query_id AS VARCHAR) AS id, lower(query) AS low FROM q UNION ALL SELECT 'l', chunk_id, lower(piece) FROM l),
+ g AS (SELECT side, id, {SLOT.format("substring(low, i, 3)")} AS slot, count(*) AS n FROM t, LATERAL (SELECT unnest(range(1, length(low) - 1)) AS i) GROUP BY ALL),
+ e AS (SELECT side, id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY side, id)) AS x FROM g), has AS (SELECT DISTINCT side, id FROM e),
+ dot AS (SELECT a.id AS qid, b.id AS cid, sum(a.x * b.x) AS d FROM e a JOIN e b ON a.side = 'q' AND b.side = 'l' AND a.slot = b.slot GROUP BY ALL),
+ far AS (SELECT query_id, chunk_id, sqrt(greatest(0, (EXISTS (FROM has WHERE side = 'q' AND id = CAST(query_id AS VARCHAR)))::INT + (EXISTS (FROM has WHERE side = 'l' AND id = chunk_id))::INT - 2 * coalesce(d, 0))) AS distance
+  FROM q JOIN l ON l.source = q.kb_id LEFT JOIN dot ON qid = CAST(query_id AS VARCHAR) AND cid = chunk_id),
+ v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM far),
+ h AS (SELECT query_id, kb_id, chunk_id, len(list_filter(range(1, length(piece) - length(query) + 2), lambda i: substring(lower(piece), i, length(query)) = lower(query))) AS tf, greatest(length(piece) - 2, 0) AS len
+  FROM q JOIN l ON l.source = q.kb_id AND length(query) >= 3 AND contains(lower(piece), lower(query))),
+ df AS (SELECT query_id, count(*) AS df FROM h GROUP BY query_id), st AS (SELECT source AS kb_id, count(*) AS c, avg(greatest(length(piece) - 2, 0)) AS a FROM l GROUP BY source),
+ b AS (SELECT query_id, chunk_id, greatest(ln((c - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))) AS score FROM h JOIN df USING (query_id) JOIN st USING (kb_id)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b),
+ lists AS (SELECT query_id, chunk_id, rank, distance FROM v WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank, NULL FROM p WHERE rank <= 20),
+ f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(distance) AS distance FROM lists GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, chunk_id) AS rank FROM f),
+ up AS (SELECT k.query_id, par.chunk_id AS found_id, k.rank, k.distance, length(par.piece) AS n FROM k JOIN l USING (chunk_id) JOIN u par ON par.doc_id = l.doc_id AND par.parent_no IS NULL AND par.ordinal = l.parent_no WHERE k.rank <= 5),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, found_id ORDER BY rank) AS r FROM up)
+ SELECT query_id, found_id, round(CASE WHEN distance IS NULL THEN 1.0::DOUBLE ELSE 1 - distance * distance / 2 END, 6) AS score, CAST(rank AS INTEGER) AS rank, CAST(n AS INTEGER) AS n FROM o
+ WHERE r = 1 AND (distance IS NULL OR 1 - distance * distance / 2 >= 0.3)""",
     "token_estimate": f"SELECT doc_id, {est('text')} AS tokens, round({wide('text')} + (length(text) - {wide('text')}) / 4.0::DOUBLE, 6) AS tokens_exact FROM documents",
     "content_hash": "SELECT doc_id, sha256(text) AS hash, left(sha1(source || ':' || doc_id), 16) AS display_id, 'vec_kb_' || regexp_replace(lower(source), '[^a-z0-9]', '_', 'g') AS index_name FROM documents",
     "history_tokens": TOKENS,
@@ -120,7 +153,6 @@ ORACLES = {
  SELECT session_id, seq, role, CAST(length(CASE WHEN f THEN 'context' || chr(10) || chr(10) || text ELSE text END) AS INTEGER) AS n FROM m
  UNION ALL SELECT session_id, min(seq) - 1, 'system', 7 FROM m GROUP BY session_id HAVING NOT bool_or(f)""",
     "last_user_text": f"SELECT session_id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END AS text FROM (SELECT session_id, arg_max(text, seq) AS t FROM ({M}) WHERE role = 'user' GROUP BY session_id)",
-    "fallback_title": f"SELECT session_id, left(regexp_replace(string_split(trim(t), chr(10))[1], '\\s+', ' ', 'g'), 20) AS title FROM (SELECT session_id, arg_max(text, seq) AS t FROM ({M}) WHERE role = 'user' GROUP BY session_id)",
     "tool_budget": f"""WITH c AS (SELECT session_id, seq AS turn, length(text) % 4 + 1 AS n FROM ({M}) WHERE role = 'tool'),
  b AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS calls_before FROM c) SELECT session_id, turn, calls_before, calls_before < 3 AS allowed FROM b""",
     "checkpoint_marks": f"SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) % 4 = 0 AS checkpoint FROM ({M})",
@@ -131,8 +163,6 @@ ORACLES = {
  UNION ALL SELECT session_id, seq, -1, role, NULL, NULL FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.session_id = m.session_id AND c.call_id = m.tool_call_id)""",
     "orphan_calls": f"SELECT session_id, call_id FROM ({CALLS}) c WHERE NOT EXISTS (SELECT 1 FROM ({CALLED}) m WHERE m.session_id = c.session_id AND m.tool_call_id = c.call_id)",
     "orphan_results": f"SELECT session_id, tool_call_id AS call_id FROM ({CALLED}) m WHERE role = 'tool' AND NOT EXISTS (SELECT 1 FROM ({CALLS}) c WHERE m.session_id = c.session_id AND m.tool_call_id = c.call_id)",
-    "transcript_export": f"""SELECT session_id, md5('# Conversation' || chr(10) || chr(10) || string_agg(CASE role WHEN 'user' THEN '## User' WHEN 'assistant' THEN '## Assistant' ELSE '## Tool' END || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY seq)) AS transcript_md5
- FROM ({M}) WHERE role NOT IN ('system', 'summary', 'warning') AND (role <> 'assistant' OR trim(text) <> '') GROUP BY session_id""",
     "cache_misses": f"SELECT model, text_hash FROM ({WANTED}) w WHERE NOT EXISTS (SELECT 1 FROM ({CACHE}) c WHERE c.model = w.model AND c.text_hash = w.text_hash)",
     "cache_hits": f"SELECT model, text_hash FROM ({WANTED}) w WHERE EXISTS (SELECT 1 FROM ({CACHE}) c WHERE c.model = w.model AND c.text_hash = w.text_hash)",
     "insert_ignore": """WITH o AS (SELECT md5(text) AS text_hash, min(doc_id) AS doc_id FROM documents WHERE doc_id % 4 = 0 GROUP BY 1), n AS (SELECT md5(text) AS text_hash, min(doc_id) AS doc_id FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1)
@@ -173,10 +203,12 @@ ORACLES = {
     "display_rows": f"""SELECT session_id, seq, CASE WHEN length(text) > 40 THEN left(text, 40) || '…' ELSE text END AS head, CASE WHEN trim(text) = '' THEN '(no output)' WHEN length(trim(text)) > 30 THEN left(trim(text), 30) || '…' ELSE trim(text) END AS result,
  CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS family FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM ({M}))""",
     "short_times": "SELECT event_id, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-02' THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%m-%d %H:%M') END AS shown FROM events",
-    "group_by_source": "SELECT source, md5(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_md5, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY source",
-    "ordered_listing": "SELECT lang, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rank FROM documents) WHERE rank <= 100",
+    "ordered_listing": "SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS place FROM documents",
+    "chunk_listing": f"""SELECT kb_id, doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(place AS INTEGER) AS place FROM
+ (SELECT source AS kb_id, doc_id, ordinal, row_number() OVER (PARTITION BY source ORDER BY doc_id, ordinal) AS place FROM ({CHUNKS})) WHERE place <= 100""",
     "vector_pairs": f"SELECT a.vec_id, round({dist('a.v', 'b.v')}, 6) AS distance FROM ({V}) a JOIN ({V}) b ON b.vec_id = a.vec_id + 1",
-    "single_topk": f"SELECT b.vec_id, round({dist('a.v', 'b.v')}, 6) AS distance FROM ({V}) a JOIN ({V}) b ON a.vec_id = 0 AND b.vec_id <> 0 ORDER BY {dist('a.v', 'b.v')}, b.vec_id LIMIT 20",
+    "single_topk": f"""WITH m AS (SELECT list(x ORDER BY i) AS v FROM (SELECT i, avg(v[i]) AS x FROM ({V}), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY i))
+ SELECT b.vec_id, round({dist('a.v', 'b.v')}, 6) AS distance FROM m a, ({V}) b ORDER BY round({dist('a.v', 'b.v')}, 9), b.vec_id LIMIT 20""",
     "outside_whitelist": "SELECT event_id, 'r' || (user_id % 3) AS role, event_type AS tool FROM events WHERE NOT ((user_id % 3 = 0 AND event_type IN ('click', 'view')) OR (user_id % 3 = 1 AND event_type = 'view') OR (user_id % 3 = 2 AND event_type = 'purchase'))",
     "exclude_deleted": "SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 0",
     "hydrate": f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, lang, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id || '.txt' END AS filename FROM ({near(5)}) JOIN documents ON doc_id = chunk_id",
@@ -195,4 +227,37 @@ ORACLES = {
     "message_tokens": f"""SELECT session_id, seq, {est("text")} + CASE WHEN role = 'assistant' THEN 2 * ((6 + length(CAST(seq AS VARCHAR))) // 4) ELSE 0 END + CASE WHEN seq % 3 = 0 THEN CAST(floor(2 * octet_length(encode(text)) / 750) AS BIGINT) ELSE 0 END AS tokens FROM ({M})""",
     "nonblank_turns": f"""WITH g AS (SELECT session_id, turn_no, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'delta'), '') AS text, max(event) FILTER (event IN ('tool_result', 'done', 'error')) AS closed_by FROM ({TURNS}) GROUP BY ALL)
  SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, coalesce(closed_by, 'error') = 'error' AS incomplete FROM g WHERE text <> ''""",
+    "fallback_title": f"""SELECT session_id, left(trim(regexp_replace(trim(string_split_regex(trim(t, chr(10) || chr(13) || chr(9) || ' '), '[\\n\\r]')[1], {EDGE}), '\\s+', ' ', 'g')), 20) AS title FROM (SELECT session_id, arg_max(text, seq) AS t FROM ({M}) WHERE role = 'user' GROUP BY session_id)""",
+    "transcript_export": f"""SELECT session_id, md5('# Conversation' || chr(10) || chr(10) || string_agg(CASE role WHEN 'user' THEN '## User' ELSE '## Assistant' END || chr(10) || chr(10) || CASE role WHEN 'user' THEN text ELSE trim(text) END, chr(10) || chr(10) ORDER BY seq)) AS transcript_md5
+ FROM ({M}) WHERE role NOT IN ('system', 'summary', 'warning', 'tool') AND (role <> 'assistant' OR trim(text) <> '') GROUP BY session_id""",
+    "transcript_with_tools": f"""WITH m AS (SELECT *, chr(10) || chr(10) AS nn FROM ({M})),
+ p AS (SELECT session_id, seq, CASE role WHEN 'user' THEN '## User' || nn || text WHEN 'tool' THEN '<details>' || chr(10) || '<summary>Tool call: find x</summary>' || nn || '```' || chr(10) || 'find  x' || nn || '--- result ---' || chr(10) || trim(text) || chr(10) || '```' || nn || '</details>'
+  ELSE '## Assistant' || nn || CASE WHEN seq % 4 = 3 THEN '<details>' || chr(10) || '<summary>Thinking</summary>' || nn || 'on ' || seq || nn || '</details>' || nn ELSE '' END || trim(text) END AS piece
+  FROM m WHERE role NOT IN ('system', 'summary', 'warning') AND (role <> 'assistant' OR trim(text) <> ''))
+ SELECT session_id, md5('# Conversation' || chr(10) || chr(10) || string_agg(piece, chr(10) || chr(10) ORDER BY seq)) AS transcript_md5 FROM p GROUP BY session_id""",
+    "token_rate_samples": f"""WITH e AS (SELECT session_id, us // 1000 AS ms, us FROM ({E})), w AS (SELECT session_id, (us // 250000 + k) * 250 AS "at" FROM e, LATERAL (SELECT unnest(range(1, 7)) AS k))
+ SELECT session_id, "at", round(count(*) / 1.5::DOUBLE, 6) AS rate FROM w GROUP BY ALL""",
+    "event_messages": f"""WITH e AS (SELECT session_id, seq, CASE event WHEN 'done' THEN 'tool_call' ELSE event END AS event, data, CASE WHEN seq % 7 = 0 THEN '' ELSE 'c-' || session_id || '-' || (seq // 100) END AS call_id FROM ({E})),
+ t AS (SELECT *, coalesce(sum(CASE WHEN event = 'tool_result' AND call_id <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn_no FROM e),
+ a AS (SELECT session_id, max(seq) AS seq, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'delta'), '') AS text, coalesce(sum(length(data)) FILTER (event = 'thinking'), 0) AS k, coalesce(string_agg(data, ',' ORDER BY seq) FILTER (event = 'tool_call'), '') AS args
+  FROM t WHERE event IN ('delta', 'thinking') OR (event = 'tool_call' AND call_id <> '') GROUP BY session_id, turn_no)
+ SELECT session_id, seq, 'assistant' AS role, md5(text) AS text_md5, CAST(k AS INTEGER) AS thinking_n, args, NULL AS tool_call_id FROM a
+ UNION ALL SELECT session_id, seq, 'tool', md5(data), 0, '', call_id FROM e WHERE event = 'tool_result' AND call_id <> ''""",
+    "group_by_source": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN source END AS source FROM documents)
+ SELECT source, CAST(dense_rank() OVER (ORDER BY CASE WHEN source = 'web' THEN 0 WHEN source <> '' THEN 1 ELSE 2 END, source) AS INTEGER) AS group_no, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS place, doc_id FROM d""",
+    "group_by_type": """SELECT event_type, CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER) AS group_no, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS place, event_id FROM events WHERE event_type IN ('click', 'view', 'purchase')""",
+    "compact_stats": f"""WITH c AS ({CUT}), k AS (SELECT session_id, head_end FROM c WHERE head_end < n AND session_id % 5 <> 0),
+ r AS (SELECT m.*, {est("text")} AS t, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i FROM ({M}) m)
+ SELECT session_id, CAST(count_if(i < head_end) AS BIGINT) AS removed, CAST(sum(t) AS BIGINT) AS tokens_before, CAST(coalesce(sum(t) FILTER (i >= head_end), 0) AS BIGINT) AS tokens_after, round(coalesce(sum(t) FILTER (i >= head_end), 0) / 1000.0::DOUBLE, 6) AS usage_after FROM r JOIN k USING (session_id) GROUP BY session_id""",
+    "called_tokens": f"""SELECT session_id, CAST(sum({est("text")} + CASE WHEN role = 'assistant' THEN 2 * (length('{{"q":' || seq || '}}') // 4) ELSE 0 END) AS BIGINT) AS tokens, count(*) AS n_messages FROM ({M}) GROUP BY session_id""",
+    "duplicates_of_stored": f"""WITH s AS (SELECT kb_id, doc_id, content_hash, CASE status WHEN 'failed' THEN status ELSE 'ready' END AS status FROM ({S})), r AS (SELECT kb_id, content_hash, arg_min(doc_id, (doc_id % 2) * 1000000000 + doc_id) AS f FROM s WHERE status = 'ready' GROUP BY ALL)
+ SELECT s.kb_id, s.doc_id, CASE WHEN f <> s.doc_id THEN f END AS duplicate_of FROM s LEFT JOIN r USING (kb_id, content_hash) WHERE doc_id % 2 = 1""",
+    "resolve_chat_provider": f"""WITH p AS ({SUP}), o AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 200 END AS own, CASE WHEN o_custkey % 4 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN o_custkey % 150 END AS ses FROM orders)
+ SELECT request_id, coalesce(a.provider_id, b.provider_id, (SELECT min(provider_id) FROM p WHERE is_default AND kind = 'chat')) AS provider_id FROM o LEFT JOIN p a ON a.provider_id = own LEFT JOIN p b ON b.provider_id = ses""",
+    "hidden_tools": """SELECT p_partkey, (p_partkey % 2 = 0 AND p_partkey % 5 IN (0, 3)) OR (p_partkey % 3 = 0 AND p_partkey % 4 <> 0 AND p_partkey % 5 IN (2, 4)) AS hidden FROM part""",
+    "delete_provider": """SELECT c_custkey, n_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey <> 3""",
+    "menu_filter": """SELECT p_partkey FROM part WHERE contains(lower(p_name), 'red') AND p_partkey % 3 <> 0""",
+    "validate_rules": """SELECT page_id, CASE WHEN strlen(html) + (page_id % 11 = 0)::INT > 5000 THEN 'size' WHEN page_id % 11 = 0 THEN 'encoding' END AS reason FROM pages""",
+    "rule_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, CASE WHEN len(l) >= 2 THEN l[2:3] ELSE l[1:2] END AS l FROM l)
+ SELECT doc_id, array_to_string(list_transform(l, lambda x, i: lpad(CAST(i AS VARCHAR), 6, ' ') || chr(9) || x), '|') AS shown FROM x""",
 }

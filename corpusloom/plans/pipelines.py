@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.text import est_tokens
 from ..functions.vectors import hash_embedding
 from ..operators import chunking, history, models, retrieval, tables
 from ..streaming import turns
 
 
-def ingest(docs: DataFrame, cache: DataFrame, model: str = "hash", call: Callable | None = None) -> dict[str, DataFrame]:
-    """documents, chunks, vectors, postings and cache of docs (kb_id, doc_id, text, created). Copies within a base are not chunked."""
-    hashed = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("status", F.lit("ready"))
-    known = tables.find_duplicates(hashed).withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("ready"))
+def ingest(docs: DataFrame, cache: DataFrame, model: str = "hash", call: Callable | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
+    """documents, chunks, vectors, postings and cache of docs (kb_id, doc_id, text, created). Copies within a base are not chunked, nor
+    are copies of what stands in existing (documents of earlier runs); documents without text have the status failed."""
+    blank = F.coalesce(F.btrim("text"), F.lit("")) == ""
+    hashed = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("status", F.when(blank, "failed").otherwise("ready"))
+    known = tables.find_duplicates(hashed, existing).withColumn("status", F.when(F.col("status") == "failed", "failed").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("ready"))
     chunks = chunking.parent_child(known.filter("status = 'ready'")).withColumn("token_count", est_tokens(F.col("text")))
     leaves, grown = models.embed(chunks.filter("parent_id IS NOT NULL"), cache, model, call)
     counts = chunks.groupBy("kb_id", "doc_id").agg(F.count_if(F.col("parent_id").isNotNull()).alias("chunk_total"))
@@ -53,20 +56,61 @@ def compact(messages: DataFrame, window: int, keep: int, call: Callable[[str], s
 
 
 def display(messages: DataFrame) -> DataFrame:
-    return history.pair_tool_results(messages).orderBy("session_id", "seq", "call_no")
+    """Rows to show: calls beside their results with a stable id and readable arguments, other rows as they are, in order. messages: session_id, seq, role, text, tool_calls, tool_call_id; tool_calls may be its JSON text."""
+    if dict(messages.dtypes)["tool_calls"] == "string":
+        messages = messages.withColumn("tool_calls", tx.parse_tool_calls(F.col("tool_calls")))
+    rows = history.pair_tool_results(messages)
+    call = F.col("kind") == "call"
+    shown = rows.withColumn("display_id", F.when(call, tx.stable_display_id(F.concat_ws("-", "session_id", "seq"), F.col("call_id")))).withColumn("text", F.when(call, tx.display_tool_args(F.col("text"))).otherwise(F.col("text")))
+    return shown.orderBy("session_id", "seq", "call_no")
 
 
-def assemble(events: DataFrame) -> DataFrame:
-    return turns.assemble_turns(events)
+def assemble(events: DataFrame) -> dict[str, DataFrame]:
+    """messages (assistant turns with their calls, and tool rows), turns and generation rates of event rows (session_id, seq, ts, event, data)."""
+    return {"messages": turns.assemble_messages(events), "turns": turns.nonblank_turns(turns.assemble_turns(events)), "rates": turns.generation_rate(events)}
 
 
-def incremental_ingest(files: DataFrame, target: str, checkpoint: str, kb_id: str):
-    """New files of a stream (binaryFile) to chunks under target. The checkpoint is the resume point; a batch that runs again writes the same folder."""
+def stored(spark: SparkSession, target: str, name: str, schema: str) -> DataFrame:
+    """A table of an ingest's target, or no rows where it hasn't been written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(f"{target}/{name}") if there else spark.createDataFrame([], schema)
+
+
+STORED = {
+    "documents": "kb_id string, doc_id string, content_hash string, status string, created timestamp, duplicate_of string, chunk_total long, batch long",
+    "chunks": "kb_id string, doc_id string, chunk_id string, parent_id string, kind string, ordinal int, text string, token_count long, batch long",
+    "vectors": "kb_id string, chunk_id string, embedding array<double>, batch long",
+    "postings": "kb_id string, chunk_id string, pos int, trigram string, batch long",
+    "cache": "model string, text_hash string, embedding array<double>, batch long",
+}
+
+
+def incremental_ingest(files: DataFrame, target: str, checkpoint: str, kb_id: str, model: str = "hash", call: Callable | None = None):
+    """New files of a stream (binaryFile) to documents, chunks, vectors, postings and cache under target, one folder a batch.
+
+    What earlier batches stored is looked up: copies of its documents are marked, vectors of its texts are taken from the cache.
+    The checkpoint is the resume point; a batch that runs again reads what was there before it and writes the same folders."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        docs = rows.select(F.lit(kb_id).alias("kb_id"), F.sha2(F.col("path").cast("binary"), 256).alias("doc_id"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("created"))
-        hashed = docs.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("status", F.lit("ready"))
-        fresh = tables.find_duplicates(hashed).filter("duplicate_of IS NULL")
-        chunking.parent_child(fresh).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark = rows.sparkSession
+        docs = rows.select(F.lit(kb_id).alias("kb_id"), F.sha2(F.col("path").cast("binary"), 256).alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("created"))
+        before = lambda name: stored(spark, target, name, STORED[name]).filter(F.col("batch") < number)
+        made = ingest(docs, before("cache").drop("batch"), model, call, before("documents"))
+        new = made["cache"].join(before("cache").select("model", "text_hash"), ["model", "text_hash"], "left_anti")
+        for name, out in (made | {"cache": new}).items():
+            columns = [c.split()[0] for c in STORED[name].split(", ") if not c.startswith("batch ")]
+            types = dict(c.split() for c in STORED[name].split(", "))
+            out.select(*[F.col(c).cast(types[c]).alias(c) for c in columns]).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rebuild_documents(docs: DataFrame, tables_: dict[str, DataFrame], cache: DataFrame, model: str = "hash", call: Callable | None = None) -> dict[str, DataFrame]:
+    """The tables of an ingest (documents, chunks, vectors, postings) with docs (kb_id, doc_id, text, created) made anew: what they had is cleared first, then they are ingested from zero."""
+    again = docs.select("kb_id", "doc_id")
+    old = tables_["chunks"].join(again, ["kb_id", "doc_id"], "left_semi").select("kb_id", "chunk_id")
+    rest = {"documents": tables.exclude(tables_["documents"], again, ["kb_id", "doc_id"]), "chunks": tables.exclude(tables_["chunks"], again, ["kb_id", "doc_id"])}
+    rest |= {name: tables.exclude(tables_[name], old, ["kb_id", "chunk_id"]) for name in ("vectors", "postings")}
+    made = ingest(docs, cache, model, call, rest["documents"])
+    return {name: rest[name].unionByName(made[name], allowMissingColumns=True) for name in rest} | {"cache": made["cache"]}

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import bucket_of, l2_distance, trigrams
+from ..functions.vectors import hash_counts, hash_embedding, l2_distance
 from ..operators import chunking, history, retrieval, tables
+from ..streaming import turns
+from . import pipelines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,10 @@ def vector_threshold(spark, d):
 
 
 def phrase_queries(spark, d):
+    """Every sentence of every item, in every base."""
     bases = table(spark, d, "documents").select(F.col("source").alias("kb_id")).distinct()
-    phrases = table(spark, d, "benchmark").select("item_id", F.left("text", F.lit(12)).alias("phrase"))
-    return phrases.join(F.broadcast(bases), F.lit(True)).select(F.concat_ws("/", "item_id", "kb_id").alias("query_id"), "kb_id", "phrase")
+    phrases = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("no", "phrase")).withColumn("phrase", F.btrim("phrase"))
+    return phrases.join(bases, F.lit(True)).select(F.concat_ws("/", "item_id", "no", "kb_id").alias("query_id"), "kb_id", "phrase")
 
 
 def doc_chunks(spark, d):
@@ -106,6 +109,20 @@ def hybrid_search(spark, d):
     return retrieval.similarity_threshold(kept).select("query_id", "found_id", F.round("score", 6).alias("score"), "rank")
 
 
+def searchable(spark, d):
+    """Chunks of all documents by windows, and the vectors of their leaves."""
+    chunks = chunking.parent_child(corpus(spark, d), cut=lambda text, size, overlap: tx.fixed_windows(text, size))
+    return chunks, chunks.filter("parent_id IS NOT NULL").select("kb_id", "chunk_id", hash_embedding(F.col("text")).alias("embedding"))
+
+
+def search_documents(spark, d):
+    """The whole retrieval: the longest sentence of each document whose id is divisible by 100, over the chunks of its base."""
+    sentences = F.transform(F.split("text", r"[.!?\n]+"), lambda s, i: F.struct(F.length(F.btrim(s)).alias("n"), (-i).alias("at"), F.btrim(s).alias("s")))
+    queries = corpus(spark, d).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "kb_id", F.array_max(sentences)["s"].alias("query"))
+    chunks, vectors = searchable(spark, d)
+    return pipelines.search(queries, chunks, vectors).select("query_id", "found_id", F.round("score", 6).alias("score"), "rank", F.length("found_text").alias("n"))
+
+
 def retrieval_audit(spark, d):
     hits = retrieval.with_score(near(spark, d, 5)).withColumn("text", F.concat(F.lit("chunk "), F.col("chunk_id").cast("string")))
     return retrieval.retrieval_audit(hits, 0.9).select("query_id", "chunk_id", "rank", "verdict", "preview")
@@ -227,7 +244,7 @@ def last_user_text(spark, d):
 
 def fallback_title(spark, d):
     first = history.last_user_text(messages(spark, d))
-    return first.select("session_id", F.left(F.regexp_replace(F.get(F.split(F.btrim("text"), "\n"), F.lit(0)), r"\s+", " "), F.lit(20)).alias("title"))
+    return first.select("session_id", tx.fallback_title(F.col("text")).alias("title"))
 
 
 def tool_budget(spark, d):
@@ -373,7 +390,7 @@ def task_board(spark, d):
 
 def merge_unique(spark, d):
     rows = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.when(F.col("event_type") == "click", F.col("event_id") % 20))).alias("a"), F.sort_array(F.collect_set(F.when(F.col("event_type") == "view", F.col("event_id") % 30))).alias("b"))
-    return rows.select("user_id", F.concat_ws(",", F.array_union("a", "b").cast("array<string>")).alias("merged"))
+    return rows.select("user_id", F.concat_ws(",", tables.merge_unique(F.col("a"), F.col("b")).cast("array<string>")).alias("merged"))
 
 
 def stream_events(spark, d):
@@ -383,24 +400,30 @@ def stream_events(spark, d):
 
 def token_rate_window(spark, d):
     """Events of the trailing 1.5 seconds, a token each, as a rate at every event."""
-    micros = F.unix_micros("ts")
-    trailing = Window.partitionBy("session_id").orderBy("us").rangeBetween(-1_500_000 + 1, 0)
-    return stream_events(spark, d).withColumn("us", micros).select("seq", F.round(F.count("*").over(trailing) / 1.5, 6).alias("rate"))
+    return turns.token_rate(stream_events(spark, d).withColumn("tokens", F.lit(1))).select("seq", "rate")
 
 
 def generation_rate(spark, d):
-    first = F.min(F.when(F.col("event").isin("delta", "thinking"), F.unix_micros("ts")))
-    last = F.max(F.when(F.col("event") == "done", F.unix_micros("ts")))
-    out = F.sum(F.when(F.col("event") == "delta", 1))
-    rows = stream_events(spark, d).groupBy("session_id").agg(first.alias("first"), last.alias("last"), out.alias("tokens"))
-    return rows.select("session_id", F.round(F.when((F.col("tokens") > 0) & (F.col("last") > F.col("first")), F.col("tokens") * 1e6 / (F.col("last") - F.col("first"))), 9).alias("rate"))
+    return turns.generation_rate(stream_events(spark, d))
+
+
+def token_rate_samples(spark, d):
+    """The same rates at every full quarter of a second that an event's window reaches."""
+    return turns.token_rate_stream(stream_events(spark, d).withColumn("tokens", F.lit(1))).select("session_id", F.unix_millis("at").alias("at"), "rate")
 
 
 def turn_assembly(spark, d):
-    from ..streaming.turns import assemble_turns
+    found = turns.assemble_turns(stream_events(spark, d))
+    return found.select("session_id", "turn_no", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("thinking").alias("thinking_n"), "closed_by")
+
 
-    turns = assemble_turns(stream_events(spark, d))
-    return turns.select("session_id", "turn_no", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("thinking").alias("thinking_n"), "closed_by")
+def event_messages(spark, d):
+    """Purchases as results and signups as calls of the call c (user id, event id divided by 100); one in seven has no id."""
+    rows = stream_events(spark, d)
+    call_id = F.when(F.col("seq") % 7 == 0, "").otherwise(F.concat_ws("-", F.lit("c"), F.col("session_id").cast("string"), F.expr("seq div 100").cast("string")))
+    data = F.when(F.col("event") == "tool_result", F.to_json(F.struct(call_id.alias("call_id"), F.col("data").alias("content")))).when(F.col("event") == "done", F.to_json(F.struct(call_id.alias("call_id"), F.lit("buy").alias("tool"), F.struct(F.col("data").alias("raw")).alias("input")))).otherwise(F.col("data"))
+    found = turns.assemble_messages(rows.withColumn("data", data).withColumn("event", F.when(F.col("event") == "done", "tool_call").otherwise(F.col("event"))))
+    return found.select("session_id", "seq", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("thinking").alias("thinking_n"), F.concat_ws(",", "tool_calls.args").alias("args"), "tool_call_id")
 
 
 def fragments(spark, d):
@@ -409,18 +432,16 @@ def fragments(spark, d):
 
 
 def tool_call_fragments(spark, d):
-    from ..streaming.turns import assemble_tool_calls
-
-    return assemble_tool_calls(fragments(spark, d)).select("stream", "idx", "id", "name", F.md5(F.col("args").cast("binary")).alias("args_md5"), "first_seq")
+    return turns.assemble_tool_calls(fragments(spark, d)).select("stream", "idx", "id", "name", F.md5(F.col("args").cast("binary")).alias("args_md5"), "first_seq")
 
 
 def session_status(spark, d):
-    return stream_events(spark, d).groupBy("session_id").agg(F.max_by("event", "seq").alias("status"), F.max("seq").alias("seq"))
+    return turns.session_status_stream(stream_events(spark, d))
 
 
 def reasoning_split(spark, d):
-    a, b = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("lang")), F.col("source")
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).alias("reasoning"))
+    a = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", turns.reasoning_of(a, F.col("source")).alias("reasoning"))
 
 
 def subquery_parse(spark, d):
@@ -436,8 +457,8 @@ def qa_parse(spark, d):
 
 def hash_embed(spark, d):
     """The default embedder's counts before they are normalised."""
-    grams = corpus(spark, d).select("doc_id", F.explode_outer(trigrams(F.col("text"))).alias("t")).filter("t IS NOT NULL").select("doc_id", bucket_of(F.col("t")).alias("slot"))
-    return grams.groupBy("doc_id", "slot").agg(F.count("*").alias("n"))
+    slots = corpus(spark, d).select("doc_id", F.posexplode(hash_counts(F.col("text"))).alias("slot", "n"))
+    return slots.filter("n > 0").select("doc_id", "slot", F.col("n").cast("long").alias("n"))
 
 
 def route_parser(spark, d):
@@ -460,13 +481,26 @@ def short_times(spark, d):
 
 
 def group_by_source(spark, d):
-    rows = table(spark, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return rows.select("source", F.md5(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_md5"), F.size("ids").alias("n"))
+    """Documents by source, one source first, blank ones last."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 50 != 0, F.col("source")).alias("source"))
+    return tables.grouped(docs, "source", "doc_id", first="web").select("source", "group_no", "place", "doc_id")
+
+
+def group_by_type(spark, d):
+    """Events by the types that count."""
+    return tables.grouped(table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", known=("click", "view", "purchase")).select("event_type", "group_no", "place", "event_id")
 
 
 def ordered_listing(spark, d):
-    """The newest document of each language, largest id first."""
-    return retrieval.top_per(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], [F.col("doc_id").desc()], 100).select("lang", "doc_id", "rank")
+    """All documents of each language in order of age."""
+    docs = table(spark, d, "documents").select("lang", "doc_id")
+    return tables.ordered_listing(docs, ["lang"], [F.col("doc_id")]).select("lang", "doc_id", "place")
+
+
+def chunk_listing(spark, d):
+    """The first 100 chunks of each base by document and place: the listing's own limit."""
+    chunks = chunking.parent_child(corpus(spark, d), cut=lambda text, size, overlap: tx.fixed_windows(text, size))
+    return tables.ordered_listing(chunks, ["kb_id"], [F.col("doc_id"), F.col("ordinal")], 100).select("kb_id", "doc_id", "ordinal", "place")
 
 
 def vector_pairs(spark, d):
@@ -477,11 +511,12 @@ def vector_pairs(spark, d):
 
 
 def single_topk(spark, d):
-    """The 20 vectors nearest to the first one: one query needs no window."""
-    vectors = table(spark, d, "embeddings")
-    first = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    ranked = vectors.filter("vec_id <> 0").join(F.broadcast(first), F.lit(True)).select("vec_id", l2_distance(F.col("q"), F.col("embedding")).alias("distance"))
-    return ranked.orderBy("distance", "vec_id").limit(20).select("vec_id", F.round("distance", 6).alias("distance"))
+    """The 20 vectors nearest to the mean of all: one query needs no window."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    means = vectors.select(F.posexplode("embedding").alias("at", "x")).groupBy("at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centre = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda m: m["x"]).alias("q"))
+    ranked = vectors.join(F.broadcast(centre), F.lit(True)).select("vec_id", l2_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    return ranked.orderBy(F.round("distance", 9), "vec_id").limit(20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def outside_whitelist(spark, d):
@@ -536,9 +571,7 @@ def validate_entries(spark, d):
 
 
 def live_text(spark, d):
-    from ..streaming.turns import live_text as shown
-
-    return shown(stream_events(spark, d)).select("session_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return turns.live_text(stream_events(spark, d)).select("session_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def first_by_id(spark, d):
@@ -557,16 +590,72 @@ def message_tokens(spark, d):
 
 
 def nonblank_turns(spark, d):
-    """Assembled turns that an error or nothing closed are incomplete."""
-    from ..streaming.turns import assemble_turns
+    return turns.nonblank_turns(turns.assemble_turns(stream_events(spark, d))).select("session_id", "turn_no", "incomplete")
+
+
+def compact_stats(spark, d):
+    rows = with_calls(spark, d)
+    cuts = history.split_head_tail(rows, 300)
+    summaries = cuts.filter("session_id % 5 <> 0").select("session_id", F.lit("summary").alias("summary"))
+    return history.compact_stats(rows, cuts, summaries, 1000)
+
+
+def called_tokens(spark, d):
+    """Tokens of sessions whose assistant turns carry calls."""
+    return history.history_tokens(called(spark, d))
+
+
+def transcript_with_tools(spark, d):
+    rows = messages(spark, d).withColumn("thinking", F.when(F.col("seq") % 4 == 3, F.concat(F.lit(" on "), F.col("seq").cast("string")))).withColumn("text", F.when(F.col("role") == "tool", F.concat(F.lit("find  x"), F.lit(history.RESULT_MARK), F.col("text"))).otherwise(F.col("text")))
+    return history.export_transcript(rows, thinking=True, tools=True).select("session_id", F.md5(F.col("transcript").cast("binary")).alias("transcript_md5"))
+
+
+def duplicates_of_stored(spark, d):
+    """Documents with odd ids against those with even ids as stored ones."""
+    docs = statuses(spark, d).withColumn("status", F.when(F.col("status") == "failed", "failed").otherwise("ready"))
+    return tables.find_duplicates(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0")).select("kb_id", "doc_id", "duplicate_of")
+
+
+def resolve_chat_provider(spark, d):
+    """Orders as requests: of their customer as session, every third with an override of its own."""
+    override = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 200)
+    requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("session_id"), override.alias("override"))
+    sessions = table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("session_id"), (F.col("c_custkey") % 150).alias("provider_id"))
+    return tables.resolve_chat_provider(requests, sessions, suppliers_as_providers(spark, d)).select("request_id", "provider_id")
+
+
+def hidden_tools(spark, d):
+    """Parts as tools: names by brand and key."""
+    names = F.element_at(F.array(*map(F.lit, ("file_write", "web_search", "My_OCR_tool", "file_edit", "take_screenshot"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    tools = table(spark, d, "part").select("p_partkey", names.alias("tool"), (F.col("p_partkey") % 2 == 0).alias("plan_mode"), (F.col("p_partkey") % 3 == 0).alias("vision"), (F.col("p_partkey") % 4 != 0).alias("has_images"))
+    return tables.hidden_tools(tools).select("p_partkey", "hidden")
+
+
+def delete_provider(spark, d):
+    """One nation gone, and the references of customers and suppliers to it cleared."""
+    out = tables.delete_provider({"customers": (table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"])}, table(spark, d, "nation").select("n_nationkey"), 3, "n_nationkey")
+    return out["customers"].join(out["providers"], F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_nationkey")
+
+
+def menu_filter(spark, d):
+    entries = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "global").otherwise("project").alias("source"))
+    return tables.menu_filter(entries, " RED ", skills=True).select("p_partkey")
+
+
+def validate_rules(spark, d):
+    """Pages as rule files, one in eleven with a byte that no UTF-8 text has."""
+    content = F.when(F.col("page_id") % 11 == 0, F.concat(F.encode("html", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("html", "UTF-8"))
+    return tables.validate_rules(table(spark, d, "pages").select("page_id", content.alias("content")), 5000).select("page_id", "reason")
+
 
-    turns = assemble_turns(stream_events(spark, d)).filter("text <> ''")
-    return turns.select("session_id", "turn_no", (F.coalesce("closed_by", F.lit("error")) == "error").alias("incomplete"))
+def rule_lines(spark, d):
+    """Lines of documents as read by a viewer: from the second on, two of them."""
+    return corpus(spark, d).select("doc_id", F.concat_ws("|", tx.read_lines(F.col("text"), 2, 2)).alias("shown"))
 
 
 def chunk_preview(spark, d):
     return corpus(spark, d).select("doc_id", F.posexplode(chunking.chunk(F.col("text"))).alias("ordinal", "piece")).select("doc_id", "ordinal", F.length("piece").alias("n"))
 
 
-NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "bucket_of", "l2_distance", "trigrams"}
+NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "hash_counts", "hash_embedding", "l2_distance", "searchable"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in NOT_QUERIES}

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import path_escapes, sniff_mime, table_cell
+
 #: Folders that no listing enters, and languages by file ending.
 EXCLUDED = (".git", "node_modules", "dist", "build", "target", "vendor", ".next", ".idea", ".vscode")
 LANGUAGES = {
@@ -20,13 +22,18 @@ LANGUAGES = {
 MAX_FILES, MAX_BYTES, PROBE = 2000, 262_144, 1024
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as UTF-8 text; what is no UTF-8 becomes replacement marks, so one odd file fails no job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, modificationTime, length, content of every file."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return read_files(spark, path).select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
+    return read_files(spark, path).select("path", "modificationTime", text_of(F.col("content")).alias("text"))
 
 
 def docx_rows(content: bytes) -> tuple[str, list[dict], str | None]:
@@ -85,11 +92,12 @@ def extract_docx(files: DataFrame) -> DataFrame:
             rows = [docx_rows(c) for c in p["content"]]
             yield pd.DataFrame({"path": p["path"], "text": [r[0] for r in rows], "images": [r[1] for r in rows], "error": [r[2] for r in rows]})
 
-    return files.select("path", "content").mapInPandas(read, "path string, text string, images array<struct<idx:int,data:binary>>, error string")
+    found = files.select("path", "content").mapInPandas(read, "path string, text string, images array<struct<idx:int,data:binary>>, error string")
+    return found.withColumn("images", F.transform("images", lambda i: F.struct(i["idx"].alias("idx"), i["data"].alias("data"), sniff_mime(i["data"]).alias("mime"))))
 
 
 def extract_xlsx(files: DataFrame) -> DataFrame:
-    """path, sheet, sheet_no, row_no, cells of each row that isn't empty."""
+    """path, sheet, sheet_no, row_no, cells of each row that isn't empty, and error; a file that can't be read is one row with its error."""
 
     def sheets(content: bytes):
         import io
@@ -120,16 +128,20 @@ def extract_xlsx(files: DataFrame) -> DataFrame:
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [(path, *row) for path, content in zip(p["path"], p["content"]) for row in sheets(content)]
-            yield pd.DataFrame(out, columns=["path", "sheet", "sheet_no", "row_no", "cells"])
+            out = []
+            for path, content in zip(p["path"], p["content"]):
+                try:
+                    out += [(path, *row, None) for row in list(sheets(content))]
+                except Exception as e:  # a broken file is a row with an error, not a lost job
+                    out.append((path, None, 0, 0, [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "sheet", "sheet_no", "row_no", "cells", "error"])
 
-    return files.select("path", "content").mapInPandas(read, "path string, sheet string, sheet_no int, row_no int, cells array<string>")
+    return files.select("path", "content").mapInPandas(read, "path string, sheet string, sheet_no int, row_no int, cells array<string>, error string")
 
 
 def markdown_table(rows: DataFrame) -> DataFrame:
     """path and text: each sheet as a Markdown table, with its name as a heading where there are several."""
-    from ..functions.text import table_cell
-
+    rows = rows.filter("error IS NULL") if "error" in rows.columns else rows
     of_sheet, of_path = Window.partitionBy("path", "sheet_no"), Window.partitionBy("path")
     wide = rows.withColumn("width", F.max(F.size("cells")).over(of_sheet)).withColumn("first", F.min("row_no").over(of_sheet)).withColumn("sheets", F.max("sheet_no").over(of_path) - F.min("sheet_no").over(of_path) + 1)
     cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: table_cell(F.get("cells", i)))
@@ -170,16 +182,24 @@ def file_snippets(files: DataFrame, limit: int = MAX_BYTES) -> DataFrame:
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     binary = is_binary(F.col("content"))
-    cut = F.concat(F.decode(F.substring("content", 1, limit), "UTF-8"), F.when(F.col("length") > limit, "\n… [truncated]").otherwise(""))
+    # A character that the limit cuts is left out.
+    head = text_of(F.substring("content", 1, limit))
+    cut = F.concat(F.when(F.col("length") > limit, F.regexp_replace(head, "\ufffd+$", "")).otherwise(head), F.when(F.col("length") > limit, "\n… [truncated]").otherwise(""))
     return files.select("path", F.coalesce(F.element_at(names, ending), F.lit("")).alias("language"), readable_size(F.col("length")).alias("size"), binary.alias("binary"), F.when(~binary, cut).alias("snippet"))
 
 
-def attachment_block(requests: DataFrame, snippets: DataFrame) -> DataFrame:
-    """One text for requests (no, path): a header and snippet each; paths that escape or aren't there are noted."""
-    from ..functions.text import path_escapes
-
-    joined = requests.join(snippets.withColumnRenamed("path", "_path"), F.endswith("_path", F.concat(F.lit("/"), F.col("path"))), "left")
-    body = F.when(path_escapes(F.col("path")), "[path is outside the folder]").when(F.col("_path").isNull(), "[not found]").when(F.col("binary"), "[binary file]").otherwise(F.concat(F.lit("```"), F.col("language"), F.lit("\n"), F.col("snippet"), F.lit("\n```")))
+def attachment_block(requests: DataFrame, snippets: DataFrame, root: str, limit: int = MAX_FILES) -> DataFrame:
+    """One text for requests (no, path below root): a header and a snippet for each file, a list of its files for each folder; paths that
+    escape or aren't there are noted. The requests are one turn's, so one text is their result."""
+    below = F.expr("path").substr(F.locate(root.rstrip("/") + "/", F.col("path")) + len(root.rstrip("/")) + 1, F.length("path"))
+    files = snippets.filter(F.contains("path", F.lit(root.rstrip("/") + "/"))).withColumn("rel", below).drop("path")
+    parts = F.split("rel", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    asked = requests.withColumn("rel", F.regexp_replace(F.regexp_replace("path", r"^(\./)+|/+$", ""), r"^\.$", ""))
+    listed = asked.join(files.select(F.explode(above).alias("rel"), F.col("rel").alias("file")), "rel").groupBy("no").agg(F.array_join(F.slice(F.sort_array(F.collect_list("file")), 1, limit), "\n").alias("files"))
+    joined = asked.join(files, "rel", "left").join(listed, "no", "left")
+    text = F.when(F.col("binary"), "[binary file]").otherwise(F.concat(F.lit("```"), F.col("language"), F.lit("\n"), F.col("snippet"), F.lit("\n```")))
+    body = F.when(path_escapes(F.col("path")), "[path is outside the folder]").when(F.col("binary").isNotNull(), text).when(F.col("files").isNotNull(), F.col("files")).otherwise("[not found]")
     piece = F.concat(F.lit("### "), F.col("path"), F.lit("\n"), body)
     return joined.agg(F.concat_ws("\n\n", F.transform(F.sort_array(F.collect_list(F.struct("no", piece.alias("piece")))), lambda x: x["piece"])).alias("block"))
 
@@ -200,7 +220,7 @@ def frontmatter(texts: DataFrame) -> DataFrame:
 
 def frontmatter_catalog(files: DataFrame) -> DataFrame:
     """name, description, type, body, updated_at of notes with a valid header and name, newest first."""
-    texts = files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", "modificationTime", F.decode("content", "UTF-8").alias("text"))
+    texts = files.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", "modificationTime", text_of(F.col("content")).alias("text"))
     field = lambda k: F.element_at("fields", F.lit(k))
     found = frontmatter(texts).select(field("name").alias("name"), field("description").alias("description"), field("type").alias("type"), "body", F.col("modificationTime").alias("updated_at"))
     return found.filter(F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$") & (F.length("name") <= 64)).orderBy(F.col("updated_at").desc(), "name")
@@ -210,7 +230,7 @@ def skill_catalog(roots: list[tuple[str, DataFrame]], disabled: DataFrame) -> Da
     """id (source:folder), name, description, source, enabled of each SKILL.md; of equal ids the first root's stays."""
     out = None
     for no, (source, files) in enumerate(roots):
-        texts = files.filter(F.endswith("path", F.lit("/SKILL.md"))).select("path", F.decode("content", "UTF-8").alias("text"))
+        texts = files.filter(F.endswith("path", F.lit("/SKILL.md"))).select("path", text_of(F.col("content")).alias("text"))
         folder = F.element_at(F.split("path", "/"), -2)
         rows = frontmatter(texts).select(F.concat(F.lit(source + ":"), folder).alias("id"), F.coalesce(F.element_at("fields", F.lit("name")), folder).alias("name"), F.element_at("fields", F.lit("description")).alias("description"), F.lit(source).alias("source"), F.lit(no).alias("_no"), "path")
         out = rows if out is None else out.unionByName(rows)

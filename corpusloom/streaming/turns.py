@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import TOOL_CALLS
+
 BOUNDARIES = ("tool_result", "done", "error")
 
 
@@ -27,6 +29,56 @@ def assemble_turns(events: DataFrame) -> DataFrame:
     return turns.filter((F.col("text") != "") | (F.col("thinking") != ""))
 
 
+CALL = "struct<call_id:string,tool:string,input:struct<raw:string>>"
+RESULT = "struct<call_id:string,content:string>"
+
+
+def assemble_messages(events: DataFrame) -> DataFrame:
+    """session_id, seq, role, text, thinking, tool_calls, tool_call_id: what a run leaves in the history.
+
+    events: session_id, seq, event, data; data is the text of a delta or thinking event, and JSON of a tool_call (call_id, tool, input.raw)
+    or tool_result (call_id, content). A result closes the assistant turn before it and is a row of its own; calls without id or
+    name and results without id are ignored; a turn without text, thinking and calls is no row."""
+    result, call = F.from_json("data", RESULT), F.from_json("data", CALL)
+    rows = events.withColumn("result", F.when(F.col("event") == "tool_result", result)).withColumn("call", F.when(F.col("event") == "tool_call", call))
+    closes = F.coalesce(F.col("result.call_id"), F.lit("")) != ""
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("turn_no", F.coalesce(F.sum(F.when(closes, 1).otherwise(0)).over(before), F.lit(0)))
+    named = (F.coalesce("call.call_id", F.lit("")) != "") & (F.coalesce("call.tool", F.lit("")) != "")
+    calls = F.collect_list(F.when(named, F.struct("seq", F.col("call.call_id").alias("id"), F.col("call.tool").alias("name"), F.coalesce("call.input.raw", F.lit("")).alias("args"))))
+    text, thinking = F.when(F.col("event") == "delta", F.col("data")), F.when(F.col("event") == "thinking", F.col("data"))
+    pieces = rows.filter(F.col("event").isin("delta", "thinking") | named)
+    turns = pieces.groupBy("session_id", "turn_no").agg(_ordered(text).alias("text"), _ordered(thinking).alias("thinking"), F.sort_array(calls).alias("calls"), F.max("seq").alias("seq"))
+    turns = turns.filter((F.col("text") != "") | (F.col("thinking") != "") | (F.size("calls") > 0))
+    assistant = turns.select("session_id", "seq", F.lit("assistant").alias("role"), "text", "thinking", F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["args"].alias("args"))).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
+    tool = rows.filter(closes).select("session_id", "seq", F.lit("tool").alias("role"), F.coalesce("result.content", F.lit("")).alias("text"), F.lit("").alias("thinking"), F.array().cast(TOOL_CALLS).alias("tool_calls"), F.col("result.call_id").alias("tool_call_id"))
+    return assistant.unionByName(tool)
+
+
+def token_rate(events: DataFrame, window_ms: int = 1500) -> DataFrame:
+    """events (session_id, seq, ts, tokens) with rate: tokens a second in the window that ends at each event."""
+    trailing = Window.partitionBy("session_id").orderBy(F.unix_micros("ts")).rangeBetween(-1000 * window_ms + 1, 0)
+    return events.withColumn("rate", F.round(F.sum("tokens").over(trailing) / (window_ms / 1000), 6))
+
+
+def generation_rate(events: DataFrame) -> DataFrame:
+    """session_id and rate: deltas a second from the first token to the last end, where both spans are positive."""
+    first = F.min(F.when(F.col("event").isin("delta", "thinking"), F.unix_micros("ts")))
+    last = F.max(F.when(F.col("event") == "done", F.unix_micros("ts")))
+    rows = events.groupBy("session_id").agg(first.alias("first"), last.alias("last"), F.count_if(F.col("event") == "delta").alias("tokens"))
+    return rows.select("session_id", F.round(F.when((F.col("tokens") > 0) & (F.col("last") > F.col("first")), F.col("tokens") * 1e6 / (F.col("last") - F.col("first"))), 9).alias("rate"))
+
+
+def reasoning_of(preferred: Column, other: Column) -> Column:
+    """The first of two reasoning fields that isn't empty."""
+    return F.coalesce(F.nullif(preferred, F.lit("")), F.nullif(other, F.lit("")))
+
+
+def nonblank_turns(turns: DataFrame) -> DataFrame:
+    """turns with text, and incomplete: whether an error or nothing closed them."""
+    return turns.filter("text <> ''").withColumn("incomplete", F.coalesce("closed_by", F.lit("error")) == "error")
+
+
 def live_text(events: DataFrame) -> DataFrame:
     """Each session's shown text: deltas in order, leading blanks dropped."""
     shown = events.filter("event = 'delta' AND data <> ''")
@@ -112,33 +164,99 @@ def assemble_turns_stream(events: DataFrame, idle_ms: int | None = 60_000) -> Da
     return events.groupBy("session_id").transformWithStateInPandas(TurnAssembler(idle_ms), TURN, "append", "none" if idle_ms is None else "processingTime")
 
 
+CALLS = "stream long, idx long, id string, name string, args string, first_seq long"
+
+
+class CallAssembler(StatefulProcessor):
+    """The calls of one stream that are open; a row of an end (done true) gives them out in order of first appearance."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getMapState("open", "idx long", "id string, name string, args string, first_seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            if row.done:
+                calls = sorted(((k[0], *v) for k, v in self.open.iterator()), key=lambda c: c[4])
+                out += [(key[0], *c) for c in calls if c[1] and c[2]]
+                self.open.clear()
+                continue
+            at = (int(row.idx),)
+            known = self.open.getValue(at) if self.open.containsKey(at) else ("", "", "", int(row.seq))
+            self.open.updateValue(at, (row.id or known[0], row.name or known[1], known[2] + (row.args or ""), known[3]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_tool_calls_stream(fragments: DataFrame) -> DataFrame:
+    """As assemble_tool_calls, for a stream whose fragments have a column done: a row with it true ends its stream."""
+    return fragments.groupBy("stream").transformWithStateInPandas(CallAssembler(), CALLS, "append", "none")
+
+
+def replay(board: dict[int, list], used: set[int], log: pd.DataFrame) -> None:
+    """The log's rows in order of seq, applied to a board of id: [status, blockers]."""
+    for x in log.sort_values("seq").itertuples(index=False):
+        number = int(x.id)
+        if x.op == "create" and number not in used:
+            used.add(number)
+            board[number] = ["pending", [] if x.blocked_by is None else [int(b) for b in x.blocked_by]]
+        elif x.op == "delete":
+            board.pop(number, None)
+        elif x.op == "update" and number in board:
+            blocked = any(board.get(b, [""])[0] != "completed" for b in board[number][1])
+            if x.status == "in_progress":
+                if blocked:
+                    continue
+                for other in board.values():
+                    if other[0] == "in_progress":
+                        other[0] = "pending"
+            board[number][0] = x.status
+
+
+class TaskReplay(StatefulProcessor):
+    """A session's board and the numbers that it has used: a batch of log rows gives the rows whose status changed (a deleted one with none)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tasks = handle.getMapState("tasks", "id long", "status string, blocked_by array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: [v[0], list(v[1] or [])] for k, v in self.tasks.iterator()}
+        board = {k: [s, b] for k, (s, b) in known.items() if s}
+        used = set(known)
+        replay(board, used, pd.concat(list(rows)))
+        out = []
+        for number in sorted(used):
+            now = board.get(number, [None, []])
+            if number not in known or known[number][0] != (now[0] or ""):
+                # A deleted task stays as an empty one, so its number isn't used again.
+                self.tasks.updateValue((number,), (now[0] or "", now[1]))
+                out.append((key[0], number, now[0]))
+        yield pd.DataFrame(out, columns=["session_id", "id", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def replay_tasks_stream(log: DataFrame) -> DataFrame:
+    """As replay_tasks, for a stream: session_id, id and status of what a batch changed."""
+    return log.groupBy("session_id").transformWithStateInPandas(TaskReplay(), "session_id long, id long, status string", "update", "none")
+
+
 def replay_tasks(log: DataFrame) -> DataFrame:
     """session_id, id, status after a log (session_id, seq, op, id, status, blocked_by): one task in progress a session, a blocked start is refused, ids aren't used again."""
 
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
+    def play(part: pd.DataFrame) -> pd.DataFrame:
         board: dict[int, list] = {}
-        used: set[int] = set()
-        for x in part.sort_values("seq").itertuples(index=False):
-            if x.op == "create" and x.id not in used:
-                used.add(x.id)
-                board[x.id] = ["pending", [] if x.blocked_by is None else list(x.blocked_by)]
-            elif x.op == "delete":
-                board.pop(x.id, None)
-            elif x.op == "update" and x.id in board:
-                blocked = any(board.get(b, [""])[0] != "completed" for b in board[x.id][1])
-                if x.status == "in_progress":
-                    if blocked:
-                        continue
-                    for other in board.values():
-                        if other[0] == "in_progress":
-                            other[0] = "pending"
-                board[x.id][0] = x.status
+        replay(board, set(), part)
         session = part["session_id"].iloc[0]
         return pd.DataFrame([(session, i, s) for i, (s, _) in sorted(board.items())], columns=["session_id", "id", "status"])
 
-    return log.groupBy("session_id").applyInPandas(replay, "session_id long, id long, status string")
+    return log.groupBy("session_id").applyInPandas(play, "session_id long, id long, status string")
 
 
-def dedupe_stream(docs: DataFrame, late: str = "1 hour") -> DataFrame:
-    """A stream's documents without those whose base and hash came before, within the watermark on created_at."""
-    return docs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["kb_id", "content_hash"])
+def dedupe_stream(docs: DataFrame, late: str = "1 hour", stored: DataFrame | None = None) -> DataFrame:
+    """A stream's documents without those whose base and hash came before, within the watermark on created_at, or stand in stored."""
+    fresh = docs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["kb_id", "content_hash"])
+    return fresh if stored is None else fresh.join(stored.select("kb_id", "content_hash").distinct(), ["kb_id", "content_hash"], "left_anti")

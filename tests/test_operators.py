@@ -1,5 +1,7 @@
 """Pinned values of text functions, retrieval, histories and tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -27,7 +29,9 @@ def test_text_functions(spark):
     assert one(spark, tx.display_tool_args(F.col("t")), t='{"b":{"x":1},"a":"y"}') == '{"a": "y", "b": "{\\"x\\":1}"}'
     assert one(spark, tx.display_tool_args(F.col("t")), t="not json") == "not json"
     assert one(spark, tx.repair_tool_args(F.col("t"), "a string"), t='{"a":"x\ny"}').a == "x\ny"
-    assert one(spark, tx.sanitize_title(F.col("t")), t='"Hello   world!"\nsecond') == "Hello world"
+    assert one(spark, tx.fallback_title(F.col("t")), t='"Hello   world!"\nsecond') == "Hello world"
+    assert one(spark, tx.sanitize_title(F.col("t")), t='"Two\nlines"') == "Two lines"
+    assert [one(spark, tx.sniff_mime(F.unhex(F.col("t"))), t=t) for t in ("89504E470D0A", "FFD8FFE0", "474946383961", "00")] == ["image/png", "image/jpeg", "image/gif", "image/png"]
     assert one(spark, tx.read_lines(F.col("t"), 2, 2), t="a\nb\nc") == ["     1\tb", "     2\tc"]
     assert one(spark, tx.fixed_windows(F.col("t"), 4), t="abcdefghij") == ["abcd", "efgh", "ij"] and one(spark, tx.fixed_windows(F.col("t"), 4), t="") == []
 
@@ -119,3 +123,97 @@ def test_ingest_and_search(spark):
     queries = spark.createDataFrame([(1, "k", "zebra sleeps")], "query_id long, kb_id string, query string")
     hits = pipelines.search(queries, made["chunks"], made["vectors"]).orderBy("rank").collect()
     assert hits and "zebra" in hits[0].found_text and len({h.found_id for h in hits}) == len(hits)
+
+
+def loop_prune(rows, window, reserve, buffer, protected, min_gain, kept, head, mark):
+    """The pruning as a loop over one session's rows (role, text)."""
+    count = lambda t: len(t) // 4
+    usable, texts = window - reserve - buffer, [t for _, t in rows]
+    total = sum(map(count, texts))
+    if window <= 0 or total <= usable:
+        return texts
+    candidates = [i for i, (role, _) in enumerate(rows) if role == "tool"]
+    candidates = candidates[: len(candidates) - kept] if kept else candidates
+    cuttable, later = [], 0
+    for i in reversed(candidates):
+        if later >= protected:
+            cuttable.insert(0, i)
+        later += count(texts[i])
+    gain, out = 0, list(texts)
+    for i in cuttable:
+        short = texts[i][:head] + mark if len(texts[i]) > head else texts[i]
+        gain += count(texts[i]) - count(short)
+        out[i] = short
+        if gain >= total - usable:
+            break
+    return out if gain >= min_gain else texts
+
+
+def loop_split(rows, keep):
+    """The cut as a loop from the end over one session's rows (role, text, has_calls)."""
+    total, at = 0, None
+    for i in reversed(range(len(rows))):
+        total += len(rows[i][1]) // 4
+        if total > keep:
+            at = i
+            break
+    while at is not None and at >= 1 and (rows[at][0] == "tool" or (rows[at][0] == "assistant" and rows[at][2])):
+        at -= 1
+    return at if at else len(rows)
+
+
+def test_prune_and_split_equal_loops(spark):
+    rng = random.Random(4)
+    sessions = {}
+    for s in range(150):
+        n = rng.randint(1, 14)
+        roles = [rng.choice(["user", "assistant", "tool", "tool"]) for _ in range(n)]
+        sessions[s] = [(r, "x" * rng.randint(0, 160), r == "assistant" and i + 1 < n and roles[i + 1] == "tool") for i, r in enumerate(roles)]
+    frame = spark.createDataFrame([(s, i, *row) for s, rows in sessions.items() for i, row in enumerate(rows)], "session_id long, seq long, role string, text string, has_calls boolean")
+    given = {"window": 200, "reserve": 30, "buffer": 10, "protected": 25, "min_gain": 6, "kept": 1, "head": 40, "mark": "…"}
+    got = {}
+    for r in history.prune_history(frame, **given).orderBy("session_id", "seq").collect():
+        got.setdefault(r.session_id, []).append(r.new_text)
+    assert got == {s: loop_prune([(r, t) for r, t, _ in rows], **given) for s, rows in sessions.items()}
+    assert sum(got[s] != [t for _, t, _ in rows] for s, rows in sessions.items()) > 10
+    cuts = {r.session_id: r.head_end for r in history.split_head_tail(frame, 60).collect()}
+    assert cuts == {s: loop_split(rows, 60) for s, rows in sessions.items()}
+
+
+def test_duplicates_of_stored_documents(spark):
+    schema = "kb_id string, doc_id string, content_hash string, status string, created long"
+    old = spark.createDataFrame([("k", "o1", "abc", "ready", 9), ("k", "o2", "def", "failed", 9)], schema)
+    new = spark.createDataFrame([("k", "n1", "abc", "ready", 1), ("k", "n2", "def", "ready", 2), ("k", "n3", "def", "ready", 3), ("j", "n4", "abc", "ready", 1)], schema)
+    assert {r.doc_id: r.duplicate_of for r in tables.find_duplicates(new, old).collect()} == {"n1": "o1", "n2": None, "n3": "n2", "n4": None}
+
+
+def test_phrases_of_words_meet_by_their_inner_word(spark):
+    texts = {"c1": "the quick brown fox jumps", "c2": "a quick, brown fox", "c3": "unquick browned", "c4": "Quick brown FOX, quick brown fox"}
+    chunks = spark.createDataFrame([("k", i, t) for i, t in texts.items()], "kb_id string, chunk_id string, text string")
+    phrases = ["quick brown fox", "uick brown f", "ick brown", "brown", " quick", "fox, quick brown", "k b", "qu"]
+    queries = spark.createDataFrame([(i, "k", p) for i, p in enumerate(phrases)], "query_id long, kb_id string, phrase string")
+    truth = {(i, c): sum(t.lower().startswith(p.lower(), k) for k in range(len(t))) for i, p in enumerate(phrases) for c, t in texts.items() if len(p) >= 3 and p.lower() in t.lower()}
+    assert {(r.query_id, r.chunk_id): r.tf for r in retrieval.phrase_match(queries, chunks).collect()} == truth
+
+
+def test_model_wrappers(spark):
+    images = spark.createDataFrame([(1, 0, b"a"), (1, 1, b"b"), (2, 0, b"a")], "doc_id long, idx int, data binary")
+    cache = spark.createDataFrame([], "model string, image_hash string, desc_text string")
+
+    def describe(data):
+        if bytes(data) == b"b":
+            raise models.ModelError(400)
+        return "seen"
+
+    out, grown = models.describe_images(images, cache, "m", describe)
+    assert sorted((r.doc_id, r.idx, r.description) for r in out.collect()) == [(1, 0, "seen"), (1, 1, ""), (2, 0, "seen")] and grown.count() == 1
+    titles = models.title(spark.createDataFrame([(1, "first line\nmore"), (2, "hello")], "session_id long, text string"), lambda t: '"A\ntitle"' if t == "hello" else " ")
+    assert {r.session_id: r.title for r in titles.collect()} == {1: "first line", 2: "A title"}
+
+
+def test_display(spark):
+    call = [("c1", "t", '{"b":1,"a":"x"}')]
+    rows = [(1, 0, "user", "hi", [], None), (1, 1, "assistant", "", call, None), (1, 2, "tool", "out", [], "c1")]
+    shown = pipelines.display(spark.createDataFrame(rows, "session_id long, seq long, role string, text string, tool_calls array<struct<id:string,name:string,args:string>>, tool_call_id string")).collect()
+    assert [(r.kind, r.text, r.result) for r in shown if r.kind == "call"] == [("call", '{"a": "x", "b": "1"}', "out")] and len([r for r in shown if r.display_id]) == 1
+    assert [r.kind for r in shown] == ["user", "assistant", "call"]

@@ -67,8 +67,12 @@ def test_tree_and_notes(spark, tmp_path):
     assert snippet["a.py"].language == "python" and snippet["a.py"].size == "9B" and snippet["b.bin"].binary
     note = src.frontmatter_catalog(files).collect()
     assert [(r.name, r.description, r.type, r.body) for r in note] == [("my-note", 'a "b"', "user", "body here\n")]
-    block = src.attachment_block(spark.createDataFrame([(1, "sub/a.py"), (2, "../x"), (3, "none")], "no int, path string"), src.file_snippets(files)).first().block
-    assert "```python\nprint(1)" in block and "outside" in block and "[not found]" in block
+    asked = spark.createDataFrame([(1, "sub/a.py"), (2, "../x"), (3, "none"), (4, "./sub/"), (5, "a.py")], "no int, path string")
+    block = src.attachment_block(asked, src.file_snippets(files), str(tmp_path)).first().block.split("### ")
+    assert "```python\nprint(1)" in block[1] and "outside" in block[2] and "[not found]" in block[3] and "[not found]" in block[5]
+    assert block[4].strip().splitlines() == ["./sub/", "sub/a.py", "sub/b.bin", "sub/node_modules/c.js"]
+    cut = src.file_snippets(files.filter("path LIKE '%n.md'").withColumn("content", F.encode(F.lit("aé"), "UTF-8")).withColumn("length", F.lit(3)), 2).first()
+    assert cut.snippet == "a\n… [truncated]"
 
 
 def test_docx_and_xlsx(spark, tmp_path):
@@ -79,6 +83,7 @@ def test_docx_and_xlsx(spark, tmp_path):
             for part, content in parts.items():
                 z.writestr(part, content)
     out = {os.path.basename(r.path): r for r in src.extract_docx(src.read_files(spark, str(tmp_path / "*.docx"))).collect()}
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
     assert out["d.docx"].text == "Hello\n| a\\|b |\n| --- |" and out["e.docx"].error == "no text and no images"
     s, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     buffer = io.BytesIO()
@@ -89,7 +94,8 @@ def test_docx_and_xlsx(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{s}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row><c r="A2"><v>1</v></c></row></sheetData></worksheet>')
     (tmp_path / "t.xlsx").write_bytes(buffer.getvalue())
     rows = src.extract_xlsx(src.read_files(spark, str(tmp_path / "*.xlsx")))
-    assert [r.cells for r in rows.orderBy("row_no").collect()] == [["head", "", "7"], ["1"]]
+    assert [r.cells for r in rows.filter("error IS NULL").orderBy("row_no").collect()] == [["head", "", "7"], ["1"]]
+    assert [os.path.basename(r.path) for r in rows.filter("error IS NOT NULL").collect()] == ["broken.xlsx"]
     assert src.markdown_table(rows).first().text == "| head |  | 7 |\n| --- | --- | --- |\n| 1 |  |  |"
 
 
@@ -105,5 +111,69 @@ def test_incremental_ingest(spark, tmp_path):
     run = lambda: pipelines.incremental_ingest(spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "k").awaitTermination(120)
     run()
     (tmp_path / "in/b.txt").write_text("second file")
+    (tmp_path / "in/c.txt").write_text("hello there")  # a copy of a document of an earlier batch
+    (tmp_path / "in/d.txt").write_text(" ")
     run()
-    assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"hello there", "second file"}
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert sorted(r.text for r in read("chunks").filter("parent_id IS NOT NULL").collect()) == ["hello there", "second file"]
+    assert sorted(r.status for r in read("documents").collect()) == ["duplicate", "failed", "ready", "ready"]
+    assert read("vectors").count() == read("cache").count() == 2 and read("postings").count() == 9 + 9
+
+
+def test_rebuild(spark):
+    docs = spark.createDataFrame([("k", 1, "first text of the base", 1), ("k", 2, "second text", 2), ("j", 3, "other base", 3)], "kb_id string, doc_id long, text string, created long")
+    made = pipelines.ingest(docs, spark.createDataFrame([], "model string, text_hash string, embedding array<double>"))
+    cache = made.pop("cache")
+    again = pipelines.rebuild_documents(docs.filter("doc_id = 2").withColumn("text", F.lit("second text, rewritten")), made, cache)
+    texts = lambda tables: {(r.doc_id, r.text) for r in tables["chunks"].filter("parent_id IS NOT NULL").collect()}
+    assert texts(again) == (texts(made) - {(2, "second text")}) | {(2, "second text, rewritten")}
+    assert again["vectors"].count() == 3 and again["documents"].count() == 3
+    ids = {r.chunk_id for r in again["chunks"].collect()}
+    assert {r.chunk_id for r in again["postings"].collect()} <= ids
+
+
+def test_messages_of_events(spark):
+    rows = [(1, 0, "thinking", "hm"), (1, 1, "tool_call", '{"call_id":"c1","tool":"t","input":{"raw":"{}"}}'), (1, 2, "tool_call", '{"call_id":"","tool":"t"}'), (1, 3, "tool_result", '{"call_id":"c1","content":"out"}'), (1, 4, "tool_result", '{"content":"lost"}'), (1, 5, "delta", "the "), (1, 6, "delta", "end"), (1, 7, "done", "{}"), (2, 8, "delta", "")]
+    out = turns.assemble_messages(spark.createDataFrame(rows, SCHEMA)).orderBy("session_id", "seq").collect()
+    assert [(r.role, r.text, r.thinking, [c.id for c in r.tool_calls], r.tool_call_id) for r in out] == [("assistant", "", "hm", ["c1"], None), ("tool", "out", "", [], "c1"), ("assistant", "the end", "", [], None)]
+
+
+def test_call_and_task_streams_equal_their_batch_forms(spark, tmp_path):
+    schema = "stream long, idx long, seq long, id string, name string, args string, done boolean"
+    rows = [(1, 0, 1, "c1", "search", '{"q"', False), (1, 0, 2, "", None, ':"x"}', False), (1, 1, 3, None, None, "lost", False), (1, None, 4, None, None, None, True), (2, 0, 1, "d", "n", "", False), (2, None, 2, None, None, None, True)]
+    batch = turns.assemble_tool_calls(spark.createDataFrame(rows, schema).filter("NOT done"))
+    out = run_stream(spark, tmp_path / "calls", rows, schema, turns.assemble_tool_calls_stream)
+    assert {(r.stream, r.idx, r.id, r.name, r.args, r.first_seq) for r in out} == {(r.stream, r.idx, r.id, r.name, r.args, r.first_seq) for r in batch.collect()}
+    schema = "session_id long, seq long, op string, id long, status string, blocked_by array<long>"
+    log = [(1, 1, "create", 1, None, None), (1, 2, "create", 2, None, [1]), (1, 3, "update", 2, "in_progress", None), (1, 4, "create", 3, None, None), (1, 5, "update", 1, "in_progress", None), (1, 6, "update", 3, "in_progress", None), (2, 7, "create", 1, None, None), (2, 8, "delete", 1, None, None), (2, 9, "create", 1, None, None)]
+    batch = {(r.session_id, r.id, r.status) for r in turns.replay_tasks(spark.createDataFrame(log, schema)).collect()}
+    out = {(r.session_id, r.id, r.status) for r in run_stream(spark, tmp_path / "tasks", log, schema, turns.replay_tasks_stream, "update")}
+    assert {x for x in out if x[2]} == batch and {x for x in out if not x[2]} <= {(2, 1, None)}
+
+
+def test_dedupe_status_and_frames_as_streams(spark, tmp_path):
+    rows = [("k", "h1", "2024-01-01 00:00:00"), ("k", "h1", "2024-01-01 00:00:01"), ("k", "h2", "2024-01-01 00:00:02"), ("j", "h1", "2024-01-01 00:00:03")]
+    frame = spark.createDataFrame(rows, "kb_id string, content_hash string, at string").select("kb_id", "content_hash", F.col("at").cast("timestamp").alias("created_at"))
+    old = spark.createDataFrame([("k", "h2")], "kb_id string, content_hash string")
+    out = run_stream(spark, tmp_path / "dedupe", [tuple(r) for r in frame.collect()], frame.schema, lambda s: turns.dedupe_stream(s, stored=old))
+    assert sorted((r.kb_id, r.content_hash) for r in out) == [("j", "h1"), ("k", "h1")]
+    out = run_stream(spark, tmp_path / "status", EVENTS, SCHEMA, turns.session_status_stream, "complete")
+    assert {(r.session_id, r.status) for r in out} == {(1, "done"), (2, "error")}
+    (tmp_path / "frames").mkdir()
+    (tmp_path / "frames/a.txt").write_text('event: delta\ndata: {"t":1}\n\ndata: [DONE]\n\ndata: {"u":2}\n\n')
+    query = turns.read_sse(spark, str(tmp_path / "frames")).writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "fcp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("frames").collect()} == {("delta", '{"t":1}'), ("message", '{"u":2}')}
+
+
+def test_skills_and_appends(spark, tmp_path):
+    for root, name in (("a", "x"), ("b", "x"), ("b", "y")):
+        (tmp_path / root / name).mkdir(parents=True)
+        (tmp_path / root / name / "SKILL.md").write_text(f"---\nname: {name}\ndescription: of {root}\n---\nbody")
+    roots = [("global", src.read_files(spark, str(tmp_path / "a"))), ("project", src.read_files(spark, str(tmp_path / "b")))]
+    out = src.skill_catalog(roots, spark.createDataFrame([("project:y",)], "id string")).collect()
+    assert sorted(r.id for r in out) == ["global:x", "project:x", "project:y"]
+    rows = spark.createDataFrame([("k", 1), ("j", 2)], "kb_id string, n int")
+    for _ in range(2):
+        src.append_rows(rows, str(tmp_path / "rows"), "kb_id")
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
