@@ -4,17 +4,18 @@ A text is a bag of five-word shingles; a shingle's weight is 1 + ln(times it occ
 process whose rate is its weight; every arrival falls into one of REGISTERS registers, which keeps the earliest. A
 shingle stops as soon as its next arrival is later than the latest register. Two texts agree in a register with the
 probability Jaccard similarity of their weights (plain Jaccard where nothing repeats). Registers are banded; texts that
-share a band are candidates; candidates whose registers agree in ESTIMATE or more are compared exactly on their texts.
+share a band stand in one bucket; two texts at exactly 0.8 share none of the bands with a probability of 0.00005.
 
-Exact copies (equal words) are one text from the start, so copies of any number never meet in a band. A bucket of up to
-SMALL texts compares all of its pairs. A larger one first compares its PIVOTS foremost texts with all others, then every text
-outside the bucket's largest component with those of other components, but for pairs that an exact bound rules out
-(_open_pairs). So every link between two components is tried, and components are those of comparing all pairs.
+Exact copies (equal words) are one text from the start, so copies of any number never meet in a band. In each bucket every
+text is compared with the bucket's pivot, the text with the most neighbours, which is one pair a row. Buckets that then
+hold more than one component are open: their texts meet again on the shingles of their prefixes (_prefixes), an exact filter,
+so only pairs of different components that can reach the similarity are built and compared. So every link between
+two components of a bucket is tried, and the classes are those of comparing all pairs of all buckets exactly.
 
 Result: one row a document with its class, the smallest doc_id in it. Defined cases: null and empty texts, and texts without
 words, are copies of each other; texts under five words have one class for each sequence of words; null ids come last;
-rows equal in id and text get one result each; long texts are read whole; an empty table gives an empty result; extra columns
-are passed through by keep_one.
+rows equal in id and text get one result each; long texts are read whole; an empty table gives an empty result; extra columns,
+whatever their names, are passed through by keep_one.
 """
 
 from __future__ import annotations
@@ -25,24 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .codes import mix
+from .common import key_of, restored_id, scratch, table, whole_rows
 
-SHINGLE, SIMILARITY, ESTIMATE = 5, 0.8, 0.66
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SMALL, PIVOTS = 32, 8
 WORD = re.compile(r"\w+")
 CACHE_WORDS, GROUP_SHINGLES = 500_000, 200_000
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
 
 
 class Words:
@@ -112,18 +106,16 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """id, h (hash of the text), c1 and c2 (of its words), and for five words or more sketch and bands."""
+    """id, none, h (a document's key), content (a digest of its words), and for five words or more its bands."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for p in parts:
-            content, sketches, bands, waiting, size = [], [None] * len(p), [None] * len(p), [], 0
+            content, bands, waiting, size = [], [None] * len(p), [], 0
 
             def flush():
-                made = sketch([bag for _, bag in waiting])
-                for (row, _), s, keys in zip(waiting, made, band_keys(made)):
-                    # A byte of each register is enough to estimate: unlike ones agree in 1 of 256.
-                    sketches[row], bands[row] = s.astype("u1").tobytes(), keys
+                for (row, _), keys in zip(waiting, band_keys(sketch([bag for _, bag in waiting]))):
+                    bands[row] = keys
 
             for row, text in enumerate(p["text"]):
                 words = WORD.findall((text or "").lower())
@@ -136,18 +128,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                         waiting, size = [], 0
             if waiting:
                 flush()
-            halves = np.frombuffer(b"".join(content), "<i8").reshape(-1, 2)
-            yield pd.DataFrame({"id": p["id"], "h": p["h"], "c1": halves[:, 0], "c2": halves[:, 1], "sketch": pd.Series(sketches, dtype=object), "bands": pd.Series(bands, dtype=object)})
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    schema = "id long, h long, c1 long, c2 long, sketch binary, bands array<long>"
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+            yield pd.DataFrame({"id": p["id"], "none": p["none"], "h": p["h"], "content": content, "bands": pd.Series(bands, dtype=object)})
 
-    def whole_ids(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in read(parts):
-            yield p.assign(id=p["id"].astype("Int64"))
-
-    return keyed.mapInPandas(whole_ids, schema)
+    return docs.select(*key_of("doc_id", "text"), "text").mapInPandas(read, "id long, none boolean, h long, content binary, bands array<long>")
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -177,15 +160,17 @@ def bag_similarity(x: np.ndarray, y: np.ndarray) -> float:
     return similarity(weigh(x), weigh(y))
 
 
-def bags(texts: DataFrame) -> DataFrame:
-    """text_no and its sorted shingle hashes, of rows (text_no, text)."""
+def bags(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """text_no and its sorted shingle hashes, of the documents wanted (text_no, id, none, h)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Words()
         for p in parts:
-            yield pd.DataFrame({"text_no": p["text_no"], "bag": [np.sort(shingles(hashes(WORD.findall(t.lower())))).tobytes() for t in p["text"]]})
+            yield pd.DataFrame({"text_no": p["text_no"], "bag": [np.sort(shingles(hashes(WORD.findall((t or "").lower())))).tobytes() for t in p["text"]]})
 
-    return texts.mapInPandas(read, "text_no long, bag binary")
+    texts = docs.select(*key_of("doc_id", "text"), "text").join(wanted, ["id", "none", "h"])
+    # Repeated rows of a document are dropped where the join has put them.
+    return scratch(texts.dropDuplicates(["id", "none", "h"]).select("text_no", "text").mapInPandas(read, "text_no long, bag binary"), "bags")
 
 
 def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -196,7 +181,7 @@ def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
         return pd.Series([bag_similarity(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
     left, right = known.select(F.col("text_no").alias("a"), F.col("bag").alias("bag_a")), known.select(F.col("text_no").alias("b"), F.col("bag").alias("bag_b"))
-    return pairs.join(left, "a").join(right, "b").filter(alike("bag_a", "bag_b")).select("a", "b")
+    return scratch(pairs.join(left, "a").join(right, "b").filter(alike("bag_a", "bag_b")).select("a", "b"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,139 +212,108 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "components")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """id, h, keeper (the class's first document) and rows (how many rows have this id and text)."""
-    rows = scratch(sketched(docs), "sketches")
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "h")
-    # One row for each sequence of words; copies are joined by their content at the end.
-    one = rows.groupBy("c1", "c2").agg(F.min(rank).alias("first"), F.min_by(F.struct("sketch", "bands"), rank).alias("s"))
-    # A text's number is a hash of its words' digest.
-    one = scratch(one.select("c1", "c2", "first", F.xxhash64("c1", "c2").alias("text_no"), "s.sketch", "s.bands"), "texts")
-    members = one.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "text_no")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = scratch(members.join(sizes, "key"), "buckets")
-    sketches = one.select("text_no", "sketch")
-    firsts = one.select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h"), "text_no")
-
-    @F.pandas_udf("double")
-    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(x, "u1") == np.frombuffer(y, "u1")).mean()) for x, y in zip(a, b)])
-
-    def bags_of(used: DataFrame) -> DataFrame:
-        """The bags of the texts used (text_no), from one document of each."""
-        text = F.coalesce(F.col("text"), F.lit(""))
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-        wanted = firsts.join(used, "text_no")
-        found = texts.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("text_no", "text")
-        return scratch(bags(found).dropDuplicates(["text_no"]), "bags")
-
-    def linked(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """The verified ones of pairs (a, b). known: the bags of all of their texts, if they are there."""
-        sides = pairs.join(sketches.withColumnsRenamed({"text_no": "a", "sketch": "sa"}), "a").join(sketches.withColumnsRenamed({"text_no": "b", "sketch": "sb"}), "b")
-        likely = scratch(sides.filter(agreement("sa", "sb") >= ESTIMATE).select("a", "b"), "likely")
-        if known is None:
-            known = bags_of(likely.select(F.col("a").alias("text_no")).unionByName(likely.select(F.col("b").alias("text_no"))).distinct())
-        return scratch(verified(likely, known), "verified")
-
-    small = buckets.filter(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("text_no")).alias("all"))
-    pairs = small.select(F.explode(F.expr("flatten(transform(all, (x, i) -> transform(slice(all, i + 2, size(all)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.*").distinct()
-    links = linked(pairs)
-    nodes = one.select(F.col("text_no").alias("node"))
-    labels = joined_labels(nodes.withColumn("label", F.col("node")), links)
-    large = buckets.filter(F.col("size") > SMALL)
-    if not large.isEmpty():
-        # A group's centre stands in the largest bucket of every band, so texts in many large buckets are the pivots.
-        weights = large.groupBy("text_no").agg(F.sum("size").alias("weight"))
-        large = scratch(large.select("key", "text_no").join(weights, "text_no").withColumn("place", F.struct(-F.col("weight"), F.xxhash64("text_no"))), "large")
-        known = bags_of(weights.select("text_no"))
-        pivots = scratch(_foremost(large, PIVOTS), "pivots")
-        first = pivots.select("key", F.col("text_no").alias("p")).join(large.select("key", "text_no"), "key").filter("p <> text_no")
-        labels = joined_labels(labels, linked(first.select(F.least("p", "text_no").alias("a"), F.greatest("p", "text_no").alias("b")).distinct(), known))
-        state = scratch(large.join(labels.withColumnRenamed("node", "text_no"), "text_no"), "pivot-state")
-        labels = joined_labels(labels, linked(_open_pairs(state, known), known))
-    ids = one.select("c1", "c2", F.col("text_no").alias("node"), "first").join(labels, "node")
-    least = ids.groupBy("label").agg(F.min("first").alias("least"))
-    named = ids.join(least, "label").select("c1", "c2", F.col("least").alias("keeper"))
-    return rows.groupBy("id", "h", "c1", "c2").agg(F.count("*").alias("rows")).join(named, ["c1", "c2"]).select("id", "h", "keeper", "rows")
-
-
-def _foremost(rows: DataFrame, k: int) -> DataFrame:
-    """The first k rows of each key by place, which is a text's own, so a group takes the same pivots in all of its buckets; a key's rows are dealt over 64 parts first."""
-    part = F.pmod(F.xxhash64("text_no"), F.lit(64))
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("key", part).orderBy("place"))).filter(F.col("_r") <= k)
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("place"))).filter(F.col("_r") <= k).select("key", "text_no")
+def _prefixes(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members (ref, text_no, ...) with the shingles s of the text's prefix, beside the text ref of its bucket: in_ref (whether ref
+    has s), index, size, plain, left_in and left_out (how many shingles from s on ref has and hasn't), and bound (whether those
+    that it has weigh 0.8 of the whole).
 
+    Shingles have one order for each ref: those that ref hasn't got first, then by hash. Let s be the first shingle that x and
+    y share; all of x's before it are not shared. Probability Jaccard is at most the sum of min(x_i / X, y_i / Y), X and Y
+    being the whole weights, so at a similarity of 0.8 these weigh 0.2 X at most, and s stands in the prefix of x that
+    ends beyond 0.2 X; and so for y. If ref has s, the two share nothing that it hasn't got. Where no shingle repeats in
+    either (plain), they share 4 / 9 of both sizes, so at most a ninth of the smaller one's come before s (index marks these),
+    and what is left of each from s on bounds what they share."""
+    others = [f for f in members.schema.fields if f.name not in ("ref", "text_no")]
 
-def _open_pairs(state: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) that can still link components of a large bucket: of a text outside its largest component and a text of another one.
-
-    With R the bucket's first pivot, x and y share at most min(|x & R|, |y & R|) shingles of R, and what they share besides. They
-    need 4/9 (|x| + |y|) shared shingles for a Jaccard index of 0.8, where no shingle repeats. In general probability
-    Jaccard is at most the sum of min(x_i / X, y_i / Y), X and Y being the whole weights, so either side's shared weight
-    must be 0.8 of its whole. A pair is left out only if what both have of R and the shingles outside R that they share
-    are together under one of these."""
-    shape = state.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
-    centre = state.groupBy("key").agg(F.min_by("text_no", "place").alias("ref"))
-    rows = state.join(shape.filter("parts > 1").select("key", F.col("top.label").alias("top")), "key").join(centre, "key").select("key", "text_no", "label", "top", "ref")
-    rows = scratch(rows, "open-buckets")
-    share = SIMILARITY / (1 + SIMILARITY)
-
-    def profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = []
-            for ref, text, mine, its in zip(p["ref"], p["text_no"], p["bag"], p["ref_bag"]):
-                kinds, weight = weigh(np.frombuffer(mine, "u8"))
-                inside = np.isin(kinds, np.frombuffer(its, "u8"))
-                out.append((ref, text, 8 * len(kinds) == len(mine), len(kinds), int(inside.sum()), float(weight.sum()), float(weight[inside].sum()), kinds[~inside].view("i8"), weight[~inside]))
-            yield pd.DataFrame(out, columns=["ref", "text_no", "plain", "size", "in_ref", "weight", "weight_in", "unusual", "unusual_weight"])
+            columns, of_text = [], []
+            for bag, ref_bag in zip(p["bag"], p["ref_bag"]):
+                kinds, weight = weigh(np.frombuffer(bag, "u8"))
+                has = np.isin(kinds, np.frombuffer(ref_bag, "u8"))
+                order = np.argsort(has, kind="stable")
+                before, whole = np.concatenate(([0.0], np.cumsum(weight[order])[:-1])), weight.sum()
+                order = order[before <= (1 - SIMILARITY) * whole + 1e-9]
+                plain, unlike, place = 8 * len(kinds) == len(bag), len(kinds) - int(has.sum()), np.arange(len(order))
+                index = (before[: len(order)] <= (1 - SIMILARITY) / (1 + SIMILARITY) * whole + 1e-9) | (not plain)
+                columns.append((kinds[order].view("i8"), has[order], index, len(kinds) - np.maximum(place, unlike), np.maximum(unlike - place, 0)))
+                of_text.append((len(kinds), plain, bool(weight[has].sum() >= SIMILARITY * whole - 1e-9)))
+            times = [len(c[0]) for c in columns]
+            rows = p.drop(columns=["bag", "ref_bag"]).assign(**dict(zip(("size", "plain", "bound"), zip(*of_text))) if of_text else {})
+            repeated = rows.loc[rows.index.repeat(times)].reset_index(drop=True)
+            if len(repeated):
+                yield repeated.assign(**{name: np.concatenate([c[k] for c in columns]) for k, name in enumerate(("s", "in_ref", "index", "left_in", "left_out"))})
 
     bag, its = known.select("text_no", "bag"), known.select(F.col("text_no").alias("ref"), F.col("bag").alias("ref_bag"))
-    met = rows.select("ref", "text_no").distinct().join(bag, "text_no").join(its, "ref")
-    seen = scratch(met.mapInPandas(profile, "ref long, text_no long, plain boolean, size int, in_ref int, weight double, weight_in double, unusual array<long>, unusual_weight array<double>"), "profiles")
-    sized = scratch(rows.join(seen.drop("unusual", "unusual_weight"), ["ref", "text_no"]), "open-texts")
-    out_of_top = sized.filter("label <> top").alias("x")
-    heavy = lambda side: F.col(f"{side}.weight_in") >= SIMILARITY * F.col(f"{side}.weight") - 1e-9
-    possible = heavy("x") & heavy("y") & (~F.col("x.plain") | ~F.col("y.plain") | (F.least("x.in_ref", "y.in_ref") >= share * (F.col("x.size") + F.col("y.size")) - 1e-9))
-    pair = [F.least("x.text_no", "y.text_no").alias("a"), F.greatest("x.text_no", "y.text_no").alias("b")]
-    by_size = out_of_top.join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & possible).select(*pair)
-    # Shingles outside R that two texts with the same R share; a text's label is the same in all of its buckets.
-    labelled = sized.groupBy("ref", "text_no").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("out"))
-    each = F.explode_outer(F.arrays_zip("unusual", "unusual_weight")).alias("u")
-    unusual = seen.join(labelled, ["ref", "text_no"]).select("ref", "text_no", "label", "out", "plain", "size", "in_ref", "weight", "weight_in", each)
-    unusual = unusual.filter("u IS NOT NULL").select("*", F.col("u.unusual").alias("s"), F.col("u.unusual_weight").alias("w")).drop("u")
-    shared = unusual.groupBy("ref", "s").agg(F.count("*").alias("n"), F.max("out").alias("some")).filter("n > 1 AND some").select("ref", "s")
-    unusual = scratch(unusual.join(shared, ["ref", "s"]), "unusual")
-    # Each pair once: x is outside the top, and the smaller number where both are.
-    met = (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.text_no") < F.col("y.text_no")))
-    both = unusual.filter("out").alias("x").join(unusual.alias("y"), met)
-    one = lambda c, name: F.first(c).alias(name)
-    sums = both.groupBy("x.ref", F.col("x.text_no").alias("tx"), F.col("y.text_no").alias("ty")).agg(
-        F.count("*").alias("k"), F.sum("x.w").alias("kx"), F.sum("y.w").alias("ky"), one(F.col("x.plain") & F.col("y.plain"), "plain"), one(F.least("x.in_ref", "y.in_ref"), "within"), one(F.col("x.size") + F.col("y.size"), "sizes"),
-        one(SIMILARITY * F.col("x.weight") - F.col("x.weight_in"), "need_x"), one(SIMILARITY * F.col("y.weight") - F.col("y.weight_in"), "need_y"),
-    )
-    enough = (F.col("kx") >= F.col("need_x") - 1e-9) & (F.col("ky") >= F.col("need_y") - 1e-9) & (~F.col("plain") | (F.col("within") + F.col("k") >= share * F.col("sizes") - 1e-9))
-    by_shingle = sums.filter(enough).select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"))
-    return scratch(by_size.unionByName(by_shingle).distinct(), "open-pairs")
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    met = members.join(bag, "text_no").join(its, "ref").select(*members.columns, "bag", "ref_bag")
+    return met.mapInPandas(read, f"ref long, text_no long{extra}, size int, plain boolean, bound boolean, s long, in_ref boolean, index boolean, left_in int, left_out int")
+
+
+def _open_pairs(labels: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components of a bucket that can reach the similarity. members: key, text_no, ref (the key's pivot).
+
+    One of the two is outside the bucket's largest component (out), so pairs within that are never built."""
+    state = members.join(labels.withColumnRenamed("node", "text_no"), "text_no")
+    of_label = state.groupBy("key", "label").agg(F.count("*").alias("n"))
+    shape = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1 AND n > 2").select("key", F.col("top.label").alias("top"))
+    # The pivot has met all of its bucket.
+    inside = state.join(shape, "key").filter("text_no <> ref").groupBy("ref", "text_no", "label").agg(F.max(F.col("label") != F.col("top")).alias("out"))
+    rows = scratch(_prefixes(inside, known), "prefixes")
+    x, y = rows.filter("out").alias("x"), rows.alias("y")
+    of = lambda name: (F.col(f"x.{name}"), F.col(f"y.{name}"))
+    (size, size_), (index, index_) = of("size"), of("index")
+    plain = F.col("x.plain") & F.col("y.plain")
+    # The smaller one's index part meets the larger one's prefix.
+    roles = ~plain | ((index & (size <= size_)) | (index_ & (size_ <= size))) & (F.least(*of("size")) >= SIMILARITY * F.greatest(*of("size")) - 1e-9)
+    most = F.least(*of("left_in")) + F.least(*of("left_out"))
+    enough = (~F.col("x.in_ref") | (F.col("x.bound") & F.col("y.bound"))) & (~plain | (most >= (size + size_) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9))
+    once = ~F.col("y.out") | (F.col("x.text_no") < F.col("y.text_no"))
+    met = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & roles & enough & once)
+    return met.select(F.least("x.text_no", "y.text_no").alias("a"), F.greatest("x.text_no", "y.text_no").alias("b")).distinct()
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """id, none, h (a document's key), keeper (the class's first document) and rows (how many rows have this key)."""
+    rows = scratch(sketched(docs), "sketches")
+    rank = F.struct("none", "id", "h")
+    # One row for each sequence of words; copies are joined by their content at the end. The numbers are read from the table, so they stay.
+    one = rows.groupBy("content").agg(F.min(rank).alias("first"), F.min_by("bands", rank).alias("bands"))
+    one = scratch(one.select(F.monotonically_increasing_id().alias("text_no"), "*"), "texts")
+    members = one.filter(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "text_no", F.xxhash64("content").alias("place"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    buckets = scratch(members.join(sizes, "key"), "buckets")
+    # A group's centre stands in the largest bucket of every band, so the text with the most neighbours is the pivot.
+    weights = buckets.groupBy("text_no").agg(F.sum("size").alias("weight"))
+    weighed = scratch(buckets.join(weights, "text_no").select("key", "text_no", F.struct("weight", "place", "text_no").alias("order")), "weighed")
+    pivots = weighed.groupBy("key").agg(F.max("order").alias("top")).select("key", F.col("top.text_no").alias("ref"))
+    members = scratch(weighed.select("key", "text_no").join(pivots, "key"), "members")
+    nodes = weights.select(F.col("text_no").alias("node"))
+    known = bags(one.join(weights, "text_no", "left_semi").select("text_no", "first.*"), docs)
+    star = members.filter("text_no <> ref").select(F.col("text_no").alias("a"), F.col("ref").alias("b")).distinct()
+    labels = joined_labels(scratch(nodes.withColumn("label", F.col("node")), "labels"), verified(star, known))
+    labels = joined_labels(labels, verified(_open_pairs(labels, members, known), known))
+    ids = one.select("content", F.col("text_no").alias("node"), "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = ids.groupBy("label").agg(F.min("first").alias("least"))
+    named = ids.join(least, "label").select("content", F.col("least").alias("keeper"))
+    return rows.groupBy("id", "none", "h", "content").agg(F.count("*").alias("rows")).join(named, "content").select("id", "none", "h", "keeper", "rows")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """id, h (hash of the text), class_id, kept (whether it is the one that stays) and rows of each distinct (id, text)."""
+    """id, none, h (a document's key), class_id, kept (whether it is the one that stays) and rows of each distinct (id, text)."""
     found = scratch(classes(docs), "classes")
-    own = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("h") == F.col("keeper.h"))
-    return found.select("id", "h", F.col("keeper.id").alias("class_id"), own.alias("kept"), "rows")
+    class_id = F.when(~F.col("keeper.none"), F.col("keeper.id"))
+    return found.select("id", "none", "h", class_id.alias("class_id"), (F.struct("none", "id", "h") == F.col("keeper")).alias("kept"), "rows")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, and all their columns; of rows equal in id and text one stays."""
     found = scratch(near_duplicates(docs).filter("kept"), "kept")
-    kept = found.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    stay = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left_semi").drop("_k")
-    return stay if found.filter("rows > 1").isEmpty() else stay.dropDuplicates(["doc_id", "text"])
+    stay = whole_rows(docs, "doc_id", "text").join(found, ["id", "none", "h"], "left_semi")
+    return (stay if found.filter("rows > 1").isEmpty() else stay.dropDuplicates(["id", "none", "h"])).select("row.*")
 
 
 def op4_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_duplicates(docs)
-    one = found.select(F.col("id").alias("doc_id"), "class_id", "kept", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_copy"))
-    return one.select("doc_id", "class_id", (F.col("kept") & (F.col("_copy") == 1)).alias("kept"))
+    one = near_duplicates(docs).select(restored_id().alias("doc_id"), "class_id", "kept", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    return one.select("doc_id", "class_id", (F.col("kept") & (F.col("copy") == 1)).alias("kept"))

@@ -61,10 +61,7 @@ def test_sketch_estimates_it():
     assert (got[0] == got[2]).all() and abs((got[0] == got[1]).mean() - 250 / 350) < 0.15
 
 
-@pytest.mark.parametrize("small", [32, 4])
-def test_classes_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "PIVOTS", 2)
+def test_classes_equal_brute_force(spark):
     texts = corpus()
     parent = list(range(len(texts)))
 
@@ -89,3 +86,41 @@ def test_awkward_rows(spark):
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 7, 8]
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_large_ids_beside_nulls_stay_whole(spark):
+    rng = random.Random(6)
+    rows = [(2**60 + 1, " ".join(words(rng, 20))), (None, " ".join(words(rng, 20))), (2**60 + 3, " ".join(words(rng, 20)))]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, none int, row int").coalesce(1)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2**60 + 1, None, 2**60 + 3}
+
+
+def test_prefixes_meet_in_every_similar_pair(spark):
+    """Pairs at 0.8 or more share a prefix shingle that the smaller one's index part holds, whatever the text they are ordered by."""
+    rng = random.Random(7)
+    base = words(rng, 60)
+    texts = []
+    for _ in range(60):
+        t = base[rng.randrange(12) :] + words(rng, rng.randrange(12))
+        texts.append(" ".join(t + (t[:20] if rng.random() < 0.3 else [])))
+    docs = spark.createDataFrame([(i, 0, False, t, i) for i, t in enumerate(texts)], "doc_id long, h0 long, none0 boolean, text string, text_no long")
+    known = neardup.bags(docs.select(*neardup.key_of("doc_id", "text"), "text_no"), docs)
+    got = neardup._prefixes(spark.createDataFrame([(0, i, 7) for i in range(len(texts))], "ref long, text_no long, label long"), known).toPandas()
+    assert set(got["label"]) == {7}
+    of = {i: g for i, g in got.groupby("text_no")}
+    found = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if similarity(texts[i], texts[j]) < 0.8:
+            continue
+        found += 1
+        x, y = sorted((of[i], of[j]), key=lambda g: g["size"].iloc[0])
+        if x["plain"].iloc[0] and y["plain"].iloc[0]:
+            assert x["size"].iloc[0] >= 0.8 * y["size"].iloc[0]
+        met = x.merge(y, on="s")
+        met = met[met["index_x"] & (~met["in_ref_x"] | (met["bound_x"] & met["bound_y"]))]
+        if x["plain"].iloc[0] and y["plain"].iloc[0]:
+            most = np.minimum(met["left_in_x"], met["left_in_y"]) + np.minimum(met["left_out_x"], met["left_out_y"])
+            met = met[most >= 4 / 9 * (x["size"].iloc[0] + y["size"].iloc[0]) - 1e-9]
+        assert len(met)
+    assert found > 100
