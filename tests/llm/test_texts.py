@@ -1,15 +1,15 @@
 """op2, op9, op10, op7 and the pipeline: brute force, pinned cases, awkward rows."""
 
-import random
 import math
+import random
 import re
 import time
 from collections import Counter, defaultdict
-from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
-from corpusloom.llm import decontaminate, html, substrings, urls
+import public_tokenizers
+from corpusloom.llm import decontaminate, html, packing, substrings, urls
 from corpusloom.llm.common import scratch
 from pyspark.sql import functions as F
 
@@ -381,3 +381,75 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty_out = stage(spark, empty, data)
         assert empty_out.count() == 0
+
+
+def test_the_whole_pipeline_equals_brute_force(spark, tmp_path):
+    """run() over planted documents: what the stages keep, and the packed pieces of the texts that brute force leaves."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 8))) for _ in range(900)]
+
+    def prose(n):
+        words = rng.choices(vocabulary, k=n)
+        for i in range(0, n, 11):
+            words[i] = words[i].capitalize()
+            words[max(0, i - 1)] += "."
+        return " ".join(words)
+
+    texts = {i: prose(rng.randint(60, 140)) for i in range(40)}
+    items = {i: prose(40) for i in range(3)}
+    passage = prose(70)
+    texts |= {100 + i: texts[i] for i in range(4)}  # exact copies
+    texts |= {200 + i: texts[i].replace(" ", "  ", 3).rsplit(" ", 2)[0] for i in range(4, 8)}  # near copies
+    texts |= {300 + i: f"{prose(60)}\n{passage}\n{prose(60)}" for i in range(3)}
+    texts |= {400 + i: f"{prose(30)} {items[i]} {prose(30)}" for i in range(3)}
+    texts |= {500 + i: "zap%%% zip### zop&&& x$$$ " * rng.randint(9, 15) + str(i) for i in range(12)}
+    texts |= {600: None, 601: ""}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+
+    good = {i: t for i, t in texts.items() if t and not 500 <= i < 600}
+    tokens = lambda t: re.findall(r"\w+", t.lower())
+    bag = lambda t: Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4))
+    alike = lambda a, b: (a & b).total() >= 0.8 * (a | b).total()
+    kept = []
+    for i in sorted(good):
+        if not any(alike(bag(tokens(good[i])), bag(tokens(good[j]))) for j in kept):
+            kept.append(i)
+    left = brute_repeats([(i, good[i]) for i in kept], substrings.MIN_RUN)
+
+    def leaks(words):
+        for item in items.values():
+            target = bag(tokens(item))
+            if any(alike(bag(words[k : k + target.total() + 4]), target) for k in range(max(1, len(words) - target.total() - 3))):
+                return True
+        return False
+
+    truth = {i: [w.lower() for w in words] for i, words in left.items() if not leaks([w.lower() for w in words])}
+    docs, tables = spark.read.parquet(str(tmp_path / "sf/documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch(stage(spark, docs, str(tmp_path / "sf")), "stage")
+        tables.append({r.doc_id: r.text for r in docs.collect()})
+    assert set(tables[0]) == set(good) and set(tables[1]) == set(kept)
+    assert {i: tokens(t) for i, t in tables[2].items()} == {i: [w.lower() for w in words] for i, words in left.items()}
+    assert {i: tokens(t) for i, t in tables[3].items()} == truth and not {400, 401, 402} & set(truth)
+    out = corpus_pipeline.run(spark, str(tmp_path / "sf")).toPandas()
+    count = packing.counter(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = {i: len(count.exact(t)) // 4 + 1 for i, t in tables[3].items()}
+    assert out.groupby("doc_id").length.sum().to_dict() == sizes
+    spread = out.sort_values(["sequence_id", "offset"])
+    assert (spread.groupby("sequence_id").length.cumsum() - spread.length == spread.offset).all() and out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_stages_pass_awkward_rows_and_columns(spark):
+    prose = "A plain sentence of ordinary words, nothing more. We walked along the river, and it was late. "
+    rows = [(i, prose + f"Then came {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} to us. " * 3, 1, "x", 2) for i in range(30)]
+    rows += [rows[3], (None, None, 1, "x", 2), (None, "", 1, "x", 2), (90, "word " * 60_000 + ".", 1, "x", 2), (91, "中文 текст", 1, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, removed string, row int")
+    benchmark = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = scratch(stage(spark, docs, benchmark), "stage")
+        assert out.columns == docs.columns and 1 <= out.count() <= docs.count(), name
+        assert {(r.id, r.removed, r.row) for r in out.collect()} == {(1, "x", 2)}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, benchmark).count() >= len(rows)
