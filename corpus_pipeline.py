@@ -25,8 +25,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; n_chars follows the text."""
-    return substrings.remove_repeats(docs).drop("removed").withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the passages that an earlier one has; n_chars follows the text."""
+    kept = substrings.remove_repeats(docs, spans_col=None)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
