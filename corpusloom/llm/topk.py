@@ -9,7 +9,8 @@ rows bound what it can add to the global k best, so a block emits k histogram en
 Scores are integer inner products of floor(scale * x), exact at any size: float64 where every sum stays below 2**53,
 else Python integers (a score beyond 64 bits is returned as the nearest long). Rows without a vector, or with a null or
 non-finite component, or without an id take no part; vectors of another length than the query's are no candidates of
-it. Fewer candidates than k: all are returned. An empty table gives an empty result; extra columns are ignored.
+it. Fewer candidates than k: all are returned. Of queries that share an id the one with the smallest vector counts, and candidates
+are rows: repeated ids are each ranked, but a query is no candidate of any row with its id. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, table
@@ -126,38 +127,41 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "
                     bins[(v - lo) // width] = bins.get((v - lo) // width, 0) + 1
             yield from ((q, b, n) for b, n in bins.items())
 
-    def narrowed(part: pd.DataFrame) -> pd.DataFrame:
-        """The range becomes the bin with the k-th value, or the lowest filled one where there are fewer than k rows."""
-        x = part.iloc[0]
-        lo, span, above = int(x["lo"]), int(x["span"]), int(x["above"])
-        width, filled = -(-span // BINS), part.dropna(subset=["bin"]).sort_values("bin", ascending=False)
-        if len(filled):
-            total = filled["n"].cumsum().to_numpy()
-            chosen = min(int(np.searchsorted(total, k - above)), len(filled) - 1)
-            above += int(total[chosen] - filled["n"].iloc[chosen])
-            start = int(filled["bin"].iloc[chosen]) * width
-            lo, span = lo + start, min(width, span - start)
-        return pd.DataFrame([(x["id"], x["dim"], x["qb"], str(lo), str(span), above)], columns=["id", "dim", "qb", "lo", "span", "above"])
-
+    def narrowed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The range becomes the bin with the k-th value (chosen), of whose rows more lie higher; a query without a filled bin keeps its range."""
+        for p in parts:
+            out = []
+            for x in p.to_dict("records"):
+                lo, span, width = int(x["lo"]), int(x["span"]), -(-int(x["span"]) // BINS)
+                if x["chosen"] >= 0:
+                    start = int(x["chosen"]) * width
+                    lo, span = lo + start, min(width, span - start)
+                out.append((x["id"], x["dim"], x["qb"], str(lo), str(span), x["above"] + x["more"]))
+            yield pd.DataFrame(out, columns=["id", "dim", "qb", "lo", "span", "above"])
+
+    downwards = Window.partitionBy("id").orderBy(F.col("bin").desc())
     while widest > 1:
         sums = over_pairs(state, histogram, "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        state = scratch(state.join(sums, "id", "left").groupBy("id").applyInPandas(narrowed, state_schema), "topk-range")
+        # The highest bin up to which k rows are reached; the lowest filled one where there are fewer rows.
+        reached = sums.join(state.select("id", "above"), "id").withColumn("upto", F.sum("n").over(downwards)).withColumn("enough", F.col("above") + F.col("upto") >= k)
+        chosen = reached.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("enough"), F.col("bin"))), F.min("bin")).alias("chosen"))
+        higher = sums.join(chosen, "id").groupBy("id", "chosen").agg(F.sum(F.when(F.col("bin") > F.col("chosen"), F.col("n")).otherwise(0)).alias("more"))
+        told = state.join(higher, "id", "left").select("id", "dim", "qb", "lo", "span", "above", F.coalesce("chosen", F.lit(-1)).alias("chosen"), F.coalesce("more", F.lit(0)).alias("more"))
+        state = scratch(told.mapInPandas(narrowed, state_schema), "topk-range")
         widest = -(-widest // BINS)
 
     def winners(qid, at, cid, s):
-        """Rows above the k-th value, and the block's smallest ids at it: ids rise within a block."""
+        """Rows above the k-th value, and the block's smallest ids at it: ids rise within a block. over: by how much the score is above it, and its number of digits."""
         for i, q in enumerate(qid):
             kth, _, above = at[q]
             other = cid != q
             for j in [*np.flatnonzero(other & (s[i] > kth)), *np.flatnonzero(other & (s[i] == kth))[: k - above]]:
-                yield q, cid[j], str(int(s[i][j])), max(-LONG - 1, min(LONG, int(s[i][j])))
-
-    def ranked(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(exact=[int(x) for x in part["exact"]]).sort_values(["exact", "vec_id"], ascending=[False, True], kind="stable").head(k)
-        return pd.DataFrame({"query_id": part["query_id"], "rank": np.arange(1, len(part) + 1), "vec_id": part["vec_id"], "score": part["score"]})
+                over = str(int(s[i][j]) - kth)
+                yield q, cid[j], len(over), over, max(-LONG - 1, min(LONG, int(s[i][j])))
 
-    best = over_pairs(state, winners, "query_id long, vec_id long, exact string, score long")
-    return best.groupBy("query_id").applyInPandas(ranked, "query_id long, rank int, vec_id long, score long")
+    best = over_pairs(state, winners, "query_id long, vec_id long, digits int, over string, score long")
+    order = Window.partitionBy("query_id").orderBy(F.col("digits").desc(), F.col("over").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
