@@ -1,152 +1,191 @@
-"""Substring dedup by line hashing: units are normalised, digests are grouped globally, the earliest ranked occurrence
-stays, and the others are removed with their offsets in the original text kept.
-
-Units: lines of MIN_WORDS words or more; in a line of several sentences also each sentence of MIN_WORDS words or more,
-neighbouring shorter ones counting as one; in a sentence of more than LONG_RUN words also its pieces, which end at words
-that are chosen by their hash, so the same passage has the same pieces in every line that it was spliced into.
-Normalised: lower case, words only. A unit repeated within its own text is a repetition too. Rank: doc_id (nulls last),
-a hash of the text, offset.
-
-A document's own repetitions are dropped before anything is shuffled; digests are summed before they meet, and only
-digests seen more than once go on, so a unit of any number of copies is a counter. Texts are rebuilt from spans.
-
-Defined cases: null texts stay null, empty ones empty; shorter units are never removed; rows equal in id and text count
-as one document and get the same result; an empty table gives an empty result; extra columns are passed through.
+"""Substring dedup by line hashing: lines are cut into units, digests of the normalised units are grouped globally, the earliest
+ranked occurrence stays, and repeated runs of units are removed with their offsets in the original text kept.
+
+Units: a line's words (lower case, nothing else counts) are cut before every word whose hash is the smallest among its REACH
+neighbours on either side, so a passage is cut alike wherever it was spliced in; a cut leaves MIN_WORDS words or more on
+both sides, so a short line is one unit, and a line that is repeated whole repeats all of its units. A unit is repeated if the
+same words stood in a unit of an earlier rank: doc_id (nulls last), a hash of the text, offset. Neighbouring
+repeated units form a run, over line ends too; a run of MIN_RUN words or more is removed, a shorter one is left, as common phrases
+and short lines recur in texts that have nothing to do with each other.
+
+A document's own repetitions are dropped before anything is shuffled; digests are counted with partial sums, and only
+those seen more than once go on, so a unit of any number of copies is a counter. What is long enough to be removed is joined
+to the texts again: by broadcast if it is small, else by the document's key.
+
+Defined cases: null texts stay null, empty ones empty; rows equal in id and text count as one document and get the same
+result; a text of more than codes.GROUP_CHARS characters is read in parts that end at white space, each cut as if it stood alone; an empty
+table gives an empty result; extra columns are passed through, and a column that has the spans' name keeps it (the spans' gets a "_").
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import restored_id, scratch, table, whole_id
+from . import codes
+from .codes import mix
+from .common import BROADCAST_BYTES, key_of, scratch, table, whole_rows
 
-#: A sentence of more than LONG_RUN words is cut after one word in CUT_ONE_IN, at MIN_WORDS words or more.
-MIN_WORDS, LONG_RUN, CUT_ONE_IN = 5, 50, 4
+REACH, MIN_WORDS, MIN_RUN = 3, 4, 20
 WORD = re.compile(r"\w+")
-SENTENCE = re.compile(r"[^.!?]+[.!?]*")
-
-
-def digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def sentences(line: str) -> Iterator[tuple[int, int, list[str]]]:
-    """start, end and words of each sentence; neighbouring ones of under MIN_WORDS words are one."""
-    run = None
-    for m in SENTENCE.finditer(line):
-        words = WORD.findall(m.group().lower())
-        if len(words) < MIN_WORDS:
-            run = (run[0], m.end(), run[2] + words) if run else (m.start(), m.end(), words)
-            continue
-        if run:
-            yield run
-            run = None
-        yield m.start(), m.end(), words
-    if run:
-        yield run
-
-
-def pieces(line: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
-    """start and end of the pieces of a long sentence."""
-    at, count = start, 0
-    for m in WORD.finditer(line, start, stop):
-        count += 1
-        if count >= MIN_WORDS and zlib.crc32(m.group().lower().encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0:
-            yield at, m.end()
-            at, count = m.end(), 0
-    yield at, stop
-
-
-def units(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """start, end and 128-bit digest of each unit, outer ones first."""
-    at = 0
-    for line in text.split("\n"):
-        words = WORD.findall(line.lower())
-        if len(words) >= MIN_WORDS:
-            yield at, at + len(line), digest(words)
-            for a, b, part in sentences(line):
-                if MIN_WORDS <= len(part) < len(words):
-                    yield at + a, at + b, digest(part)
-                if len(part) > LONG_RUN:
-                    for c, d in pieces(line, a, b):
-                        piece = WORD.findall(line[c:d].lower())
-                        if MIN_WORDS <= len(piece) < len(part):
-                            yield at + c, at + d, digest(piece)
-        at += len(line) + 1
+NO_WORD = re.compile(r"[^\w\n]*")
+STEP1, STEP2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+
+
+def is_word(c: str) -> bool:
+    return bool(WORD.match(c))
+
+
+def lowered(c: str) -> int:
+    low = c.lower()
+    return ord(low) if len(low) == 1 else ord(c)
+
+
+def within(first: np.ndarray, size: int) -> np.ndarray:
+    """The place of each of size items in its group; groups start at first, and items before the first group have no place."""
+    at = np.arange(size)
+    at[first[0] :] -= np.repeat(first, np.diff(np.append(first, size)))
+    return at.astype("u8")
+
+
+def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends, and a 64-bit hash of it in lower case."""
+    word = codes.table_of("word", is_word)[points].astype(bool)
+    first = np.flatnonzero(word & ~np.concatenate(([False], word[:-1])))
+    if not len(first):
+        return first, first, np.empty(0, "u8")
+    stop = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
+    low = codes.table_of("lowered", lowered, "u4")[points].astype("u8")
+    return first, stop, mix(np.add.reduceat(np.where(word, mix(low + within(first, len(points)) * STEP1), 0), first))
+
+
+def cuts(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words a unit starts at. line: the number of each word's line."""
+    n = len(hashes)
+    starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    place, left = within(starts, n).astype("i8"), np.repeat(sizes, sizes)
+    least = (place >= MIN_WORDS) & (left - place >= MIN_WORDS)
+    for k in range(1, REACH + 1):
+        other = np.concatenate((np.full(k, -1), line[:-k]))[:n] != line
+        least &= other | (hashes < np.concatenate((hashes[:k], hashes[:-k]))[:n])
+        other = np.concatenate((line[k:], np.full(k, -1)))[-n:] != line
+        least &= other | (hashes <= np.concatenate((hashes[k:], hashes[-k:]))[-n:])
+    least[starts] = True
+    return np.flatnonzero(least)
+
+
+def units(rows: np.ndarray, starts: np.ndarray, points: np.ndarray) -> pd.DataFrame | None:
+    """row, word and words (the unit's first word, counted from its part's first, and their number), two parts of a digest, and
+    whether the row has had it before, of each unit of a group of texts (see codes.groups); and part, the group's text number."""
+    first, _, hashes = words_of(points)
+    if not len(first):
+        return None
+    part = np.searchsorted(starts, first, "right") - 1
+    line = np.cumsum(points == 10)[first] + part
+    at = cuts(hashes, line)
+    place = within(at, len(first))
+    d1 = mix(np.add.reduceat(mix(hashes + place * STEP1), at)).view("i8")
+    d2 = (mix(np.add.reduceat(mix((hashes ^ STEP2) + place * STEP2), at)) >> np.uint64(32)).astype("u4").view("i4")
+    begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    found = pd.DataFrame({"row": rows[part[at]], "part": part[at], "word": within(begins, len(first)).astype("i4")[at], "words": np.diff(np.append(at, len(first))).astype("i4"), "d1": d1, "d2": d2})
+    order = np.lexsort((at, d2, d1, found["row"]))
+    same = np.zeros(len(at), bool)
+    key = found[["row", "d1", "d2"]].to_numpy()[order]
+    same[order[1:]] = (key[1:] == key[:-1]).all(1)
+    return found.assign(again=same)
 
 
 def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h, first digest half, second half, the unit's span, and whether the text has had it before."""
-    schema = "id long, none boolean, h long, d1 long, d2 long, start int, stop int, again boolean"
+    """A document's key (id, none, h), a unit's digest (d1, d2: 96 bits), its words' numbers in the text, and whether the text is known to have had it before."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            ids, rows, digests = [], [], []
-            for k, text in enumerate(p["text"]):
-                seen = set()
-                for a, b, d in units(text or ""):
-                    ids.append(k)
-                    rows.append((a, b, d in seen))
-                    digests.append(d)
-                    seen.add(d)
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            k = np.array(ids, "i8")
-            frame = pd.DataFrame(rows, columns=["start", "stop", "again"])
-            yield pd.DataFrame({"id": p["id"].to_numpy()[k], "none": p["none"].to_numpy()[k], "h": p["h"].to_numpy()[k], "d1": halves[:, 0], "d2": halves[:, 1], "start": frame["start"], "stop": frame["stop"], "again": frame["again"].astype(bool)})
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(*whole_id(id_col), text.alias("text"), F.xxhash64(text).alias("h")).mapInPandas(read, schema)
-    return found.select(restored_id().alias("id"), "h", "d1", "d2", "start", "stop", "again")
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h and spans (start, stop) to remove, for documents that lose any."""
-    found = scratch(unit_table(docs, id_col, text_col), "units")
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "h")
-    once = found.filter("NOT again")
-    shared = scratch(once.groupBy("d1", "d2").agg(F.min(rank).alias("keeper"), F.count("*").alias("copies")).filter("copies > 1").select("d1", "d2", "keeper"), "shared-units")
-    lost = once.join(shared, ["d1", "d2"]).filter(~rank.eqNullSafe(F.col("keeper"))).select("id", "h", "start", "stop")
-    spans = lost.unionByName(found.filter("again").select("id", "h", "start", "stop"))
-    return spans.distinct().groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed") -> DataFrame:
-    """docs with repeated units cut out of the text, and their spans in the original text in spans_col."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, gone in zip(texts, spans):
-            if text is None or gone is None or not len(gone):
-                out.append(text)
-                continue
-            kept, at = [], 0
-            for s in gone:
-                a, b = s["start"], s["stop"]
-                if b <= at:
+            read_words: dict[int, int] = {}  # of the rows of which a part has been read
+            for group in codes.groups(p["text"]):
+                found = units(*group)
+                if found is None:
                     continue
-                # A whole line goes with its line break.
-                b += 1 if (a == 0 or text[a - 1] == "\n") and b < len(text) and text[b] == "\n" else 0
-                kept.append(text[at : max(at, a)])
-                at = b
-            rest = "".join(kept) + text[at:]
-            out.append(rest[:-1] if at >= len(text) and rest.endswith("\n") and not text.endswith("\n") else rest)
-        return pd.Series(out, dtype=object)
-
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
-    cleaned = joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "_spans")))
-    return cleaned.withColumn(spans_col, F.coalesce("_spans", F.array().cast("array<struct<start:int,stop:int>>"))).drop("_key", "_id", "_h", "_spans")
+                before = {}
+                for k, row, upto in (found["word"] + found["words"]).groupby([found["part"], found["row"]]).max().reset_index().itertuples(index=False):
+                    before[k] = read_words.get(row, 0)
+                    read_words[row] = before[k] + upto
+                keys = p[["id", "none", "h"]].take(found["row"]).reset_index(drop=True)
+                yield pd.concat([keys, found.assign(word=found["word"] + found["part"].map(before)).drop(columns=["row", "part"])], axis=1)
+
+    schema = "id long, none boolean, h long, word int, words int, d1 long, d2 int, again boolean"
+    return docs.select(*key_of(id_col, text_col), F.col(text_col).alias("text")).mapInPandas(read, schema)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """id, none, h and runs (first and last word, from 0) of min_run repeated words or more, for documents that have any."""
+
+    found = scratch(unit_table(docs, id_col, text_col), "units")
+    once = found.filter("NOT again").drop("again")
+    # Half of a digest is enough to tell most units that no other text has.
+    often = once.groupBy("d1").agg(F.count("*").alias("copies")).filter("copies > 1").select("d1")
+    shared = scratch(once.join(often, "d1"), "shared-units")
+    rank = F.struct("none", "id", "h", "word")
+    keepers = shared.groupBy("d1", "d2").agg(F.min(rank).alias("keeper"))
+    lost = shared.join(keepers, ["d1", "d2"]).filter(rank != F.col("keeper")).select("id", "none", "h", "word", "words")
+    spans = lost.unionByName(found.filter("again").select("id", "none", "h", "word", "words")).distinct()
+    # A unit's first word less the words of all repeated units before it is the same for neighbours, and rises with every gap.
+    before = Window.partitionBy("id", "none", "h").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    of_run = spans.withColumn("gap", F.col("word") - F.coalesce(F.sum("words").over(before), F.lit(0)))
+    runs = of_run.groupBy("id", "none", "h", "gap").agg(F.min("word").alias("first"), F.sum("words").alias("n")).filter(F.col("n") >= min_run)
+    run = F.struct("first", (F.col("first") + F.col("n") - 1).cast("int").alias("last"))
+    return scratch(runs.groupBy("id", "none", "h").agg(F.sort_array(F.collect_list(run)).alias("runs")), "runs")
+
+
+def removed_parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of text to remove: runs (first and last word) with what stands after them in their line but no word, and as a
+    whole line with its line break."""
+    edges, bounds = {w for run in runs for w in run}, {}
+    for number, m in enumerate(WORD.finditer(text)):
+        if number in edges:
+            bounds[number] = m.span()
+    out = []
+    for first, last in runs:
+        a, b = bounds[first][0], NO_WORD.match(text, bounds[last][1]).end()
+        begin = text.rfind("\n", 0, a) + 1
+        if (b == len(text) or text[b] == "\n") and not WORD.search(text, begin, a):
+            a = begin
+            if b < len(text):
+                b += 1
+            elif a:  # the last line goes with the break before it
+                a -= 1
+        out.append((a, b))
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed", min_run: int = MIN_RUN) -> DataFrame:
+    """docs with repeated runs cut out of the text, and their spans in the original text in spans_col (none: without this column)."""
+
+    @F.pandas_udf("text string, removed array<struct<start:int,stop:int>>")
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        kept, gone = [], []
+        for text, known in zip(texts, runs):
+            parts = removed_parts(text, [(r["first"], r["last"]) for r in known]) if known is not None else []
+            edges = [0, *(x for part in parts for x in part), len(text or "")]
+            kept.append(text if not parts else "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            gone.append([{"start": a, "stop": b} for a, b in parts])
+        return pd.DataFrame({"text": pd.Series(kept, dtype=object), "removed": pd.Series(gone, dtype=object)})
+
+    runs = repeated_runs(docs, id_col, text_col, min_run)
+    size = runs.agg(F.sum(16 * F.size("runs") + 64)).first()[0] or 0
+    joined = whole_rows(docs, id_col, text_col).join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, ["id", "none", "h"], "left")
+    # Only texts that lose something go through Python.
+    text, loses = F.col("row").getField(text_col), F.col("runs").isNotNull()
+    done = joined.select("row", "runs", cut(F.when(loses, text), "runs").alias("cut"))
+    columns = [F.when(loses, F.col("cut.text")).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    while spans_col in docs.columns:
+        spans_col += "_"
+    return done.select(*columns, *([F.col("cut.removed").alias(spans_col)] if spans_col else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
