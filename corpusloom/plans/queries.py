@@ -82,7 +82,7 @@ def two_routes(spark, d):
     """A vector route, and a second one by the difference of ids modulo 97, in place of phrases on vectors."""
     queries, vectors = vector_batch(spark, d)
     first = retrieval.knn_join(queries, vectors, 20).select("query_id", F.lit(0).alias("query_no"), "chunk_id", "rank", "distance")
-    pairs = vectors.join(F.broadcast(queries.select("query_id", "kb_id")), "kb_id").select("query_id", "chunk_id", F.pmod(F.col("chunk_id") * 31 + F.col("query_id"), F.lit(97)).alias("o"))
+    pairs = vectors.join(queries.select("query_id", "kb_id"), "kb_id").select("query_id", "chunk_id", F.pmod(F.col("chunk_id") * 31 + F.col("query_id"), F.lit(97)).alias("o"))
     second = retrieval.top_per(pairs, ["query_id"], [F.col("o"), F.col("chunk_id")], 20).select("query_id", F.lit(1).alias("query_no"), "chunk_id", "rank", F.lit(None).cast("double").alias("distance"))
     return first.unionByName(second)
 
