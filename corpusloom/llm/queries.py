@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, neardup, packing, quality, sharding, substrings, topk, urls
+from . import decontaminate, html, language, mixing, neardup, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_line_dedup": substrings.op9_line_dedup,
     "op10_template_tree_urls": urls.op10_template_tree_urls,
+    "op13_hypergeometric_mixing": mixing.op13_hypergeometric_mixing,
 }
 
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
