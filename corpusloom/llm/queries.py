@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, language, mixing, neardup, packing, quality, sharding, substrings, topk, urls
+from . import collocations, decontaminate, html, language, mixing, neardup, packing, quality, sharding, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_feistel_shards": sharding.op8_feistel_shards,
     "op9_line_dedup": substrings.op9_line_dedup,
     "op10_template_tree_urls": urls.op10_template_tree_urls,
+    "op11_automata_collocations": collocations.op11_automata_collocations,
     "op13_hypergeometric_mixing": mixing.op13_hypergeometric_mixing,
 }
 
@@ -47,5 +48,22 @@ WITH v AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 5
+""",
+    # All n-grams of one to three words, by place in their pieces.
+    "op11_automata_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, k, g, a, unnest(range(1, k)) AS j FROM c),
+scored AS (SELECT c.lang, c.g, c.a, c.j, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.g = c.g[: c.j] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.j + 1 :]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([g[:2], g[2:]]) AS g FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
