@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, html, language, mixing, neardup, packing, quality, sharding, substrings, topk, urls
+from . import collocations, decontaminate, html, language, mixing, neardup, packing, quality, sharding, spelling, substrings, topk, urls
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": substrings.op9_line_dedup,
     "op10_template_tree_urls": urls.op10_template_tree_urls,
     "op11_automata_collocations": collocations.op11_automata_collocations,
+    "op12_trie_spelling": spelling.op12_trie_spelling,
     "op13_hypergeometric_mixing": mixing.op13_hypergeometric_mixing,
 }
 
@@ -65,5 +66,24 @@ inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([g[:2],
 kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a),
 ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""",
+    # The checksum goes over half bytes, the low one of each byte first; T has its fixed values. Near words share a word with one letter left out.
+    "op12_trie_spelling": r"""
+WITH t AS (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108] AS t),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS start, run, count(*) AS n FROM r GROUP BY ALL),
+x AS (SELECT run, n, hex(encode(start || run)) AS x FROM d),
+c AS (SELECT run, n, xor(list_reduce(list_transform(range(len(x)), lambda i: CAST(instr('0123456789ABCDEF', x[i + 2 - 2 * (i % 2)]) - 1 AS BIGINT)),
+  lambda crc, b: xor(t[(xor(crc, b) & 15) + 1], crc >> 4), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM x, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[: h % len(run)] || run[h % len(run) + 2 :] ELSE run END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS part FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+pair AS (SELECT DISTINCT a.word AS word, b.word AS other FROM e a JOIN e b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM e a JOIN v b ON a.part = b.word UNION SELECT b.word, a.word FROM e a JOIN v b ON a.part = b.word),
+near AS (SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place FROM pair p JOIN v o ON o.word = p.other),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN near ON near.word = v.word AND place = 1),
+up AS (WITH RECURSIVE up AS (SELECT word, form AS at FROM form WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN form f ON f.word = up.at WHERE f.form IS NOT NULL) SELECT * FROM up),
+top AS (SELECT up.word, up.at AS root FROM up JOIN form f ON f.word = up.at WHERE f.form IS NULL)
+SELECT form.word, form, coalesce(root, form.word) AS root, n, n_near, form_n FROM form LEFT JOIN top ON top.word = form.word
 """,
 }
