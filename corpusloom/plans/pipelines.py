@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.text import est_tokens
 from ..functions.vectors import hash_embedding
 from ..operators import chunking, history, models, retrieval, tables
+from ..staging import staged
 from ..streaming import turns
 
 
@@ -26,12 +27,15 @@ def ingest(docs: DataFrame, cache: DataFrame, model: str = "hash", call: Callabl
     return {"documents": known.join(counts, ["kb_id", "doc_id"], "left"), "chunks": chunks, "vectors": leaves.select("kb_id", "chunk_id", "embedding"), "postings": retrieval.postings(leaves.select("kb_id", "chunk_id", "text")), "cache": grown}
 
 
-def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = retrieval.FINAL_K, expand: Callable | None = None, reranker: Callable | None = None, floor: float = retrieval.FLOOR, embedder=hash_embedding) -> DataFrame:
-    """query_id, found_id, found_text, score, rank of each query (query_id, kb_id, query): vectors and phrases fused, reranked, lifted to parents."""
+def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = retrieval.FINAL_K, expand: Callable | None = None, reranker: Callable | None = None, floor: float = retrieval.FLOOR, embedder=hash_embedding, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """query_id, found_id, found_text, score, rank of each query (query_id, kb_id, query): vectors and phrases fused, reranked, lifted to parents.
+
+    index and stats: the stored postings and trigram statistics of the leaves; without them they are made for this batch of queries."""
     asked = models.expand_queries(queries, expand).join(queries.select("query_id", "kb_id"), "query_id").withColumn("sub_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("query_no").cast("string")))
+    asked = staged(asked, "asked")  # the model is asked once, though both routes need the answers
     leaves = chunks.filter("parent_id IS NOT NULL")
     by_vector = retrieval.knn_join(asked.select(F.col("sub_id").alias("query_id"), "kb_id", embedder(F.col("query")).alias("q")), vectors.withColumnRenamed("embedding", "v"))
-    by_phrase = retrieval.phrase_topk(asked.select(F.col("sub_id").alias("query_id"), "kb_id", F.col("query").alias("phrase")), leaves.select("kb_id", "chunk_id", "text"))
+    by_phrase = retrieval.phrase_topk(asked.select(F.col("sub_id").alias("query_id"), "kb_id", F.col("query").alias("phrase")), leaves.select("kb_id", "chunk_id", "text"), index=index, stats=stats)
     lists = by_vector.select("query_id", "chunk_id", "rank", "distance").unionByName(by_phrase.select("query_id", "chunk_id", "rank", F.lit(None).cast("double").alias("distance")))
     lists = lists.withColumnRenamed("query_id", "sub_id").join(asked.select("sub_id", "query_id", "query_no"), "sub_id")
     fused = retrieval.hydrate(retrieval.fused_topk(retrieval.rrf(lists)), leaves).join(queries.select("query_id", "query"), "query_id")
