@@ -1,7 +1,9 @@
 """op8, op1 and op5: laws, exact ids, brute force, awkward rows."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -105,10 +107,23 @@ def test_merged_packing_is_as_tight_as_one_best_fit(spark, shape):
 
 
 def test_top_k_of_repeated_ids(spark):
-    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])]
+    """Each row is a query of its own, and a candidate of all rows but itself."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = topk.top_k(frame.filter("vec_id = 0"), frame, 5).orderBy("rank").collect()
-    assert [(r.vec_id, r.score) for r in out] == [(2, 128 * 512), (1, 128 * 256), (1, 128 * 256)]
+    out = topk.top_k(frame.filter("vec_id = 0"), frame, 3).collect()
+    truth = []
+    for n, (q, v) in enumerate(rows):
+        if q == 0:
+            best = sorted((-int(256 * v[0]) * int(256 * w[0]), i) for m, (i, w) in enumerate(rows) if m != n)[:3]
+            truth += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(truth)
+
+
+def test_large_doubles_are_floored_before_they_are_whole(spark):
+    x = -(1e12 + 2.0**-13)
+    frame = spark.createDataFrame([(50, [x]), (1, [1.0]), (2, [2.0**60])], "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.vec_id): r.score for r in topk.top_k(frame, frame, 5).collect()}
+    assert out[50, 1] == math.floor(Fraction(x) * 256) * 256 == -65536000000000256 and out[1, 2] == 2**63 - 1
 
 
 def test_top_k_equals_brute_force(spark):
