@@ -14,7 +14,8 @@ held under several addresses.
 
 The second pass drops a page's templates, and what the markup itself names as no content (scripts, navigation, forms, adverts,
 notices, comments), and joins the blocks of what is left: those of the outermost article or main elements where a page
-has any, else of its body.
+has any, else of its body. A name counts if the whole class or id says so ("cookie-notice", "site-footer", not "has-sidebar"); it drops no article
+or main element, none of a page's paragraphs within these, and no element that holds most of the page's articles, or where there are none most of its text.
 
 A host's templates are at most 1 / share times the subtrees of its mean page. They are joined to pages by host with
 a size-checked broadcast, or else over salted hosts, so a host with a third of all pages is spread.
@@ -26,6 +27,7 @@ as one page together; very long pages are read whole, in linear time; an empty t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
@@ -44,15 +46,20 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s=>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: Elements without content of their own, elements whose content is no text, and elements that a block ends at.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object canvas math".split())
+RAW = frozenset("script style noscript template textarea title svg iframe canvas".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an open one of the same kind ends at.
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 #: Elements and names that are no main content.
 ASIDE = frozenset("nav aside form footer menu dialog button select head".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|footer|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommended|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
-HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice popup modal newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars side bar widget widgets footer masthead comment comments reply replies respond disqus share sharing social related recommended pagination pager toolbar skip".split())
+#: Words that a name of such an element may have beside them.
+BESIDE = frozenset("site page main global primary secondary top bottom left right box block list container wrapper wrap area inner outer section item items content header title links link buttons button slot unit holder group row post entry article blog the".split())
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Elements that a name drops within an article or main element; text of its own, such as a paragraph, stays there whatever its class.
+CONTAINERS = frozenset("div section ul ol dl table figure fieldset details center address ins span".split())
+MOST = 0.5
 SPACE, DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
@@ -142,18 +149,32 @@ def parse(source: str) -> Page:
     return page
 
 
-def is_aside(tag: str, a: dict[str, str], inside: bool) -> bool:
-    """Whether the markup itself names the element as no main content."""
-    if tag in ASIDE or tag in RAW:
+@functools.lru_cache(100_000)
+def names_aside(names: str, header: bool) -> bool:
+    """Whether a class or id says as a whole that its element is no content. header: whether this word does."""
+    for name in names.split():
+        words = [w.lower() for w in NAME_WORDS.findall(name)]
+        told = [w in ASIDE_WORDS or header and w == "header" for w in words]
+        if any(told) and all(t or w in BESIDE or w.isdigit() for t, w in zip(told, words)) and words != ["side"] and words != ["bar"]:
+            return True
+    return False
+
+
+def is_aside(tag: str, a: dict[str, str], inside: bool, holds_mains: bool, holds_most: bool) -> bool:
+    """Whether the markup itself names the element as no main content. holds_mains: whether most of the page's articles are in it; holds_most: or most of its text."""
+    if tag in RAW:
         return True
-    if tag == "header":  # an article's own header holds its title
-        return not inside
-    if not a:
+    if holds_mains:
+        return False
+    if tag in ASIDE or tag == "header" and not inside:  # an article's own header holds its title
+        return not (tag == "form" and holds_most)
+    if not a or holds_most:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")) or a.get("role", "").lower() in ASIDE_ROLES:
         return True
-    names = f'{a.get("class", "")} {a.get("id", "")}'
-    return tag not in ("body", "html", "main") and bool(ASIDE_NAMES.search(names) or not inside and HEADER_NAME.search(names))
+    if tag in ("body", "html", "main", "article") or inside and tag not in CONTAINERS:
+        return False
+    return names_aside(f'{a.get("class", "")} {a.get("id", "")}', not inside)
 
 
 def is_main(tag: str, a: dict[str, str]) -> bool:
@@ -174,16 +195,40 @@ class Marks:
     def __init__(self, page: Page, roles: bool = True):
         n = len(page.tags)
         self.page, self.dropped, self.inside, self.slots, self.mains = page, [False] * n, [False] * n, [b""] * n, []
+        sizes, in_mains, whole = self._sizes() if roles else ([], [], [])
         for i in range(1, n):
             up, tag, a = page.parents[i], page.tags[i], page.attributes[i]
             names = [DIGITS.sub("0", a[k]) for k in ("class", "id", "role") if k in a]
             self.slots[i] = hashed(self.slots[up], tag.encode(), *(x.encode("utf-8", "surrogatepass") for x in names))
-            self.dropped[i] = self.dropped[up] or (is_aside(tag, a, self.inside[up]) if roles else tag in RAW or tag == "head")
+            self.dropped[i] = self.dropped[up] or (is_aside(tag, a, self.inside[up], in_mains[0] > 0 and in_mains[i] >= MOST * in_mains[0], sizes[i] >= MOST * whole[i]) if roles else tag in RAW or tag == "head")
             main = roles and not self.inside[up] and not self.dropped[i] and is_main(tag, a)
             self.inside[i] = self.inside[up] or main
             if main:
                 self.mains.append(i)
 
+    def _sizes(self) -> tuple[list[int], list[int], list[int]]:
+        """Of each element its characters of text, those of them in outermost article or main elements that are within it, and the
+        characters of what it is part of: the outermost article or main element around it, else the page."""
+        page, n = self.page, len(self.page.tags)
+        sizes, in_mains, outer = [0] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            up = page.parents[i]
+            outer[i] = outer[up] or (up if is_main(page.tags[up], page.attributes[up]) else 0)
+        text, inner, main, since = 0, 0, 0, [(0, 0)]
+        for e in page.events:
+            if isinstance(e, str):
+                size = len(e) - e.count(" ")
+                text, inner = text + size, inner + (size if main else 0)
+            elif e > 0:
+                since.append((text, inner))
+                main = main or (e if is_main(page.tags[e], page.attributes[e]) else 0)
+            else:
+                t, m = since.pop()
+                sizes[-e], in_mains[-e] = text - t, inner - m if not outer[-e] else 0
+                main = 0 if main == -e else main
+        sizes[0], in_mains[0] = text, inner
+        return sizes, in_mains, [sizes[outer[i]] for i in range(n)]
+
     def digests(self, host: str) -> tuple[list[bytes], list[bool]]:
         """Of each element the digest of its tags and text, numbers and the host's name masked, and whether it has any text."""
         page, n = self.page, len(self.page.tags)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 from corpusloom.llm import decontaminate, html, packing, substrings, urls
 from corpusloom.llm.common import scratch
+import pytest
 from pyspark.sql import functions as F
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu."), (2, "one two three four five six seven eight nine ten one two three four five six"), (3, "too short"), (4, None)]
@@ -453,3 +454,28 @@ def test_stages_pass_awkward_rows_and_columns(spark):
         assert out.columns == docs.columns and 1 <= out.count() <= docs.count(), name
         assert {(r.id, r.removed, r.row) for r in out.collect()} == {(1, "x", 2)}, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, benchmark).count() >= len(rows)
+
+
+BODY = "<h1>Head</h1><p>one two three four five six</p><p>seven eight nine ten</p>"
+TEXT = "Head\none two three four five six\nseven eight nine ten"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='site has-sidebar'><article>{BODY}</article></div>", TEXT),
+        (f"<div class='layout no-sidebar'><main>{BODY}</main></div>", TEXT),
+        (f"<div class='page nav-open'>{BODY}</div>", TEXT),
+        (f"<article class='post category-social'>{BODY}</article>", TEXT),
+        (f"<article class='post with-comments'>{BODY}</article>", TEXT),
+        (f"<form id='aspnetForm'><nav>menu</nav>{BODY}<input></form>", TEXT),
+        (f"<aside><main>{BODY}</main></aside>", TEXT),
+        (f"<body style='visibility:hidden'><div class='sidebar'>{BODY}</div></body>", TEXT),
+        (f"<article>{BODY}<p class='notice'>kept</p><math>a+b</math><object>c</object></article>", TEXT + "\nkept\na+bc"),
+        (f"<div class='cookie-notice'>ok?</div><div id='sideBar'>x</div><ul class='main-menu'><li>a</ul><article>{BODY}</article>", TEXT),
+        (f"<article>{BODY}<div id='comments'>no</div><div class='post-share'>s</div><aside>q</aside><form>f</form></article><footer>f<article>teaser</article></footer>", TEXT),
+        (f"<div class='related'><article>teaser</article></div><article>{BODY}</article>", TEXT),
+    ],
+)
+def test_names_of_wrappers_and_articles_lose_no_content(page, text):
+    assert html.main_text(page) == text
