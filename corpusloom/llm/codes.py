@@ -19,13 +19,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS, at_lines: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """rows, starts and codes: the texts' row numbers, where each starts in codes, and the code points.
 
     A text has a space before it, which counts as its own, and GAP spaces after it, so no text sees its neighbours.
 
     A text longer than a group is cut into several entries of the same row, so memory stays bounded: at white space, or where none is
-    near at another character that is in no word. No word is cut."""
+    near at another character that is in no word. No word is cut. With at_lines it is cut at line breaks only, so a line is never cut."""
     rows, parts, size = [], [], 0
 
     def flush():
@@ -38,8 +38,11 @@ def groups(texts: Sequence[str | None], group_chars: int = GROUP_CHARS) -> Itera
         while True:
             end = len(text)
             if end - at > group_chars:
-                cut = BLANK.search(text, at + group_chars, at + 2 * group_chars) or NO_WORD.search(text, at + group_chars)
-                end = cut.end() if cut else end
+                if at_lines:
+                    end = text.find("\n", at + group_chars) + 1 or end
+                else:
+                    cut = BLANK.search(text, at + group_chars, at + 2 * group_chars) or NO_WORD.search(text, at + group_chars)
+                    end = cut.end() if cut else end
             rows.append(row)
             parts.append(text[at:end])
             size += end - at + GAP

@@ -1,19 +1,21 @@
 """Substring dedup by line hashing: lines are cut into units, digests of the normalised units are grouped globally, the earliest
 ranked occurrence stays, and repeated runs of units are removed with their offsets in the original text kept.
 
-Units: a line's words (lower case, nothing else counts) are cut before every word whose hash is the smallest among its REACH
-neighbours on either side, so a passage is cut alike wherever it was spliced in; a cut leaves MIN_WORDS words or more on
-both sides, so a short line is one unit, and a line that is repeated whole repeats all of its units. A unit is repeated if the
-same words stood in a unit of an earlier rank: doc_id (nulls last), a hash of the text, offset. Neighbouring
-repeated units form a run, over line ends too; a run of MIN_RUN words or more is removed, a shorter one is left, as common phrases
-and short lines recur in texts that have nothing to do with each other.
+Lines: a line of MIN_LINE words or more (lower case, nothing else counts) is removed if the same words stood as a line or unit of an earlier
+rank: doc_id (nulls last), a hash of the text, offset.
+
+Units: passages are also spliced into lines. A line's words are cut before every word whose hash is the smallest among its REACH
+neighbours on either side, so a passage is cut alike wherever it stands; a cut leaves MIN_WORDS words or more on
+both sides. Neighbouring units that stood at an earlier rank form a run, over line ends too; a run of MIN_RUN words or more is
+removed. A shorter run within a line is left, as common phrases recur in texts that have nothing to do with each other; the
+ends of a passage within a line, up to a unit each, stay.
 
 A document's own repetitions are dropped before anything is shuffled; digests are counted with partial sums, and only
-those seen more than once go on, so a unit of any number of copies is a counter. What is long enough to be removed is joined
+those seen more than once go on, so a line of any number of copies is a counter. What is to be removed is joined
 to the texts again: by broadcast if it is small, else by the document's key.
 
 Defined cases: null texts stay null, empty ones empty; rows equal in id and text count as one document and get the same
-result; a text of more than codes.GROUP_CHARS characters is read in parts that end at white space, each cut as if it stood alone; an empty
+result; long texts are read in groups of lines, which changes nothing, and a line of any length is read whole; an empty
 table gives an empty result; extra columns are passed through, and a column that has the spans' name keeps it (the spans' gets a "_").
 """
 
@@ -31,7 +33,9 @@ from . import codes
 from .codes import mix
 from .common import BROADCAST_BYTES, key_of, scratch, table, whole_rows
 
-REACH, MIN_WORDS, MIN_RUN = 3, 4, 20
+REACH, MIN_WORDS, MIN_RUN, MIN_LINE = 3, 4, 20, 5
+#: A unit within a line, one that is a line, and a line of several units that is too short for a run.
+INNER, ALONE, LINE = 0, 1, 2
 WORD = re.compile(r"\w+")
 NO_WORD = re.compile(r"[^\w\n]*")
 STEP1, STEP2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -80,35 +84,51 @@ def cuts(hashes: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least)
 
 
-def units(rows: np.ndarray, starts: np.ndarray, points: np.ndarray) -> pd.DataFrame | None:
-    """row, word and words (the unit's first word, counted from its part's first, and their number), two parts of a digest, and
-    whether the row has had it before, of each unit of a group of texts (see codes.groups); and part, the group's text number."""
+def digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two parts of a digest of the words from each place in at to the next."""
+    place = within(at, len(hashes))
+    d1 = mix(np.add.reduceat(mix(hashes + place * STEP1), at)).view("i8")
+    return d1, (mix(np.add.reduceat(mix((hashes ^ STEP2) + place * STEP2), at)) >> np.uint64(32)).astype("u4").view("i4")
+
+
+def units(rows: np.ndarray, starts: np.ndarray, points: np.ndarray, min_run: int = MIN_RUN, min_line: int = MIN_LINE) -> pd.DataFrame | None:
+    """row, kind, word and words (the unit's first word, counted from its part's first, and their number), two parts of a digest, and
+    whether the row has had it before, of each unit and short line of a group of texts (see codes.groups); and part, the group's text number."""
     first, _, hashes = words_of(points)
     if not len(first):
         return None
     part = np.searchsorted(starts, first, "right") - 1
     line = np.cumsum(points == 10)[first] + part
     at = cuts(hashes, line)
-    place = within(at, len(first))
-    d1 = mix(np.add.reduceat(mix(hashes + place * STEP1), at)).view("i8")
-    d2 = (mix(np.add.reduceat(mix((hashes ^ STEP2) + place * STEP2), at)) >> np.uint64(32)).astype("u4").view("i4")
     begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    found = pd.DataFrame({"row": rows[part[at]], "part": part[at], "word": within(begins, len(first)).astype("i4")[at], "words": np.diff(np.append(at, len(first))).astype("i4"), "d1": d1, "d2": d2})
-    order = np.lexsort((at, d2, d1, found["row"]))
-    same = np.zeros(len(at), bool)
-    key = found[["row", "d1", "d2"]].to_numpy()[order]
-    same[order[1:]] = (key[1:] == key[:-1]).all(1)
+    place = within(begins, len(first)).astype("i4")
+    lines = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    of_line, sizes = np.searchsorted(lines, at, "right") - 1, np.diff(np.append(lines, len(first)))
+    times = np.bincount(of_line, minlength=len(lines))
+    short = np.flatnonzero((times > 1) & (sizes >= min_line) & (sizes < min_run))
+
+    def table(places: np.ndarray, words: np.ndarray, kind: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"row": rows[part[places]], "part": part[places], "kind": kind.astype("i1"), "word": place[places], "words": words.astype("i4"), "d1": d1, "d2": d2})
+
+    found = table(at, np.diff(np.append(at, len(first))), np.where(times[of_line] == 1, ALONE, INNER), *digests(hashes, at))
+    if len(short):
+        d1, d2 = digests(hashes, lines)
+        found = pd.concat([found, table(lines[short], sizes[short], np.full(len(short), LINE), d1[short], d2[short])], ignore_index=True)
+    key = found[["row", "d1", "d2"]].to_numpy()
+    order = np.lexsort((found["word"], found["part"], key[:, 2], key[:, 1], key[:, 0]))
+    same = np.zeros(len(found), bool)
+    same[order[1:]] = (key[order][1:] == key[order][:-1]).all(1)
     return found.assign(again=same)
 
 
-def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A document's key (id, none, h), a unit's digest (d1, d2: 96 bits), its words' numbers in the text, and whether the text is known to have had it before."""
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, min_line: int = MIN_LINE) -> DataFrame:
+    """A document's key (id, none, h), a unit's kind and digest (d1, d2: 96 bits), its words' numbers in the text, and whether the text is known to have had it before."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             read_words: dict[int, int] = {}  # of the rows of which a part has been read
-            for group in codes.groups(p["text"]):
-                found = units(*group)
+            for group in codes.groups(p["text"], at_lines=True):
+                found = units(*group, min_run, min_line)
                 if found is None:
                     continue
                 before = {}
@@ -118,33 +138,46 @@ def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 keys = p[["id", "none", "h"]].take(found["row"]).reset_index(drop=True)
                 yield pd.concat([keys, found.assign(word=found["word"] + found["part"].map(before)).drop(columns=["row", "part"])], axis=1)
 
-    schema = "id long, none boolean, h long, word int, words int, d1 long, d2 int, again boolean"
+    schema = "id long, none boolean, h long, kind byte, word int, words int, d1 long, d2 int, again boolean"
     return docs.select(*key_of(id_col, text_col), F.col(text_col).alias("text")).mapInPandas(read, schema)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """id, none, h and runs (first and last word, from 0) of min_run repeated words or more, for documents that have any."""
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN, min_line: int = MIN_LINE) -> DataFrame:
+    """id, none, h and runs (first and last word, from 0) of repeated lines and of min_run repeated words or more, for documents that have any. Runs may overlap."""
 
-    found = scratch(unit_table(docs, id_col, text_col), "units")
+    found = scratch(unit_table(docs, id_col, text_col, min_run, min_line), "units")
     once = found.filter("NOT again").drop("again")
     # Half of a digest is enough to tell most units that no other text has.
     often = once.groupBy("d1").agg(F.count("*").alias("copies")).filter("copies > 1").select("d1")
     shared = scratch(once.join(often, "d1"), "shared-units")
     rank = F.struct("none", "id", "h", "word")
     keepers = shared.groupBy("d1", "d2").agg(F.min(rank).alias("keeper"))
-    lost = shared.join(keepers, ["d1", "d2"]).filter(rank != F.col("keeper")).select("id", "none", "h", "word", "words")
-    spans = lost.unionByName(found.filter("again").select("id", "none", "h", "word", "words")).distinct()
+    lost = shared.join(keepers, ["d1", "d2"]).filter(rank != F.col("keeper")).select("id", "none", "h", "kind", "word", "words")
+    spans = scratch(lost.unionByName(found.filter("again").select("id", "none", "h", "kind", "word", "words")).distinct(), "repeated-units")
     # A unit's first word less the words of all repeated units before it is the same for neighbours, and rises with every gap.
     before = Window.partitionBy("id", "none", "h").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    of_run = spans.withColumn("gap", F.col("word") - F.coalesce(F.sum("words").over(before), F.lit(0)))
-    runs = of_run.groupBy("id", "none", "h", "gap").agg(F.min("word").alias("first"), F.sum("words").alias("n")).filter(F.col("n") >= min_run)
+    of_run = spans.filter(F.col("kind") != LINE).withColumn("gap", F.col("word") - F.coalesce(F.sum("words").over(before), F.lit(0)))
+    runs = of_run.groupBy("id", "none", "h", "gap").agg(F.min("word").alias("first"), F.sum("words").alias("n")).filter(F.col("n") >= min_run).drop("gap")
+    lines = spans.filter((F.col("kind") != INNER) & (F.col("words") >= min_line)).select("id", "none", "h", F.col("word").alias("first"), F.col("words").cast("long").alias("n"))
     run = F.struct("first", (F.col("first") + F.col("n") - 1).cast("int").alias("last"))
-    return scratch(runs.groupBy("id", "none", "h").agg(F.sort_array(F.collect_list(run)).alias("runs")), "runs")
+    return scratch(runs.unionByName(lines).groupBy("id", "none", "h").agg(F.sort_array(F.collect_set(run)).alias("runs")), "runs")
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order of their first word, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for first, last in runs:
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(last, out[-1][1])
+        else:
+            out.append((first, last))
+    return out
 
 
 def removed_parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The parts of text to remove: runs (first and last word) with what stands after them in their line but no word, and as a
     whole line with its line break."""
+    runs = united(runs)
     edges, bounds = {w for run in runs for w in run}, {}
     for number, m in enumerate(WORD.finditer(text)):
         if number in edges:
@@ -163,8 +196,8 @@ def removed_parts(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed", min_run: int = MIN_RUN) -> DataFrame:
-    """docs with repeated runs cut out of the text, and their spans in the original text in spans_col (none: without this column)."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed", min_run: int = MIN_RUN, min_line: int = MIN_LINE) -> DataFrame:
+    """docs with repeated lines and runs cut out of the text, and their spans in the original text in spans_col (none: without this column)."""
 
     @F.pandas_udf("text string, removed array<struct<start:int,stop:int>>")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -176,7 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             gone.append([{"start": a, "stop": b} for a, b in parts])
         return pd.DataFrame({"text": pd.Series(kept, dtype=object), "removed": pd.Series(gone, dtype=object)})
 
-    runs = repeated_runs(docs, id_col, text_col, min_run)
+    runs = repeated_runs(docs, id_col, text_col, min_run, min_line)
     size = runs.agg(F.sum(16 * F.size("runs") + 64)).first()[0] or 0
     joined = whole_rows(docs, id_col, text_col).join(F.broadcast(runs) if size <= BROADCAST_BYTES else runs, ["id", "none", "h"], "left")
     # Only texts that lose something go through Python.

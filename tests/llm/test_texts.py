@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from corpusloom.llm import decontaminate, html, packing, substrings, urls
+from corpusloom.llm import codes, decontaminate, html, packing, substrings, urls
 from corpusloom.llm.common import scratch
 import pytest
 from pyspark.sql import functions as F
@@ -114,7 +114,8 @@ def word_number(word):
 
 
 def brute_repeats(rows, min_run):
-    """Text after text in order of doc_id: each line's words cut before local minima, units seen before marked, long runs of them dropped."""
+    """Text after text in order of doc_id: lines of five words or more seen before are dropped; each line's words are cut before local minima, units
+    seen before are marked, and long runs of them dropped."""
     seen, out = set(), {}
     for doc, text in sorted(rows):
         marked, at = [], 0
@@ -123,21 +124,25 @@ def brute_repeats(rows, min_run):
             words = [m.group().lower() for m in found]
             h, n = [word_number(w) for w in words], len(words)
             cuts = [i for i in range(4, n - 3) if h[i] < min(h[max(0, i - 3) : i]) and h[i] <= min(h[i + 1 : i + 4])]
+            whole = " ".join(words)
+            gone = 5 <= n and whole in seen and (n < min_run or not cuts)
             for i, j in zip([0, *cuts], [*cuts, n]):
                 if i < j:
                     key = " ".join(words[i:j])
-                    marked += [(at + m.start(), at + m.end(), key in seen) for m in found[i:j]]
+                    marked += [(at + m.start(), at + m.end(), key in seen, gone) for m in found[i:j]]
                     seen.add(key)
+            if 5 <= n < min_run:
+                seen.add(whole)
             at += len(line) + 1
         kept, run = [], []
-        for word in [*marked, (0, 0, False)]:
+        for word in [*marked, (0, 0, False, False)]:
             if word[2]:
                 run.append(word)
                 continue
             if len(run) < min_run:
                 kept += run
             kept, run = [*kept, word], []
-        out[doc] = [text[a:b] for a, b, _ in kept[:-1]]
+        out[doc] = [text[a:b] for a, b, _, gone in kept[:-1] if not gone]
     return out
 
 
@@ -185,12 +190,42 @@ def test_spliced_passages_and_awkward_rows(spark):
 def test_common_phrases_and_short_lines_stay(spark):
     rng = random.Random(9)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
-    line, phrase = words(12), words(15)
+    line, phrase = words(4), words(15)
     rows = [(i, f"{words(30)}\n{line}\n{words(20)} {phrase} {words(20)}") for i in range(6)]
     out = {r.doc_id: r.text for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == dict(rows)
 
 
+def test_repeated_lines_of_any_length_go(spark):
+    rng = random.Random(10)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    lines = [words(n) for n in range(5, 61)]
+    rows, clean = [], []
+    for i in range(5):
+        own = [words(rng.randint(6, 50)) for _ in range(len(lines) + 1)]
+        clean.append("\n".join(own))
+        rows.append((i, "\n".join(x for pair in zip(own, lines) for x in (pair[0], pair[1].upper() + "!")) + "\n" + own[-1]))
+    out = {r.doc_id: r.text for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: rows[0][1], **dict(enumerate(clean[1:], 1))}
+
+
+def test_groups_of_lines_change_no_unit():
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join("".join(rng.choices("abc", k=3)) for _ in range(rng.randint(0, 40))) for _ in range(60)) for _ in range(3)]
+
+    def found(size):
+        out, read = Counter(), Counter()
+        for group in codes.groups(texts, size, at_lines=True):
+            part = substrings.units(*group)
+            for x in part.itertuples():
+                out[x.row, x.kind, x.word + read[x.row], x.words, x.d1, x.d2] += 1
+            for row in set(part.row):
+                read[row] += int((part.word + part.words)[part.row == row].max())
+        return out
+
+    assert found(10**6) == found(700) and sum(found(700).values()) > 200
+
+
 def test_rules(spark):
     rows = [(1, "http://Shop.EXAMPLE.org/es/1?x"), (2, "https://example.org/en/17"), (3, "ftp://a.org"), (4, "https://notexample.com/fr/x"), (5, "https://x.com/de/"), (6, None), (7, "no scheme"), (8, "https://b.net/en/1#frag"), (8, "https://b.net/en/1#frag"), (9, "http://example.org/e"), (10, "x://h.com/" + "a/" * 5000)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, host string")).collect()}
