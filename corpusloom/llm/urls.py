@@ -1,9 +1,10 @@
 """URL filter by a path-template tree: per host, variable segments become wildcards, branches that are statistically alike
 merge, and a template is rejected by its smoothed labelled purity. DataFrame operations only.
 
-Tree: a path's segments; those beyond the first DEPTH are read too, but as one segment, so the number of levels is bounded.
-A segment that holds a digit, or is longer than LONG_SEGMENT, is variable ("*"). Level by level from the root, a literal child whose labelled rate differs from the
-rate of its parent's subtree by less than Z standard errors merges with the other such children into "*".
+Tree: all segments of a path, however deep or long. A segment that holds a digit is variable ("*"). Level by level from the root, literal children
+merge into "*" on two statistical grounds. Where the children of a node are surely (lower bound of a confidence interval) mostly of one page each,
+as slugs are, those of one page do. And a child does whose labelled rate differs from the rate of its parent's subtree by less than Z standard
+errors. A path that is alone in its node is finished at once, so there are as many levels as different paths share.
 Purity of a template: (bad + SMOOTHING * prior) / (labelled + SMOOTHING), where the prior is the same quotient for the
 template over all hosts, and that one's prior is the share of bad among all labels.
 
@@ -17,12 +18,14 @@ is allowed; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, small_or_plain, table
 
-DEPTH, LONG_SEGMENT, Z, SMOOTHING, REJECT = 6, 24, 1.96, 4.0, 0.5
+Z, SMOOTHING, REJECT, SINGLES = 1.96, 4.0, 0.5, 0.5
 #: Rules of the query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -47,32 +50,44 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Generalised segments of a path, DEPTH of them at most, and one for all that lies deeper."""
-    general = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"\d") | (F.length(s) > LONG_SEGMENT), "*").otherwise(s))
-    deeper = lambda parts: F.concat(F.slice(parts, 1, DEPTH), F.array(F.array_join(F.slice(parts, DEPTH + 1, F.size(parts)), "/")))
-    return F.get(F.transform(F.array(general), lambda parts: F.when(F.size(parts) > DEPTH, deeper(parts)).otherwise(parts)), F.lit(0))
+    """Generalised segments of a path."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(r"\d"), "*").otherwise(s))
 
 
-def template_tree(labelled: DataFrame, z: float = Z) -> DataFrame:
-    """host, raw (a path's generalised segments, joined), template, n, good and bad, from columns host, raw_segments and label (1 bad, 0 good, null).
+def template_tree(labelled: DataFrame, z: float = Z, singles: float = SINGLES) -> DataFrame:
+    """host, raw_segments (a path's generalised segments), template, n, good and bad, from columns host, raw_segments and label (1 bad, 0 good, null).
 
     labelled is aggregated to distinct (host, raw_segments) first, with partial sums before the shuffle."""
     tree = labelled.groupBy("host", "raw_segments").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("good"))
     # Each level reads the tree twice, so it is written down once a level.
     tree = scratch(tree.withColumn("prefix", F.lit("")), "url-tree")
-    for level in range(1, DEPTH + 2):
-        segment = F.coalesce(F.get("raw_segments", F.lit(level - 1)), F.lit(""))
-        nodes = tree.withColumn("segment", segment)
-        child = nodes.groupBy("host", "prefix", "segment").agg(F.sum("bad").alias("c_bad"), F.sum(F.col("bad") + F.col("good")).alias("c_n"))
+    columns = ["host", "raw_segments", "n", "good", "bad", "prefix"]
+    finished, level = [], 0
+    while not tree.isEmpty():
+        ended = F.size("raw_segments") <= level
+        nodes = tree.withColumn("segment", F.coalesce(F.get("raw_segments", F.lit(level)), F.lit("")))
+        child = nodes.groupBy("host", "prefix", "segment").agg(F.sum("bad").alias("c_bad"), F.sum(F.col("bad") + F.col("good")).alias("c_n"), F.sum("n").alias("pages"), F.count("*").alias("c_paths"))
         # Children of one node: as many as a site has distinct literal segments, summed before they meet.
-        parent = child.groupBy("host", "prefix").agg(F.sum("c_bad").alias("p_bad"), F.sum("c_n").alias("p_n"))
+        alone = F.sum(F.when(F.col("pages") == 1, 1).otherwise(0)).alias("alone")
+        parent = child.groupBy("host", "prefix").agg(F.sum("c_bad").alias("p_bad"), F.sum("c_n").alias("p_n"), F.sum("pages").alias("p_pages"), F.sum("c_paths").alias("paths"), alone)
         pooled = (F.col("p_bad") + 1) / (F.col("p_n") + 2)
         apart = F.abs(F.col("c_bad") / F.col("c_n") - pooled) > z * F.sqrt(pooled * (1 - pooled) / F.col("c_n"))
-        # Where nothing is labelled nothing shows that branches are alike: literals stay.
-        merged = F.when(F.col("segment").isin("", "*") | (F.col("p_n") == 0), F.col("segment")).when((F.col("c_n") > 0) & ~apart, "*").otherwise(F.col("segment"))
-        decided = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", merged.alias("as_segment"))
-        tree = scratch(nodes.join(decided, ["host", "prefix", "segment"]).withColumn("prefix", F.when(F.col("as_segment") == "", F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "as_segment"))).drop("segment", "as_segment"), "url-tree")
-    return tree.select("host", "raw_segments", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("template"), "n", "good", "bad")
+        k, n = F.col("alone"), F.col("p_pages")
+        variable = (k + z * z / 2 - z * F.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z) >= singles
+        slug = (F.col("pages") == 1) & variable
+        # Where nothing is labelled nothing shows that branches are alike: literals that aren't slugs stay.
+        merged = F.when(F.col("segment").isin("", "*"), F.col("segment")).when(slug | (F.col("c_n") > 0) & ~apart, "*").otherwise(F.col("segment"))
+        decided = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", merged.alias("as_segment"), (F.col("paths") == 1).alias("only"), (F.col("p_n") > 0).alias("known"))
+        decided = scratch(decided, "url-nodes")
+        moved = nodes.join(small_or_plain(decided, 200), ["host", "prefix", "segment"])
+        # A path that is alone has its parent's rate at every node, so all of its segments merge if it has a label.
+        rest = F.transform(F.slice("raw_segments", level + 1, F.greatest(F.size("raw_segments") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), F.when(F.col("known"), "*").otherwise(s)))
+        step = F.when(F.col("only"), F.array_join(rest, "")).when(F.col("as_segment") == "", "").otherwise(F.concat(F.lit("/"), "as_segment"))
+        moved = scratch(moved.select("host", "raw_segments", "n", "good", "bad", F.concat("prefix", step).alias("prefix"), (F.col("only") | ended).alias("done")), "url-tree")
+        finished.append(moved.filter("done").select(columns))
+        tree, level = moved.filter("NOT done").select(columns), level + 1
+    whole = functools.reduce(DataFrame.unionByName, finished, tree.limit(0).select(columns))
+    return whole.select("host", "raw_segments", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix")).alias("template"), "n", "good", "bad")
 
 
 def template_purity(tree: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
