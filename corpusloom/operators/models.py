@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fallback_title, parse_qa_lines, parse_subqueries, sanitize_title
 from ..functions.vectors import hash_embedding
+from ..staging import staged
 from . import retrieval, tables
 
 BATCH, RETRIES, WAIT = 64, 3, 0.5
@@ -60,7 +61,9 @@ def answer_column(rows: DataFrame, column: str, call: Callable[[str], str], out:
 
 
 def embed(rows: DataFrame, cache: DataFrame, model: str, call: Callable[[list[str]], list[list[float]]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """rows (text) with embedding, and the cache with what was new. Equal texts are embedded once; without a call the hashing embedder is used."""
+    """rows (text) with embedding, and the cache with what was new. Equal texts are embedded once; without a call the hashing embedder is used.
+
+    What is new is staged, so the model is called once for it, whatever reads the two results."""
     hashed = rows.withColumn("text_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("model", F.lit(model))
     new = tables.cache_misses(hashed.select("model", "text_hash", "text").dropDuplicates(["text_hash"]), cache)
     if call is None:
@@ -78,7 +81,7 @@ def embed(rows: DataFrame, cache: DataFrame, model: str, call: Callable[[list[st
                     yield pd.DataFrame({"model": batch["model"], "text_hash": batch["text_hash"], "embedding": vectors})
 
         made = new.mapInPandas(ask, "model string, text_hash string, embedding array<double>")
-    whole = tables.usable_cache(cache).select("model", "text_hash", "embedding").unionByName(made)
+    whole = tables.usable_cache(cache).select("model", "text_hash", "embedding").unionByName(staged(made, "embedded"))
     return hashed.join(whole, ["model", "text_hash"], "left"), whole
 
 
@@ -86,14 +89,14 @@ def describe_images(images: DataFrame, cache: DataFrame, model: str, call: Calla
     """images (doc_id, idx, data) with description, and the grown cache; a failure is an empty description."""
     hashed = images.withColumn("image_hash", F.sha2("data", 256)).withColumn("model", F.lit(model))
     new = hashed.select("model", "image_hash", "data").dropDuplicates(["image_hash"]).join(cache.select("model", "image_hash"), ["model", "image_hash"], "left_anti")
-    made = answer_column(new, "data", call, "desc_text").drop("data")
+    made = staged(answer_column(new, "data", call, "desc_text").drop("data"), "described")
     whole = cache.select("model", "image_hash", "desc_text").unionByName(made.filter(F.coalesce("desc_text", F.lit("")) != ""))
     return hashed.join(whole, ["model", "image_hash"], "left").withColumn("description", F.coalesce("desc_text", F.lit(""))).drop("desc_text"), whole
 
 
 def qa_index(parents: DataFrame, call: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
     """Leaves (chunk_id, question, text) of question and answer for each parent, and the parents that got none."""
-    asked = answer_column(parents, "text", call)
+    asked = staged(answer_column(parents.select("chunk_id", "text"), "text", call), "answers")
     pairs = asked.select(F.col("chunk_id").alias("parent_id"), F.posexplode(parse_qa_lines(F.col("response"))).alias("no", "pair"))
     leaves = pairs.select("parent_id", "no", F.col("pair.question").alias("question"), F.concat("pair.question", F.lit("\n"), "pair.answer").alias("text"), F.lit("qa").alias("kind"))
     return leaves, parents.join(leaves.select(F.col("parent_id").alias("chunk_id")), "chunk_id", "left_anti")

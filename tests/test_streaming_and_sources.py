@@ -5,8 +5,10 @@ import os
 import uuid
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import retrieval
 from corpusloom.plans import pipelines
 from corpusloom.sources import files as src
 from corpusloom.streaming import turns
@@ -117,7 +119,93 @@ def test_incremental_ingest(spark, tmp_path):
     read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
     assert sorted(r.text for r in read("chunks").filter("parent_id IS NOT NULL").collect()) == ["hello there", "second file"]
     assert sorted(r.status for r in read("documents").collect()) == ["duplicate", "failed", "ready", "ready"]
-    assert read("vectors").count() == read("cache").count() == 2 and read("postings").count() == 9 + 9
+    places = read("postings").filter("trigram >= 0").agg(F.sum("n")).first()[0]
+    assert read("vectors").count() == read("cache").count() == 2 and places == 9 + 9
+    # Search reads the stored postings and sums, and no text before it has a hit.
+    chunks = read("chunks").filter("parent_id IS NOT NULL").select("kb_id", "chunk_id", "text")
+    asked = spark.createDataFrame([(1, "k", "ello TH"), (2, "k", "second"), (3, "k", "hello second")], "query_id long, kb_id string, phrase string")
+    stats = retrieval.mean_stats(read("stats"))
+    assert {r.query_id: r.tf for r in retrieval.phrase_match(asked, chunks, read("postings")).collect()} == {1: 1, 2: 1}
+    assert stats.collect() == retrieval.trigram_stats(chunks).collect() and {r.query_id for r in retrieval.phrase_topk(asked, chunks, index=read("postings"), stats=stats).collect()} == {1, 2}
+
+
+def test_killed_ingest_runs_again_and_embeds_once(spark, tmp_path, monkeypatch):
+    """Killed before any of its writes, a batch that runs again ends with the same rows, and no text is embedded twice."""
+    (tmp_path / "in").mkdir()
+    for n in range(4):
+        (tmp_path / f"in/{n}.txt").write_text(f"text number {n} of the files")
+    files = src.read_files(spark, str(tmp_path / "in"))
+    calls = tmp_path / "calls"
+
+    def call(texts):
+        with calls.open("a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    put, names = pipelines.put, []
+    pipelines.ingest_batch(files, str(tmp_path / "whole"), "k", 0, "m", call)
+    assert sorted(calls.read_text().splitlines()) == [f"text number {n} of the files" for n in range(4)]
+    monkeypatch.setattr(pipelines, "put", lambda rows, target, name, *a: (names.append(name), put(rows, target, name, *a)))
+    pipelines.ingest_batch(files, str(tmp_path / "names"), "k", 0, "m", call)
+    rows = lambda target, name: sorted(map(str, pipelines.stored(spark, str(tmp_path / target), name).collect()))
+    for at in (names.index("cache"), names.index("vectors"), names.index("documents")):
+        target, seen = f"killed{at}", []
+
+        def stopped(rows, target, name, *a, at=at, seen=seen):
+            seen.append(name)
+            if len(seen) == at + 1:
+                raise KeyboardInterrupt
+            put(rows, target, name, *a)
+
+        calls.write_text("")
+        monkeypatch.setattr(pipelines, "put", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            pipelines.ingest_batch(files, str(tmp_path / target), "k", 0, "m", call)
+        states = pipelines.document_states(spark, str(tmp_path / target))
+        assert {r.status for r in states.collect()} == {"processing"}
+        monkeypatch.setattr(pipelines, "put", put)
+        pipelines.ingest_batch(files, str(tmp_path / target), "k", 0, "m", call)
+        assert all(rows(target, name) == rows("whole", name) for name in pipelines.STORED)
+        assert len(calls.read_text().splitlines()) == (4 if at > names.index("cache") else 8)
+    # What no batch has finished is resumed from its stored file, here after a pause.
+    target = str(tmp_path / "paused")
+    ids = pipelines.document_states(spark, str(tmp_path / "whole")).filter("raw_path LIKE '%/2.txt'").select("kb_id", "doc_id")
+    pipelines.set_paused(ids, target)
+    pipelines.ingest_batch(files, target, "k", 0, "m", call)
+    status = lambda: sorted(r.status for r in pipelines.document_states(spark, target).collect())
+    assert status() == ["paused", "ready", "ready", "ready"]
+    pipelines.resume_ingest(spark, target, "k", "m", call)
+    assert status() == ["paused", "ready", "ready", "ready"]
+    pipelines.set_paused(ids, target, False)
+    pipelines.resume_ingest(spark, target, "k", "m", call)
+    assert status() == ["ready"] * 4 and pipelines.tables.ingest_progress(pipelines.document_states(spark, target)).first().percent == 100.0
+    chunks = pipelines.stored(spark, target, "chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() == 8
+
+
+def test_ingest_of_mixed_formats(spark, tmp_path):
+    w, a, r = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    body = f'<w:document xmlns:w="{w}" xmlns:a="{a}" xmlns:r="{r}"><w:body><w:p><w:r><w:t>Before </w:t><a:blip r:embed="i1"/><w:t> after</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="i1" Target="media/p.png"/></Relationships>')
+        z.writestr("word/media/p.png", b"\x89PNG\r\n\x1a\nX")
+    s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="S" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{s}"><sheetData><row><c r="A1"><v>5</v></c></row></sheetData></worksheet>')
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF")
+    (tmp_path / "n.md").write_text("# plain")
+    target = str(tmp_path / "out")
+    pipelines.ingest_batch(src.read_files(spark, str(tmp_path / "*.*")), target, "k", 0, describe=lambda data: f"picture of {len(data)} bytes")
+    docs = {os.path.basename(r.raw_path): r for r in pipelines.document_states(spark, target).collect()}
+    assert {n: r.status for n, r in docs.items()} == {"d.docx": "ready", "t.xlsx": "ready", "n.md": "ready", "broken.docx": "failed", "p.pdf": "failed"}
+    texts = {r.text for r in pipelines.stored(spark, target, "chunks").filter("parent_id IS NULL").collect()}
+    assert texts == {"Before \n[image: picture of 9 bytes]\n after", "| 5 |\n| --- |", "# plain"}
+    errors = {r.error for r in pipelines.stored(spark, target, "documents").filter("status = 'failed'").collect()}
+    assert "no reader for pdf" in errors and len(errors) == 2
 
 
 def test_rebuild(spark):
@@ -129,7 +217,12 @@ def test_rebuild(spark):
     assert texts(again) == (texts(made) - {(2, "second text")}) | {(2, "second text, rewritten")}
     assert again["vectors"].count() == 3 and again["documents"].count() == 3
     ids = {r.chunk_id for r in again["chunks"].collect()}
-    assert {r.chunk_id for r in again["postings"].collect()} <= ids
+    leaves = again["chunks"].filter("parent_id IS NOT NULL").select("kb_id", "chunk_id", "text")
+    places = lambda index: sorted((r.kb_id, r.trigram, c, r.n) for r in index.filter("trigram >= 0").groupBy("kb_id", "trigram").agg(F.sum("n").alias("n")).collect() for c in [""])
+    assert places(again["postings"]) == places(retrieval.postings(leaves)) and {c for r in again["postings"].filter("trigram < 0").collect() for c in r.chunks if c} <= ids
+    asked = spark.createDataFrame([(1, "k", "rewritten"), (2, "k", "second text"), (3, "k", "first")], "query_id long, kb_id string, phrase string")
+    assert {r.query_id for r in retrieval.phrase_match(asked, leaves, again["postings"]).collect()} == {1, 2, 3}
+    assert sorted(retrieval.mean_stats(again["stats"]).collect()) == sorted(retrieval.trigram_stats(leaves).collect())
 
 
 def test_messages_of_events(spark):
