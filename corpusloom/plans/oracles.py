@@ -186,8 +186,9 @@ ORACLES = {
     "merge_unique": """WITH g AS (SELECT user_id, list_sort(list_distinct(list(event_id % 20) FILTER (event_type = 'click'))) AS a, list_sort(list_distinct(list(event_id % 30) FILTER (event_type = 'view'))) AS b FROM events GROUP BY user_id)
  SELECT user_id, array_to_string(list_concat(coalesce(a, []), list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(a, []), x))), ',') AS merged FROM g""",
     "token_rate_window": f"SELECT seq, round(count(*) OVER (PARTITION BY session_id ORDER BY us RANGE BETWEEN 1499999 PRECEDING AND CURRENT ROW) / 1.5::DOUBLE, 6) AS rate FROM ({E})",
-    "generation_rate": f"""SELECT session_id, round(CASE WHEN tokens > 0 AND l > f THEN tokens * 1e6::DOUBLE / (l - f) END, 9) AS rate FROM
- (SELECT session_id, min(us) FILTER (event IN ('delta', 'thinking')) AS f, max(us) FILTER (event = 'done') AS l, count(*) FILTER (event = 'delta') AS tokens FROM ({E}) GROUP BY session_id)""",
+    "generation_rate": """WITH e AS (SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) AS us, event_type, CAST(floor(value) AS BIGINT) AS tokens FROM events),
+g AS (SELECT session_id, min(us) FILTER (event_type IN ('view', 'click')) AS f, arg_max(us, seq) FILTER (event_type = 'signup') AS l, arg_max(tokens, seq) FILTER (event_type = 'signup') AS tokens FROM e GROUP BY session_id)
+SELECT session_id, round(CASE WHEN tokens > 0 AND l > f THEN tokens * 1e6::DOUBLE / (l - f) END, 9) AS rate FROM g""",
     "turn_assembly": f"""WITH t AS ({TURNS}), g AS (SELECT session_id, turn_no, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'delta'), '') AS text, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'thinking'), '') AS thinking,
  max(event) FILTER (event IN ('tool_result', 'done', 'error')) AS closed_by FROM t GROUP BY ALL) SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, md5(text) AS text_md5, CAST(length(thinking) AS INTEGER) AS thinking_n, closed_by FROM g WHERE text <> '' OR thinking <> ''""",
     "tool_call_fragments": """WITH g AS (SELECT user_id AS stream, event_id % 3 AS idx, arg_max('id' || event_id, event_id) FILTER (event_id % 7 = 0) AS id, arg_max(event_type, event_id) FILTER (event_id % 11 = 0) AS name,

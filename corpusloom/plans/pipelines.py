@@ -14,7 +14,7 @@ from ..functions.vectors import hash_embedding
 from ..operators import chunking, history, models, retrieval, tables
 from ..sources import files as sources
 from ..staging import staged
-from ..streaming import turns
+from ..streaming import assembly
 
 
 def ingest(docs: DataFrame, cache: DataFrame, model: str = "hash", call: Callable | None = None, existing: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -75,9 +75,12 @@ def display(messages: DataFrame) -> DataFrame:
     return shown.orderBy("session_id", "seq", "call_no")
 
 
-def assemble(events: DataFrame) -> dict[str, DataFrame]:
-    """messages (assistant turns with their calls, and tool rows), turns and generation rates of event rows (session_id, seq, ts, event, data)."""
-    return {"messages": turns.assemble_messages(events), "turns": turns.nonblank_turns(turns.assemble_turns(events)), "rates": turns.generation_rate(events)}
+def assemble(frames: DataFrame, late: str = "10 seconds", idle_ms: int | None = None) -> DataFrame:
+    """Rows (assembly.ROW) of frames (value): assistant turns with their calls, tool rows, and a row for each ended run with its usage and rate.
+
+    A stream gives them in append mode as its watermark passes (assembly.write_rows stores them); a table gives those of the whole log."""
+    events = assembly.frame_events(frames)
+    return assembly.assemble_stream(events, late, idle_ms) if frames.isStreaming else assembly.assemble_batch(events)
 
 
 def extract(files: DataFrame, describe: Callable[[bytes], str] | None = None, image_cache: DataFrame | None = None, model: str = "image") -> DataFrame:

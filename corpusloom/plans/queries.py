@@ -404,7 +404,8 @@ def token_rate_window(spark, d):
 
 
 def generation_rate(spark, d):
-    return turns.generation_rate(stream_events(spark, d))
+    """The value of an end is its usage's output tokens."""
+    return turns.generation_rate(stream_events(spark, d).withColumn("tokens_out", F.floor("value")))
 
 
 def token_rate_samples(spark, d):

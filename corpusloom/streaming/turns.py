@@ -33,25 +33,28 @@ CALL = "struct<call_id:string,tool:string,input:struct<raw:string>>"
 RESULT = "struct<call_id:string,content:string>"
 
 
-def assemble_messages(events: DataFrame) -> DataFrame:
-    """session_id, seq, role, text, thinking, tool_calls, tool_call_id: what a run leaves in the history.
+def assemble_messages(events: DataFrame, ends: tuple[str, ...] = ()) -> DataFrame:
+    """session_id, seq, role, text, thinking, tool_calls, tool_call_id, closed: what a run leaves in the history.
 
     events: session_id, seq, event, data; data is the text of a delta or thinking event, and JSON of a tool_call (call_id, tool, input.raw)
     or tool_result (call_id, content). A result closes the assistant turn before it and is a row of its own; calls without id or
-    name and results without id are ignored; a turn without text, thinking and calls is no row."""
+    name and results without id are ignored; a turn without text, thinking and calls is no row. Events in ends close a turn too; closed: whether anything has."""
     result, call = F.from_json("data", RESULT), F.from_json("data", CALL)
     rows = events.withColumn("result", F.when(F.col("event") == "tool_result", result)).withColumn("call", F.when(F.col("event") == "tool_call", call))
-    closes = F.coalesce(F.col("result.call_id"), F.lit("")) != ""
+    results = F.coalesce(F.col("result.call_id"), F.lit("")) != ""
+    closes = results | F.col("event").isin(*ends) if ends else results
     before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("turn_no", F.coalesce(F.sum(F.when(closes, 1).otherwise(0)).over(before), F.lit(0)))
     named = (F.coalesce("call.call_id", F.lit("")) != "") & (F.coalesce("call.tool", F.lit("")) != "")
     calls = F.collect_list(F.when(named, F.struct("seq", F.col("call.call_id").alias("id"), F.col("call.tool").alias("name"), F.coalesce("call.input.raw", F.lit("")).alias("args"))))
     text, thinking = F.when(F.col("event") == "delta", F.col("data")), F.when(F.col("event") == "thinking", F.col("data"))
+    after = Window.partitionBy("session_id").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("closed", F.max(closes).over(after))
     pieces = rows.filter(F.col("event").isin("delta", "thinking") | named)
-    turns = pieces.groupBy("session_id", "turn_no").agg(_ordered(text).alias("text"), _ordered(thinking).alias("thinking"), F.sort_array(calls).alias("calls"), F.max("seq").alias("seq"))
+    turns = pieces.groupBy("session_id", "turn_no").agg(_ordered(text).alias("text"), _ordered(thinking).alias("thinking"), F.sort_array(calls).alias("calls"), F.max("seq").alias("seq"), F.max("closed").alias("closed"))
     turns = turns.filter((F.col("text") != "") | (F.col("thinking") != "") | (F.size("calls") > 0))
-    assistant = turns.select("session_id", "seq", F.lit("assistant").alias("role"), "text", "thinking", F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["args"].alias("args"))).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
-    tool = rows.filter(closes).select("session_id", "seq", F.lit("tool").alias("role"), F.coalesce("result.content", F.lit("")).alias("text"), F.lit("").alias("thinking"), F.array().cast(TOOL_CALLS).alias("tool_calls"), F.col("result.call_id").alias("tool_call_id"))
+    assistant = turns.select("session_id", "seq", F.lit("assistant").alias("role"), "text", "thinking", F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"), c["args"].alias("args"))).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"), "closed")
+    tool = rows.filter(results).select("session_id", "seq", F.lit("tool").alias("role"), F.coalesce("result.content", F.lit("")).alias("text"), F.lit("").alias("thinking"), F.array().cast(TOOL_CALLS).alias("tool_calls"), F.col("result.call_id").alias("tool_call_id"), "closed")
     return assistant.unionByName(tool)
 
 
@@ -62,11 +65,12 @@ def token_rate(events: DataFrame, window_ms: int = 1500) -> DataFrame:
 
 
 def generation_rate(events: DataFrame) -> DataFrame:
-    """session_id and rate: deltas a second from the first token to the last end, where both spans are positive."""
+    """session_id and rate: output tokens that the last end's usage tells (tokens_out) a second, from the first token to that end, where both are positive."""
     first = F.min(F.when(F.col("event").isin("delta", "thinking"), F.unix_micros("ts")))
-    last = F.max(F.when(F.col("event") == "done", F.unix_micros("ts")))
-    rows = events.groupBy("session_id").agg(first.alias("first"), last.alias("last"), F.count_if(F.col("event") == "delta").alias("tokens"))
-    return rows.select("session_id", F.round(F.when((F.col("tokens") > 0) & (F.col("last") > F.col("first")), F.col("tokens") * 1e6 / (F.col("last") - F.col("first"))), 9).alias("rate"))
+    last = F.max_by(F.struct(F.unix_micros("ts").alias("us"), F.col("tokens_out").cast("long").alias("tokens")), F.when(F.col("event") == "done", F.col("seq")))
+    rows = events.groupBy("session_id").agg(first.alias("first"), last.alias("last"))
+    tokens, us = F.col("last.tokens"), F.col("last.us") - F.col("first")
+    return rows.select("session_id", F.round(F.when((tokens > 0) & (us > 0), tokens * 1e6 / us), 9).alias("rate"))
 
 
 def reasoning_of(preferred: Column, other: Column) -> Column:
@@ -100,8 +104,16 @@ def sse_events(frames: DataFrame) -> DataFrame:
     return read.filter((F.col("data") != "") & (F.col("data") != "[DONE]") & F.try_parse_json("data").isNotNull())
 
 
-def read_sse(spark, path: str) -> DataFrame:
-    return sse_events(spark.readStream.option("lineSep", "\n\n").text(path))
+def read_sse_frames(spark, path: str, files_per_batch: int = 1000, crlf: bool = False) -> DataFrame:
+    """The frames (value) of logs under a path as they come in. With crlf lines may end with CR, LF or both, and each file is read as a whole."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if not crlf:
+        return reader.text(path, lineSep="\n\n")
+    return reader.text(path, wholetext=True).select(F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n\n+")).alias("value"))
+
+
+def read_sse(spark, path: str, crlf: bool = False) -> DataFrame:
+    return sse_events(read_sse_frames(spark, path, crlf=crlf))
 
 
 def token_rate_stream(events: DataFrame, late: str = "5 seconds") -> DataFrame:

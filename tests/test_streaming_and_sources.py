@@ -1,7 +1,9 @@
 """Streams equal their batch twins; file sources on generated files."""
 
 import io
+import json
 import os
+import random
 import uuid
 import zipfile
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import retrieval
 from corpusloom.plans import pipelines
 from corpusloom.sources import files as src
-from corpusloom.streaming import turns
+from corpusloom.streaming import assembly, turns
 
 EVENTS = [(1, 0, "delta", "He"), (1, 1, "delta", "llo"), (1, 2, "tool_result", ""), (1, 3, "thinking", "hm"), (1, 4, "done", ""), (2, 5, "delta", "x"), (2, 6, "error", ""), (1, 7, "delta", "y"), (1, 8, "done", "")]
 SCHEMA = "session_id long, seq long, event string, data string"
@@ -257,6 +259,11 @@ def test_dedupe_status_and_frames_as_streams(spark, tmp_path):
     query = turns.read_sse(spark, str(tmp_path / "frames")).writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "fcp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("frames").collect()} == {("delta", '{"t":1}'), ("message", '{"u":2}')}
+    (tmp_path / "crlf").mkdir()
+    (tmp_path / "crlf/a.txt").write_bytes(b'event: delta\r\ndata: {"t":1}\r\n\r\ndata: {"u":2}\r\n\r\n')
+    query = turns.read_sse(spark, str(tmp_path / "crlf"), crlf=True).writeStream.format("memory").queryName("crlf").option("checkpointLocation", str(tmp_path / "ccp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("crlf").collect()} == {("delta", '{"t":1}'), ("message", '{"u":2}')}
 
 
 def test_skills_and_appends(spark, tmp_path):
@@ -270,3 +277,62 @@ def test_skills_and_appends(spark, tmp_path):
     for _ in range(2):
         src.append_rows(rows, str(tmp_path / "rows"), "kb_id")
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+
+
+def frame_log(seed=3):
+    """Frames of some sessions: runs of thinking, text, calls in fragments, results, usage; a run left open; frames to be skipped."""
+    rng, frames = random.Random(seed), []
+    for session in range(4):
+        seq, second = 0, 0.0
+
+        def add(event="message", session=session, **data):
+            nonlocal seq, second
+            seq, second = seq + 1, second + rng.choice([0.0, 0.25, 1.5])
+            ts = f"2024-01-01T00:{int(second) // 60:02d}:{second % 60:06.3f}Z"
+            frames.append(f"event: {event}\ndata: " + json.dumps({"session_id": session, "seq": seq, "ts": ts} | data))
+
+        for run in range(4):
+            for turn in range(rng.randint(0, 3)):
+                for _ in range(rng.randint(0, 3)):
+                    add(delta={"reasoning_content": rng.choice(["", "hm "]), "reasoning": "other ", "content": None})
+                for _ in range(rng.randint(0, 4)):
+                    add(delta={"content": rng.choice(["a", "b ", ""])})
+                calls = rng.randint(0, 2)
+                for k in range(calls):
+                    add(delta={"content": "x", "tool_calls": [{"index": k, "id": f"c{run}{turn}{k}", "function": {"name": "find", "arguments": '{"q"'}}]})
+                add(delta={"tool_calls": [{"index": k, "id": "", "function": {"arguments": f":{k}}}"}} for k in range(calls)] + [{"index": 9, "id": "lost", "function": {"arguments": "{}"}}]})
+                for k in range(calls):
+                    add("tool_result", call_id=f"c{run}{turn}{k}", content=f"out {k}")
+            if run % 3 == 2:
+                add(error="broken off")
+            else:
+                add(delta={"content": "end"} if rng.random() < 0.7 else None, done=True, usage={"input": 10 + run, "output": 5 * run})
+        add(delta={"content": "still open"})
+    return frames + ["data: [DONE]", "data: {no json", "event: ping\ndata: "]
+
+
+def run_rows(rows):
+    return sorted(str((r.session_id, r.seq, r.kind, r.text, r.thinking, [(c["id"], c["name"], c["args"]) for c in (json.loads(r.calls) if isinstance(r.calls, str) else [c.asDict() for c in r.calls])], r.tool_call_id, r.tokens_in, r.tokens_out, None if r.rate is None else round(r.rate, 6))) for r in rows)
+
+
+def test_assembly_of_a_shuffled_restarted_stream_equals_the_batch(spark, tmp_path):
+    frames = frame_log()
+    batch = pipelines.assemble(spark.createDataFrame([(f,) for f in frames], "value string")).collect()
+    kinds = {r.kind for r in batch}
+    assert kinds == {"assistant", "tool", "run"} and any(len(r.calls) == 2 for r in batch) and any(r.rate for r in batch) and len(batch) > 30
+    random.Random(5).shuffle(frames)
+    (tmp_path / "in").mkdir()
+    beat = "data: " + json.dumps({"session_id": 99, "seq": 1, "ts": "2024-01-03T00:00:00Z", "delta": {"content": "later"}})
+    cut = len(frames) // 3
+    parts = [frames[:cut], frames[cut : 2 * cut], frames[2 * cut :], [beat]]
+
+    def run():
+        stream = turns.read_sse_frames(spark, str(tmp_path / "in"), 1)
+        assembly.write_rows(pipelines.assemble(stream, "1 day"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(300)
+
+    for n, part in enumerate(parts):
+        (tmp_path / f"in/{n}.txt").write_text("\n\n".join(part) + "\n\n")
+        if n != 2:  # the third and fourth come together
+            run()
+    out = spark.read.schema("session_id long, seq long, text string, thinking string, calls string, tool_call_id string, tokens_in long, tokens_out long, rate double, kind string").parquet(str(tmp_path / "out")).collect()
+    assert run_rows(out) == run_rows(batch)
