@@ -9,11 +9,12 @@ so the number of levels is that of partings on a path and not of letters, and a
 a 64-bit hash of its prefix, computed for all prefixes of a word in one pass; neighbours are verified as strings at the end, so a
 collision could only add work.
 
-Frontier: every word begins at the root without an edit. An edge is taken if its label follows in the word; a state without an
-edit may also take one whose label differs by one replaced letter, if the label's is the larger, or has one letter more.
-So each pair is found once, from its shorter or smaller word. A state goes on only where the next node has an edge for its next
-letter. At shallow levels many states stand at few nodes, but the edges there are few, as many as letters, and are broadcast
-after their number is counted; deeper levels are shuffled joins.
+Frontier: every word begins at the root without an edit. The edge whose label follows in the word is taken by (node, letter). A
+state without an edit may also take an edge of its node whose label differs by one replaced letter, if the label's is the
+larger, or has one letter more. So each pair is found once, from its shorter or smaller word. A state goes on only where the next node
+has an edge for its next letter. One edit stands in the first or in the second half of a word: the trie of the words
+finds those in the second half, and a trie of the reversed words the others, so half of a word is followed without an edit, and
+where edits are tried nodes have few words below them. Edges of a level are broadcast if their counted number is small, else joined by a shuffle.
 
 Defined cases: null texts have no word; a null id counts as an empty string in the checksum; repeated rows count each; long texts
 and long runs are read whole; ties of counts go to the smaller word; an empty table gives an empty result; other columns are ignored.
@@ -93,7 +94,8 @@ def prefix_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """Edges: level (of the parent), parent, child, label, nexts (the letters that go on from the child) and ends (numbers of the words that end there), of words (word_no, word)."""
+    """Edges: level (of the parent), node (the parent), letter (the label's first), label, child, nexts (the letters that go on from the child), longest
+    (of the labels there) and ends (numbers of the words that end there), of words (word_no, word)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -103,44 +105,55 @@ def trie(words: DataFrame) -> DataFrame:
     prefixes = scratch(words.select("word_no", "word").mapInPandas(read, "word_no long, depth int, node long, letter int"), "trie-prefixes").filter("depth > 0")
     parted = prefixes.groupBy("node").agg(F.min("letter").alias("least"), F.max("letter").alias("most")).filter("least = 0 OR least < most").select("node")
     kept = scratch(prefixes.join(small_or_plain(scratch(parted, "trie-partings"), 48), "node"), "trie-nodes")
-    nodes = kept.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("letter") > 0, F.char("letter")))), "").alias("nexts"), F.collect_set(F.when(F.col("letter") == 0, F.col("word_no"))).alias("ends"))
+    ends = kept.filter("letter = 0").groupBy("node").agg(F.collect_set("word_no").alias("ends"))
     ways = kept.groupBy("word_no").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("way")).join(words.select("word_no", "word"), "word_no")
     root = F.struct(F.lit(0).alias("depth"), F.lit(ROOT).cast("long").alias("node"))
     steps = ways.select("word", F.concat(F.array(root), "way").alias("way"), F.posexplode_outer("way").alias("level", "to")).withColumn("from", F.get("way", F.col("level")))
-    edges = steps.select("level", F.col("from.node").alias("parent"), F.col("to.node").alias("child"), F.substring("word", F.col("from.depth") + 1, F.col("to.depth") - F.col("from.depth")).alias("label")).distinct()
-    return scratch(edges.join(nodes.withColumnRenamed("node", "child"), "child"), "trie-edges")
-
-
-def neighbours(words: DataFrame) -> DataFrame:
-    """Numbers a and b of the pairs of words (word_no, word) that differ by one letter put in, left out or replaced, each pair once."""
+    label = F.substring("word", F.col("from.depth") + 1, F.col("to.depth") - F.col("from.depth"))
+    edges = scratch(steps.select("level", F.col("from.node").alias("node"), F.col("to.node").alias("child"), label.alias("label")).distinct(), "trie-steps")
+    letter = F.substring("label", 1, 1)
+    below = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.sort_array(F.collect_set(letter)), "").alias("nexts"), F.max(F.length("label")).alias("longest"))
+    known = edges.join(below, "child", "left").join(ends.withColumnRenamed("node", "child"), "child", "left")
+    none = F.array().cast("array<long>")
+    return scratch(known.select("level", "node", letter.alias("letter"), "label", "child", F.coalesce("nexts", F.lit("")).alias("nexts"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("ends", none).alias("ends")), "trie-edges")
+
+
+def frontier(words: DataFrame) -> DataFrame:
+    """Numbers a and b of the pairs of words (word_no, word, exact) that differ by one letter put in or replaced, beyond the first exact letters of a's
+    word. Each is found from its shorter word or the one with the smaller letter."""
     edges = trie(words)
-    sizes = {r["level"]: r["n"] for r in edges.groupBy("level").agg(F.count("*").alias("n")).collect()}  # one row for each level of partings
-    states = words.select("word_no", F.col("word").alias("rest"), F.lit(ROOT).cast("long").alias("node"), F.lit(0).alias("edits"))
+    shape = edges.groupBy("level").agg(F.count("*").alias("n"), F.max(F.length("label")).alias("longest")).collect()  # one row for each level of partings
+    levels = {r["level"]: r for r in shape}
+    none = F.array().cast("array<long>")
+    states = words.select("word_no", F.col("word").alias("rest"), F.lit(ROOT).cast("long").alias("node"), F.lit(0).alias("edits"), "exact", F.lit(levels[0]["longest"] if levels else 0).alias("longest"))
     found = words.select(F.col("word_no").alias("a"), F.col("word_no").alias("b")).limit(0)
-    for level in range(len(sizes)):
-        here = edges.filter(F.col("level") == level).drop("level").withColumnRenamed("parent", "node")
-        met = states.join(small_or_plain(here, 120), "node")
-        label, rest, m, fresh = F.col("label"), F.col("rest"), F.length("label"), F.col("edits") == 0
+    for level in range(len(levels)):
+        here = edges.filter(F.col("level") == level).drop("level").withColumnRenamed("longest", "below")
+        here = small_or_plain(here, 120)
+        rest, label, m = F.col("rest"), F.col("label"), F.length("label")
+        left = lambda n: F.substring(rest, n + 1, F.length(rest))
+        ready = lambda after: F.when(after == "", F.size("ends") > 0).otherwise(F.contains(F.col("nexts"), F.substring(after, 1, 1)))
+        columns = lambda n, edits: ["word_no", left(n).alias("rest"), F.col("child").alias("node"), edits.alias("edits"), (F.col("exact") - m).alias("exact"), F.col("below").alias("longest"), "ends"]
+        same = states.filter("rest <> ''").withColumn("letter", F.substring(rest, 1, 1)).join(here, ["node", "letter"]).filter(F.startswith(rest, label))
+        same = same.filter(F.when(F.col("edits") == 0, F.col("nexts") != "").otherwise(ready(left(m)))).select(*columns(m, F.col("edits")))
+        fresh = states.filter("edits = 0 AND longest > exact").join(here.drop("letter"), "node").filter(m > F.col("exact"))
         head, short = F.substring(rest, F.lit(1), m), F.substring(rest, F.lit(1), m - 1)
-        after = lambda n: F.substring(rest, n + 1, F.length(rest))
-
-        def goes_on(left, edits: int | None):
-            """Whether a state may go on from the child: with an edit made by the very next letter, or else to an end."""
-            ready = F.when(left == "", F.size("ends") > 0).otherwise(F.contains(F.col("nexts"), F.substring(left, F.lit(1), F.lit(1))))
-            return ready if edits else F.when(fresh, F.col("nexts") != "").otherwise(ready)
-
-        move = lambda n, edits: F.struct(after(n).alias("rest"), edits.cast("int").alias("edits"))
-        same = F.startswith(rest, label) & goes_on(after(m), None)
-        other = fresh & (label > head) & (F.length(rest) >= m) & goes_on(after(m), 1) & (F.levenshtein(label, head, 1) == 1)
-        more = fresh & (F.length(rest) >= m - 1) & goes_on(after(m - 1), 1) & (F.levenshtein(label, short, 1) == 1)
-        moves = F.array_compact(F.array(F.when(same, move(m, F.col("edits"))), F.when(other, move(m, F.lit(1))), F.when(more, move(m - 1, F.lit(1)))))
-        reached = met.filter(same | other | more).select("word_no", F.col("child").alias("node"), "ends", F.explode_outer(moves).alias("move")).select("word_no", "node", "ends", "move.*")
-        reached = scratch(reached, "trie-states")
+        other = fresh.filter((label > head) & (F.length(rest) >= m)).filter(ready(left(m))).filter(F.levenshtein(label, head, 1) == 1).select(*columns(m, F.lit(1)))
+        more = fresh.filter(F.length(rest) >= m - 1).filter(ready(left(m - 1))).filter((m == 1) | (F.levenshtein(label, short, 1) == 1)).select(*columns(m - 1, F.lit(1)))
+        reached = scratch(same.unionByName(other).unionByName(more), "trie-states")
         done = (F.col("edits") == 1) & (F.col("rest") == "")
-        found = found.unionByName(reached.filter(done).select(F.col("word_no").alias("a"), F.explode_outer("ends").alias("b")))
-        states = reached.filter(~done).drop("ends").distinct()
-    pairs = found.distinct()
+        found = found.unionByName(reached.filter(done).select(F.col("word_no").alias("a"), F.explode_outer(F.coalesce("ends", none)).alias("b")))
+        states = reached.filter(~done).drop("ends")
+    return found
+
+
+def neighbours(words: DataFrame) -> DataFrame:
+    """Numbers a and b of the pairs of words (word_no, word) that differ by one letter put in, left out or replaced, each pair once."""
+    half = F.expr("length(word) div 2").cast("int")
+    ahead = frontier(words.select("word_no", "word", half.alias("exact")))
+    back = frontier(words.select("word_no", F.reverse("word").alias("word"), (F.length("word") - half).alias("exact")))
     text = lambda side: words.select(F.col("word_no").alias(side), F.col("word").alias(f"word_{side}"))
+    pairs = scratch(ahead.unionByName(back).distinct(), "near-pairs")
     return pairs.join(text("a"), "a").join(text("b"), "b").filter(F.levenshtein("word_a", "word_b", 1) == 1).select("a", "b")
 
 
