@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import NumericType
 
 from ..functions.text import TOOL_CALLS
 
@@ -268,7 +269,46 @@ def replay_tasks(log: DataFrame) -> DataFrame:
     return log.groupBy("session_id").applyInPandas(play, "session_id long, id long, status string")
 
 
-def dedupe_stream(docs: DataFrame, late: str = "1 hour", stored: DataFrame | None = None) -> DataFrame:
-    """A stream's documents without those whose base and hash came before, within the watermark on created_at, or stand in stored."""
-    fresh = docs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["kb_id", "content_hash"])
-    return fresh if stored is None else fresh.join(stored.select("kb_id", "content_hash").distinct(), ["kb_id", "content_hash"], "left_anti")
+class FirstSeen(StatefulProcessor):
+    """The first document of each base and content hash, unless the hash is that of a stored one: stored rows of a batch come before its documents."""
+
+    def __init__(self, columns: list[str], flag: str, keep_ms: int | None = None):
+        self.columns, self.flag, self.keep_ms = columns, flag, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.exists()
+        first = None
+        for part in rows:
+            known = known or bool(part[self.flag].any())
+            new = part[~part[self.flag].astype(bool)].sort_values(["created_at"], kind="stable").head(1)
+            if len(new) and (first is None or new["created_at"].iloc[0] < first["created_at"].iloc[0]):
+                first = new
+        self.seen.update((True,))
+        yield pd.DataFrame([], columns=self.columns) if known or first is None else first[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_stream(docs: DataFrame, late: str = "1 hour", stored: DataFrame | None = None, additions: DataFrame | None = None, keep_ms: int | None = None) -> DataFrame:
+    """A stream's documents (kb_id, content_hash, created_at, ...) without those whose base and hash came before.
+
+    Without additions: within the watermark on created_at, and without those that stand in stored (kb_id, content_hash) as it is when the
+    query starts. additions is a stream of the stored table, with what it held and what is added to it: its hashes and those of the
+    documents are kept as one flag each, for good or for keep_ms, so a copy of what is stored later is dropped too; needs the RocksDB
+    state store."""
+    keys = ["kb_id", "content_hash"]
+    if stored is not None:
+        docs = docs.join(stored.select(*keys).distinct(), keys, "left_anti").select(docs.columns)
+    if additions is None:
+        return docs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(keys)
+    flag = "stored"
+    while flag in docs.columns:
+        flag += "x"
+    # Numbers are zero in stored rows: pandas would turn longs beside nulls into doubles.
+    filler = [F.lit(0).cast(f.dataType).alias(f.name) for f in docs.schema.fields if isinstance(f.dataType, NumericType) and f.name not in keys]
+    rows = docs.withColumn(flag, F.lit(False)).unionByName(additions.select(*keys, *filler, F.lit(True).alias(flag)), allowMissingColumns=True)
+    return rows.groupBy(*keys).transformWithStateInPandas(FirstSeen(docs.columns, flag, keep_ms), docs.schema, "append", "none" if keep_ms is None else "processingTime")

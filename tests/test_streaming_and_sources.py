@@ -336,3 +336,25 @@ def test_assembly_of_a_shuffled_restarted_stream_equals_the_batch(spark, tmp_pat
             run()
     out = spark.read.schema("session_id long, seq long, text string, thinking string, calls string, tool_call_id string, tokens_in long, tokens_out long, rate double, kind string").parquet(str(tmp_path / "out")).collect()
     assert run_rows(out) == run_rows(batch)
+
+
+def test_dedupe_sees_what_is_stored_later(spark, tmp_path):
+    schema, keys = "doc_id long, kb_id string, content_hash string, created_at timestamp", "kb_id string, content_hash string"
+
+    def add(name, rows, schema):
+        frame = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
+        frame = frame.withColumn("created_at", F.col("created_at").cast("timestamp")) if "created_at" in frame.columns else frame
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def run():
+        docs, table = (spark.readStream.schema(s).parquet(str(tmp_path / n)) for n, s in (("docs", schema), ("table", keys)))
+        out = turns.dedupe_stream(docs, stored=spark.createDataFrame([("k", "h2")], keys), additions=table)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(300)
+        return sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    add("table", [("j", "h9")], keys)
+    add("docs", [(1, "k", "h1", "2024-01-01 00:00:02"), (2, "k", "h2", "2024-01-01 00:00:00"), (3, "k", "h1", "2024-01-01 00:00:01"), (4, "j", "h1", "2024-01-01 00:00:00"), (5, "j", "h9", "2024-01-01 00:00:00")], schema)
+    assert run() == [3, 4]
+    add("table", [("k", "h3")], keys)
+    add("docs", [(6, "k", "h3", "2024-01-01 00:00:03"), (7, "k", "h1", "2024-01-01 00:00:03"), (8, "k", "h4", "2024-01-01 00:00:03")], schema)
+    assert run() == [3, 4, 8]
