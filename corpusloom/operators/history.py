@@ -1,7 +1,8 @@
 """Conversation histories: token sums, pruning of old tool output, the cut between head and tail, rewriting.
 
-messages: session_id, seq, role, text, and for the cut has_calls. All of it is windows over one session in order of seq; a
-session is the unit of the method, and its rows are spread by session_id."""
+messages: session_id, seq, role, text, and for the cut has_calls. All of it is windows over one session in order of seq. Where
+sessions may be longer than a task should hold, pruning and cutting take block_rows: running sums are then made in two steps, within
+blocks of so many numbers of seq and over a session's blocks, so one session is spread over many tasks."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOOL_CALLS, TRIM_HEAD, TRIM_MARK, est_message_tokens, est_tokens, trim_tool_output
+from ..staging import staged
 
 WINDOW = 200_000
 RESERVE, BUFFER, PROTECTED, MIN_GAIN, KEPT_RESULTS = 8000, 2000, 40_000, 8000, 6
@@ -35,11 +37,53 @@ def window_usage(totals: DataFrame, window: Column | int = WINDOW, percent: int
     return totals.withColumn("usage", F.round(F.col("tokens") / size, 6)).withColumn("due", F.col("tokens") * 100 >= size * percent)
 
 
-def prune_history(messages: DataFrame, window: int, reserve: int = RESERVE, buffer: int = BUFFER, protected: int = PROTECTED, min_gain: int = MIN_GAIN, kept: int = KEPT_RESULTS, head: int = TRIM_HEAD, mark: str = TRIM_MARK) -> DataFrame:
+def blocked(messages: DataFrame, block_rows: int) -> DataFrame:
+    return messages.withColumn("_block", F.floor(F.col("seq") / block_rows))
+
+
+def running(rows: DataFrame, out: str, value: Column, falling: bool = False, own: bool = False, highest: bool = False) -> DataFrame:
+    """rows (session_id, _block, seq, ...) with out: the sum of value over the rows before (falling: after) each row in its session, or the highest; own: with the row itself.
+
+    Blocks are summed up first, then a session's blocks are run over, and then the rows within each block; nulls count for nothing."""
+    fold = F.max if highest else F.sum
+    rows = rows.withColumn(out, value)
+    order = lambda c: F.col(c).desc() if falling else F.col(c)
+    sums = rows.groupBy("session_id", "_block").agg(fold(out).alias("_sum"))
+    earlier = Window.partitionBy("session_id").orderBy(order("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("session_id", "_block", fold("_sum").over(earlier).alias("_base"))
+    inner = fold(out).over(Window.partitionBy("session_id", "_block").orderBy(order("seq")).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    both = F.greatest(F.col("_base"), inner) if highest else F.when(F.col("_base").isNotNull() | inner.isNotNull(), F.coalesce("_base", F.lit(0)) + F.coalesce(inner, F.lit(0)))
+    joined = rows.join(base, (rows["session_id"] == base["session_id"]) & rows["_block"].eqNullSafe(base["_block"])).drop(base["session_id"], base["_block"])
+    return staged(joined.withColumn(out, both).drop("_base"), "running")
+
+
+def prune_long_history(messages: DataFrame, window: int, reserve: int, buffer: int, protected: int, min_gain: int, kept: int, head: int, mark: str, block_rows: int) -> DataFrame:
+    """prune_history by running sums in two steps. Only what decides is carried through them; texts are joined at the end by (session_id, seq)."""
+    trimmed = trim_tool_output(F.col("text"), head, mark)
+    tool = F.col("role") == "tool"
+    slim = blocked(messages.select("session_id", "seq", tool.alias("_tool"), message_tokens(messages).alias("_t"), est_tokens(trimmed).alias("_short")), block_rows)
+    rows = running(staged(slim, "tokens"), "_from_end", F.when(F.col("_tool"), 1), falling=True, own=True)
+    rows = running(rows.withColumn("_candidate", F.col("_tool") & (F.col("_from_end") > kept)), "_later", F.when(F.col("_candidate"), F.col("_t")), falling=True)
+    rows = rows.withColumn("_cuttable", F.col("_candidate") & (F.coalesce("_later", F.lit(0)) >= protected)).withColumn("_gain", F.when(F.col("_cuttable"), F.col("_t") - F.col("_short")))
+    rows = running(rows, "_prefix", F.col("_gain"), own=True)
+    rows = running(rows, "_reached", F.when(F.col("_cuttable"), F.col("_prefix")), highest=True)
+    totals = rows.groupBy("session_id").agg(F.sum("_t").alias("_total"))
+    goal = F.col("_total") - F.lit(window - reserve - buffer)
+    open_ = F.lit(window > 0) & (goal > 0) & F.col("_cuttable") & (F.col("_reached").isNull() | (F.col("_reached") < goal))
+    cut = staged(rows.join(totals, "session_id").filter(open_).select("session_id", "seq", "_gain"), "cut")
+    enough = cut.groupBy("session_id").agg(F.sum("_gain").alias("_all")).filter(F.col("_all") >= min_gain).select("session_id")
+    chosen = cut.join(enough, "session_id").select("session_id", "seq", F.lit(True).alias("pruned"))
+    found = messages.join(chosen, ["session_id", "seq"], "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
+    return found.withColumn("new_text", F.when(F.col("pruned"), trimmed).otherwise(F.col("text")))
+
+
+def prune_history(messages: DataFrame, window: int, reserve: int = RESERVE, buffer: int = BUFFER, protected: int = PROTECTED, min_gain: int = MIN_GAIN, kept: int = KEPT_RESULTS, head: int = TRIM_HEAD, mark: str = TRIM_MARK, block_rows: int | None = None) -> DataFrame:
     """messages with new_text and pruned: the oldest tool results cut to a head until the session fits its budget.
 
     The newest `kept` results, and the newest `protected` tokens of the rest, are never cut; a session whose gain stays under
     min_gain is left as it was. Rows and other roles never change."""
+    if block_rows is not None:
+        return prune_long_history(messages, window, reserve, buffer, protected, min_gain, kept, head, mark, block_rows)
     usable = window - reserve - buffer
     of = Window.partitionBy("session_id")
     tool = F.col("role") == "tool"
@@ -62,12 +106,16 @@ def prune_history(messages: DataFrame, window: int, reserve: int = RESERVE, buff
     return rows.withColumn("pruned", done).withColumn("new_text", F.when(done, trimmed).otherwise(F.col("text"))).drop("_t", "_total", "_tool", "_candidate", "_cuttable", "_gain", "_prefix", "_cut")
 
 
-def split_head_tail(messages: DataFrame, keep: int) -> DataFrame:
+def split_head_tail(messages: DataFrame, keep: int, block_rows: int | None = None) -> DataFrame:
     """session_id, n and head_end: rows before head_end may be summarised. No call is cut from its result; head_end = n is no cut."""
     of = Window.partitionBy("session_id").orderBy("seq")
     down = Window.partitionBy("session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("_i", F.row_number().over(of) - 1).withColumn("_suffix", F.sum(message_tokens(messages)).over(down))
-    rows = rows.withColumn("_safe", ~((F.col("role") == "tool") | ((F.col("role") == "assistant") & F.col("has_calls"))))
+    safe = ~((F.col("role") == "tool") | ((F.col("role") == "assistant") & F.col("has_calls")))
+    if block_rows is None:
+        rows = messages.withColumn("_i", F.row_number().over(of) - 1).withColumn("_suffix", F.sum(message_tokens(messages)).over(down)).withColumn("_safe", safe)
+    else:
+        slim = staged(blocked(messages.select("session_id", "seq", message_tokens(messages).alias("_t"), safe.alias("_safe")), block_rows), "tokens")
+        rows = running(running(slim, "_i", F.lit(1)).withColumn("_i", F.coalesce("_i", F.lit(0))), "_suffix", F.col("_t"), falling=True, own=True)
     # The crossing row is the last whose suffix is over the budget; suffix sums fall, so rows up to it are those over it.
     over = F.col("_suffix") > keep
     cut = F.max(F.when(over & F.col("_safe") & (F.col("_i") >= 1), F.col("_i")))

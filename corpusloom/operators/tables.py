@@ -141,12 +141,13 @@ def add_missing_columns(rows: DataFrame, spec: dict[str, tuple[str, object]]) ->
     return rows.withColumns({c: F.lit(v).cast(t) for c, (t, v) in spec.items() if c not in rows.columns})
 
 
-def apply_updates(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Values of updates over those of rows, where they are not null."""
+def apply_updates(rows: DataFrame, updates: DataFrame, key: str, nulls_clear: bool = False) -> DataFrame:
+    """Values of updates (each key once) over those of rows; a null keeps the old value, or clears it with nulls_clear."""
     changed = [c for c in updates.columns if c != key]
-    renamed = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in changed])
+    renamed = updates.select(key, F.struct(*changed).alias("_new")) if changed else updates.select(key)
     joined = rows.join(renamed, key, "left")
-    return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in changed}).drop(*[f"_new_{c}" for c in changed])
+    given = lambda c: F.col("_new").isNotNull() if nulls_clear else F.col(f"_new.{c}").isNotNull()
+    return joined.withColumns({c: F.when(given(c), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in changed}).drop("_new")
 
 
 def source_rollup(rows: DataFrame, column: str = "source") -> DataFrame:

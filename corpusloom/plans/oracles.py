@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import TITLE_EDGE
+from ..functions.text import NUMBERING, QUOTES, TITLE_EDGE
 
 M = "SELECT conv_id AS session_id, turn AS seq, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN 'tool' ELSE role END AS role, text FROM conversations"
 S = """SELECT source AS kb_id, doc_id, CASE doc_id % 10 WHEN 0 THEN 'processing' WHEN 1 THEN 'failed' WHEN 2 THEN 'paused' WHEN 3 THEN 'duplicate' ELSE 'ready' END AS status,
@@ -15,6 +15,7 @@ P = """SELECT o_orderkey % 50 AS session_id, o_orderkey AS id, CASE o_orderstatu
 SUP = """SELECT s_suppkey AS provider_id, CASE s_suppkey % 4 WHEN 1 THEN 'embed' WHEN 2 THEN 'rerank' ELSE 'chat' END AS kind, s_suppkey % 3 = 0 AS is_default, s_suppkey % 5 <> 0 AS has_model FROM supplier"""
 
 
+QUOTED = "'" + QUOTES.replace("'", "''") + "'"
 EDGE = "'" + TITLE_EDGE.replace("'", "''") + "'"
 
 
@@ -224,7 +225,7 @@ SELECT session_id, round(CASE WHEN tokens > 0 AND l > f THEN tokens * 1e6::DOUBL
     "live_text": f"SELECT session_id, md5(ltrim(string_agg(data, '' ORDER BY seq))) AS text_md5 FROM ({E}) WHERE event = 'delta' GROUP BY session_id",
     "first_by_id": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL",
     "clean_options": f"""SELECT session_id, seq, CAST(len(list_distinct(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''))) AS INTEGER) AS n,
- len(o) BETWEEN 2 AND 4 AND len(list_distinct(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''))) >= 2 AS valid FROM (SELECT *, string_split(text, '.')[1:5] AS o FROM ({M}))""",
+ len(o) BETWEEN 2 AND 4 AND len(list_distinct(list_filter(list_transform(o, lambda x: trim(x)), lambda x: x <> ''))) >= 2 AS valid FROM (SELECT *, string_split(text, '.') AS o FROM ({M}))""",
     "message_tokens": f"""SELECT session_id, seq, {est("text")} + CASE WHEN role = 'assistant' THEN 2 * ((6 + length(CAST(seq AS VARCHAR))) // 4) ELSE 0 END + CASE WHEN seq % 3 = 0 THEN CAST(floor(2 * octet_length(encode(text)) / 750) AS BIGINT) ELSE 0 END AS tokens FROM ({M})""",
     "nonblank_turns": f"""WITH g AS (SELECT session_id, turn_no, coalesce(string_agg(data, '' ORDER BY seq) FILTER (event = 'delta'), '') AS text, max(event) FILTER (event IN ('tool_result', 'done', 'error')) AS closed_by FROM ({TURNS}) GROUP BY ALL)
  SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, coalesce(closed_by, 'error') = 'error' AS incomplete FROM g WHERE text <> ''""",
@@ -261,4 +262,23 @@ SELECT session_id, round(CASE WHEN tokens > 0 AND l > f THEN tokens * 1e6::DOUBL
     "validate_rules": """SELECT page_id, CASE WHEN strlen(html) + (page_id % 11 = 0)::INT > 5000 THEN 'size' WHEN page_id % 11 = 0 THEN 'encoding' END AS reason FROM pages""",
     "rule_lines": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, CASE WHEN len(l) >= 2 THEN l[2:3] ELSE l[1:2] END AS l FROM l)
  SELECT doc_id, array_to_string(list_transform(l, lambda x, i: lpad(CAST(i AS VARCHAR), 6, ' ') || chr(9) || x), '|') AS shown FROM x""",
-}
+    "stored_upsert": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
+    "stored_changes": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN 1.0 WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal
+ FROM customer WHERE (c_custkey % 3 <> 0 OR c_custkey % 2 = 0) AND c_custkey % 7 <> 0""",
+    "markdown_tables": r"""WITH r AS (SELECT c_nationkey AS path, c_custkey % 3 AS no, c_custkey AS row_no,
+ [c_name, CASE c_custkey % 4 WHEN 0 THEN c_name || '|x' WHEN 1 THEN ' a' || chr(13) || chr(10) || 'b ' || c_mktsegment ELSE c_mktsegment END, CAST(c_custkey AS VARCHAR), ''][1 : c_custkey % 4 + 1] AS cells FROM customer),
+w AS (SELECT *, max(len(cells)) OVER (PARTITION BY path, no) AS width, min(row_no) OVER (PARTITION BY path, no) AS first, max(no) OVER (PARTITION BY path) - min(no) OVER (PARTITION BY path) + 1 AS sheets FROM r),
+l AS (SELECT *, '| ' || array_to_string(list_transform(range(1, width + 1), lambda i: trim(replace(regexp_replace(coalesce(cells[i], ''), '[\r\n]', ' ', 'g'), '|', '\|'))), ' | ') || ' |' AS line FROM w),
+t AS (SELECT path, no, string_agg(CASE WHEN row_no = first THEN CASE WHEN sheets > 1 THEN '# S' || no || chr(10) || chr(10) ELSE '' END || line || chr(10) || '|' || repeat(' --- |', width) ELSE line END, chr(10) ORDER BY row_no) AS t FROM l GROUP BY path, no),
+x AS (SELECT path, string_agg(t, chr(10) || chr(10) ORDER BY no) AS text FROM t GROUP BY path) SELECT path, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n FROM x""",
+    "placeholders": """WITH x AS (SELECT doc_id, chr(10) || '[image: ' || source || ']' || chr(10) || text || 'between' AS text FROM documents) SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n FROM x""",
+    "subquery_parse": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents),
+b AS (SELECT doc_id, pos, trim(trim(ltrim(trim(line, ' ' || chr(9) || chr(13)), '{NUMBERING}'), {QUOTED})) AS s FROM l),
+f AS (SELECT doc_id, s, min(pos) AS pos FROM b WHERE length(s) >= 2 AND s <> 'The.' GROUP BY doc_id, s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM f),
+g AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(10) ORDER BY pos) AS found FROM k WHERE place <= 2 GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n, md5(coalesce(found, '')) AS found_md5 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "path_escapes": """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'a/' ELSE '' END || regexp_replace(url, '^[a-z]+://[^/]*/', '../') AS p FROM pages),
+s AS (SELECT page_id, p, list_transform(list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')), lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END) AS steps FROM p)
+SELECT page_id, starts_with(p, '/') OR len(list_filter(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[:i])), lambda x: x < 0)) > 0 AS escapes FROM s""",
+}
\ No newline at end of file

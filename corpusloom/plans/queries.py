@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import hash_counts, hash_embedding, l2_distance
-from ..operators import chunking, history, retrieval, tables
+from ..operators import chunking, history, retrieval, stored, tables
+from ..sources import files
+from ..staging import staged_path
 from ..streaming import turns
 from . import pipelines
 
@@ -316,12 +318,54 @@ def upsert_latest(spark, d):
     return tables.upsert(orders, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", "o_orderkey")
 
 
+def markdown_tables(spark, d):
+    """Customers as rows of workbooks: a nation is a file, three sheets each, cells of odd content and rows of odd width."""
+    odd = F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("|x"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit(" a\r\nb "), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    cells = F.slice(F.array(F.col("c_name"), odd, F.col("c_custkey").cast("string"), F.lit("")), F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("path"), F.concat(F.lit("S"), (F.col("c_custkey") % 3).cast("string")).alias("sheet"), (F.col("c_custkey") % 3).alias("sheet_no"), F.col("c_custkey").alias("row_no"), cells.alias("cells"))
+    return files.markdown_table(rows).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n"))
+
+
+def placeholders(spark, d):
+    """Documents with three image marks, of which the first is described, the second has a blank description and the third none."""
+    mark = lambda i: F.lit(f"\0IMG:{i}\0")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.concat(mark(0), "text", mark(1), F.lit("between"), mark(2)).alias("text"))
+    described = docs.select("doc_id", F.lit(0).alias("idx"), F.col("source").alias("description")).unionByName(docs.select("doc_id", F.lit(1).alias("idx"), F.lit("").alias("description")))
+    return files.fill_placeholders(docs.select("doc_id", "text"), described).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n"))
+
+
 def cascade_delete(spark, d):
     orders, lines = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     gone = orders.filter("o_custkey % 10 = 0").select("o_orderkey")
     return tables.cascade_delete(orders, {"lines": (lines, "l_orderkey")}, gone, "o_orderkey")["lines"].groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
+def stored_orders(spark, d, keys, rows):
+    """A stored table of rows, in a folder that goes with the other staged ones."""
+    path = staged_path(spark, "orders-by-key")
+    stored.create_table(rows, path, keys, 16)
+    return path
+
+
+def stored_upsert(spark, d):
+    """The later orders of each customer over a stored table of the earlier ones, on disk."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    order = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+    path = stored_orders(spark, d, ["o_custkey"], tables.upsert(orders.filter("o_orderdate < '1996-01-01'"), ["o_custkey"], order))
+    stored.upsert(spark, path, ["o_custkey"], orders.filter("o_orderdate >= '1996-01-01'"), order)
+    return stored.read_table(spark, path, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+def stored_changes(spark, d):
+    """Customers on disk: new ones put in where there is none, balances set or cleared, some deleted."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    path = stored_orders(spark, d, ["c_custkey"], rows.filter("c_custkey % 3 <> 0"))
+    stored.insert_ignore(spark, path, ["c_custkey"], rows.filter("c_custkey % 2 = 0").withColumn("c_nationkey", F.lit(-1)), [F.col("c_custkey")])
+    stored.update(spark, path, "c_custkey", rows.filter("c_custkey % 5 = 0").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, 1.0).alias("c_acctbal")), nulls_clear=True)
+    stored.delete(spark, path, ["c_custkey"], rows.filter("c_custkey % 7 = 0"))
+    return stored.read_table(spark, path, ["c_custkey"])
+
+
 def null_out_provider(spark, d):
     return tables.null_out(table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], 3)
 
@@ -568,7 +612,7 @@ def layered_rules(spark, d):
 def validate_entries(spark, d):
     name = F.concat(F.when(F.col("doc_id") % 4 == 0, "Bad ").otherwise("doc-"), F.col("doc_id").cast("string"))
     kind = F.when(F.col("doc_id") % 5 == 0, "other").otherwise("user")
-    return tables.validate_entries(table(spark, d, "documents").select("doc_id", name.alias("name"), kind.alias("type"), F.left("text", F.lit(250)).alias("description"), F.col("text").alias("body"))).select("doc_id", "reason")
+    return tables.validate_entries(table(spark, d, "documents").select("doc_id", name.alias("name"), kind.alias("type"), F.col("text").alias("description"), F.col("text").alias("body"))).select("doc_id", "reason")
 
 
 def live_text(spark, d):
@@ -580,8 +624,8 @@ def first_by_id(spark, d):
 
 
 def clean_options(spark, d):
-    """The first five lines of a turn as options."""
-    options = F.slice(F.split("text", "[.]"), 1, 5)
+    """The sentences of a turn as options."""
+    options = F.split("text", "[.]")
     return messages(spark, d).select("session_id", "seq", F.size(tx.clean_options(options)).alias("n"), tx.options_valid(options).alias("valid"))
 
 
@@ -658,5 +702,5 @@ def chunk_preview(spark, d):
     return corpus(spark, d).select("doc_id", F.posexplode(chunking.chunk(F.col("text"))).alias("ordinal", "piece")).select("doc_id", "ordinal", F.length("piece").alias("n"))
 
 
-NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "hash_counts", "hash_embedding", "l2_distance", "searchable"}
+NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "hash_counts", "hash_embedding", "l2_distance", "searchable", "stored_orders", "staged_path"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in NOT_QUERIES}

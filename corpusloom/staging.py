@@ -32,15 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back."""
-    spark = df.sparkSession
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes with the staged tables."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(drop_staged, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to a table in the shared folder and reads it back."""
+    path = staged_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession, since: int = 0) -> None:

@@ -52,6 +52,77 @@ def test_native_leaves_equal_the_python_ones(spark):
         assert leaves == chunking._plain(text, 9)
 
 
+def scanned(text, size, overlap):
+    """The splitter once more, character by character and with one list of leaves: fences, separators, then the greedy merge."""
+    if not text or len(text) <= size:
+        return [text] if text else []
+    lines, blocks, held, fenced = text.split("\n"), [], [], False
+    for line in lines:
+        mark = line.strip()[:3] in ("```", "~~~")
+        if mark and not fenced and held:
+            blocks.append((held, False))
+            held = []
+        held.append(line)
+        if mark:
+            if fenced:
+                blocks.append((held, True))
+                held = []
+            fenced = not fenced
+    if held:
+        blocks.append((held, fenced))
+
+    def cut(part, separators):
+        if len(part) <= size:
+            return [part]
+        if not separators:
+            return [part[i : i + size] for i in range(0, len(part), size)]
+        out, start = [], 0
+        while start < len(part):
+            at = part.find(separators[0], start)
+            end = len(part) if at < 0 else at + len(separators[0])
+            out += cut(part[start:end], separators[1:])
+            start = end
+        return out
+
+    leaves = []
+    for block, code in blocks:
+        whole = "\n".join(block)
+        if len(whole) <= size:
+            leaves.append(whole)
+        elif not code:
+            leaves += cut(whole, list(chunking.SEPARATORS))
+        else:
+            opening, body, closing = block[0], block[1:], "```"
+            if body and body[-1].strip()[:3] in ("```", "~~~"):
+                closing, body = body[-1].strip(), body[:-1]
+            part, length = [], len(opening) + 1
+            parts = []
+            for line in body:
+                if part and length + len(line) + 1 > size:
+                    parts.append(part)
+                    part, length = [], len(opening) + 1
+                part.append(line)
+                length += len(line) + 1
+            leaves += ["\n".join([opening, *p, closing]) + "\n" for p in [*parts, part]]
+    chunks, window = [], []
+    for leaf in leaves:
+        if window and sum(map(len, window)) + len(leaf) > size:
+            chunks.append("".join(window))
+            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(leaf) > size):
+                window.pop(0)
+        window.append(leaf)
+    return chunks + (["".join(window)] if window else [])
+
+
+def test_chunks_of_random_fenced_texts_equal_a_scan():
+    rng, parts = random.Random(12), [*ALPHABET, "\n```\n", "\n~~~\n", "\n```py\n", "```", "code line\n", "x = 1\n", "  ~~~ \n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 60)))
+        size = rng.randint(4, 60)
+        overlap = rng.randint(0, size - 1)
+        assert chunk_text(text, size, overlap) == scanned(text, size, overlap), (text, size, overlap)
+
+
 def test_parents_and_children(spark):
     docs = spark.createDataFrame([("k", 1, "word. " * 300), ("k", 2, ""), ("k", 3, None), ("k", 4, "short")], "kb_id string, doc_id long, text string")
     chunks = chunking.parent_child(docs, 50, 10).collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import cosine_from_l2, hash_embedding, is_unit, l2_distance, normalize_l2
-from corpusloom.operators import history, models, retrieval, tables
+from corpusloom.operators import history, models, retrieval, stored, tables
 from corpusloom.plans import pipelines
 
 
@@ -178,6 +178,66 @@ def test_prune_and_split_equal_loops(spark):
     assert sum(got[s] != [t for _, t, _ in rows] for s, rows in sessions.items()) > 10
     cuts = {r.session_id: r.head_end for r in history.split_head_tail(frame, 60).collect()}
     assert cuts == {s: loop_split(rows, 60) for s, rows in sessions.items()}
+    # Running sums in two steps, over blocks of three rows, give the same.
+    blocks: dict = {}
+    for r in history.prune_history(frame, **given, block_rows=3).orderBy("session_id", "seq").collect():
+        blocks.setdefault(r.session_id, []).append(r.new_text)
+    assert blocks == got and {r.session_id: r.head_end for r in history.split_head_tail(frame, 60, block_rows=3).collect()} == cuts
+
+
+def test_a_long_session_is_spread(spark):
+    """The rows of one session meet in blocks, a window holds no more than one; the cut is where a sum from the end passes the budget."""
+    n = 200_000
+    frame = spark.range(n).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("seq"), F.when(F.col("id") % 3 == 1, "tool").otherwise("user").alias("role"), F.lit("abcdefgh").alias("text"), F.lit(False).alias("has_calls"))
+    rows = history.running(history.blocked(frame, 1000), "upto", F.length("text"), own=True)
+    assert rows.agg(F.max("upto")).first()[0] == 8 * n and rows.groupBy("session_id", "_block").count().agg(F.max("count")).first()[0] == 1000
+    keep = 2 * 50_000
+    (cut,) = history.split_head_tail(frame, keep, block_rows=1000).collect()
+    at = n - 50_001
+    assert cut.head_end == (at if at % 3 != 1 else at - 1) and cut.n == n
+
+
+def test_stored_tables_rewrite_only_what_changes(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["k"]
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit("old").alias("w"))
+    stored.create_table(rows, path, keys, 32)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    state = lambda: sorted(map(tuple, stored.read_table(spark, path, keys).collect()))
+    assert state() == sorted(map(tuple, rows.collect()))
+    before = files()
+    changes = spark.createDataFrame([(k, at, "new") for k in (3, 5, 1003, 7, 9, 11, 13, 15, 17, 19) for at in (1, 2)], "k long, v long, w string")
+    touched = stored.upsert(spark, path, keys, changes, [F.col("v").desc()])
+    kept = {f for f in before if files().get(f) == before[f]}
+    assert len(touched) <= 10 and {f.parent.name for f in files() if f not in kept} == {f"_bucket={b}" for b in touched}
+    frame = rows.filter(~F.col("k").isin(3, 5, 7, 9, 11, 13, 15, 17, 19)).unionByName(changes.filter("v = 2"))
+    assert state() == sorted(map(tuple, frame.collect()))
+    stored.insert_ignore(spark, path, keys, spark.createDataFrame([(3, 0, "no"), (2000, 1, "b"), (2000, 0, "a")], "k long, v long, w string"), [F.col("v")])
+    stored.update(spark, path, "k", spark.createDataFrame([(2000, None, "c"), (4000, 1, "none")], "k long, v long, w string"))
+    assert [r for r in state() if r[0] in (3, 2000, 4000)] == [(3, 2, "new"), (2000, 0, "c")]
+    stored.update(spark, path, "k", spark.createDataFrame([(2000, None)], "k long, v long"), nulls_clear=True)
+    assert [r for r in stored.read_table(spark, path, keys).filter("k = 2000").collect()] == [(2000, None, "c")]
+    stored.delete(spark, path, keys, stored.read_table(spark, path, keys))
+    assert state() == [] and stored.upsert(spark, path, keys, changes.limit(0), [F.col("v")]) == []
+    stored.upsert(spark, path, keys, changes.filter("k = 3"), [F.col("v").desc()])
+    assert state() == [(3, 2, "new")]
+
+
+def test_vectors_by_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks of a few rows, dealt by pair: the same neighbours as comparing all, ties by id."""
+    rng = random.Random(6)
+    rows = [(f"c{i:03d}", rng.choice("xyz"), [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(200)] + [("none", "x", None), ("null", "x", [1.0, None, 0.0]), ("short", "x", [1.0])]
+    asked = [(i, rng.choice("xyzw"), [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(40)]
+    vectors, queries = spark.createDataFrame(rows, "chunk_id string, kb_id string, v array<double>"), spark.createDataFrame(asked, "query_id long, kb_id string, q array<double>")
+    truth = {}
+    for q, kb, x in asked:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(x, v)) ** 0.5, 9), c) for c, k, v in rows if k == kb and v and len(v) == 3 and None not in v)
+        truth |= {(q, n + 1): (c, d) for n, (d, c) in enumerate(near[:7])}
+    for limit in (retrieval.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(retrieval, "QUERY_ROWS", 5)
+        monkeypatch.setattr(retrieval, "VECTOR_ROWS", 11)
+        got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.distance, 9)) for r in retrieval.knn_join(queries, vectors, 7).collect()}
+        assert got == truth
 
 
 def test_duplicates_of_stored_documents(spark):
