@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.vectors import hash_counts, hash_embedding, l2_distance
 from ..operators import chunking, history, retrieval, stored, tables
 from ..sources import files
-from ..staging import staged_path
+from ..staging import staged, staged_path
 from ..streaming import turns
 from . import pipelines
 
@@ -113,7 +113,7 @@ def hybrid_search(spark, d):
 
 def searchable(spark, d):
     """Chunks of all documents by windows, and the vectors of their leaves."""
-    chunks = chunking.parent_child(corpus(spark, d), cut=lambda text, size, overlap: tx.fixed_windows(text, size))
+    chunks = staged(chunking.parent_child(corpus(spark, d), cut=lambda text, size, overlap: tx.fixed_windows(text, size)), "chunks")
     return chunks, chunks.filter("parent_id IS NOT NULL").select("kb_id", "chunk_id", hash_embedding(F.col("text")).alias("embedding"))
 
 
@@ -702,5 +702,5 @@ def chunk_preview(spark, d):
     return corpus(spark, d).select("doc_id", F.posexplode(chunking.chunk(F.col("text"))).alias("ordinal", "piece")).select("doc_id", "ordinal", F.length("piece").alias("n"))
 
 
-NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "hash_counts", "hash_embedding", "l2_distance", "searchable", "stored_orders", "staged_path"}
+NOT_QUERIES = {"table", "messages", "corpus", "statuses", "vector_batch", "near", "phrase_queries", "doc_chunks", "two_routes", "fake_relevance", "with_calls", "called", "cached", "suppliers_as_providers", "rules", "tasks", "stream_events", "fragments", "hash_counts", "hash_embedding", "l2_distance", "searchable", "stored_orders", "staged", "staged_path"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in NOT_QUERIES}
