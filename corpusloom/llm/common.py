@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches of rows for Python end at so many bytes, as texts may be long; a smaller limit of the session's own stays."""
+    if _bytes(spark.conf.get(BATCH_BYTES)) > _bytes(size):
+        spark.conf.set(BATCH_BYTES, size)
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)[a-z]*", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
 _written: list[str] = []
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import collocations, mixing, spelling
-from corpusloom.llm.common import scratch
+from corpusloom.llm.common import BATCH_BYTES, bounded_batches, scratch
 
 ODD = [None, "", "   ", "a", "a b a b a b, a b! a b", "x\ty\tx\ty", "É É É. é é", "\x0b\x0c words \xa0 here"]
 
@@ -227,3 +227,14 @@ def test_the_splitting_tree_deals_all_quotas(spark):
         assert sorted(tree) == list(range(shards)) and [sum(q[k] for q in tree.values()) for k in range(len(quotas))] == quotas
         totals = [sum(q) for q in tree.values()]
         assert max(totals) - min(totals) <= 1 and all(x >= 0 for q in tree.values() for x in q)
+
+
+def test_batches_are_bounded(spark):
+    given = spark.conf.get(BATCH_BYTES)
+    try:
+        for before, after in (("64m", "8m"), ("1m", "1m"), ("67108864b", "8m"), ("4096k", "4096k"), ("1g", "8m")):
+            spark.conf.set(BATCH_BYTES, before)
+            bounded_batches(spark)
+            assert spark.conf.get(BATCH_BYTES) == after
+    finally:
+        spark.conf.set(BATCH_BYTES, given)
