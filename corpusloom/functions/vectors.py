@@ -32,8 +32,7 @@ def is_unit(v: Column, tolerance: float = 1e-3) -> Column:
 
 
 def normalize_l2(v: Column) -> Column:
-    size = norm(v)
-    return F.transform(v.cast("array<double>"), lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    return let(norm(v), lambda size: F.transform(v.cast("array<double>"), lambda x: F.when(size > 0, x / size).otherwise(0.0)))
 
 
 def let(value: Column, body) -> Column:

@@ -40,7 +40,8 @@ def search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = r
     asked = models.expand_queries(queries, expand).join(queries.select("query_id", "kb_id"), "query_id").withColumn("sub_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("query_no").cast("string")))
     asked = staged(asked, "asked")  # the model is asked once, though both routes need the answers
     leaves = chunks.filter("parent_id IS NOT NULL")
-    by_vector = retrieval.knn_join(asked.select(F.col("sub_id").alias("query_id"), "kb_id", embedder(F.col("query")).alias("q")), vectors.withColumnRenamed("embedding", "v"))
+    embedded = staged(asked.select(F.col("sub_id").alias("query_id"), "kb_id", embedder(F.col("query")).alias("q")), "query-vectors")
+    by_vector = retrieval.knn_join(embedded, vectors.withColumnRenamed("embedding", "v"))
     by_phrase = retrieval.phrase_topk(asked.select(F.col("sub_id").alias("query_id"), "kb_id", F.col("query").alias("phrase")), leaves.select("kb_id", "chunk_id", "text"), index=index, stats=stats)
     lists = by_vector.select("query_id", "chunk_id", "rank", "distance").unionByName(by_phrase.select("query_id", "chunk_id", "rank", F.lit(None).cast("double").alias("distance")))
     lists = lists.withColumnRenamed("query_id", "sub_id").join(asked.select("sub_id", "query_id", "query_no"), "sub_id")

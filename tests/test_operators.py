@@ -277,3 +277,34 @@ def test_display(spark):
     shown = pipelines.display(spark.createDataFrame(rows, "session_id long, seq long, role string, text string, tool_calls array<struct<id:string,name:string,args:string>>, tool_call_id string")).collect()
     assert [(r.kind, r.text, r.result) for r in shown if r.kind == "call"] == [("call", '{"a": "x", "b": "1"}', "out")] and len([r for r in shown if r.display_id]) == 1
     assert [r.kind for r in shown] == ["user", "assistant", "call"]
+
+
+def test_phrases_are_read_from_texts_without_an_index(spark, monkeypatch):
+    """Random phrases of all lengths beside a count by brute force and beside postings, in several passes; no postings are made."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abÄ漢 ", k=rng.randrange(90))) for _ in range(60)] + ["ab" * 40, None, "x"]
+    rows = [("k" if i % 3 else "l", i, t) for i, t in enumerate(texts)]
+    asked = []
+    for i in range(80):
+        t = rng.choice([t for t in texts if t and len(t) > 2])
+        at = rng.randrange(len(t) - 2)
+        asked.append((i, rng.choice("kl"), t[at : at + rng.choice((3, 4, 7, 8, 20, 33, 70))].upper()))
+    asked += [(100, "k", "ABAB"), (101, "k", "abab"), (102, "k", "ab"), (103, "k", None)]
+    want = {}
+    for q, kb, p in asked:
+        for base, i, t in rows:
+            if p and len(p) >= 3 and t and base == kb:
+                n = sum(t.lower().startswith(p.lower(), at) for at in range(len(t)))
+                if n:
+                    want[q, i] = (n, len(t) - 2)
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_id long, text string")
+    queries = spark.createDataFrame(asked, "query_id long, kb_id string, phrase string")
+    index = retrieval.postings(chunks)
+    by_index = {(r.query_id, r.chunk_id): (r.tf, r.len) for r in retrieval.phrase_match(queries, chunks, index).collect()}
+    best = [tuple(r) for r in retrieval.phrase_topk(queries, chunks, 3, index).collect()]
+    monkeypatch.setattr(retrieval, "PASS_BYTES", 2000)
+    monkeypatch.setattr(retrieval, "SCAN_CHARS", 300)
+    monkeypatch.setattr(retrieval, "postings", None)
+    got = {(r.query_id, r.chunk_id): (r.tf, r.len) for r in retrieval.phrase_match(queries, chunks).collect()}
+    assert got == want == by_index and len(got) > 100
+    assert sorted(best) == sorted(tuple(r) for r in retrieval.phrase_topk(queries, chunks, 3).collect())
