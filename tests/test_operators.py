@@ -8,6 +8,7 @@ from corpusloom.functions import text as tx
 from corpusloom.functions.vectors import cosine_from_l2, hash_embedding, is_unit, l2_distance, normalize_l2
 from corpusloom.operators import history, models, retrieval, stored, tables
 from corpusloom.plans import pipelines
+from corpusloom.plans import queries as registered
 
 
 def one(spark, column, **values):
@@ -308,3 +309,20 @@ def test_phrases_are_read_from_texts_without_an_index(spark, monkeypatch):
     got = {(r.query_id, r.chunk_id): (r.tf, r.len) for r in retrieval.phrase_match(queries, chunks).collect()}
     assert got == want == by_index and len(got) > 100
     assert sorted(best) == sorted(tuple(r) for r in retrieval.phrase_topk(queries, chunks, 3).collect())
+
+
+def test_the_route_by_ids_meets_few_vectors(spark):
+    """As the join of all queries with all vectors of their base, with repeated and negative ids; the widest join grows with neither."""
+    rng = random.Random(3)
+    vectors = [(rng.choice("ab"), rng.randrange(-4000, 4000)) for _ in range(3000)] + [(None, 1)]
+    queries = [(q, rng.choice("abc")) for q in range(0, 4000, 20)] + [(20, "a"), (20, "b")]
+    want = []
+    for q in {q for q, _ in queries}:
+        met = sorted(((c * 31 + q) % 97, c) for p, kb in queries if p == q for base, c in vectors if base == kb)
+        want += [(q, c, r) for r, (_, c) in enumerate(met[:7], 1)]
+    q, v = spark.createDataFrame(queries, "query_id long, kb_id string"), spark.createDataFrame(vectors, "kb_id string, chunk_id long")
+    got = registered.id_route(q, v, 7)
+    assert sorted(want) == sorted((r.query_id, r.chunk_id, r["rank"]) for r in got.collect())
+    # Twice the vectors of the same remainders leave the rows that queries meet as they are.
+    more = v.unionByName(v.withColumn("chunk_id", F.col("chunk_id") + 97 * 1000))
+    assert sorted(want) == sorted((r.query_id, r.chunk_id, r["rank"]) for r in registered.id_route(q, more, 7).collect())
