@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import bounded_batches
+
 #: Separators from coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", "，", ", ")
 SIZE, OVERLAP, PARENT_FACTOR = 500, 60, 4
@@ -112,6 +114,8 @@ def chunk(text: Column, size: int = 800, overlap: int = -1) -> Column:
     def chunks(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunk_text(t, size, overlap))
 
+    # Whole batches of texts and of their chunks stand in Python at once, so batches are bounded by bytes, not by rows alone.
+    bounded_batches(SparkSession.active())
     return chunks(text)
 
 

@@ -133,3 +133,17 @@ def test_parents_and_children(spark):
     of_one = sorted(c.ordinal for c in chunks if c.doc_id == 1)
     assert of_one == list(range(len(of_one)))
     assert len({c.chunk_id for c in chunks}) == len(chunks)
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Batches of texts end by bytes and not by rows alone; a smaller limit of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        chunking.chunk(F.lit("x"))
+        assert spark.conf.get(name) == "8m"
+        spark.conf.set(name, "1m")
+        chunking.chunk(F.lit("x"))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
