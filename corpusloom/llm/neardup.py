@@ -37,6 +37,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 CACHE_WORDS, GROUP_SHINGLES = 500_000, 200_000
+#: Groups of more than LARGE texts have a centre made from up to SAMPLED of them; longs of a text's parities.
+LARGE, SAMPLED, PARITIES = 32, 15, 8
 
 
 class Words:
@@ -212,18 +214,41 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "components")
 
 
+def parities(kinds: np.ndarray) -> np.ndarray:
+    """Which of 64 * PARITIES numbers an odd count of the shingles falls on, as longs. Two texts differ in as many of these bits at most as there are shingles that one of them alone has."""
+    odd = np.bincount((kinds % np.uint64(64 * PARITIES)).astype("i8"), minlength=64 * PARITIES) % 2
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
+def _centres(members: DataFrame, known: DataFrame) -> DataFrame:
+    """ref and centre, the shingles that more than half of some texts of a large group (members: ref, text_no) have."""
+
+    def centre(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        kinds, times = np.unique(np.concatenate([np.unique(np.frombuffer(bag, "u8")) for bag in p["bag"]]), return_counts=True)
+        return pd.DataFrame({"ref": [key[0]], "centre": [kinds[2 * times > len(p)].tobytes()]})
+
+    h = F.xxhash64("text_no")
+    parts = members.groupBy("ref", F.pmod(h, F.lit(SAMPLED)).alias("part")).agg(F.min_by("text_no", h).alias("text_no"), F.count("*").alias("n"))
+    large = parts.groupBy("ref").agg(F.sum("n").alias("n")).filter(F.col("n") > LARGE)
+    some = parts.join(large, "ref", "left_semi").join(known.select("text_no", "bag"), "text_no")
+    return some.select("ref", "bag").groupBy("ref").applyInPandas(centre, "ref long, centre binary")
+
+
 def _prefixes(members: DataFrame, known: DataFrame) -> DataFrame:
-    """members (ref, text_no, ...) with the shingles s of the text's prefix, beside the text ref of its bucket: in_ref (whether ref
-    has s), index, size, plain, left_in and left_out (how many shingles from s on ref has and hasn't), and bound (whether those
-    that it has weigh 0.8 of the whole).
+    """members (ref, text_no, ...) with the shingles s of the text's prefix, beside the centre of its group: in_ref (whether the centre
+    has s), index, size, plain, left_in and left_out (how many shingles from s on the centre has and hasn't), bound (whether those
+    that it has weigh 0.8 of the whole), excess (the whole weight less size) and parities.
 
-    Shingles have one order for each ref: those that ref hasn't got first, then by hash. Let s be the first shingle that x and
+    The centre is any set of shingles: it only makes rare ones come first. In small groups it is the text ref; a large
+    group's texts may all have what ref lacks, so there it is what most of the group has (_centres).
+    Shingles have one order for each ref: those that the centre hasn't got first, then by hash. Let s be the first shingle that x and
     y share; all of x's before it are not shared. Probability Jaccard is at most the sum of min(x_i / X, y_i / Y), X and Y
     being the whole weights, so at a similarity of 0.8 these weigh 0.2 X at most, and s stands in the prefix of x that
-    ends beyond 0.2 X; and so for y. If ref has s, the two share nothing that it hasn't got. Where no shingle repeats in
-    either (plain), they share 4 / 9 of both sizes, so at most a ninth of the smaller one's come before s (index marks these),
-    and what is left of each from s on bounds what they share."""
+    ends beyond 0.2 X; and so for y. If the centre has s, the two share nothing that it hasn't got, so rows of s in the centre are left out
+    where bound is false. Where no shingle repeats in either (plain), they share 4 / 9 of both sizes, so at most a ninth of the smaller
+    one's come before s (index marks these)."""
     others = [f for f in members.schema.fields if f.name not in ("ref", "text_no")]
+    names = ("size", "plain", "bound", "excess", *(f"parity{k}" for k in range(PARITIES)))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -231,29 +256,35 @@ def _prefixes(members: DataFrame, known: DataFrame) -> DataFrame:
             for bag, ref_bag in zip(p["bag"], p["ref_bag"]):
                 kinds, weight = weigh(np.frombuffer(bag, "u8"))
                 has = np.isin(kinds, np.frombuffer(ref_bag, "u8"))
+                bound = bool(weight[has].sum() >= SIMILARITY * weight.sum() - 1e-9)
                 order = np.argsort(has, kind="stable")
                 before, whole = np.concatenate(([0.0], np.cumsum(weight[order])[:-1])), weight.sum()
-                order = order[before <= (1 - SIMILARITY) * whole + 1e-9]
+                order = order[(before <= (1 - SIMILARITY) * whole + 1e-9) & (bound | ~has[order])]
                 plain, unlike, place = 8 * len(kinds) == len(bag), len(kinds) - int(has.sum()), np.arange(len(order))
                 index = (before[: len(order)] <= (1 - SIMILARITY) / (1 + SIMILARITY) * whole + 1e-9) | (not plain)
                 columns.append((kinds[order].view("i8"), has[order], index, len(kinds) - np.maximum(place, unlike), np.maximum(unlike - place, 0)))
-                of_text.append((len(kinds), plain, bool(weight[has].sum() >= SIMILARITY * whole - 1e-9)))
+                of_text.append((len(kinds), plain, bound, whole - len(kinds), *parities(kinds)))
             times = [len(c[0]) for c in columns]
-            rows = p.drop(columns=["bag", "ref_bag"]).assign(**dict(zip(("size", "plain", "bound"), zip(*of_text))) if of_text else {})
+            rows = p.drop(columns=["bag", "ref_bag"]).assign(**dict(zip(names, zip(*of_text))) if of_text else {})
             repeated = rows.loc[rows.index.repeat(times)].reset_index(drop=True)
             if len(repeated):
                 yield repeated.assign(**{name: np.concatenate([c[k] for c in columns]) for k, name in enumerate(("s", "in_ref", "index", "left_in", "left_out"))})
 
     bag, its = known.select("text_no", "bag"), known.select(F.col("text_no").alias("ref"), F.col("bag").alias("ref_bag"))
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
+    # Few centres, each read by all of its group.
+    its = its.join(members.select("ref").distinct(), "ref", "left_semi").join(_centres(members, known), "ref", "left").select("ref", F.coalesce("centre", "ref_bag").alias("ref_bag"))
     met = members.join(bag, "text_no").join(its, "ref").select(*members.columns, "bag", "ref_bag")
-    return met.mapInPandas(read, f"ref long, text_no long{extra}, size int, plain boolean, bound boolean, s long, in_ref boolean, index boolean, left_in int, left_out int")
+    return met.mapInPandas(read, f"ref long, text_no long{extra}, size int, plain boolean, bound boolean, excess double{''.join(f', {p} long' for p in names[4:])}, s long, in_ref boolean, index boolean, left_in int, left_out int")
 
 
 def _open_pairs(labels: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) of different components of a bucket that can reach the similarity. members: key, text_no, ref (the key's pivot).
 
-    One of the two is outside the bucket's largest component (out), so pairs within that are never built."""
+    One of the two is outside the bucket's largest component (out), so pairs within that are never built. Probability Jaccard
+    is at most U / (U + D), U being the sum of max(x_i, y_i) over shared i and D the weight of all that are not shared; so D is U / 4 at
+    most. U is at most X less what x doesn't share plus y's excess, and so for y, so at most a ninth of (X + Y + both excesses) isn't
+    shared. What is left of each from their first shared shingle on, and the parities in which they differ, bound that."""
     state = members.join(labels.withColumnRenamed("node", "text_no"), "text_no")
     of_label = state.groupBy("key", "label").agg(F.count("*").alias("n"))
     shape = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1 AND n > 2").select("key", F.col("top.label").alias("top"))
@@ -267,7 +298,9 @@ def _open_pairs(labels: DataFrame, members: DataFrame, known: DataFrame) -> Data
     # The smaller one's index part meets the larger one's prefix.
     roles = ~plain | ((index & (size <= size_)) | (index_ & (size_ <= size))) & (F.least(*of("size")) >= SIMILARITY * F.greatest(*of("size")) - 1e-9)
     most = F.least(*of("left_in")) + F.least(*of("left_out"))
-    enough = (~F.col("x.in_ref") | (F.col("x.bound") & F.col("y.bound"))) & (~plain | (most >= (size + size_) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9))
+    unlike = sum((F.bit_count(F.col(f"x.parity{k}").bitwiseXOR(F.col(f"y.parity{k}"))) for k in range(PARITIES)), F.lit(0))
+    apart = (size + size_ + 2 * (F.col("x.excess") + F.col("y.excess"))) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    enough = (size + size_ - 2 * most <= apart) & (unlike <= apart)
     once = ~F.col("y.out") | (F.col("x.text_no") < F.col("y.text_no"))
     met = x.join(y, (F.col("x.ref") == F.col("y.ref")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & roles & enough & once)
     return met.select(F.least("x.text_no", "y.text_no").alias("a"), F.greatest("x.text_no", "y.text_no").alias("b")).distinct()

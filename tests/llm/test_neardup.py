@@ -124,3 +124,59 @@ def test_prefixes_meet_in_every_similar_pair(spark):
             met = met[most >= 4 / 9 * (x["size"].iloc[0] + y["size"].iloc[0]) - 1e-9]
         assert len(met)
     assert found > 100
+
+
+def test_pairs_of_a_large_group_without_its_original(spark, monkeypatch):
+    """Edited copies, each under 0.8 to most others, and none is the original: what all of them have and the pivot lacks builds no pairs."""
+    compared, verified = [], neardup.verified
+
+    def counted(pairs, known):
+        compared.append(pairs.count())
+        return verified(pairs, known)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    for repeated in (False, True):
+        rng = random.Random(8)
+        base, texts = words(rng, 150), []
+        base = base[:130] + base[:20] if repeated else base
+        for i in range(300):
+            t = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 5)):
+                t[at] = words(rng, 1)[0]
+            texts.append(" ".join(t))
+        parent = list(range(len(texts)))
+
+        def find(i):
+            return i if parent[i] == i else find(parent[i])
+
+        bags = [neardup.shingles(neardup.Words()(t.split())) for t in texts]
+        for i, j in combinations(range(len(texts)), 2):
+            if find(i) != find(j) and neardup.bag_similarity(np.sort(bags[i]), np.sort(bags[j])) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        compared.clear()
+        got = {r.id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        assert {i: find(i) for i in range(len(texts))} == got and 1 < len(set(got.values())) < 300
+        assert compared[1] < 4 * len(texts)
+
+
+def test_parities_differ_in_no_more_bits_than_shingles():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        ids = rng.integers(0, 2**63, 400).astype("u8")
+        x, y = ids[: rng.integers(1, 300)], ids[rng.integers(0, 300) :]
+        differ = sum(int(a).bit_count() for a in (neardup.parities(x) ^ neardup.parities(y)).view("u8"))
+        assert differ <= len(np.setxor1d(x, y)) and (len(np.setxor1d(x, y)) - differ) % 2 == 0
+
+
+def test_similar_bags_share_all_but_a_ninth():
+    """The bound of _open_pairs: shingles that only one has are at most a ninth of both weights and of their excess over one a shingle."""
+    rng, found = np.random.default_rng(10), 0
+    for _ in range(3000):
+        kinds, repeats = np.arange(60, dtype="u8"), rng.choice([1, 1, 1, 2, 4], 60)
+        lack = [rng.random(60) < rng.choice([0.02, 0.1]) for _ in range(2)]
+        x, y = (neardup.weigh(np.repeat(kinds, np.where(gone, 0, repeats if rng.random() < 0.5 else rng.choice([1, 2], 60)))) for gone in lack)
+        if neardup.similarity(x, y) >= 0.8:
+            found += 1
+            assert len(np.setxor1d(x[0], y[0])) <= (2 * x[1].sum() - len(x[0]) + 2 * y[1].sum() - len(y[0])) / 9 + 1e-9
+    assert found > 100
