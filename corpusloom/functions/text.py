@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WIDE = "[^　-鿿豈-﫿＀-￯]"
+#: Runs of characters that are not wide: a text without wide ones is one match, not one for each character.
+WIDE = "[^　-鿿豈-﫿＀-￯]+"
 #: Characters stripped from a title's edges, from a sub-query's start and edges, and the mark of trimmed output.
 TITLE_EDGE = "\"'`.,;:!?.,、；；：：!？?「」『』《》【】（）()“”‘’"
 NUMBERING = "0123456789.-、)）. "

@@ -41,7 +41,8 @@ def _plain(text: str, size: int, level: int = 0) -> list[str]:
         elif at == len(SEPARATORS):
             out += [part[i : i + size] for i in range(0, len(part), size)]
         else:
-            found = re.findall(f"(?s).*?{re.escape(SEPARATORS[at])}|.+", part)
+            *whole, rest = part.split(SEPARATORS[at])
+            found = [p + SEPARATORS[at] for p in whole] + [rest] * bool(rest)
             pending += [(p, at + 1) for p in reversed(found)]
     return out
 
@@ -52,6 +53,9 @@ def _is_fence(line: str) -> bool:
 
 def _blocks(text: str):
     """(text, is code) of each run of lines; any fence closes any other, an open one runs to the end."""
+    if not any(fence in text for fence in FENCES):
+        yield text, False
+        return
     run, code = [], False
     for line in text.split("\n"):
         if _is_fence(line):

@@ -1,9 +1,11 @@
 """Pinned cases of the splitter, its properties on random texts, and the native leaves beside the Python ones."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as text_functions
 from corpusloom.operators import chunking
 from corpusloom.operators.chunking import chunk_text
 
@@ -147,3 +149,19 @@ def test_batches_for_python_are_bounded(spark):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_texts_without_wide_characters_are_one_match():
+    found = re.findall(text_functions.WIDE, "plain words. " * 80 + "中文" + " more")
+    assert len(found) == 2 and "".join(found) == "plain words. " * 80 + " more"
+
+
+def test_cuts_equal_those_of_lazy_patterns():
+    rng = random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choice([*chunking.SEPARATORS, "\n", "a", "bc "]) for _ in range(rng.randint(1, 60)))
+        pieces = [text]
+        for separator in chunking.SEPARATORS:
+            pieces = [q for p in pieces for q in ([p] if len(p) <= 4 else re.findall(f"(?s).*?{re.escape(separator)}|.+", p))]
+        pieces = [p[i : i + 4] for p in pieces for i in range(0, len(p), 4)]
+        assert chunking._plain(text, 4) == pieces
