@@ -272,8 +272,9 @@ def _prefixes(members: DataFrame, known: DataFrame) -> DataFrame:
 
     bag, its = known.select("text_no", "bag"), known.select(F.col("text_no").alias("ref"), F.col("bag").alias("ref_bag"))
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in others)
-    # Few centres, each read by all of its group.
     its = its.join(members.select("ref").distinct(), "ref", "left_semi").join(_centres(members, known), "ref", "left").select("ref", F.coalesce("centre", "ref_bag").alias("ref_bag"))
+    # Read from a table, so that a group with many texts can be split where it joins.
+    its = scratch(its, "centres")
     met = members.join(bag, "text_no").join(its, "ref").select(*members.columns, "bag", "ref_bag")
     return met.mapInPandas(read, f"ref long, text_no long{extra}, size int, plain boolean, bound boolean, excess double{''.join(f', {p} long' for p in names[4:])}, s long, in_ref boolean, index boolean, left_in int, left_out int")
 
